@@ -57,9 +57,13 @@ def running_totals(
     measures: dict[str, Column],
     seconds: int = 60,
     include_current: bool = True,
+    slice_by: Column | None = None,
 ) -> DataFrame:
-    """Running sum of each measure per key in ``order`` (``ts`` must lead that order)."""
-    d = df.withColumn(SLICE, slice_of(F.col(ts), seconds))
+    """Running sum of each measure per key in ``order`` (``ts`` must lead that order).
+
+    ``slice_by`` cuts histories that are ordered by something else than time; it must grow with the order.
+    """
+    d = df.withColumn(SLICE, slice_of(F.col(ts), seconds) if slice_by is None else slice_by)
     d = d.withColumns({f"_m_{n}": c for n, c in measures.items()})
     d = carry(
         d, keys,

@@ -203,19 +203,15 @@ def map_bean_names(df: DataFrame, rules: Sequence[tuple], allowed: Sequence[str]
     result is joined back: beans are few next to samples, and the join picks its strategy from measured sizes.
     """
     number = F.coalesce(*[F.when(F.col(bean).rlike(rule[0]), F.lit(i)) for i, rule in enumerate(rules)])
-    table = F.array(*[
-        F.struct(
-            F.lit(pattern).alias("pattern"), F.lit(name).alias("name"), F.lit(kind).alias("kind"),
-            F.array(*[F.lit(k.lower()) for k in labels]).cast("array<string>").alias("keys"),
-            F.array(*[F.lit(v) for v in labels.values()]).cast("array<string>").alias("values"),
-            F.lit(re.compile(pattern).groups).alias("groups"),
-        )
-        for pattern, name, kind, labels in rules
-    ])
+    table = df.sparkSession.createDataFrame(
+        [(i, p, name, kind, [k.lower() for k in labels], list(labels.values()), re.compile(p).groups)
+         for i, (p, name, kind, labels) in enumerate(rules)],
+        "_i int, pattern string, name string, kind string, keys array<string>, vals array<string>, groups int",
+    )
 
     def group(n: int) -> Column:
-        value = F.call_function("regexp_extract", F.col(bean), F.col("_r.pattern"), F.lit(n))
-        return F.when(F.col("_r.groups") >= n, value).otherwise(F.lit(""))
+        value = F.call_function("regexp_extract", F.col(bean), F.col("pattern"), F.lit(n))
+        return F.when(F.col("groups") >= n, value).otherwise(F.lit(""))
 
     def fill(template: Column) -> Column:
         return F.replace(F.replace(template, F.lit("$1"), F.col("_1")), F.lit("$2"), F.col("_2"))
@@ -223,9 +219,9 @@ def map_bean_names(df: DataFrame, rules: Sequence[tuple], allowed: Sequence[str]
     domain = F.substring_index(F.col(bean), "<", 1)
     names = (
         df.select(bean).distinct().where(domain.isin(*allowed)).withColumn("_i", number).where("_i IS NOT NULL")
-        .withColumn("_r", F.get(table, F.col("_i"))).withColumns({"_1": group(1), "_2": group(2)})
-        .select(bean, F.lower(fill(F.col("_r.name"))).alias("metric"), F.col("_r.kind").alias("kind"),
-                F.map_from_arrays("_r.keys", F.transform("_r.values", fill)).alias("labels"))
+        .join(F.broadcast(table), "_i").withColumns({"_1": group(1), "_2": group(2)})
+        .select(bean, F.lower(fill(F.col("name"))).alias("metric"), "kind",
+                F.map_from_arrays("keys", F.transform("vals", fill)).alias("labels"))
     )
     return df.join(names, bean).drop(bean)
 

@@ -415,7 +415,7 @@ SELECT count(*) AS retried, count(*) FILTER (WHERE latency_ms < 3000 AND event_i
 def _(t):
     d = t.app_logs.select("event_id", "latency_ms")
     _, bad = contracts.split_by_contract(d, F.col("latency_ms") < 1000, "logs", NOW)
-    schema = T.StructType().add("event_id", "long").add("latency_ms", "int")
+    schema = T.StructType().add("event_id", "long").add("latency_ms", "integer")
     written = d.where("event_id % 7 = 0")
     return contracts.replay_counts(contracts.replay_rejects(bad, schema, F.col("latency_ms") < 3000, written, "event_id"))
 
@@ -432,7 +432,7 @@ def _(t):
         .when(F.col("event_id") % 6 == 4, F.concat(F.lit('{"id":'), i, F.lit(',"http":{"status":200,"verb":"GET"}}')))
         .otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"http":{"status":200}}')))
     )
-    schema = T.StructType().add("id", "long").add("http", T.StructType().add("status", "int"))
+    schema = T.StructType().add("id", "long").add("http", T.StructType().add("status", "integer"))
     d = contracts.enforce_strict_schema(t.events.select("event_id", doc.alias("document")), schema)
     return d.select("event_id", "reason", F.col("row.id").alias("parsed_id"))
 
