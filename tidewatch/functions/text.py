@@ -288,12 +288,16 @@ def sentiment(text: Column) -> Column:
 
 def detect_pii(text: Column) -> Column:
     """Types found, number of matches over all types, and a confidence of 0.2 per match."""
-    counts = {k: F.regexp_count(text, F.lit("(?i)" + p)) for k, p in PII_PATTERNS.items()}
-    found = F.filter(F.array(*[F.when(n > 0, F.lit(k)) for k, n in counts.items()]), lambda x: x.isNotNull())
-    n = _add(list(counts.values()))
-    return F.struct(
-        (n > 0).alias("detected"), found.alias("types"), n.alias("count"), F.least(F.lit(1.0), n * F.lit(0.2)).alias("confidence"),
-    )
+    counts = F.struct(*[F.regexp_count(text, F.lit("(?i)" + p)).alias(k) for k, p in PII_PATTERNS.items()])
+
+    def summary(c):
+        n = _add([c[k] for k in PII_PATTERNS])
+        found = F.filter(F.array(*[F.when(c[k] > 0, F.lit(k)) for k in PII_PATTERNS]), lambda x: x.isNotNull())
+        return F.struct(
+            (n > 0).alias("detected"), found.alias("types"), n.alias("count"), F.least(F.lit(1.0), n * F.lit(0.2)).alias("confidence"),
+        )
+
+    return _let(counts, summary)
 
 
 def redact_pii(text: Column, method: str = "mask", compat_order: bool = False) -> Column:
@@ -312,11 +316,19 @@ def redact_pii(text: Column, method: str = "mask", compat_order: bool = False) -
     return out
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it in several places."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hash_matches(text: Column, pattern: str) -> Column:
-    between = F.split(text, pattern, -1)
-    tokens = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda m: F.concat(F.lit("["), F.substring(F.sha2(m, 256), 1, 16), F.lit("]")),
-    )
-    joined = F.zip_with(between, tokens, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(joined, "")).otherwise(text)
+    def token(m):
+        return F.concat(F.lit("["), F.substring(F.sha2(m, 256), 1, 16), F.lit("]"))
+
+    def replaced(t):
+        between = F.split(t, pattern, -1)
+        tokens = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), token)
+        joined = F.zip_with(between, tokens, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(joined, "")).otherwise(t)
+
+    return _let(text, replaced)

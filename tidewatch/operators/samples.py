@@ -1,10 +1,343 @@
+"""Time-series operators over metric samples.
+
+Samples are rows (ts, metric, labels, value); vectors are rows (t, metric, labels, value) on a time grid, where t is a
+multiple of the step. Ranges are left-open: (t - range, t]. Rates are not extrapolated to the edges of the range.
+
+Samples are first reduced to one row per series and step. Whatever range a function looks at, it reads these rows, never
+the samples again, and windows over them are cut into blocks of at least one day, so that no task holds a whole history.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
 from tidewatch.functions.columns import as_map
-FIXED = ("ts", "metric", "labels", "value")
+
+COLUMNS = ("ts", "metric", "labels", "value")
+LOOKBACK = 300
+BLOCK = 86400
+MICROS = 1_000_000
+
+
+def as_samples(df: DataFrame, static_labels: dict[str, str] | None = None) -> DataFrame:
+    """(ts, metric, labels, value) rows; every other column becomes a label where it is not null."""
+    extra = [c for c in df.columns if c not in COLUMNS]
+    parts = [F.col("labels")] if "labels" in df.columns else []
+    if extra:
+        pairs = F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))])
+        parts.append(F.map_filter(pairs, lambda _, v: v.isNotNull()))
+    parts.append(as_map(static_labels or {}))
+    return df.select("ts", "metric", F.map_concat(*parts).alias("labels"), F.col("value").cast("double").alias("value"))
+
+
+def series_key(labels: Column) -> Column:
+    """Text that is equal for equal label sets; a map itself cannot be a key."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+
+
+def time_grid(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
+    """The grid points from ``start`` to ``end`` (epoch seconds), rounded up to the step."""
+    first = math.ceil(start / step) * step
+    return spark.range(first, end + 1, step).select(F.timestamp_seconds("id").alias("t"))
+
+
+def match_labels(labels: Column, equal: dict[str, str] | None = None, pattern: dict[str, str] | None = None) -> Column:
+    """Label matchers: equality, and patterns anchored on both ends. A missing label reads as empty text."""
+    ok = F.lit(True)
+    for k, v in (equal or {}).items():
+        ok = ok & (F.coalesce(labels[k], F.lit("")) == v)
+    for k, v in (pattern or {}).items():
+        ok = ok & F.coalesce(labels[k], F.lit("")).rlike(f"^(?:{v})$")
+    return ok
+
+
+def step_rows(samples: DataFrame, step: int) -> DataFrame:
+    """One row per metric, series and step: what the range functions need to know about the samples in it."""
+    us = F.unix_micros("ts")
+    s = samples.withColumns({"series": series_key(F.col("labels")), "us": us, "g": (F.ceil(us / F.lit(step * MICROS)) * step).cast("bigint")})
+    inside = Window.partitionBy("metric", "series", "g").orderBy("us")
+    v, before = F.col("value"), F.col("_pv")
+    s = s.withColumns({"_pv": F.lag("value").over(inside), "_pu": F.lag("us").over(inside)})
+    x = (F.col("us") - F.col("g") * MICROS) / F.lit(float(MICROS))
+    grown = F.when(before.isNull(), 0.0).when(v >= before, v - before).otherwise(v)
+    rows = s.groupBy("metric", "series", "g").agg(
+        F.any_value("labels").alias("labels"),
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"),
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"),
+        F.min_by("value", "us").alias("first_v"), F.max_by("value", "us").alias("last_v"),
+        F.max_by("_pu", "us").alias("second_us"), F.max_by("_pv", "us").alias("second_v"),
+        F.sum(grown).alias("inc"), F.count_if(before.isNotNull() & (before != v)).alias("chg"),
+        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * v).alias("sxy"),
+    )
+    along = Window.partitionBy("metric", "series").orderBy("g")
+    last_v, last_us = F.lag("last_v").over(along), F.lag("last_us").over(along)
+    rows = rows.withColumns({"_lv": last_v, "_lu": last_us, "next_g": F.lead("g").over(along)})
+    first = F.col("first_v")
+    return rows.withColumns({
+        "cross": F.when(F.col("_lv").isNull(), 0.0).when(first >= F.col("_lv"), first - F.col("_lv")).otherwise(first),
+        "cross_chg": F.when(F.col("_lv") != first, 1).otherwise(0),
+        "second_us": F.coalesce("second_us", "_lu"),
+        "second_v": F.coalesce("second_v", "_lv"),
+    }).drop("_lv", "_lu")
+
+
+class RangeFrame:
+    """Step rows spread over the grid points at which a range can see them, with the window that covers the range."""
+
+    def __init__(self, samples: DataFrame, seconds: int, step: int):
+        if seconds % step:
+            raise ValueError("the range must be a multiple of the step")
+        self.seconds, self.step = seconds, step
+        self.block = math.ceil(max(seconds, BLOCK) / step) * step
+        tail = seconds - step
+        rows = step_rows(samples, step)
+        until = F.least(F.coalesce(F.col("next_g") - step, F.col("g") + tail), F.col("g") + tail)
+        rows = rows.withColumn("at", F.explode(F.sequence("g", until, F.lit(step).cast("bigint"))))
+        rows = rows.withColumn("real", F.col("at") == F.col("g"))
+        own = F.floor(F.col("at") / self.block)
+        reach = F.when(F.col("real"), F.floor((F.col("at") + tail) / self.block)).otherwise(own)
+        self.rows = rows.withColumn("b", F.explode(F.sequence(own, reach)))
+        self.frame = Window.partitionBy("metric", "series", "b").orderBy("at").rangeBetween(-tail, 0)
+        self.age = (F.col("at") - F.col("b") * self.block).cast("double")
+
+    def total(self, c: str) -> Column:
+        return F.sum(F.when(F.col("real"), F.col(c))).over(self.frame)
+
+    def least(self, c: str) -> Column:
+        return F.min(F.when(F.col("real"), F.col(c))).over(self.frame)
+
+    def most(self, c: str) -> Column:
+        return F.max(F.when(F.col("real"), F.col(c))).over(self.frame)
+
+    def first(self, c: str) -> Column:
+        return F.first(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.frame)
+
+    def last(self, c: str) -> Column:
+        return F.last(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.frame)
+
+    def finish(self, cols: dict[str, Column], value: Column, keep: Column) -> DataFrame:
+        d = self.rows.withColumns(cols).where(F.col("b") == F.floor(F.col("at") / self.block))
+        return d.where(keep).select(F.timestamp_seconds("at").alias("t"), "metric", "labels", value.alias("value"))
+
+
+def select_series(
+    samples: DataFrame, metric: str | None = None, equal: dict | None = None, pattern: dict | None = None,
+    step: int = 30, lookback: int = LOOKBACK,
+) -> DataFrame:
+    """M1: instant vector: per series the newest sample that is younger than the lookback."""
+    s = samples if metric is None else samples.where(F.col("metric") == metric)
+    s = s.where(match_labels(F.col("labels"), equal, pattern))
+    r = RangeFrame(s, math.ceil(lookback / step) * step, step)
+    young = F.col("at") * MICROS - F.col("_u") < lookback * MICROS
+    return r.finish({"_v": r.last("last_v"), "_u": r.last("last_us")}, F.col("_v"), young)
+
+
+def _growth(r: RangeFrame) -> dict[str, Column]:
+    return {
+        "_n": r.total("n"), "_inc": r.total("inc") + r.total("cross") - r.first("cross"),
+        "_sec": (r.most("last_us") - r.least("first_us")) / F.lit(float(MICROS)),
+    }
+
+
+def rate(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """M2: growth per second of a counter over the range, resets corrected; needs two samples."""
+    r = RangeFrame(samples, seconds, step)
+    return r.finish(_growth(r), F.col("_inc") / F.col("_sec"), (F.col("_n") >= 2) & (F.col("_sec") > 0))
+
+
+def irate(samples: DataFrame, seconds: int = 60, step: int = 30) -> DataFrame:
+    """M3: growth per second between the last two samples of the range."""
+    r = RangeFrame(samples, seconds, step)
+    cols = {n: r.last(c) for n, c in (("_u", "last_us"), ("_v", "last_v"), ("_u0", "second_us"), ("_v0", "second_v"))}
+    inside = F.col("_u0") > (F.col("at") - seconds) * MICROS
+    grown = F.when(F.col("_v") >= F.col("_v0"), F.col("_v") - F.col("_v0")).otherwise(F.col("_v"))
+    return r.finish(cols, grown / ((F.col("_u") - F.col("_u0")) / F.lit(float(MICROS))), inside & (F.col("_u") > F.col("_u0")))
+
+
+def increase(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """M4: reset-corrected growth of a counter over the range."""
+    r = RangeFrame(samples, seconds, step)
+    return r.finish(_growth(r), F.col("_inc"), F.col("_n") >= 2)
+
+
+def delta(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """M5: last minus first sample of a gauge in the range."""
+    r = RangeFrame(samples, seconds, step)
+    return r.finish({"_n": r.total("n"), "_a": r.first("first_v"), "_z": r.last("last_v")}, F.col("_z") - F.col("_a"), F.col("_n") >= 2)
+
+
+def changes(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """M6: how often the value changed in the range."""
+    r = RangeFrame(samples, seconds, step)
+    n = (r.total("chg") + r.total("cross_chg") - r.first("cross_chg")).cast("double")
+    return r.finish({"_c": n}, F.col("_c"), F.col("_c").isNotNull())
+
+
+def avg_over_time(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """M7: mean of the samples in the range."""
+    r = RangeFrame(samples, seconds, step)
+    return r.finish({"_n": r.total("n"), "_y": r.total("sy")}, F.col("_y") / F.col("_n"), F.col("_n") > 0)
+
+
+def _line(samples: DataFrame, seconds: int, step: int) -> tuple[RangeFrame, dict[str, Column], Column]:
+    """Least squares over the range; x counts seconds from the start of the block."""
+    r = RangeFrame(samples, seconds, step)
+    off = (F.col("g") - F.col("b") * r.block).cast("double")
+    r.rows = r.rows.withColumns({
+        "_x": F.col("sx") + F.col("n") * off,
+        "_xx": F.col("sxx") + 2 * off * F.col("sx") + F.col("n") * off * off,
+        "_xy": F.col("sxy") + off * F.col("sy"),
+    })
+    cols = {"_n": r.total("n"), "_sx": r.total("_x"), "_sy": r.total("sy"), "_sxx": r.total("_xx"), "_sxy": r.total("_xy")}
+    spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    slope = F.when(spread > 0, (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
+    return r, cols, slope
+
+
+def predict_linear(samples: DataFrame, seconds: int, horizon: int, step: int = 30) -> DataFrame:
+    """M8: value of the least squares line of the range at t + horizon."""
+    r, cols, slope = _line(samples, seconds, step)
+    at = r.age + horizon - F.col("_sx") / F.col("_n")
+    return r.finish(cols, F.col("_sy") / F.col("_n") + slope * at, (F.col("_n") >= 2) & slope.isNotNull())
+
+
+def deriv(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
+    """Slope per second of the least squares line of the range."""
+    r, cols, slope = _line(samples, seconds, step)
+    return r.finish(cols, slope, (F.col("_n") >= 2) & slope.isNotNull())
+
+
+def histogram_quantile(q: float, buckets: DataFrame) -> DataFrame:
+    """M9: quantile of each histogram, linear inside the first bucket whose count reaches q times the total.
+
+    Buckets carry their upper bound in the label ``le``; the last bucket gives the highest finite bound.
+    """
+    le = F.col("labels")["le"]
+    bound = F.when(le.isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(le.try_cast("double"))
+    d = buckets.withColumns({"_le": bound, "labels": F.map_filter("labels", lambda k, _: k != "le")}).where("_le IS NOT NULL")
+    d = d.withColumn("_key", series_key(F.col("labels")))
+    group = Window.partitionBy("t", "_key")
+    order = group.orderBy("_le")
+    d = d.withColumns({
+        "_total": F.max(F.when(F.col("_le") == float("inf"), F.col("value"))).over(group),
+        "_lo": F.lag("_le").over(order), "_below": F.coalesce(F.lag("value").over(order), F.lit(0.0)),
+    })
+    rank = F.col("_total") * F.lit(q)
+    low = F.coalesce(F.col("_lo"), F.when(F.col("_le") > 0, 0.0).otherwise(F.col("_le")))
+    part = (rank - F.col("_below")) / (F.col("value") - F.col("_below"))
+    value = F.when(F.col("_le") == float("inf"), F.col("_lo")).when(
+        F.col("value") > F.col("_below"), low + (F.col("_le") - low) * part).otherwise(low)
+    first = (F.col("value") >= rank) & (F.col("_lo").isNull() | (F.col("_below") < rank))
+    return d.where((F.col("_total") > 0) & first).select("t", "labels", value.alias("value"))
+
+
+def keep_labels(labels: Column, by: Sequence[str]) -> Column:
+    names = list(by)
+    return F.map_filter(labels, lambda k, _: k.isin(names)) if names else F.create_map().cast("map<string,string>")
+
+
+def aggregate(vector: DataFrame, fn: str, by: Sequence[str] = ()) -> DataFrame:
+    """Sum, avg, max, min or count over the series that agree on the ``by`` labels."""
+    agg = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}[fn]
+    d = vector.withColumn("labels", keep_labels(F.col("labels"), by)).withColumn("_key", series_key(F.col("labels")))
+    return d.groupBy("t", "_key").agg(F.any_value("labels").alias("labels"), agg("value").cast("double").alias("value")).drop("_key")
+
+
+_OPS = {
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
+    "/": lambda a, b: F.when(b != 0, a / b).otherwise(F.when(a == 0, F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))),
+}
+_COMPARE = {
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b,
+    ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
+}
+
+
+def _keyed(v: DataFrame, on: Sequence[str] | None) -> DataFrame:
+    labels = F.col("labels") if on is None else keep_labels(F.col("labels"), on)
+    return v.withColumn("_key", series_key(labels))
+
+
+def vector_op(a: DataFrame, b: DataFrame, op: str, on: Sequence[str] | None = None) -> DataFrame:
+    """Arithmetic or comparison of series with equal labels (the metric name does not count); others drop."""
+    right = _keyed(b, on).select(F.col("t").alias("_t"), F.col("_key").alias("_k"), F.col("value").alias("_b"))
+    d = _keyed(a, on).join(right, (F.col("t") == F.col("_t")) & (F.col("_key") == F.col("_k")))
+    if op in _COMPARE:
+        return d.where(_COMPARE[op](F.col("value"), F.col("_b"))).select("t", "labels", "value")
+    return d.select("t", "labels", _OPS[op](F.col("value"), F.col("_b")).alias("value"))
+
+
+def scalar_op(v: DataFrame, op: str, k: float, reverse: bool = False) -> DataFrame:
+    """Arithmetic with a constant, on the right or (``reverse``) on the left."""
+    a, b = (F.lit(float(k)), F.col("value")) if reverse else (F.col("value"), F.lit(float(k)))
+    return v.withColumn("value", _OPS[op](a, b))
+
+
+def compare(v: DataFrame, op: str, k: float, as_bool: bool = False) -> DataFrame:
+    """The series for which the comparison holds, or 1 and 0 for all."""
+    ok = _COMPARE[op](F.col("value"), F.lit(float(k)))
+    return v.withColumn("value", F.when(ok, 1.0).otherwise(0.0)) if as_bool else v.where(ok)
+
+
+def vector_and(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``a`` that have a match in ``b``."""
+    right = _keyed(b, on).select(F.col("t").alias("_t"), F.col("_key").alias("_k"))
+    cond = (F.col("t") == F.col("_t")) & (F.col("_key") == F.col("_k"))
+    return _keyed(a, on).join(right, cond, "left_semi").drop("_key")
+
+
+def vector_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a``, and rows of ``b`` without a match in ``a``."""
+    left = _keyed(a, None).select(F.col("t").alias("_t"), F.col("_key").alias("_k"))
+    cond = (F.col("t") == F.col("_t")) & (F.col("_key") == F.col("_k"))
+    rest = _keyed(b, None).join(left, cond, "left_anti").drop("_key")
+    return a.unionByName(rest, allowMissingColumns=True)
+
+
+def or_default(v: DataFrame, grid: DataFrame, value: float = 0.0) -> DataFrame:
+    """M15 with a constant: the value at grid points where ``v`` has no series without labels."""
+    return vector_or(v, constant_series(grid, value))
+
+
+def offset(v: DataFrame, by: str) -> DataFrame:
+    """The vector as it was ``by`` earlier ("1 hour")."""
+    return v.withColumn("t", F.col("t") + F.expr(f"INTERVAL {by}"))
+
+
+def absent(v: DataFrame, grid: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """1 at the grid points where the vector has no series."""
+    seen = v.select(F.col("t").alias("_t")).distinct()
+    return grid.join(seen, F.col("t") == F.col("_t"), "left_anti").select("t", as_map(labels or {}).alias("labels"), F.lit(1.0).alias("value"))
+
+
+def days_until(v: DataFrame) -> DataFrame:
+    """Days from t to the epoch second that the series holds."""
+    return v.withColumn("value", (F.col("value") - F.unix_seconds("t")) / F.lit(86400.0))
+
+
+def constant_series(grid: DataFrame, value: float, labels: dict[str, str] | None = None) -> DataFrame:
+    """The same value at every grid point."""
+    return grid.select("t", as_map(labels or {}).alias("labels"), F.lit(float(value)).alias("value"))
+
+
+def encode_status(vector: DataFrame, by: Sequence[str] = ("cluster",)) -> DataFrame:
+    """0, 1 or 2 for the colour (green, yellow, red) whose series is 1; the worst counts."""
+    code = as_map({"green": 0.0, "yellow": 1.0, "red": 2.0})[F.col("labels")["color"]]
+    return aggregate(vector.withColumn("value", F.when(F.col("value") == 1, code).otherwise(0.0)), "max", by)
+
+
+def slo_report(health: DataFrame, target: float, seconds: int = 3600, step: int = 60) -> DataFrame:
+    """Mean of a 1/0 health series over the range, and the error budget used and left against the target."""
+    current = avg_over_time(health, seconds, step)
+    used = (F.lit(1.0) - F.col("value")) / F.lit(1.0 - target)
+    return current.select("t", "labels", F.col("value").alias("current"), F.lit(target).alias("target"),
+                          used.alias("budget_consumed"), (F.lit(1.0) - used).alias("budget_remaining"))
 
 
-def as_samples(df, static_labels=None):
-    extra = [c for c in df.columns if c not in FIXED]
-    pairs = [x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]
-    labels = F.map_concat(*([F.col("labels")] if "labels" in df.columns else []), F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else as_map({}), as_map(static_labels or {}))
-    return df.select("ts", "metric", labels.alias("labels"), "value")
+def within_target(v: DataFrame, limit: float) -> DataFrame:
+    """1 below the limit, else 0."""
+    return compare(v, "<", limit, as_bool=True)
