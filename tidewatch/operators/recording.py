@@ -145,9 +145,12 @@ def evaluate_level(source: DataFrame, rules: Sequence[Rule], step: int) -> DataF
         base = v if base is None else base.unionByName(v)
     labels = F.col("labels")
     table = F.broadcast(_rule_table(spark, rules))
-    fits = F.forall("match", lambda x: F.when(
-        x["like"], F.coalesce(labels[x["k"]], F.lit("")).rlike(F.concat(F.lit("^(?:"), x["v"], F.lit(")$")))
-    ).otherwise(F.coalesce(labels[x["k"]], F.lit("")) == x["v"]))
+
+    def fit(x: Column) -> Column:
+        have = F.coalesce(labels[x["k"]], F.lit(""))
+        return F.when(x["like"], F.rlike(have, F.concat(F.lit("^(?:"), x["v"], F.lit(")$")))).otherwise(have == x["v"])
+
+    fits = F.forall("match", fit)
     passes = F.lit(False)
     for op, test in m._COMPARE.items():
         passes = passes | ((F.col("cmp") == op) & test(F.col("value"), F.col("cmp_k")))
@@ -205,6 +208,17 @@ def _closure(rules: Sequence[Rule], names: Iterable[str]) -> list[Rule]:
     return [r for r in rules if r.name in seen]
 
 
+def stretch(rules: Sequence[Rule], factor: int) -> list[Rule]:
+    """The same rules on a slower clock: every range, offset and horizon times ``factor``."""
+    def slow(o: Operand) -> Operand:
+        return Operand(**{**o.__dict__, "seconds": o.seconds * factor, "back": o.back * factor, "horizon": o.horizon * factor})
+    return [Rule(r.name, r.op, tuple(slow(o) for o in r.operands), r.k) for r in rules]
+
+
+def stretch_alerts(alerts: Sequence[Alert], factor: int) -> list[Alert]:
+    return [Alert(**{**a.__dict__, "rule": stretch([a.rule], factor)[0], "hold": a.hold * factor}) for a in alerts]
+
+
 def _as_source(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("t").alias("ts"), F.col("name").alias("metric"), "labels", "value")
 
