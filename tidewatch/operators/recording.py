@@ -1,7 +1,7 @@
 """Recording rules and alert conditions evaluated together.
 
 A rule is data: up to three operands (a range function over a metric, matchers, an aggregation) and the arithmetic that
-joins them. A whole level of rules is one plan: each range function runs once over all the metrics that need it, a small
+joins them. A whole level of rules is one plan: each length of range is one pass over all the metrics that need it, a small
 rule table (its size is that of the rule list) picks the series of each operand, and one grouping brings the operands of
 a rule together by time and labels. Two hundred rules therefore cost a handful of shuffles, not two hundred scans.
 Rules that read other rules come in the next level.
@@ -9,6 +9,7 @@ Rules that read other rules come in the next level.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -87,21 +88,15 @@ OPERATIONS = {
     "a<k": lambda a, b, c, k, t: F.when(a.isNotNull(), _flag(a < k)),
     "worst": lambda a, b, c, k, t: F.greatest(_nil(a) * 0, _nil(b) * 1, _nil(c) * 2),
     "a is k and b is 1 and c is 0": lambda a, b, c, k, t: _flag((_nil(a) == k) & (_nil(b) == 1) & (_nil(c) == 0)),
+    "a/b<k": lambda a, b, c, k, t: F.when(a.isNotNull() & b.isNotNull(), _flag(_div(a, b) < k)),
+    "1-(1-a)/(1-k)": lambda a, b, c, k, t: F.lit(1.0) - (F.lit(1.0) - a) / (F.lit(1.0) - k),
     "a and b": lambda a, b, c, k, t: F.when(b.isNotNull(), a),
     "a<b*k": lambda a, b, c, k, t: F.when(a < b * k, a),
     "quantile": lambda a, b, c, k, t: a,
 }
-WITH_DEFAULT = ("a<k",)
-
-
-def _range_function(name: str, samples: DataFrame, seconds: int, horizon: int, step: int) -> DataFrame:
-    if name == "instant":
-        return m.select_series(samples, step=step, lookback=seconds)
-    if name == "predict":
-        return m.predict_linear(samples, seconds, horizon, step)
-    return {
-        "rate": m.rate, "irate": m.irate, "increase": m.increase, "delta": m.delta, "changes": m.changes, "avg": m.avg_over_time,
-    }[name](samples, seconds, step)
+# Codes of the aggregations in the rule table; a number keeps the grouping in hash form.
+AGGREGATES = {"sum": 1, "avg": 2, "max": 3, "count": 4}
+WITH_DEFAULT = ("a<k", "a/b<k")
 
 
 def _choose(selector: Column, choices: dict[str, Column]) -> Column:
@@ -116,35 +111,40 @@ def _rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     for r in rules:
         for slot, o in enumerate(r.operands):
             rows.append((
-                _fn_key(o), o.metric, r.name, r.op, float(r.k), slot,
+                ":".join(map(str, _fn(o))), o.seconds, o.metric, r.name, r.op, float(r.k), slot,
                 [(k, v, False) for k, v in o.match] + [(k, v, True) for k, v in o.like],
-                o.where[0] if o.where else None, float(o.where[1]) if o.where else None, o.agg, list(o.by), o.back,
+                o.where[0] if o.where else None, float(o.where[1]) if o.where else None, AGGREGATES.get(o.agg), list(o.by), o.back,
             ))
     return spark.createDataFrame(
         rows,
-        "fn string, metric string, name string, op string, k double, slot int, match array<struct<k string, v string, like boolean>>, "
-        "cmp string, cmp_k double, agg string, by array<string>, back int",
+        "fn string, seconds int, metric string, name string, op string, k double, slot int, match array<struct<k string, v string, like boolean>>, "
+        "cmp string, cmp_k double, agg int, by array<string>, back int",
     )
 
 
-def _fn_key(o: Operand) -> str:
-    return f"{o.fn}:{o.seconds}:{o.horizon}"
+def _fn(o: Operand) -> tuple[str, int]:
+    return o.fn, o.seconds if o.fn == "instant" else o.horizon
 
 
 def evaluate_level(source: DataFrame, rules: Sequence[Rule], step: int) -> DataFrame:
     """The vectors of rules that read only ``source``: (t, name, labels, value)."""
     spark = source.sparkSession
-    wanted: dict[tuple[str, int, int], set[str]] = {}
+    by_range: dict[int, tuple[set, set]] = {}
     for r in rules:
         for o in r.operands:
-            wanted.setdefault((o.fn, o.seconds, o.horizon), set()).add(o.metric)
-    base = None
-    for (fn, seconds, horizon), metrics in sorted(wanted.items()):
-        v = _range_function(fn, source.where(F.col("metric").isin(*sorted(metrics))), seconds, horizon, step)
-        v = v.withColumn("fn", F.lit(f"{fn}:{seconds}:{horizon}"))
-        base = v if base is None else base.unionByName(v)
+            fns, metrics = by_range.setdefault(o.seconds, (set(), set()))
+            fns.add(_fn(o))
+            metrics.add(o.metric)
     labels = F.col("labels")
-    table = F.broadcast(_rule_table(spark, rules))
+    table = _rule_table(spark, rules)
+    d = None
+    for seconds, (fns, metrics) in sorted(by_range.items()):
+        wanted = sorted(fns)
+        v = m.range_values(source.where(F.col("metric").isin(*sorted(metrics))), math.ceil(seconds / step) * step, step, wanted)
+        v = v.join(F.broadcast(table.where(F.col("seconds") == seconds)), "metric")
+        value = _choose(F.col("fn"), {":".join(map(str, w)): F.col(f"v{i}") for i, w in enumerate(wanted)})
+        v = v.withColumn("value", value).drop(*[f"v{i}" for i in range(len(wanted))], "seconds", "fn").where("value IS NOT NULL")
+        d = v if d is None else d.unionByName(v)
 
     def fit(x: Column) -> Column:
         have = F.coalesce(labels[x["k"]], F.lit(""))
@@ -154,21 +154,20 @@ def evaluate_level(source: DataFrame, rules: Sequence[Rule], step: int) -> DataF
     passes = F.lit(False)
     for op, test in m._COMPARE.items():
         passes = passes | ((F.col("cmp") == op) & test(F.col("value"), F.col("cmp_k")))
-    d = base.join(table, ["fn", "metric"]).where(fits & (F.col("cmp").isNull() | passes))
+    d = d.where(fits & (F.col("cmp").isNull() | passes))
     kept = F.when(F.col("agg").isNull(), labels).otherwise(F.map_filter(labels, lambda k, _: F.array_contains(F.col("by"), k)))
-    d = d.withColumns({"t": F.timestamp_seconds(F.unix_seconds("t") + F.col("back")), "labels": kept}).withColumn(
-        "key", m.series_key(F.col("labels")))
+    d = d.withColumns({"t": F.timestamp_seconds(F.unix_seconds("t") + F.col("back")), "key": m.series_key(kept)})
     aggs = []
     for i in range(3):
         mine = F.when(F.col("slot") == i, F.col("value"))
         aggs += [F.sum(mine).alias(f"s{i}"), F.max(mine).alias(f"m{i}"), F.count(mine).alias(f"n{i}"),
                  F.max(F.when(F.col("slot") == i, F.col("agg"))).alias(f"g{i}")]
-    d = d.groupBy("name", "op", "k", "t", "key").agg(F.any_value("labels").alias("labels"), *aggs)
+    d = d.groupBy("name", "op", "k", "t", "key").agg(*aggs).withColumn("labels", m.labels_of(F.col("key")))
     operands = []
     for i in range(3):
-        n = F.col(f"n{i}")
-        by_agg = {"sum": F.col(f"s{i}"), "avg": F.col(f"s{i}") / n, "max": F.col(f"m{i}"), "count": n.cast("double")}
-        operands.append(F.when(n > 0, F.coalesce(_choose(F.col(f"g{i}"), by_agg), F.col(f"m{i}"))))
+        n, g = F.col(f"n{i}"), F.col(f"g{i}")
+        value = F.when(g == AGGREGATES["sum"], F.col(f"s{i}")).when(g == AGGREGATES["avg"], F.col(f"s{i}") / n)
+        operands.append(F.when(n > 0, value.when(g == AGGREGATES["count"], n.cast("double")).otherwise(F.col(f"m{i}"))))
     used = sorted({r.op for r in rules})
     value = _choose(F.col("op"), {op: OPERATIONS[op](*operands, F.col("k"), F.col("t")) for op in used})
     d = d.select("t", "name", "op", "k", "labels", value.alias("value")).where(F.col("value").isNotNull())
@@ -182,6 +181,23 @@ def evaluate_level(source: DataFrame, rules: Sequence[Rule], step: int) -> DataF
     return plain
 
 
+def inline(rules: Sequence[Rule], known: Sequence[Rule]) -> list[Rule]:
+    """Rules that only copy a known rule take over its operands, so that they need no level of their own."""
+    by_name = {r.name: r for r in known}
+
+    def direct(r: Rule) -> Rule:
+        while r.op == "a" and len(r.operands) == 1:
+            o = r.operands[0]
+            plain = o.fn == "instant" and not (o.match or o.like or o.where or o.agg or o.back)
+            source = by_name.get(o.metric)
+            if not plain or source is None or source.op == "const":
+                break
+            r = Rule(r.name, source.op, source.operands, source.k)
+        return r
+
+    return [direct(r) for r in rules]
+
+
 def _levels(rules: Sequence[Rule]) -> dict[str, int]:
     by_name = {r.name: r for r in rules}
     level: dict[str, int] = {}
@@ -256,6 +272,7 @@ def record_rules(samples: DataFrame, rules: Sequence[Rule], step: int = 30, grid
     Constants and the zero of ``or vector(0)`` need the grid. A later level recomputes only the few earlier rules it
     reads; ``store_rules`` writes each level instead, for jobs where those are costly.
     """
+    rules = inline(rules, rules)
     level = _levels(rules)
     names = set(level)
     rules = _at_step(rules, names, step)
@@ -275,6 +292,7 @@ def record_rules(samples: DataFrame, rules: Sequence[Rule], step: int = 30, grid
 def store_rules(samples: DataFrame, rules: Sequence[Rule], path: str, step: int = 30, grid: DataFrame | None = None) -> DataFrame:
     """M21 with every level appended to a table by date and read back by the next, so that no level is computed twice."""
     spark = samples.sparkSession
+    rules = inline(rules, rules)
     level = _levels(rules)
     rules = _at_step(rules, set(level), step)
     for n in range(max(level.values()) + 1):
@@ -297,13 +315,16 @@ def evaluate_rules(
     """
     spark = samples.sparkSession
     names = {r.name for r in rules}
-    conditions = _at_step([Rule(a.name, a.rule.op, a.rule.operands, a.rule.k) for a in alerts if a.rule.op != "absent"], names, step)
+    conditions = inline([Rule(a.name, a.rule.op, a.rule.operands, a.rule.k) for a in alerts if a.rule.op != "absent"], rules)
+    conditions = _at_step(conditions, names, step)
     needed = {o.metric for r in conditions for o in r.operands if o.metric in names}
-    source = samples
-    if needed:
+    late = [r for r in conditions if any(o.metric in names for o in r.operands)]
+    v = evaluate_level(samples, [r for r in conditions if r not in late], step)
+    if late:
         recorded = record_rules(samples, _closure(rules, needed), step, grid)
         source = samples.unionByName(_as_source(recorded.where(F.col("name").isin(*needed))))
-    v = evaluate_level(source, conditions, step).withColumnRenamed("name", "alertname")
+        v = v.unionByName(evaluate_level(source, late, step))
+    v = v.withColumnRenamed("name", "alertname")
     limits = [(a.name, a.compare[0], float(a.compare[1])) for a in alerts if a.compare and a.rule.op != "absent"]
     table = F.broadcast(spark.createDataFrame(limits, "alertname string, cmp string, limit double"))
     passes = F.lit(False)

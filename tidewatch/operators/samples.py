@@ -39,6 +39,11 @@ def series_key(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
+def labels_of(key: Column) -> Column:
+    """The labels of a key. Aggregations carry the key only: a map would force them to sort."""
+    return F.from_json(key, "map<string,string>")
+
+
 def time_grid(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
     """The grid points from ``start`` to ``end`` (epoch seconds), rounded up to the step."""
     first = math.ceil(start / step) * step
@@ -65,7 +70,6 @@ def step_rows(samples: DataFrame, step: int) -> DataFrame:
     x = (F.col("us") - F.col("g") * MICROS) / F.lit(float(MICROS))
     grown = F.when(before.isNull(), 0.0).when(v >= before, v - before).otherwise(v)
     rows = s.groupBy("metric", "series", "g").agg(
-        F.any_value("labels").alias("labels"),
         F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"),
         F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.min_by("value", "us").alias("first_v"), F.max_by("value", "us").alias("last_v"),
@@ -74,19 +78,26 @@ def step_rows(samples: DataFrame, step: int) -> DataFrame:
         F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * v).alias("sxy"),
     )
     along = Window.partitionBy("metric", "series").orderBy("g")
-    last_v, last_us = F.lag("last_v").over(along), F.lag("last_us").over(along)
-    rows = rows.withColumns({"_lv": last_v, "_lu": last_us, "next_g": F.lead("g").over(along)})
+    rows = rows.withColumns({
+        "_lv": F.lag("last_v").over(along), "_lu": F.lag("last_us").over(along), "next_g": F.lead("g").over(along)})
     first = F.col("first_v")
-    return rows.withColumns({
+    rows = rows.withColumns({
         "cross": F.when(F.col("_lv").isNull(), 0.0).when(first >= F.col("_lv"), first - F.col("_lv")).otherwise(first),
         "cross_chg": F.when(F.col("_lv") != first, 1).otherwise(0),
         "second_us": F.coalesce("second_us", "_lu"),
         "second_v": F.coalesce("second_v", "_lv"),
     }).drop("_lv", "_lu")
+    start = F.struct("first_us", "first_v", "cross", "cross_chg")
+    return rows.withColumns({"start": start, "next_start": F.lead(start).over(along)})
 
 
 class RangeFrame:
-    """Step rows spread over the grid points at which a range can see them, with the window that covers the range."""
+    """Step rows spread over the grid points at which a range can see them.
+
+    Every value of a range comes from two growing windows, up to t and up to t - range: a sum is the difference of
+    both, the first sample of the range is the one after the last that fell out. So a grid point costs the same
+    whether the range holds ten steps or a thousand.
+    """
 
     def __init__(self, samples: DataFrame, seconds: int, step: int):
         if seconds % step:
@@ -101,27 +112,122 @@ class RangeFrame:
         own = F.floor(F.col("at") / self.block)
         reach = F.when(F.col("real"), F.floor((F.col("at") + tail) / self.block)).otherwise(own)
         self.rows = rows.withColumn("b", F.explode(F.sequence(own, reach)))
-        self.frame = Window.partitionBy("metric", "series", "b").orderBy("at").rangeBetween(-tail, 0)
+        along = Window.partitionBy("metric", "series", "b").orderBy("at")
+        self.upto = along.rangeBetween(Window.unboundedPreceding, 0)
+        self.gone = along.rangeBetween(Window.unboundedPreceding, -seconds)
         self.age = (F.col("at") - F.col("b") * self.block).cast("double")
 
     def total(self, c: str) -> Column:
-        return F.sum(F.when(F.col("real"), F.col(c))).over(self.frame)
+        x = F.when(F.col("real"), F.col(c))
+        return F.coalesce(F.sum(x).over(self.upto), F.lit(0)) - F.coalesce(F.sum(x).over(self.gone), F.lit(0))
 
-    def least(self, c: str) -> Column:
-        return F.min(F.when(F.col("real"), F.col(c))).over(self.frame)
+    def start(self) -> Column:
+        """The first step of the range: (first_us, first_v, cross, cross_chg)."""
+        after = F.last(F.when(F.col("real"), F.col("next_start")), ignorenulls=True).over(self.gone)
+        return F.coalesce(after, F.first(F.when(F.col("real"), F.col("start")), ignorenulls=True).over(self.upto))
 
-    def most(self, c: str) -> Column:
-        return F.max(F.when(F.col("real"), F.col(c))).over(self.frame)
+    def last(self, c: str) -> Column:
+        return F.last(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.upto)
 
-    def first(self, c: str) -> Column:
-        return F.first(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.frame)
+    def with_line(self) -> None:
+        """Sums for least squares; x counts seconds from the start of the block."""
+        off = (F.col("g") - F.col("b") * self.block).cast("double")
+        self.rows = self.rows.withColumns({
+            "_x": F.col("sx") + F.col("n") * off,
+            "_xx": F.col("sxx") + 2 * off * F.col("sx") + F.col("n") * off * off,
+            "_xy": F.col("sxy") + off * F.col("sy"),
+        })
 
-    def last(self, c: str) -> Column:
-        return F.last(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.frame)
 
-    def finish(self, cols: dict[str, Column], value: Column, keep: Column) -> DataFrame:
-        d = self.rows.withColumns(cols).where(F.col("b") == F.floor(F.col("at") / self.block))
-        return d.where(keep).select(F.timestamp_seconds("at").alias("t"), "metric", "labels", value.alias("value"))
+# What each range function needs from the frame, and its value; null where the range holds too few samples.
+
+
+def _growth(r: RangeFrame) -> dict[str, Column]:
+    return {
+        "_n": r.total("n"), "_start": r.start(), "_grown": r.total("inc") + r.total("cross"), "_u": r.last("last_us"),
+    }
+
+
+def _inc() -> Column:
+    return F.col("_grown") - F.col("_start.cross")
+
+
+def _fn_instant(r: RangeFrame, lookback: int):
+    young = F.col("at") * MICROS - F.col("_u") < lookback * MICROS
+    return {"_v": r.last("last_v"), "_u": r.last("last_us")}, F.when(young, F.col("_v"))
+
+
+def _fn_rate(r: RangeFrame, _):
+    seconds = (F.col("_u") - F.col("_start.first_us")) / F.lit(float(MICROS))
+    return _growth(r), F.when((F.col("_n") >= 2) & (seconds > 0), _inc() / seconds)
+
+
+def _fn_increase(r: RangeFrame, _):
+    return _growth(r), F.when(F.col("_n") >= 2, _inc())
+
+
+def _fn_irate(r: RangeFrame, _):
+    cols = {n: r.last(c) for n, c in (("_u", "last_us"), ("_v", "last_v"), ("_u0", "second_us"), ("_v0", "second_v"))}
+    inside = (F.col("_u0") > (F.col("at") - r.seconds) * MICROS) & (F.col("_u") > F.col("_u0"))
+    grown = F.when(F.col("_v") >= F.col("_v0"), F.col("_v") - F.col("_v0")).otherwise(F.col("_v"))
+    return cols, F.when(inside, grown / ((F.col("_u") - F.col("_u0")) / F.lit(float(MICROS))))
+
+
+def _fn_delta(r: RangeFrame, _):
+    cols = {"_n": r.total("n"), "_start": r.start(), "_v": r.last("last_v")}
+    return cols, F.when(F.col("_n") >= 2, F.col("_v") - F.col("_start.first_v"))
+
+
+def _fn_changes(r: RangeFrame, _):
+    cols = {"_n": r.total("n"), "_start": r.start(), "_chg": r.total("chg") + r.total("cross_chg")}
+    return cols, F.when(F.col("_n") > 0, (F.col("_chg") - F.col("_start.cross_chg")).cast("double"))
+
+
+def _fn_avg(r: RangeFrame, _):
+    return {"_n": r.total("n"), "_sy": r.total("sy")}, F.when(F.col("_n") > 0, F.col("_sy") / F.col("_n"))
+
+
+def _line(r: RangeFrame) -> tuple[dict[str, Column], Column]:
+    cols = {"_n": r.total("n"), "_sx": r.total("_x"), "_sy": r.total("sy"), "_sxx": r.total("_xx"), "_sxy": r.total("_xy")}
+    spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    return cols, F.when((F.col("_n") >= 2) & (spread > 0), (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
+
+
+def _fn_deriv(r: RangeFrame, _):
+    return _line(r)
+
+
+def _fn_predict(r: RangeFrame, horizon: int):
+    cols, slope = _line(r)
+    return cols, F.col("_sy") / F.col("_n") + slope * (r.age + horizon - F.col("_sx") / F.col("_n"))
+
+
+RANGE_FUNCTIONS = {
+    "instant": _fn_instant, "rate": _fn_rate, "irate": _fn_irate, "increase": _fn_increase, "delta": _fn_delta,
+    "changes": _fn_changes, "avg": _fn_avg, "predict": _fn_predict, "deriv": _fn_deriv,
+}
+
+
+def range_values(samples: DataFrame, seconds: int, step: int, wanted: Sequence[tuple[str, int]]) -> DataFrame:
+    """Several functions of the same range in one pass: (t, metric, labels, v0, v1, ...) in the order of ``wanted``.
+
+    ``wanted`` has (function, argument) pairs; the argument is the lookback of instant and the horizon of predict.
+    """
+    r = RangeFrame(samples, seconds, step)
+    if any(fn in ("predict", "deriv") for fn, _ in wanted):
+        r.with_line()
+    cols: dict[str, Column] = {}
+    values = []
+    for i, (fn, arg) in enumerate(wanted):
+        needs, value = RANGE_FUNCTIONS[fn](r, arg)
+        cols |= needs
+        values.append(value.alias(f"v{i}"))
+    d = r.rows.withColumns(cols).where(F.col("b") == F.floor(F.col("at") / r.block))
+    return d.select(F.timestamp_seconds("at").alias("t"), "metric", labels_of(F.col("series")).alias("labels"), *values)
+
+
+def _one(samples: DataFrame, seconds: int, step: int, fn: str, arg: int = 0) -> DataFrame:
+    return range_values(samples, seconds, step, [(fn, arg)]).withColumnRenamed("v0", "value").where("value IS NOT NULL")
 
 
 def select_series(
@@ -131,84 +237,47 @@ def select_series(
     """M1: instant vector: per series the newest sample that is younger than the lookback."""
     s = samples if metric is None else samples.where(F.col("metric") == metric)
     s = s.where(match_labels(F.col("labels"), equal, pattern))
-    r = RangeFrame(s, math.ceil(lookback / step) * step, step)
-    young = F.col("at") * MICROS - F.col("_u") < lookback * MICROS
-    return r.finish({"_v": r.last("last_v"), "_u": r.last("last_us")}, F.col("_v"), young)
-
-
-def _growth(r: RangeFrame) -> dict[str, Column]:
-    return {
-        "_n": r.total("n"), "_inc": r.total("inc") + r.total("cross") - r.first("cross"),
-        "_sec": (r.most("last_us") - r.least("first_us")) / F.lit(float(MICROS)),
-    }
+    return _one(s, math.ceil(lookback / step) * step, step, "instant", lookback)
 
 
 def rate(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """M2: growth per second of a counter over the range, resets corrected; needs two samples."""
-    r = RangeFrame(samples, seconds, step)
-    return r.finish(_growth(r), F.col("_inc") / F.col("_sec"), (F.col("_n") >= 2) & (F.col("_sec") > 0))
+    return _one(samples, seconds, step, "rate")
 
 
 def irate(samples: DataFrame, seconds: int = 60, step: int = 30) -> DataFrame:
     """M3: growth per second between the last two samples of the range."""
-    r = RangeFrame(samples, seconds, step)
-    cols = {n: r.last(c) for n, c in (("_u", "last_us"), ("_v", "last_v"), ("_u0", "second_us"), ("_v0", "second_v"))}
-    inside = F.col("_u0") > (F.col("at") - seconds) * MICROS
-    grown = F.when(F.col("_v") >= F.col("_v0"), F.col("_v") - F.col("_v0")).otherwise(F.col("_v"))
-    return r.finish(cols, grown / ((F.col("_u") - F.col("_u0")) / F.lit(float(MICROS))), inside & (F.col("_u") > F.col("_u0")))
+    return _one(samples, seconds, step, "irate")
 
 
 def increase(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """M4: reset-corrected growth of a counter over the range."""
-    r = RangeFrame(samples, seconds, step)
-    return r.finish(_growth(r), F.col("_inc"), F.col("_n") >= 2)
+    return _one(samples, seconds, step, "increase")
 
 
 def delta(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """M5: last minus first sample of a gauge in the range."""
-    r = RangeFrame(samples, seconds, step)
-    return r.finish({"_n": r.total("n"), "_a": r.first("first_v"), "_z": r.last("last_v")}, F.col("_z") - F.col("_a"), F.col("_n") >= 2)
+    return _one(samples, seconds, step, "delta")
 
 
 def changes(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """M6: how often the value changed in the range."""
-    r = RangeFrame(samples, seconds, step)
-    n = (r.total("chg") + r.total("cross_chg") - r.first("cross_chg")).cast("double")
-    return r.finish({"_c": n}, F.col("_c"), F.col("_c").isNotNull())
+    return _one(samples, seconds, step, "changes")
 
 
 def avg_over_time(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """M7: mean of the samples in the range."""
-    r = RangeFrame(samples, seconds, step)
-    return r.finish({"_n": r.total("n"), "_y": r.total("sy")}, F.col("_y") / F.col("_n"), F.col("_n") > 0)
-
-
-def _line(samples: DataFrame, seconds: int, step: int) -> tuple[RangeFrame, dict[str, Column], Column]:
-    """Least squares over the range; x counts seconds from the start of the block."""
-    r = RangeFrame(samples, seconds, step)
-    off = (F.col("g") - F.col("b") * r.block).cast("double")
-    r.rows = r.rows.withColumns({
-        "_x": F.col("sx") + F.col("n") * off,
-        "_xx": F.col("sxx") + 2 * off * F.col("sx") + F.col("n") * off * off,
-        "_xy": F.col("sxy") + off * F.col("sy"),
-    })
-    cols = {"_n": r.total("n"), "_sx": r.total("_x"), "_sy": r.total("sy"), "_sxx": r.total("_xx"), "_sxy": r.total("_xy")}
-    spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    slope = F.when(spread > 0, (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
-    return r, cols, slope
+    return _one(samples, seconds, step, "avg")
 
 
 def predict_linear(samples: DataFrame, seconds: int, horizon: int, step: int = 30) -> DataFrame:
     """M8: value of the least squares line of the range at t + horizon."""
-    r, cols, slope = _line(samples, seconds, step)
-    at = r.age + horizon - F.col("_sx") / F.col("_n")
-    return r.finish(cols, F.col("_sy") / F.col("_n") + slope * at, (F.col("_n") >= 2) & slope.isNotNull())
+    return _one(samples, seconds, step, "predict", horizon)
 
 
 def deriv(samples: DataFrame, seconds: int = 300, step: int = 30) -> DataFrame:
     """Slope per second of the least squares line of the range."""
-    r, cols, slope = _line(samples, seconds, step)
-    return r.finish(cols, slope, (F.col("_n") >= 2) & slope.isNotNull())
+    return _one(samples, seconds, step, "deriv")
 
 
 def histogram_quantile(q: float, buckets: DataFrame) -> DataFrame:
@@ -243,8 +312,9 @@ def keep_labels(labels: Column, by: Sequence[str]) -> Column:
 def aggregate(vector: DataFrame, fn: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum, avg, max, min or count over the series that agree on the ``by`` labels."""
     agg = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}[fn]
-    d = vector.withColumn("labels", keep_labels(F.col("labels"), by)).withColumn("_key", series_key(F.col("labels")))
-    return d.groupBy("t", "_key").agg(F.any_value("labels").alias("labels"), agg("value").cast("double").alias("value")).drop("_key")
+    d = vector.withColumn("_key", series_key(keep_labels(F.col("labels"), by)))
+    d = d.groupBy("t", "_key").agg(agg("value").cast("double").alias("value"))
+    return d.select("t", labels_of(F.col("_key")).alias("labels"), "value")
 
 
 _OPS = {

@@ -240,32 +240,36 @@ PIPELINE_RULES = (
 
 def _availability(system, health, target=0.999):
     p = f"slo:{system}:availability:"
+    over_hour = (Operand(health, "avg", H1),)
     return [
         Rule(p + "target", "const", (), target),
-        _copy(p + "current", Operand(health, "avg", H1)),
-        Rule(p + "budget_consumed", "(1-a)/(1-k)", (_select(p + "current"),), target),
-        Rule(p + "budget_remaining", "1-a", (_select(p + "budget_consumed"),)),
+        Rule(p + "current", "a", over_hour),
+        Rule(p + "budget_consumed", "(1-a)/(1-k)", over_hour, target),
+        Rule(p + "budget_remaining", "1-(1-a)/(1-k)", over_hour, target),
     ]
 
 
-def _limit(prefix, target_name, target, current_name, operand, source=None, op="a", k=0.0):
+def _limit(prefix, target_name, target, current_name, *operands, op="a"):
     """Target, current value and whether it is below the target."""
-    current = Rule(prefix + current_name, op, (operand,), k)
-    return [Rule(prefix + target_name, "const", (), target), current,
-            Rule(prefix + "within_target", "a<k", (_select(source or current.name),), target)]
+    return [Rule(prefix + target_name, "const", (), target), Rule(prefix + current_name, op, operands),
+            Rule(prefix + "within_target", op + "<k", operands, target)]
 
 
 # Service levels and their targets.
 SLO_RULES = (
     _availability("elasticsearch", ES + "cluster:is_healthy")
-    + _limit("slo:elasticsearch:latency:", "target_seconds", 0.5, "current_p95",
-             _rate("elasticsearch_http_request_duration_seconds_bucket", agg="sum", by=("le",)), op="quantile", k=0.95)
+    + [
+        Rule("slo:elasticsearch:latency:target_seconds", "const", (), 0.5),
+        Rule("slo:elasticsearch:latency:current_p95", "quantile", (
+            _rate("elasticsearch_http_request_duration_seconds_bucket", agg="sum", by=("le",)),), 0.95),
+        Rule("slo:elasticsearch:latency:within_target", "a<k", (_select("slo:elasticsearch:latency:current_p95"),), 0.5),
+    ]
     + _availability("kafka", K + "cluster:is_healthy")
-    + _limit("slo:kafka:produce_latency:", "target_ms", 100, "current_p99", _select(K + "request:produce_total_time_p99"), K + "request:produce_total_time_p99")
+    + _limit("slo:kafka:produce_latency:", "target_ms", 100, "current_p99", _latency("Produce"))
     + _limit("slo:kafka:consumer_lag:", "target", 1000, "max", _agg(K + "consumer:lag_by_group_topic", "max"))
     + _availability("logstash", L + "availability:up")
     + [_copy("slo:logstash:throughput:events_per_second", _select(L + "pipeline:throughput_eps:5m_avg"))]
-    + _limit("slo:logstash:latency:", "target_ms", 500, "output_current", _select(L + "latency:output_avg_ms"), L + "latency:output_avg_ms")
+    + _limit("slo:logstash:latency:", "target_ms", 500, "output_current", *_per_event("outputs"), op="a/b")
 )
 
 RECORDING_RULES = tuple(STORE_RULES + PROBE_RULES + BROKER_RULES + PIPELINE_RULES + SLO_RULES)
