@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,21 @@ def as_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from Python values, held in the plan as one literal: no Python worker reads it."""
+    kind = T.StructType.fromDDL(schema)
+
+    def plain(value, dtype):
+        if isinstance(dtype, T.ArrayType):
+            return [plain(v, dtype.elementType) for v in value]
+        if isinstance(dtype, T.StructType):
+            return {f.name: plain(v, f.dataType) for f, v in zip(dtype.fields, value)}
+        return value
+
+    text = json.dumps([plain(r, kind) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(kind))))
+
+
 def nested(df: DataFrame, path: str) -> Column:
     """Column at a dotted path, resolved on the schema; null when a part does not exist."""
     missing = F.lit(None).cast("string")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import as_map
+from tidewatch.functions.columns import as_map, literal_table
 from tidewatch.functions.slices import neighbour, running_totals
 from tidewatch.operators.recording import Alert
 from tidewatch.operators.samples import series_key
@@ -65,8 +65,7 @@ def rules_frame(spark: SparkSession, alerts: Sequence[Alert]) -> DataFrame:
 
     rows = [(a.name, a.hold, a.severity, a.service, a.category, tokens(a.summary), tokens(a.description)) for a in alerts]
     token = "array<struct<kind string, text string>>"
-    return spark.createDataFrame(
-        rows, f"alertname string, hold int, severity string, service string, category string, summary_tokens {token}, description_tokens {token}")
+    return literal_table(spark, rows, f"alertname string, hold int, severity string, service string, category string, summary_tokens {token}, description_tokens {token}")
 
 
 def _four_digits(x: Column) -> Column:

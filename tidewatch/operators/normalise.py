@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.columns import as_map, nested
+from tidewatch.functions.columns import as_map, literal_table, nested
 
 # Spellings of log levels; any other text counts as info.
 LEVELS = {
@@ -203,8 +203,7 @@ def map_bean_names(df: DataFrame, rules: Sequence[tuple], allowed: Sequence[str]
     result is joined back: beans are few next to samples, and the join picks its strategy from measured sizes.
     """
     number = F.coalesce(*[F.when(F.col(bean).rlike(rule[0]), F.lit(i)) for i, rule in enumerate(rules)])
-    table = df.sparkSession.createDataFrame(
-        [(i, p, name, kind, [k.lower() for k in labels], list(labels.values()), re.compile(p).groups)
+    table = literal_table(df.sparkSession, [(i, p, name, kind, [k.lower() for k in labels], list(labels.values()), re.compile(p).groups)
          for i, (p, name, kind, labels) in enumerate(rules)],
         "_i int, pattern string, name string, kind string, keys array<string>, vals array<string>, groups int",
     )

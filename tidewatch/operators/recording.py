@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import literal_table
 from tidewatch.operators import samples as m
 
 
@@ -115,8 +116,7 @@ def _rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
                 [(k, v, False) for k, v in o.match] + [(k, v, True) for k, v in o.like],
                 o.where[0] if o.where else None, float(o.where[1]) if o.where else None, AGGREGATES.get(o.agg), list(o.by), o.back,
             ))
-    return spark.createDataFrame(
-        rows,
+    return literal_table(spark, rows,
         "fn string, seconds int, metric string, name string, op string, k double, slot int, match array<struct<k string, v string, like boolean>>, "
         "cmp string, cmp_k double, agg int, by array<string>, back int",
     )
@@ -269,8 +269,8 @@ def _one_level(source: DataFrame, rules: Sequence[Rule], step: int, grid: DataFr
 def record_rules(samples: DataFrame, rules: Sequence[Rule], step: int = 30, grid: DataFrame | None = None) -> DataFrame:
     """The series of all rules on the step grid: (t, name, labels, value). Names that start with _ are helpers.
 
-    Constants and the zero of ``or vector(0)`` need the grid. A later level recomputes only the few earlier rules it
-    reads; ``store_rules`` writes each level instead, for jobs where those are costly.
+    Constants and the zero of ``or vector(0)`` need the grid. This is one lazy plan, in which a later level computes the
+    earlier rules it reads again; for a whole catalogue use ``store_rules``, which writes each level.
     """
     rules = inline(rules, rules)
     level = _levels(rules)
@@ -306,12 +306,20 @@ def store_rules(samples: DataFrame, rules: Sequence[Rule], path: str, step: int
     return spark.read.parquet(path).select("t", "name", "labels", "value")
 
 
+def needed_rules(alerts: Sequence[Alert], rules: Sequence[Rule]) -> list[Rule]:
+    """The recording rules whose stored series the conditions read."""
+    conditions = inline([Rule(a.name, a.rule.op, a.rule.operands, a.rule.k) for a in alerts], rules)
+    return _closure(rules, {o.metric for r in conditions for o in r.operands})
+
+
 def evaluate_rules(
-    samples: DataFrame, alerts: Sequence[Alert], rules: Sequence[Rule] = (), step: int = 30, grid: DataFrame | None = None
+    samples: DataFrame, alerts: Sequence[Alert], rules: Sequence[Rule] = (), step: int = 30, grid: DataFrame | None = None,
+    recorded: DataFrame | None = None,
 ) -> DataFrame:
     """A1: the series that break a condition at each grid point: (t, alertname, labels, value).
 
-    Conditions may read recorded series; only the rules they need are evaluated.
+    Conditions may read recorded series: from the table ``recorded`` where it is given, else the rules they need (and
+    only those) are evaluated in the same plan.
     """
     spark = samples.sparkSession
     names = {r.name for r in rules}
@@ -321,12 +329,13 @@ def evaluate_rules(
     late = [r for r in conditions if any(o.metric in names for o in r.operands)]
     v = evaluate_level(samples, [r for r in conditions if r not in late], step)
     if late:
-        recorded = record_rules(samples, _closure(rules, needed), step, grid)
+        if recorded is None:
+            recorded = record_rules(samples, _closure(rules, needed), step, grid)
         source = samples.unionByName(_as_source(recorded.where(F.col("name").isin(*needed))))
         v = v.unionByName(evaluate_level(source, late, step))
     v = v.withColumnRenamed("name", "alertname")
     limits = [(a.name, a.compare[0], float(a.compare[1])) for a in alerts if a.compare and a.rule.op != "absent"]
-    table = F.broadcast(spark.createDataFrame(limits, "alertname string, cmp string, limit double"))
+    table = F.broadcast(literal_table(spark, limits, "alertname string, cmp string, limit double"))
     passes = F.lit(False)
     for op, test in m._COMPARE.items():
         passes = passes | ((F.col("cmp") == op) & test(F.col("value"), F.col("limit")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import literal_table
 from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.slices import null_safe_join
 
@@ -89,7 +90,7 @@ def windowed_requests(requests: DataFrame, window: str = "1 minute", watermark:
 
 
 def thresholds_frame(spark: SparkSession, thresholds=THRESHOLDS) -> DataFrame:
-    return spark.createDataFrame(list(thresholds), "metric string, warning double, critical double")
+    return literal_table(spark, list(thresholds), "metric string, warning double, critical double")
 
 
 def latency_violations(levels: DataFrame, keys: Sequence[str], thresholds: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from tidewatch.plans import fixtures, q_ops, q_requests, rules
 from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.q_requests import COSTS_SQL, LEVELS_SQL, REQ_SQL
 from tidewatch.plans.registry import query
+from tidewatch.session import work_dir
 
 STEP, SLOW = 3600, 60
 
@@ -77,7 +78,7 @@ TEXT = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}=' ||
 # Instant vectors and rates of every series by brute force: all pairs of a grid point and a sample in its range.
 BASE_SQL = with_fixtures("stack_samples") + f""", s0 AS (SELECT *, {TEXT} AS lab FROM stack_samples),
 s AS (SELECT *, lag(value) OVER w AS pv, lag(ts) OVER w AS pts FROM s0 WINDOW w AS (PARTITION BY metric, lab ORDER BY ts)),
-g AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM s), (SELECT max(ts) FROM s) + INTERVAL 60 HOUR, INTERVAL 1 HOUR)) AS t),
+g AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM s), (SELECT max(ts) FROM s) + INTERVAL 70 HOUR, INTERVAL 1 HOUR)) AS t),
 hours AS (SELECT t FROM g WHERE t >= (SELECT min(ts) FROM s) AND t <= (SELECT max(ts) FROM s)),
 x AS (SELECT g.t, s.*, CASE WHEN pts > g.t - INTERVAL {H5} SECOND THEN CASE WHEN value >= pv THEN value - pv ELSE value END ELSE 0 END AS inc FROM g JOIN s ON s.ts > g.t - INTERVAL {H5} SECOND AND s.ts <= g.t),
 v AS (SELECT t, metric, lab, any_value(instance) AS instance, any_value(job) AS job, any_value(color) AS color, any_value(area) AS area, any_value(name) AS name, any_value(consumergroup) AS consumergroup, any_value(topic) AS topic,
@@ -169,16 +170,20 @@ def rounded(d, name="name"):
 
 @query("m21_record_rules", LEVEL0_SQL + SLO_SQL + " SELECT t, rec, lab, round(value, 6) AS value FROM (SELECT * FROM level0 UNION ALL SELECT * FROM slo) z")
 def _(t):
-    d = recording.record_rules(stack(t), CATALOGUE, STEP, span(t))
+    """The whole catalogue, level by level, through the table of recorded series."""
+    d = recording.store_rules(stack(t), CATALOGUE, work_dir(t.spark, "recorded"), STEP, span(t))
     return rounded(d.where(~F.col("name").startswith("_") & ~F.col("name").isin(*UNCHECKED)))
 
 
-@query("m21_store_rules", LEVEL0_SQL + SLO_SQL + " SELECT rec, count(*) AS points FROM (SELECT * FROM level0 UNION ALL SELECT * FROM slo) z GROUP BY rec")
-def _(t):
-    from tidewatch.session import work_dir
+SLO_ONLY = [r for r in CATALOGUE if r.name in ("logstash:availability:up", "slo:logstash:availability:current", "slo:logstash:availability:budget_consumed")]
 
-    d = recording.store_rules(stack(t), CATALOGUE, work_dir(t.spark, "recorded"), STEP, span(t))
-    return d.where(~F.col("name").startswith("_") & ~F.col("name").isin(*UNCHECKED)).groupBy(F.col("name").alias("rec")).agg(F.count(F.lit(1)).alias("points"))
+
+@query("m21_lazy_levels", LEVEL0_SQL + AVAIL + """ SELECT t, 'logstash:availability:up' AS rec, lab, round(value, 6) AS value FROM level0 WHERE rec = 'logstash:availability:up'
+UNION ALL SELECT t, 'slo:logstash:availability:current', lab, round(c, 6) FROM avail WHERE sys = 'logstash'
+UNION ALL SELECT t, 'slo:logstash:availability:budget_consumed', lab, round((1 - c) / (1 - 0.999::DOUBLE), 6) FROM avail WHERE sys = 'logstash'""")
+def _(t):
+    """Rules that read rules, as one lazy plan."""
+    return rounded(recording.record_rules(stack(t), SLO_ONLY, STEP, span(t)))
 
 
 def breach_sql(name, source, cond):
@@ -228,7 +233,10 @@ ALERTS = recording.stretch_alerts(rules.ALERT_RULES, SLOW)
 
 @query("a1_evaluate_rules", BREACHES + " SELECT t, alertname, lab, round(value, 6) AS value FROM breaches")
 def _(t):
-    d = recording.evaluate_rules(stack(t), ALERTS, CATALOGUE, STEP, span(t))
+    """All conditions; those over recorded series read the table of the few rules they need."""
+    grid = span(t)
+    recorded = recording.store_rules(stack(t), recording.needed_rules(ALERTS, CATALOGUE), work_dir(t.spark, "recorded"), STEP, grid)
+    d = recording.evaluate_rules(stack(t), ALERTS, CATALOGUE, STEP, grid, recorded)
     return rounded(d.where(F.col("alertname").isin(*CHECKED)), "alertname").withColumnRenamed("rec", "alertname")
 
 

@@ -74,8 +74,9 @@ def main(argv):
             if sorted(df.columns) != sorted(rel.columns):
                 problems.append(f"columns {sorted(df.columns)} / {sorted(rel.columns)}")
             if got != want:
-                only_g = [r for r in got if r not in set(want)][:3]
-                only_w = [r for r in want if r not in set(got)][:3]
+                in_got, in_want = set(got), set(want)
+                only_g = [r for r in got if r not in in_want][:3]
+                only_w = [r for r in want if r not in in_got][:3]
                 problems.append(f"rows {len(got)}/{len(want)}\n   cols {sorted(df.columns)}\n   spark {only_g}\n   sql   {only_w}")
             kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
             pairs = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
