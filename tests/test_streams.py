@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +22,6 @@ def finish(query):
     assert query.exception() is None
 
 
-@pytest.fixture(scope="module", autouse=True)
-def state_store(spark):
-    spark.conf.set(*stateful.STATE_STORE)
-
-
 def test_windowed_requests_stream_equals_batch(spark, tables, tmp_path):
     src = str(tmp_path / "in")
     cols = ["provider", "model", "ts", "status", "latency_ms"]
@@ -98,7 +92,7 @@ def test_hold_stream_equals_batch(spark, tmp_path):
         if part is not None:
             df.where(part).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(df.schema).parquet(src)
-        finish(streams.start_append(stateful.hold_for_stream(stream, holds, 30), out, str(tmp_path / "cp"), once=True))
+        finish(streams.start_append(stateful.hold_for_stream(stream, holds, 30, "1 day"), out, str(tmp_path / "cp"), once=True))
     want = al.hold_for(df, holds, 30).select("alertname", F.unix_seconds("t"), F.unix_seconds("since"), "state")
     assert rows_of(spark.read.parquet(out).select("alertname", "second", "since", "state")) == rows_of(want)
 
@@ -110,6 +104,6 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts timestamp, name string, category string, entity string")
     df.coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    finish(streams.start_append(stateful.suppress_cooldown_stream(stream), out, str(tmp_path / "cp"), once=True))
+    finish(streams.start_append(stateful.suppress_cooldown_stream(stream, watermark="1 day"), out, str(tmp_path / "cp"), once=True))
     want = al.suppress_cooldown(df).select(F.col("dedup_key").alias("key"), F.unix_micros("ts"), "accepted").distinct()
     assert rows_of(spark.read.parquet(out).select("key", "us", "accepted")) == rows_of(want)

@@ -1,4 +1,7 @@
-"""Alert state on streams: hold time (A2) and cooldown (A11), each a small state per key."""
+"""Alert state on streams: hold time (A2) and cooldown (A11), each a small state per key.
+
+The state of a key is two numbers or one, and it is dropped when the watermark has passed a day of silence.
+"""
 
 from __future__ import annotations
 
@@ -7,74 +10,70 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.alerts import COOLDOWN_MINUTES, stable_key
 from tidewatch.operators.samples import series_key
 
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
+SILENCE_MS = 86_400_000
 HOLD_OUT = "alertname string, key string, second bigint, since bigint, state string"
 COOL_OUT = "key string, us bigint, accepted boolean"
 
 
-class Hold(StatefulProcessor):
-    """Keeps the start and the last point of the unbroken run of a series."""
-
-    def __init__(self, step: int):
-        self.step = step
+def _expire(state: GroupState, last_second: int) -> None:
+    state.setTimeoutTimestamp(max(last_second * 1000 + SILENCE_MS, state.getCurrentWatermarkMs() + 1))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "since bigint, last bigint", 86_400_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since, last = self.run.get() if self.run.exists() else (None, None)
-        points = pd.concat(list(rows)).sort_values("second")
+def _hold(step: int):
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, last = state.get if state.exists else (None, None)
         out = []
-        for second, hold in points[["second", "hold"]].itertuples(index=False):
-            if last is None or second - last > self.step:
-                since = second
-            last = second
-            out.append((key[0], key[1], int(second), int(since), "firing" if second - since >= hold else "pending"))
-        self.run.update((int(since), int(last)))
+        for second, hold in pd.concat(list(frames)).sort_values("second")[["second", "hold"]].itertuples(index=False):
+            if last is None or second - last > step:
+                since = int(second)
+            last = int(second)
+            out.append((key[0], key[1], last, since, "firing" if last - since >= hold else "pending"))
+        state.update((since, last))
+        _expire(state, last)
         yield pd.DataFrame(out, columns=["alertname", "key", "second", "since", "state"])
 
-    def close(self) -> None:
-        pass
-
-
-class Cooldown(StatefulProcessor):
-    """Keeps the time of the last accepted alert of a key."""
+    return run
 
-    def __init__(self, minutes: int):
-        self.cool = minutes * 60 * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", 2 * self.cool // 1000 + 1)
+def _cooldown(minutes: int):
+    cool = minutes * 60 * 1_000_000
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
         out = []
-        for us in sorted(pd.concat(list(rows))["us"].unique()):
-            accepted = last is None or us - last >= self.cool
+        for us in sorted(int(x) for x in pd.concat(list(frames))["us"].unique()):
+            accepted = last is None or us - last >= cool
             if accepted:
-                last = int(us)
-            out.append((key[0], int(us), accepted))
-        self.last.update((last,))
+                last = us
+            out.append((key[0], us, accepted))
+        state.update((last,))
+        _expire(state, last // 1_000_000)
         yield pd.DataFrame(out, columns=["key", "us", "accepted"])
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def hold_for_stream(breaches: DataFrame, holds: DataFrame, step: int) -> DataFrame:
+def hold_for_stream(breaches: DataFrame, holds: DataFrame, step: int, watermark: str = "10 minutes") -> DataFrame:
     """A2 on a stream of (t, alertname, labels, value): the state of each point as it arrives."""
-    d = breaches.join(F.broadcast(holds), "alertname").select(
-        "alertname", series_key(F.col("labels")).alias("key"), F.unix_seconds("t").alias("second"), "hold")
-    return d.groupBy("alertname", "key").transformWithStateInPandas(Hold(step), HOLD_OUT, "append", "ProcessingTime")
+    d = breaches.withWatermark("t", watermark).join(F.broadcast(holds), "alertname").select(
+        "t", "alertname", series_key(F.col("labels")).alias("key"), F.unix_seconds("t").alias("second"), "hold")
+    return d.groupBy("alertname", "key").applyInPandasWithState(
+        _hold(step), HOLD_OUT, "since bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def suppress_cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, ts: str = "ts") -> DataFrame:
+def suppress_cooldown_stream(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
     """A11 on a stream of alerts: one row per key and time, accepted or not."""
-    d = alerts.select(stable_key().alias("key"), F.unix_micros(ts).alias("us"))
-    return d.groupBy("key").transformWithStateInPandas(Cooldown(minutes), COOL_OUT, "append", "ProcessingTime")
+    d = alerts.withWatermark(ts, watermark).select(ts, stable_key().alias("key"), F.unix_micros(ts).alias("us"))
+    return d.groupBy("key").applyInPandasWithState(
+        _cooldown(minutes), COOL_OUT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
