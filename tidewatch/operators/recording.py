@@ -62,10 +62,6 @@ class Alert:
     extra: dict = field(default_factory=dict, hash=False)
 
 
-def _div(a: Column, b: Column) -> Column:
-    return m._OPS["/"](a, b)
-
-
 def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
@@ -77,10 +73,10 @@ def _nil(c: Column) -> Column:
 # Arithmetic of a rule on its operands a, b, c, its constant k and the time t.
 OPERATIONS = {
     "a": lambda a, b, c, k, t: a,
-    "a/b": lambda a, b, c, k, t: _div(a, b),
+    "a/b": lambda a, b, c, k, t: m.divide(a, b),
     "a-b": lambda a, b, c, k, t: a - b,
-    "1-a/b": lambda a, b, c, k, t: F.lit(1.0) - _div(a, b),
-    "a/(a+b)": lambda a, b, c, k, t: _div(a, a + b),
+    "1-a/b": lambda a, b, c, k, t: F.lit(1.0) - m.divide(a, b),
+    "a/(a+b)": lambda a, b, c, k, t: m.divide(a, a + b),
     "a/k": lambda a, b, c, k, t: a / k,
     "1-a": lambda a, b, c, k, t: F.lit(1.0) - a,
     "(1-a)/(1-k)": lambda a, b, c, k, t: (F.lit(1.0) - a) / (F.lit(1.0) - k),
@@ -89,7 +85,7 @@ OPERATIONS = {
     "a<k": lambda a, b, c, k, t: F.when(a.isNotNull(), _flag(a < k)),
     "worst": lambda a, b, c, k, t: F.greatest(_nil(a) * 0, _nil(b) * 1, _nil(c) * 2),
     "a is k and b is 1 and c is 0": lambda a, b, c, k, t: _flag((_nil(a) == k) & (_nil(b) == 1) & (_nil(c) == 0)),
-    "a/b<k": lambda a, b, c, k, t: F.when(a.isNotNull() & b.isNotNull(), _flag(_div(a, b) < k)),
+    "a/b<k": lambda a, b, c, k, t: F.when(a.isNotNull() & b.isNotNull(), _flag(m.divide(a, b) < k)),
     "1-(1-a)/(1-k)": lambda a, b, c, k, t: F.lit(1.0) - (F.lit(1.0) - a) / (F.lit(1.0) - k),
     "a and b": lambda a, b, c, k, t: F.when(b.isNotNull(), a),
     "a<b*k": lambda a, b, c, k, t: F.when(a < b * k, a),

@@ -317,10 +317,13 @@ def aggregate(vector: DataFrame, fn: str, by: Sequence[str] = ()) -> DataFrame:
     return d.select("t", labels_of(F.col("_key")).alias("labels"), "value")
 
 
-_OPS = {
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
-    "/": lambda a, b: F.when(b != 0, a / b).otherwise(F.when(a == 0, F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))),
-}
+def divide(a: Column, b: Column) -> Column:
+    """Division of doubles: 0/0 is not a number, x/0 is infinite, and a missing side gives nothing."""
+    by_zero = F.when(a == 0, F.lit(float("nan"))).when(a.isNotNull(), F.signum(a) * F.lit(float("inf")))
+    return F.when(b != 0, a / b).when(b == 0, by_zero)
+
+
+_OPS = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divide}
 _COMPARE = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b,
     ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
