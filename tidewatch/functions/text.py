@@ -22,7 +22,7 @@ INTENT_WORDS = (
 )
 QUESTION_STARTS = ("what", "who", "where", "when", "why", "how")
 INSTRUCTION_WORDS = ("please", "can you", "would you", "help me")
-# Personal data in prompts and responses.
+# Personal data in prompts and responses. The patterns name both cases, so case needs no flag.
 PII_PATTERNS = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "phone": r"(\+\d{1,3}[-.]?)?\(?\d{3}\)?[-.]?\d{3}[-.]?\d{4}",
@@ -154,7 +154,7 @@ def classify_intent(prompt: Column) -> Column:
 def prompt_risk_flags(prompt: Column) -> Column:
     """Personal data, injection and jailbreak attempts."""
     return F.struct(
-        _matches_any(prompt, [PII_PATTERNS[k] for k in PROMPT_PII]).alias("contains_pii"),
+        _matches_any(prompt, [PII_PATTERNS[k] for k in PROMPT_PII], "").alias("contains_pii"),
         _matches_any(prompt, INJECTION_PATTERNS).alias("injection_attempt"),
         _matches_any(prompt, JAILBREAK_PATTERNS).alias("jailbreak_attempt"),
     )
@@ -288,7 +288,7 @@ def sentiment(text: Column) -> Column:
 
 def detect_pii(text: Column) -> Column:
     """Types found, number of matches over all types, and a confidence of 0.2 per match."""
-    counts = F.struct(*[F.regexp_count(text, F.lit("(?i)" + p)).alias(k) for k, p in PII_PATTERNS.items()])
+    counts = F.struct(*[F.regexp_count(text, F.lit(p)).alias(k) for k, p in PII_PATTERNS.items()])
 
     def summary(c):
         n = _add([c[k] for k in PII_PATTERNS])
@@ -304,7 +304,7 @@ def redact_pii(text: Column, method: str = "mask", compat_order: bool = False) -
     """Matches masked, removed or replaced by the start of their hash; ``compat_order`` tries phone second."""
     out = text
     for name in (tuple(PII_PATTERNS) if compat_order else REDACTION_ORDER):
-        p = "(?i)" + PII_PATTERNS[name]
+        p = PII_PATTERNS[name]
         if method == "mask":
             out = F.regexp_replace(out, p, "[REDACTED]")
         elif method == "remove":

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import literal_table
 from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.slices import null_safe_join
 
@@ -44,17 +43,18 @@ def _scoped(requests: DataFrame, keys: Sequence[str], window: str | None) -> tup
 
 
 def latency_percentiles(
-    requests: DataFrame, keys: Sequence[str] = MODEL_KEYS, window: str | None = None, approximate: bool = False
+    requests: DataFrame, keys: Sequence[str] = MODEL_KEYS, window: str | None = None, approximate: bool = False,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """p50, p95, p99 at 0-based rank floor(n*p), and min, max, mean, count per group and window.
 
     Exact by default; ``approximate`` uses the mergeable sketch instead, one shuffle for any group size.
-    Without keys the single row of an empty input holds zeros.
+    Without keys the single row of an empty input holds zeros. ``also`` adds aggregates to the same grouping.
     """
     d, by = _scoped(requests, keys, window)
     stats = [
         F.min("latency_ms").alias("min"), F.max("latency_ms").alias("max"),
-        F.avg("latency_ms").alias("avg"), F.count("latency_ms").alias("count"),
+        F.avg("latency_ms").alias("avg"), F.count("latency_ms").alias("count"), *[c.alias(n) for n, c in (also or {}).items()],
     ]
     if approximate:
         sketch = [F.percentile_approx("latency_ms", p, 10000).alias(n) for n, p in QUANTILES.items()]
@@ -64,16 +64,19 @@ def latency_percentiles(
     else:
         out = d.agg(*stats).join(exact_quantiles(d, [], "latency_ms", QUANTILES), how="left")
     zero = {n: F.coalesce(F.col(n), F.lit(0.0)) for n in ("p50", "p95", "p99", "min", "max", "avg")}
-    return out.withColumns(zero).select(*by, "p50", "p95", "p99", "min", "max", "avg", "count")
+    return out.withColumns(zero).select(*by, "p50", "p95", "p99", "min", "max", "avg", "count", *(also or {}))
+
+
+def _error_rate() -> dict[str, Column]:
+    n = F.count(F.lit(1))
+    errors = F.count_if(F.col("status") != "success")
+    return {"requests": n, "errors": errors, "error_rate": F.when(n > 0, F.lit(100.0) * errors / n).otherwise(F.lit(0.0))}
 
 
 def error_rate(requests: DataFrame, keys: Sequence[str] = MODEL_KEYS, window: str | None = None) -> DataFrame:
     """Per cent of requests whose status is not success; 0 where there are none."""
     d, by = _scoped(requests, keys, window)
-    n = F.count(F.lit(1))
-    errors = F.count_if(F.col("status") != "success")
-    rate = F.when(n > 0, F.lit(100.0) * errors / n).otherwise(F.lit(0.0))
-    return d.groupBy(*by).agg(n.alias("requests"), errors.alias("errors"), rate.alias("error_rate"))
+    return d.groupBy(*by).agg(*[c.alias(n) for n, c in _error_rate().items()])
 
 
 def windowed_requests(requests: DataFrame, window: str = "1 minute", watermark: str | None = None) -> DataFrame:
@@ -89,46 +92,37 @@ def windowed_requests(requests: DataFrame, window: str = "1 minute", watermark:
              "latency_sum", "latency_min", "latency_max")
 
 
-def thresholds_frame(spark: SparkSession, thresholds=THRESHOLDS) -> DataFrame:
-    return literal_table(spark, list(thresholds), "metric string, warning double, critical double")
+def violations_of(thresholds: Sequence[tuple] = THRESHOLDS) -> Column:
+    """The broken limits of a row of levels, at most one per metric: critical, else warning; both strict."""
+    def row(metric: str, severity: str, limit: float) -> Column:
+        kind = f"latency_{metric}_{severity}" if metric.startswith("p") else f"{metric}_{severity}"
+        return F.struct(
+            F.lit(kind).alias("type"), F.col(metric).alias("value"), F.lit(float(limit)).alias("threshold"), F.lit(severity).alias("severity"))
 
+    found = [
+        F.when(F.col(metric) > critical, row(metric, "critical", critical)).when(F.col(metric) > warning, row(metric, "warning", warning))
+        for metric, warning, critical in thresholds
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
-def latency_violations(levels: DataFrame, keys: Sequence[str], thresholds: DataFrame | None = None) -> DataFrame:
-    """T5: at most one row per metric and group: critical above the critical limit, else warning above the other."""
-    limits = thresholds if thresholds is not None else thresholds_frame(levels.sparkSession)
-    long = levels.unpivot(list(keys), ["p50", "p95", "p99", "error_rate"], "metric", "value")
-    v = F.col("value")
-    severity = F.when(v > F.col("critical"), "critical").when(v > F.col("warning"), "warning")
-    kind = F.concat(F.when(F.col("metric").startswith("p"), "latency_").otherwise(""), "metric", F.lit("_"), "severity")
-    return (
-        long.join(F.broadcast(limits), "metric")
-        .withColumn("severity", severity).where("severity IS NOT NULL")
-        .select(*keys, kind.alias("type"), "value",
-                F.when(F.col("severity") == "critical", F.col("critical")).otherwise(F.col("warning")).alias("threshold"),
-                "severity")
-    )
+
+def latency_violations(levels: DataFrame, keys: Sequence[str], thresholds: Sequence[tuple] = THRESHOLDS) -> DataFrame:
+    """T5: one row per broken limit. Limits are part of the expression, so there is neither join nor shuffle."""
+    return levels.select(*keys, F.explode(violations_of(thresholds)).alias("v")).select(*keys, "v.*")
 
 
-def service_levels(requests: DataFrame, keys: Sequence[str] = MODEL_KEYS, window: str | None = None) -> DataFrame:
-    """T2 and T3 side by side."""
-    by = [*keys, "window_start"] if window else list(keys)
-    a = latency_percentiles(requests, keys, window)
-    b = error_rate(requests, keys, window)
-    return null_safe_join(a, b, by) if by else a.crossJoin(b)
+def service_levels(
+    requests: DataFrame, keys: Sequence[str] = MODEL_KEYS, window: str | None = None, also: dict[str, Column] | None = None
+) -> DataFrame:
+    """T2 and T3 from one grouping."""
+    return latency_percentiles(requests, keys, window, also=_error_rate() | (also or {}))
 
 
 def technical_summary(requests: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
     """One row per scope: percentiles, error rate, violations (at most four) and the age of its window."""
-    levels = service_levels(requests, keys)
-    found = latency_violations(levels, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("type", "severity", "value", "threshold"))).alias("violations")
-    )
-    span = requests.groupBy(*keys).agg(
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("window_age_us")
-    )
-    out = null_safe_join(levels, found, keys, "left")
-    empty = F.expr("array()").cast(found.schema["violations"].dataType)
-    return null_safe_join(out, span, keys).withColumn("violations", F.coalesce("violations", empty))
+    age = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    levels = service_levels(requests, keys, also={"window_age_us": age})
+    return levels.withColumn("violations", F.array_sort(violations_of()))
 
 
 def streaming_trace(chunks: DataFrame) -> DataFrame:

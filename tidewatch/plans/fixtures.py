@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.session import spread
+
 AI_REQUESTS = """
 SELECT event_id AS request_id, ts, user_id,
   CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider,
@@ -258,7 +260,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in RAW:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(df, "doc_id") if name == "documents" else df
             elif name in BY_NAME:
                 sql, inputs = BY_NAME[name]
                 frames = {f"in_{i}": getattr(self, i) for i in inputs}

@@ -48,13 +48,10 @@ FROM levels""")
 def flagship(t):
     """Per model and hour: requests, error rate, exact percentiles, cost and the number of broken limits."""
     keys = ["provider", "model", "window_start"]
-    levels = requests.service_levels(t.ai_requests, window="1 hour")
-    broken = requests.latency_violations(levels, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("violations"))
-    spend = costs(t).groupBy("provider", "model", F.window("ts", "1 hour")["start"].alias("window_start")).agg(
-        F.sum("total_cost").alias("total_cost"))
-    return levels.join(spend, keys).join(broken, keys, "left").select(
+    levels = requests.service_levels(costs(t), window="1 hour", also={"total_cost": F.sum("total_cost")})
+    return levels.select(
         *keys, "requests", "p50", "p95", "p99", r("error_rate"), r("total_cost", 9),
-        F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))
+        F.size(requests.violations_of()).cast("bigint").alias("violations"))
 
 
 @query("t1_request_facts", REQ_SQL + """

@@ -49,6 +49,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table over all cores when its files give fewer tasks than there are cores.
+
+    For work that is heavy per row (regular expressions over whole texts) on a few large files; a table in many
+    pieces is left as it is and pays no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def to_wall_clock(df: DataFrame) -> DataFrame:
     """Cast instants to zone-free timestamps, the form in which results are handed out."""
     casts = {
