@@ -379,8 +379,9 @@ def _(t):
     return reconcile.plugin_inventory(t.nodes)
 
 
-@query("u10_snapshot_freshness", SNAPS + """, g AS (SELECT repository, arg_max(snapshot, (end_time, snapshot)) AS snapshot, max(end_time) AS end_time FROM snapshots WHERE state = 'SUCCESS' GROUP BY 1)
-SELECT repository, snapshot, end_time, 90.0::DOUBLE AS duration_seconds, CASE WHEN end_time < TIMESTAMP '1998-08-03 00:00:00' - INTERVAL 24 HOUR THEN 'warning' ELSE 'passed' END AS status FROM g""")
+@query("u10_snapshot_freshness", SNAPS + """, g AS (SELECT repository, arg_max(snapshot, (end_time, snapshot)) FILTER (WHERE state = 'SUCCESS') AS snapshot, max(end_time) FILTER (WHERE state = 'SUCCESS') AS end_time FROM snapshots GROUP BY 1)
+SELECT repository, snapshot, end_time, CASE WHEN snapshot IS NOT NULL THEN 90.0::DOUBLE END AS duration_seconds,
+  CASE WHEN snapshot IS NULL OR end_time < TIMESTAMP '1998-08-03 00:00:00' - INTERVAL 24 HOUR THEN 'warning' ELSE 'passed' END AS status FROM g""")
 def _(t):
     return reconcile.snapshot_freshness(t.snapshots, "1998-08-03 00:00:00")
 
