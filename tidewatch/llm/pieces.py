@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ MARK = "▁"
 #: What a character that no piece covers scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -123,47 +124,49 @@ class Encoder:
         texts = [x.encode() for x in stretches]
         size = np.array([len(x) for x in texts], dtype=np.int64)
         longest = int(size.max())
-        codes = np.frombuffer(b"".join(x.ljust(longest, b"\0") for x in texts), dtype=np.uint8).reshape(-1, longest).astype(np.int64)
-        best = np.full((len(texts), longest + 1), -np.inf)
-        best[:, 0] = 0.0
-        back, piece = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
+        # a row for each position, so that all stretches are looked at together
+        codes = np.frombuffer(b"".join(x.ljust(longest, b"\0") for x in texts), dtype=np.uint8).reshape(-1, longest).T.astype(np.int32, order="C")
+        shape = (longest + 1, len(texts))
+        best, back, piece = np.full(shape, -np.inf), np.zeros(shape, np.int32), np.full(shape, -1, np.int32)
+        best[0] = 0.0
         for s in range(longest):
-            row = np.flatnonzero((size > s) & (best[:, s] > -np.inf))
-            first = codes[row, s]
-            width = np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
-            whole = np.zeros(len(row), dtype=bool)
-            at, state, e = np.arange(len(row)), np.zeros(len(row), np.int64), s
-            while len(at):
-                at_end = size[row[at]] <= e
-                at, state = at[~at_end], state[~at_end]
-                if not len(at):
-                    break
-                to = v.base[state] + codes[row[at], e] + 1
-                there = v.check[to] == state
-                at, state, e = at[there], to[there], e + 1
+            row = np.flatnonzero((size > s) & (best[s] > -np.inf))
+            here, first = best[s][row], codes[s][row]
+            whole = first < 128
+            width = np.where(whole, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+            whole[:] = False
+            at, word, state, e = np.arange(len(row)), row, np.zeros(len(row), np.int32), s
+            while e < longest and len(at):
+                to = v.base[state] + codes[e][word] + 1
+                there = np.flatnonzero((v.check[to] == state) & (size[word] > e))
+                at, word, state, e = at[there], word[there], to[there], e + 1
                 ids = v.ends[state]
                 ending = np.flatnonzero(ids >= 0)
-                r, i = row[at[ending]], ids[ending]
-                whole[at[ending]] |= width[at[ending]] == e - s
-                score = best[r, s] + v.scores[i]
-                up = score > best[r, e]
-                best[r[up], e], back[r[up], e], piece[r[up], e] = score[up], s, i[up]
+                if not len(ending):
+                    continue
+                a, r, i = at[ending], word[ending], ids[ending]
+                whole[a] |= width[a] == e - s
+                score = here[a] + v.scores[i]
+                up = np.flatnonzero(score > best[e][r])
+                r = r[up]
+                best[e][r], back[e][r], piece[e][r] = score[up], s, i[up]
             lost = np.flatnonzero(~whole)
-            r, e = row[lost], s + width[lost]
-            score = best[r, s] + self.unknown_score
-            up = score > best[r, e]
-            best[r[up], e[up]], back[r[up], e[up]], piece[r[up], e[up]] = score[up], s, -1
+            if len(lost):
+                r, e, score = row[lost], s + width[lost], here[lost] + self.unknown_score
+                up = score > best[e, r]
+                best[e[up], r[up]], back[e[up], r[up]], piece[e[up], r[up]] = score[up], s, -1
         # from the end; a character without a piece goes byte by byte
-        out, used = np.zeros(best.shape, np.int32), np.zeros(len(texts), np.int64)
+        out, used = np.zeros((len(texts), longest), np.int32), np.zeros(len(texts), np.int64)
         end, row = size.copy(), np.flatnonzero(size)
         while len(row):
             e = end[row]
-            p = piece[row, e]
+            p = piece[e, row]
             used[row] += 1
-            out[row, longest + 1 - used[row]] = np.where(p >= 0, p, self.byte_ids[codes[row, e - 1]])
-            end[row] = np.where(p >= 0, back[row, e], e - 1)
+            out[row, longest - used[row]] = np.where(p >= 0, p, self.byte_ids[codes[e - 1, row]])
+            end[row] = np.where(p >= 0, back[e, row], e - 1)
             row = row[end[row] > 0]
-        return [line[longest + 1 - n :].tobytes() for line, n in zip(out, used.tolist(), strict=True)]
+        flat, width = out.tobytes(), 4 * longest
+        return [flat[(k + 1) * width - 4 * n : (k + 1) * width] for k, n in enumerate(used.tolist())]
 
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
         """Ids of stretches not yet known, in blocks of like length; short ones are remembered. A word stands for its stretch."""
@@ -234,6 +237,7 @@ def decode_pieces(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(rows: pa.Array) -> pa.Array:
         encoder = _encoder(path)
-        return pa.array([encoder.decode(r.as_py()) if r.is_valid else None for r in rows], pa.string())
+        flat, ends = rows.flatten().to_numpy(), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(rows), 0).to_numpy()).tolist()
+        return pa.array([encoder.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip([0, *ends], ends, rows.is_valid().to_pylist(), strict=False)], pa.string())
 
     return texts(ids)
