@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import components
@@ -210,8 +210,8 @@ def shard_vectors(vectors: DataFrame, most: int, sample: int = SAMPLE) -> tuple[
             left = large
             break
         centres = fit_centroids(points, CENTROIDS, seed=depth)
-        near = large.withColumn("near", nearest_two(F.col("embedding"), centres))
-        now = near.select("label", "vec_id", "embedding", "copies", F.concat_ws("/", "shard", F.explode("near").cast("string")).alias("shard"))
+        near = large.withColumn("near", F.explode(nearest_two(F.col("embedding"), centres)))
+        now = near.select("label", "vec_id", "embedding", "copies", F.concat_ws("/", "shard", F.col("near").cast("string")).alias("shard"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -243,7 +243,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, most_in_shard: int = 2
     schema = "vec_id bigint, links bigint, root bigint"
     found = shards.groupBy("shard").applyInPandas(lambda f: _search_shard(f, least), schema)
     if large is not None:
-        blocks = large.withColumn("blocks", F.ceil(F.count("*").over(_by_shard()) / block_rows)).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+        blocks = large.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("shard")) / block_rows)).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
         meets = F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
             lambda other: F.struct(F.least(other, F.col("block")).alias("low"), F.greatest(other, F.col("block")).alias("high")),
@@ -262,12 +262,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, most_in_shard: int = 2
     return linked.unionByName(alone)
 
 
-def _by_shard():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard")
-
-
 def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.98, every: int = 50) -> float:
     """Links found of the vectors whose id is divisible by `every`, as a share of those that direct comparison finds.
 
