@@ -131,26 +131,20 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batche
     gone = (
         lines.join(frequent, "key")
         .filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-        .groupBy(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash"))
-        .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+        .groupBy(F.col("doc_id").alias("_gone_doc"), F.col("text_hash").alias("_gone_hash"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     )
-    whole = docs.withColumns({"kept_text": split_lines(F.col("text")), "n_dropped": F.xxhash64("text")}).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("n_dropped") == F.col("gone_hash")), "left"
+    whole = docs.withColumns({"_lines": split_lines(F.col("text")), "_hash": F.xxhash64("text")}).join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_hash") == F.col("_gone_hash")), "left"
     )
     # the stretches between dropped positions, each cut out once
-    gaps = F.transform(
-        F.concat(F.col("gone"), F.array(F.size("kept_text"))),
-        lambda end, i: F.slice(
-            "kept_text",
-            F.when(i == 0, 0).otherwise(F.get("gone", i - 1) + 1) + 1,
-            end - F.when(i == 0, 0).otherwise(F.get("gone", i - 1) + 1),
-        ),
-    )
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("_gone", i - 1) + 1)
+    gaps = F.transform(F.concat(F.col("_gone"), F.array(F.size("_lines"))), lambda end, i: F.slice("_lines", start(i) + 1, end - start(i)))
     return whole.select(
         *docs.columns,
-        F.size("kept_text").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.coalesce("text", F.lit("")))
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit("")))
         .otherwise(F.array_join(F.flatten(gaps), "\n"))
         .alias("kept_text"),
     )

@@ -270,7 +270,7 @@ def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.98, ever
     good = usable(F.col("embedding")) & F.col("label").isNotNull()
     rows = vectors.filter(good).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     both = queries.withColumn("asks", F.lit(True)).unionByName(rows.withColumn("block", block).withColumn("asks", F.lit(False)))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
