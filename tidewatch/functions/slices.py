@@ -147,36 +147,39 @@ def trailing_totals(
 ) -> DataFrame:
     """Totals of each measure over the earlier rows of the key that are younger than ``seconds``.
 
-    Each row sends two narrow records: itself, and a probe that stands at the far end of its range. The total is
-    the whole slices between them, plus the part of its own slice before the row, minus the part of the probe's
-    slice up to the probe. No row is copied once per row that sees it. ``row_id`` names the rows and breaks ties.
+    Each row sends itself and a narrow probe that stands at the far end of its range. The total is the whole slices
+    between them, plus the part of its own slice before the row, minus the part of the probe's slice up to the probe.
+    No row is copied once per row that sees it. Row and probe find each other by a key made for the purpose, so rows
+    without an id and rows of equal id all stay; ``row_id`` only breaks ties.
     """
     if seconds % slice_seconds:
         raise ValueError("the range must be a multiple of the slice")
     names = list(measures)
     us = F.unix_micros(F.col(ts))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     marks = df.select(
-        *keys, F.col(row_id).alias("_id"), *[c.alias(n) for n, c in measures.items()],
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"), us.alias("at")),
-            F.struct(F.lit(1).alias("kind"), (us - F.lit(seconds * MICROS)).alias("at")),
-        )).alias("_m"),
-    ).select("*", "_m.kind", "_m.at").drop("_m")
-    marks = marks.withColumn(SLICE, F.floor(F.col("at") / F.lit(slice_seconds * MICROS)))
-    own = {n: F.when(F.col("kind") == 0, F.col(n)) for n in names}
+        *keys, F.monotonically_increasing_id().alias("_uid"), F.col(row_id).alias("_id"), whole.alias("_row"),
+        us.alias("_us"), *[c.alias(f"_m_{n}") for n, c in measures.items()])
+    marks = marks.withColumn("_mark", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("_us").alias("at")),
+        F.struct(F.lit(1).alias("kind"), (F.col("_us") - F.lit(seconds * MICROS)).alias("at")),
+    ))).select("*", "_mark.kind", "_mark.at").drop("_mark", "_us")
+    marks = marks.withColumns({
+        SLICE: F.floor(F.col("at") / F.lit(slice_seconds * MICROS)), "_row": F.when(F.col("kind") == 0, F.col("_row"))})
+    own = {n: F.when(F.col("kind") == 0, F.col(f"_m_{n}")) for n in names}
     span = seconds // slice_seconds
     marks = carry(
         marks, keys,
         {f"_s_{n}": F.sum(c) for n, c in own.items()},
         lambda w: {f"_c_{n}": F.sum(f"_s_{n}").over(w.rangeBetween(-span, -1)) for n in names},
     )
-    w = within(keys, ["at", "kind", "_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    w = within(keys, ["at", "kind", "_id", "_uid"]).rowsBetween(Window.unboundedPreceding, -1)
     parts = []
     for n in names:
         before = F.coalesce(F.sum(own[n]).over(w), F.lit(0))
         parts.append(
-            F.when(F.col("kind") == 0, before + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).otherwise(-before).alias(n)
+            F.when(F.col("kind") == 0, before + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).otherwise(-before).alias(f"_t_{n}")
         )
-    signed = marks.select("_id", *parts)
-    totals = signed.groupBy("_id").agg(*[F.sum(n).alias(n) for n in names])
-    return df.join(totals, F.col(row_id) == F.col("_id")).drop("_id")
+    totals = marks.select("_uid", "_row", *parts).groupBy("_uid").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in names])
+    return totals.select("_row.*", *[F.col(f"_t_{n}").alias(n) for n in names])

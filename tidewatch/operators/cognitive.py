@@ -28,6 +28,7 @@ def cognitive_facts(pairs: DataFrame) -> DataFrame:
         "bias": text.bias_scores(r),
         "toxicity": text.toxicity_scores(r),
         "sentiment": text.sentiment(r),
+        "prompt_sentiment": text.sentiment(p),
     })
 
 

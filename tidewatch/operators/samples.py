@@ -4,7 +4,8 @@ Samples are rows (ts, metric, labels, value); vectors are rows (t, metric, label
 multiple of the step. Ranges are left-open: (t - range, t]. Rates are not extrapolated to the edges of the range.
 
 Samples are first reduced to one row per series and step. Whatever range a function looks at, it reads these rows, never
-the samples again, and windows over them are cut into blocks of at least one day, so that no task holds a whole history.
+the samples again (but for least squares), and windows over them are cut into blocks as long as the range, so that no
+task holds a whole history and no value outside a range can show in it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import as_map
+from tidewatch.functions.slices import SLICE, carry, within
 
 COLUMNS = ("ts", "metric", "labels", "value")
 LOOKBACK = 300
@@ -67,7 +69,6 @@ def step_rows(samples: DataFrame, step: int) -> DataFrame:
     inside = Window.partitionBy("metric", "series", "g").orderBy("us")
     v, before = F.col("value"), F.col("_pv")
     s = s.withColumns({"_pv": F.lag("value").over(inside), "_pu": F.lag("us").over(inside)})
-    x = (F.col("us") - F.col("g") * MICROS) / F.lit(float(MICROS))
     grown = F.when(before.isNull(), 0.0).when(v >= before, v - before).otherwise(v)
     rows = s.groupBy("metric", "series", "g").agg(
         F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"),
@@ -75,68 +76,113 @@ def step_rows(samples: DataFrame, step: int) -> DataFrame:
         F.min_by("value", "us").alias("first_v"), F.max_by("value", "us").alias("last_v"),
         F.max_by("_pu", "us").alias("second_us"), F.max_by("_pv", "us").alias("second_v"),
         F.sum(grown).alias("inc"), F.count_if(before.isNotNull() & (before != v)).alias("chg"),
-        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * v).alias("sxy"),
     )
-    along = Window.partitionBy("metric", "series").orderBy("g")
+    # the steps before and after in the series, whatever day they lie in
+    keys = ["metric", "series"]
+    rows = rows.withColumns({SLICE: F.floor(F.col("g") / BLOCK), "_end": F.struct("last_v", "last_us", "g")})
+    rows = carry(
+        rows, keys, {"_last": F.max_by("_end", "g"), "_first": F.min("g")},
+        lambda w: {"_before": F.lag("_last").over(w), "_after": F.lead("_first").over(w)})
+    along = within(keys, ["g"])
     rows = rows.withColumns({
-        "_lv": F.lag("last_v").over(along), "_lu": F.lag("last_us").over(along), "next_g": F.lead("g").over(along)})
-    first = F.col("first_v")
-    rows = rows.withColumns({
-        "cross": F.when(F.col("_lv").isNull(), 0.0).when(first >= F.col("_lv"), first - F.col("_lv")).otherwise(first),
-        "cross_chg": F.when(F.col("_lv") != first, 1).otherwise(0),
-        "second_us": F.coalesce("second_us", "_lu"),
-        "second_v": F.coalesce("second_v", "_lv"),
-    }).drop("_lv", "_lu")
-    start = F.struct("first_us", "first_v", "cross", "cross_chg")
-    return rows.withColumns({"start": start, "next_start": F.lead(start).over(along)})
+        "_p": F.coalesce(F.lag("_end").over(along), F.col("_before")), "next_g": F.coalesce(F.lead("g").over(along), F.col("_after"))})
+    first, last_v = F.col("first_v"), F.col("_p.last_v")
+    return rows.withColumns({
+        "cross": F.when(last_v.isNull(), 0.0).when(first >= last_v, first - last_v).otherwise(first),
+        "cross_chg": F.when(last_v != first, 1).otherwise(0),
+        "second_us": F.coalesce("second_us", "_p.last_us"),
+        "second_v": F.coalesce("second_v", "_p.last_v"),
+        "prev_g": F.col("_p.g"),
+        "start": F.struct("first_us", "first_v"),
+    }).drop("_p", "_end", "_before", "_after", SLICE)
+
+
+# Kinds of rows in a frame: grid points, steps and pairs of steps that leave the range, samples and samples that leave it.
+POINT, LEAVES, PAIR_LEAVES, SAMPLE, SAMPLE_LEAVES = range(5)
+
+
+def _place(block: Column, at: Column, kind: int) -> Column:
+    return F.struct(block.alias("b"), at.alias("at"), F.lit(kind).alias("kind"))
 
 
 class RangeFrame:
     """Step rows spread over the grid points at which a range can see them.
 
-    Every value of a range comes from two growing windows, up to t and up to t - range: a sum is the difference of
-    both, the first sample of the range is the one after the last that fell out. So a grid point costs the same
-    whether the range holds ten steps or a thousand.
+    Blocks are as long as the range, so a range is the end of one block and the start of the next. What has entered
+    since the block began is a window that grows with time; what the block before still holds is a window that grows
+    against time, over marks put where a step is last seen. Nothing is subtracted: a value outside the range cannot
+    show in it, be it huge, infinite or no number. A grid point costs the same whether the range holds ten steps or a
+    thousand.
     """
 
     def __init__(self, samples: DataFrame, seconds: int, step: int):
         if seconds % step:
             raise ValueError("the range must be a multiple of the step")
-        self.seconds, self.step = seconds, step
-        self.block = math.ceil(max(seconds, BLOCK) / step) * step
-        tail = seconds - step
+        self.samples, self.seconds, self.step = samples, seconds, step
+        self.tail = seconds - step
         rows = step_rows(samples, step)
-        until = F.least(F.coalesce(F.col("next_g") - step, F.col("g") + tail), F.col("g") + tail)
-        rows = rows.withColumn("at", F.explode(F.sequence("g", until, F.lit(step).cast("bigint"))))
-        rows = rows.withColumn("real", F.col("at") == F.col("g"))
-        own = F.floor(F.col("at") / self.block)
-        reach = F.when(F.col("real"), F.floor((F.col("at") + tail) / self.block)).otherwise(own)
-        self.rows = rows.withColumn("b", F.explode(F.sequence(own, reach)))
-        along = Window.partitionBy("metric", "series", "b").orderBy("at")
-        self.upto = along.rangeBetween(Window.unboundedPreceding, 0)
-        self.gone = along.rangeBetween(Window.unboundedPreceding, -seconds)
-        self.age = (F.col("at") - F.col("b") * self.block).cast("double")
+        g, prev = F.col("g"), F.col("prev_g")
+        until = F.least(F.coalesce(F.col("next_g") - step, g + self.tail), g + self.tail)
+        rows = rows.withColumn("_at", F.explode(F.sequence("g", until, F.lit(step).cast("bigint"))))
+        own, real = self._block(F.col("_at")), F.col("_at") == g
+        seen, seen_pair = self._block(g + self.tail), self._block(prev + self.tail)
+        places = F.array(
+            _place(own, F.col("_at"), POINT),
+            F.when(real & (seen > own), _place(seen, g + self.tail, LEAVES)),
+            F.when(real & (self._block(prev) == own) & (seen_pair > own), _place(seen_pair, prev + self.tail, PAIR_LEAVES)),
+        )
+        rows = rows.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull())))
+        self.rows = rows.select("*", "_place.*").drop("_place", "_at")
+        along = Window.partitionBy("metric", "series", "b")
+        self.upto = along.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        self.still = along.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        self.enters = (F.col("kind") == POINT) & (F.col("at") == g)
+        self.leaves = F.col("kind") == LEAVES
+        self.age = (F.col("at") - F.col("b") * seconds).cast("double")
+
+    def _block(self, at: Column) -> Column:
+        return F.floor(at / self.seconds)
 
     def total(self, c: str) -> Column:
-        x = F.when(F.col("real"), F.col(c))
-        return F.coalesce(F.sum(x).over(self.upto), F.lit(0)) - F.coalesce(F.sum(x).over(self.gone), F.lit(0))
+        return F.coalesce(F.sum(F.when(self.enters, F.col(c))).over(self.upto), F.lit(0)) + F.coalesce(
+            F.sum(F.when(self.leaves, F.col(c))).over(self.still), F.lit(0))
+
+    def pairs(self, c: str) -> Column:
+        """Sum over the steps of the range whose step before is in the range too."""
+        inside = self.enters & (self._block(F.col("prev_g")) == F.col("b"))
+        first = F.first(F.when(self.enters, F.struct("prev_g", F.col(c).alias("c"))), ignorenulls=True).over(self.upto)
+        return (
+            F.coalesce(F.sum(F.when(inside, F.col(c))).over(self.upto), F.lit(0))
+            + F.coalesce(F.sum(F.when(F.col("kind") == PAIR_LEAVES, F.col(c))).over(self.still), F.lit(0))
+            + F.when(first["prev_g"] >= F.col("at") - self.tail, first["c"]).otherwise(0)
+        )
 
     def start(self) -> Column:
-        """The first step of the range: (first_us, first_v, cross, cross_chg)."""
-        after = F.last(F.when(F.col("real"), F.col("next_start")), ignorenulls=True).over(self.gone)
-        return F.coalesce(after, F.first(F.when(F.col("real"), F.col("start")), ignorenulls=True).over(self.upto))
+        """The first step of the range: (first_us, first_v)."""
+        held = F.last(F.when(self.leaves, F.col("start")), ignorenulls=True).over(self.still)
+        return F.coalesce(held, F.first(F.when(self.enters, F.col("start")), ignorenulls=True).over(self.upto))
 
     def last(self, c: str) -> Column:
-        return F.last(F.when(F.col("real"), F.col(c)), ignorenulls=True).over(self.upto)
+        held = F.first(F.when(self.leaves, F.col(c)), ignorenulls=True).over(self.still)
+        return F.coalesce(F.last(F.when(self.enters, F.col(c)), ignorenulls=True).over(self.upto), held)
 
     def with_line(self) -> None:
-        """Sums for least squares; x counts seconds from the start of the block."""
-        off = (F.col("g") - F.col("b") * self.block).cast("double")
-        self.rows = self.rows.withColumns({
-            "_x": F.col("sx") + F.col("n") * off,
-            "_xx": F.col("sxx") + 2 * off * F.col("sx") + F.col("n") * off * off,
-            "_xy": F.col("sxy") + off * F.col("sy"),
-        })
+        """Add the samples themselves for least squares; x counts seconds from the start of the block."""
+        us = F.unix_micros("ts")
+        d = self.samples.select("metric", series_key(F.col("labels")).alias("series"), us.alias("_us"), F.col("value").alias("y"))
+        g = (F.ceil(F.col("_us") / F.lit(self.step * MICROS)) * self.step).cast("bigint")
+        own, seen = self._block(g), self._block(g + self.tail)
+        places = F.array(_place(own, g, SAMPLE), F.when(seen > own, _place(seen, g + self.tail, SAMPLE_LEAVES)))
+        d = d.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull()))).select("metric", "series", "_us", "y", "_place.*")
+        x = (F.col("_us") - F.col("b") * (self.seconds * MICROS)) / F.lit(float(MICROS))
+        self.rows = self.rows.unionByName(d.withColumn("x", x).drop("_us"), allowMissingColumns=True)
+
+    def moments(self, kind: int, n: str) -> dict[str, Column]:
+        """Count, means and centred sums of the samples on one side, kept centred while they grow."""
+        w = self.upto if kind == SAMPLE else self.still
+        x, y = (F.when(F.col("kind") == kind, F.col(c)) for c in ("x", "y"))
+        parts = {"n": F.regr_count, "x": F.regr_avgx, "y": F.regr_avgy, "xx": F.regr_sxx, "xy": F.regr_sxy}
+        return {f"_{k}{n}": F.coalesce(fn(y, x).over(w), F.lit(0)) for k, fn in parts.items()}
 
 
 # What each range function needs from the frame, and its value; null where the range holds too few samples.
@@ -144,14 +190,10 @@ class RangeFrame:
 
 def _growth(r: RangeFrame) -> dict[str, Column]:
     return {
-        "_n": r.total("n"), "_start": r.start(), "_grown": r.total("inc") + r.total("cross"), "_u": r.last("last_us"),
+        "_n": r.total("n"), "_start": r.start(), "_grown": r.total("inc") + r.pairs("cross"), "_u": r.last("last_us"),
     }
 
 
-def _inc() -> Column:
-    return F.col("_grown") - F.col("_start.cross")
-
-
 def _fn_instant(r: RangeFrame, lookback: int):
     young = F.col("at") * MICROS - F.col("_u") < lookback * MICROS
     return {"_v": r.last("last_v"), "_u": r.last("last_us")}, F.when(young, F.col("_v"))
@@ -159,11 +201,11 @@ def _fn_instant(r: RangeFrame, lookback: int):
 
 def _fn_rate(r: RangeFrame, _):
     seconds = (F.col("_u") - F.col("_start.first_us")) / F.lit(float(MICROS))
-    return _growth(r), F.when((F.col("_n") >= 2) & (seconds > 0), _inc() / seconds)
+    return _growth(r), F.when((F.col("_n") >= 2) & (seconds > 0), F.col("_grown") / seconds)
 
 
 def _fn_increase(r: RangeFrame, _):
-    return _growth(r), F.when(F.col("_n") >= 2, _inc())
+    return _growth(r), F.when(F.col("_n") >= 2, F.col("_grown"))
 
 
 def _fn_irate(r: RangeFrame, _):
@@ -179,27 +221,35 @@ def _fn_delta(r: RangeFrame, _):
 
 
 def _fn_changes(r: RangeFrame, _):
-    cols = {"_n": r.total("n"), "_start": r.start(), "_chg": r.total("chg") + r.total("cross_chg")}
-    return cols, F.when(F.col("_n") > 0, (F.col("_chg") - F.col("_start.cross_chg")).cast("double"))
+    cols = {"_n": r.total("n"), "_chg": r.total("chg") + r.pairs("cross_chg")}
+    return cols, F.when(F.col("_n") > 0, F.col("_chg").cast("double"))
 
 
 def _fn_avg(r: RangeFrame, _):
     return {"_n": r.total("n"), "_sy": r.total("sy")}, F.when(F.col("_n") > 0, F.col("_sy") / F.col("_n"))
 
 
-def _line(r: RangeFrame) -> tuple[dict[str, Column], Column]:
-    cols = {"_n": r.total("n"), "_sx": r.total("_x"), "_sy": r.total("sy"), "_sxx": r.total("_xx"), "_sxy": r.total("_xy")}
-    spread = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    return cols, F.when((F.col("_n") >= 2) & (spread > 0), (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
+def _line(r: RangeFrame) -> tuple[dict[str, Column], Column, Column, Column]:
+    """Slope, mean x and mean y of the range: both sides merged without leaving their centres."""
+    cols = r.moments(SAMPLE, "1") | r.moments(SAMPLE_LEAVES, "2")
+    n1, x1, y1, xx1, xy1, n2, x2, y2, xx2, xy2 = (F.col(f"_{k}{i}") for i in "12" for k in ("n", "x", "y", "xx", "xy"))
+    n = n1 + n2
+    both = F.when((n1 > 0) & (n2 > 0), n1 * n2 / n).otherwise(0.0)
+    dx, dy = x2 - x1, y2 - y1
+    xx = xx1 + xx2 + F.when(both > 0, dx * dx * both).otherwise(0.0)
+    xy = xy1 + xy2 + F.when(both > 0, dx * dy * both).otherwise(0.0)
+    mean = lambda p, q: F.when(n1 == 0, q).when(n2 == 0, p).otherwise(p + (q - p) * (n2 / n))
+    return cols, F.when((n >= 2) & (xx > 0), xy / xx), mean(x1, x2), mean(y1, y2)
 
 
 def _fn_deriv(r: RangeFrame, _):
-    return _line(r)
+    cols, slope, _x, _y = _line(r)
+    return cols, slope
 
 
 def _fn_predict(r: RangeFrame, horizon: int):
-    cols, slope = _line(r)
-    return cols, F.col("_sy") / F.col("_n") + slope * (r.age + horizon - F.col("_sx") / F.col("_n"))
+    cols, slope, x, y = _line(r)
+    return cols, y + slope * (r.age + horizon - x)
 
 
 RANGE_FUNCTIONS = {
@@ -222,7 +272,7 @@ def range_values(samples: DataFrame, seconds: int, step: int, wanted: Sequence[t
         needs, value = RANGE_FUNCTIONS[fn](r, arg)
         cols |= needs
         values.append(value.alias(f"v{i}"))
-    d = r.rows.withColumns(cols).where(F.col("b") == F.floor(F.col("at") / r.block))
+    d = r.rows.withColumns(cols).where(F.col("kind") == POINT)
     return d.select(F.timestamp_seconds("at").alias("t"), "metric", labels_of(F.col("series")).alias("labels"), *values)
 
 

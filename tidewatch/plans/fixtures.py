@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.session import spread
 
 AI_REQUESTS = """
 SELECT event_id AS request_id, ts, user_id,
@@ -200,7 +199,7 @@ SNAPSHOTS = """
 SELECT concat('repo-', CAST(o_custkey % 5 AS STRING)) AS repository, concat('snap-', CAST(o_orderkey AS STRING)) AS snapshot,
   CASE WHEN o_orderstatus <> 'P' THEN 'SUCCESS' ELSE 'PARTIAL' END AS state, o_orderkey,
   o_orderdate AS start_time, o_orderdate + INTERVAL 90 SECOND AS end_time
-FROM orders WHERE o_orderkey % 100 = 0
+FROM orders
 """
 
 BY_NAME = {
@@ -261,7 +260,7 @@ class Tables:
         if name not in self._made:
             if name in RAW:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                self._made[name] = spread(df, "doc_id") if name == "documents" else df
+                self._made[name] = df
             elif name in BY_NAME:
                 sql, inputs = BY_NAME[name]
                 frames = {f"in_{i}": getattr(self, i) for i in inputs}

@@ -172,12 +172,11 @@ def _(t):
 CLAIM_SQL = " || ".join(f"regexp_extract_all(response, {lit('(?i)' + p)}, 1)" for p in text.CLAIM_PATTERNS)
 
 
-@query("c9_unsupported_claims", TP + f""", k AS (SELECT request_id, response, lower(concat(prompt, ' ', substr(response, 1, CAST(floor(length(response) / 2) AS INT)))) AS known FROM text_pairs),
+@query("c9_unsupported_claims", TP + f""", k AS (SELECT request_id, response, lower(prompt) AS known FROM text_pairs),
 c AS (SELECT request_id, list_filter({CLAIM_SQL}, lambda c: NOT contains(known, lower(c))) AS lost FROM k)
 SELECT request_id, CASE WHEN request_id % 5 = 0 THEN '' ELSE array_to_string(lost, '|') END AS claims, CAST(CASE WHEN request_id % 5 = 0 THEN 0 ELSE len(lost) END AS INT) AS n FROM c""")
 def _(t):
-    half = F.substring("response", F.lit(1), F.floor(F.length("response") / 2).cast("int"))
-    known = F.when(F.col("request_id") % 5 != 0, F.array("prompt", half)).otherwise(F.array().cast("array<string>"))
+    known = F.when(F.col("request_id") % 5 != 0, F.array("prompt")).otherwise(F.array().cast("array<string>"))
     d = pairs(t).select("request_id", text.unsupported_claims(F.col("response"), known).alias("lost"))
     return d.select("request_id", F.array_join("lost", "|").alias("claims"), F.size("lost").alias("n"))
 

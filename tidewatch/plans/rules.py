@@ -1,281 +1,239 @@
-"""The rule catalogue: recorded series and alert conditions of the monitored stack, as data.
-
-Names and limits are fixed values. Families with a regular name are spelled by a rule: a plain copy of a metric has the
-metric's name with colons for the first underscores, a counter's rate ends in ``_rate:5m``, and so on.
-"""
+"""The rule catalogue: recorded series and alert conditions of the monitored stack, one row per rule."""
 
 from __future__ import annotations
 
 from tidewatch.operators.recording import Alert, Operand, Rule
 
-M5, H1 = 300, 3600
-
-
-def _select(metric, **match):
-    return Operand(metric, match=tuple(match.items()))
-
-
-def _rate(metric, seconds=M5, back=0, agg=None, by=(), where=None, **match):
-    return Operand(metric, "rate", seconds, match=tuple(match.items()), agg=agg, by=tuple(by), back=back, where=where)
-
-
-def _agg(metric, agg, by=(), where=None, **match):
-    return Operand(metric, agg=agg, by=tuple(by), where=where, match=tuple(match.items()))
-
-
-def _copy(name, operand):
-    return Rule(name, "a", (operand,))
-
-
-def _copies(prefix, metric_prefix, pairs):
-    """Plain copies: ``suffix`` or ``suffix=metric`` per entry."""
-    out = []
-    for p in pairs.split():
-        suffix, _, metric = p.partition("=")
-        out.append(_copy(prefix + suffix, _select(metric_prefix + (metric or suffix))))
-    return out
-
-
-def _rates(prefix, metric_prefix, pairs):
-    """Rates over five minutes: ``suffix=metric`` per entry; the record ends in _rate:5m."""
-    return [_copy(f"{prefix}{s}_rate:5m", _rate(metric_prefix + mm)) for s, mm in (p.split("=") for p in pairs.split())]
-
-
-def _sums(prefix, metric_prefix, pairs):
-    """Rates over five minutes summed over all series."""
-    return [_copy(f"{prefix}{s}", _rate(metric_prefix + mm, agg="sum")) for s, mm in (p.split("=") for p in pairs.split())]
-
-
-def _ratio(name, a, b, op="a/b"):
-    return Rule(name, op, (a, b))
-
-
-ES, EI = "elasticsearch:", "elasticsearch_indices_"
-
-
-def _named(prefix, metric, names):
-    return [_copy(f"{prefix}:{n}", _select(metric, name=n)) for n in names]
-
-
-# Search store.
-STORE_RULES = (
-    [
-        Rule(ES + "cluster:status", "worst", tuple(
-            _agg("elasticsearch_cluster_health_status", "max", ["cluster"], color=c) for c in ("green", "yellow", "red"))),
-        Rule(ES + "cluster:is_healthy", "a is k", (_agg("elasticsearch_cluster_health_status", "max", ["cluster"], color="green"),), 1),
-    ]
-    + _copies(ES + "cluster:", "elasticsearch_cluster_health_number_of_", "node_count=nodes data_node_count=data_nodes")
-    + _copies(ES + "shards:", "elasticsearch_cluster_health_", "total=active_shards primary=active_primary_shards unassigned=unassigned_shards"
-              " relocating=relocating_shards initializing=initializing_shards delayed_unassigned=delayed_unassigned_shards")
-    + [
-        _copy(ES + "jvm:heap_used_bytes", _select("elasticsearch_jvm_memory_used_bytes", area="heap")),
-        _copy(ES + "jvm:heap_max_bytes", _select("elasticsearch_jvm_memory_max_bytes", area="heap")),
-        _ratio(ES + "jvm:heap_usage_ratio", _select("elasticsearch_jvm_memory_used_bytes", area="heap"), _select("elasticsearch_jvm_memory_max_bytes", area="heap")),
-        _copy(ES + "jvm:nonheap_used_bytes", _select("elasticsearch_jvm_memory_used_bytes", area="non-heap")),
-    ]
-    + _rates(ES + "jvm:", "elasticsearch_jvm_gc_collection_seconds_", "gc_count=count gc_time=sum")
-    + _sums(ES, EI, "indexing:rate:5m=indexing_index_total indexing:delete_rate:5m=indexing_delete_total bulk:rate:5m=bulk_total"
-            " search:query_rate:5m=search_query_total search:fetch_rate:5m=search_fetch_total search:scroll_rate:5m=search_scroll_total")
-    + [
-        _copy(ES + "indexing:rate:5m:by_node", _rate(EI + "indexing_index_total")),
-        _copy(ES + "search:query_rate:5m:by_node", _rate(EI + "search_query_total")),
-        _copy(ES + "search:scroll_current", _agg(EI + "search_scroll_current", "sum")),
-    ]
-    + [_ratio(f"{ES}{name}latency_avg:5m", _rate(f"{EI}{mm}_time_seconds_total"), _rate(f"{EI}{mm}_total")) for name, mm in (
-        ("search:query_", "search_query"), ("search:fetch_", "search_fetch"), ("bulk:", "bulk"))]
-    + [_ratio(ES + "indexing:latency_avg:5m", _rate(EI + "indexing_index_time_seconds_total"), _rate(EI + "indexing_index_total"))]
-    + _copies(ES + "disk:", "elasticsearch_filesystem_data_", "total_bytes=size_bytes free_bytes")
-    + [
-        _ratio(ES + "disk:used_bytes", _select("elasticsearch_filesystem_data_size_bytes"), _select("elasticsearch_filesystem_data_free_bytes"), "a-b"),
-        _ratio(ES + "disk:usage_ratio", _select("elasticsearch_filesystem_data_free_bytes"), _select("elasticsearch_filesystem_data_size_bytes"), "1-a/b"),
-        _copy(ES + "indices:store_size_bytes", _agg(EI + "store_size_bytes_total", "sum")),
-        _copy(ES + "indices:store_size_bytes:by_node", _select(EI + "store_size_bytes_total")),
-        _copy(ES + "threadpool:queue_size", _select("elasticsearch_thread_pool_queue_count")),
-        _copy(ES + "threadpool:active", _select("elasticsearch_thread_pool_active_count")),
-        _copy(ES + "threadpool:rejected_total", _select("elasticsearch_thread_pool_rejected_count")),
-    ]
-    + _named(ES + "threadpool:queue_size", "elasticsearch_thread_pool_queue_count", ("search", "write", "get"))
-    + _named(ES + "threadpool:active", "elasticsearch_thread_pool_active_count", ("search", "write"))
-    + [_copy(f"{ES}threadpool:{kind}_rate:5m" + (f":{n}" if n else ""), _rate(f"elasticsearch_thread_pool_{kind}_count", **({"name": n} if n else {})))
-       for kind in ("rejected", "completed") for n in ("", "search", "write")]
-    + _copies(ES + "breaker:", "elasticsearch_breakers_", "estimated_bytes=estimated_size_bytes limit_bytes=limit_size_bytes")
-    + [_ratio(f"{ES}breaker:{n + ':' if n else ''}usage_ratio", _select("elasticsearch_breakers_estimated_size_bytes", **({"name": n} if n else {})),
-              _select("elasticsearch_breakers_limit_size_bytes", **({"name": n} if n else {}))) for n in ("", "parent", "fielddata", "request")]
-    + _rates(ES + "breaker:", "elasticsearch_breakers_", "tripped=tripped")
-    + _copies(ES + "os:", "elasticsearch_os_", "cpu_percent mem_used_percent mem_free_bytes mem_total_bytes load_average_1m=load1 load_average_5m=load5 load_average_15m=load15")
-    + _copies(ES + "process:", "elasticsearch_process_", "cpu_percent open_fds=open_files_count max_fds=max_files_descriptors")
-    + [_ratio(ES + "process:fds_usage_ratio", _select("elasticsearch_process_open_files_count"), _select("elasticsearch_process_max_files_descriptors"))]
-    + _rates(ES + "transport:", "elasticsearch_transport_", "rx_bytes=rx_bytes_total tx_bytes=tx_bytes_total rx_packets=rx_packets_total tx_packets=tx_packets_total")
-    + _copies(ES + "transport:", "elasticsearch_transport_", "server_open=server_open_total")
-    + _copies(ES + "http:", "elasticsearch_http_", "current_open")
-    + _rates(ES + "http:", "elasticsearch_http_", "total_opened=total_opened")
-    + [_copy(f"{ES}{name}", _agg(EI + mm, "sum")) for name, mm in (
-        ("indices:docs_count", "docs_count"), ("indices:docs_deleted", "docs_deleted"), ("segments:count", "segments_count"),
-        ("segments:memory_bytes", "segments_memory_bytes"))]
-    + [_copy(ES + "indices:docs_count:by_index", _select(EI + "docs_count"))]
-    + _rates(ES + "indices:", EI, "merges=merges_total merges_docs=merges_docs_total refresh=refresh_total flush=flush_total")
-    + [_ratio(f"{ES}cache:{n}:hit_rate:5m", _rate(f"{EI}{n}cache_hits_total"), _rate(f"{EI}{n}cache_misses_total"), "a/(a+b)") for n in ("query", "request")]
-    + [_copy(f"{ES}cache:{n}:memory_bytes", _select(f"{EI}{n}cache_memory_size_bytes")) for n in ("query", "request")]
-    + _rates(ES, EI, "cache:query:evictions=querycache_evictions cache:request:evictions=requestcache_evictions fielddata:evictions=fielddata_evictions")
-    + [_copy(ES + "fielddata:memory_bytes", _select(EI + "fielddata_memory_size_bytes"))]
+# Recorded series: name, operation, operands, constant.
+RECORDING_RULES = (
+    Rule("elasticsearch:cluster:status", "worst", (Operand("elasticsearch_cluster_health_status", match=(("color", "green"),), agg="max", by=("cluster",)), Operand("elasticsearch_cluster_health_status", match=(("color", "yellow"),), agg="max", by=("cluster",)), Operand("elasticsearch_cluster_health_status", match=(("color", "red"),), agg="max", by=("cluster",)))),
+    Rule("elasticsearch:cluster:is_healthy", "a is k", (Operand("elasticsearch_cluster_health_status", match=(("color", "green"),), agg="max", by=("cluster",)),), 1),
+    Rule("elasticsearch:cluster:node_count", "a", (Operand("elasticsearch_cluster_health_number_of_nodes"),)),
+    Rule("elasticsearch:cluster:data_node_count", "a", (Operand("elasticsearch_cluster_health_number_of_data_nodes"),)),
+    Rule("elasticsearch:shards:total", "a", (Operand("elasticsearch_cluster_health_active_shards"),)),
+    Rule("elasticsearch:shards:primary", "a", (Operand("elasticsearch_cluster_health_active_primary_shards"),)),
+    Rule("elasticsearch:shards:unassigned", "a", (Operand("elasticsearch_cluster_health_unassigned_shards"),)),
+    Rule("elasticsearch:shards:relocating", "a", (Operand("elasticsearch_cluster_health_relocating_shards"),)),
+    Rule("elasticsearch:shards:initializing", "a", (Operand("elasticsearch_cluster_health_initializing_shards"),)),
+    Rule("elasticsearch:shards:delayed_unassigned", "a", (Operand("elasticsearch_cluster_health_delayed_unassigned_shards"),)),
+    Rule("elasticsearch:jvm:heap_used_bytes", "a", (Operand("elasticsearch_jvm_memory_used_bytes", match=(("area", "heap"),)),)),
+    Rule("elasticsearch:jvm:heap_max_bytes", "a", (Operand("elasticsearch_jvm_memory_max_bytes", match=(("area", "heap"),)),)),
+    Rule("elasticsearch:jvm:heap_usage_ratio", "a/b", (Operand("elasticsearch_jvm_memory_used_bytes", match=(("area", "heap"),)), Operand("elasticsearch_jvm_memory_max_bytes", match=(("area", "heap"),)))),
+    Rule("elasticsearch:jvm:nonheap_used_bytes", "a", (Operand("elasticsearch_jvm_memory_used_bytes", match=(("area", "non-heap"),)),)),
+    Rule("elasticsearch:jvm:gc_count_rate:5m", "a", (Operand("elasticsearch_jvm_gc_collection_seconds_count", "rate", 300),)),
+    Rule("elasticsearch:jvm:gc_time_rate:5m", "a", (Operand("elasticsearch_jvm_gc_collection_seconds_sum", "rate", 300),)),
+    Rule("elasticsearch:indexing:rate:5m", "a", (Operand("elasticsearch_indices_indexing_index_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:indexing:delete_rate:5m", "a", (Operand("elasticsearch_indices_indexing_delete_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:bulk:rate:5m", "a", (Operand("elasticsearch_indices_bulk_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:search:query_rate:5m", "a", (Operand("elasticsearch_indices_search_query_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:search:fetch_rate:5m", "a", (Operand("elasticsearch_indices_search_fetch_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:search:scroll_rate:5m", "a", (Operand("elasticsearch_indices_search_scroll_total", "rate", 300, agg="sum"),)),
+    Rule("elasticsearch:indexing:rate:5m:by_node", "a", (Operand("elasticsearch_indices_indexing_index_total", "rate", 300),)),
+    Rule("elasticsearch:search:query_rate:5m:by_node", "a", (Operand("elasticsearch_indices_search_query_total", "rate", 300),)),
+    Rule("elasticsearch:search:scroll_current", "a", (Operand("elasticsearch_indices_search_scroll_current", agg="sum"),)),
+    Rule("elasticsearch:search:query_latency_avg:5m", "a/b", (Operand("elasticsearch_indices_search_query_time_seconds_total", "rate", 300), Operand("elasticsearch_indices_search_query_total", "rate", 300))),
+    Rule("elasticsearch:search:fetch_latency_avg:5m", "a/b", (Operand("elasticsearch_indices_search_fetch_time_seconds_total", "rate", 300), Operand("elasticsearch_indices_search_fetch_total", "rate", 300))),
+    Rule("elasticsearch:bulk:latency_avg:5m", "a/b", (Operand("elasticsearch_indices_bulk_time_seconds_total", "rate", 300), Operand("elasticsearch_indices_bulk_total", "rate", 300))),
+    Rule("elasticsearch:indexing:latency_avg:5m", "a/b", (Operand("elasticsearch_indices_indexing_index_time_seconds_total", "rate", 300), Operand("elasticsearch_indices_indexing_index_total", "rate", 300))),
+    Rule("elasticsearch:disk:total_bytes", "a", (Operand("elasticsearch_filesystem_data_size_bytes"),)),
+    Rule("elasticsearch:disk:free_bytes", "a", (Operand("elasticsearch_filesystem_data_free_bytes"),)),
+    Rule("elasticsearch:disk:used_bytes", "a-b", (Operand("elasticsearch_filesystem_data_size_bytes"), Operand("elasticsearch_filesystem_data_free_bytes"))),
+    Rule("elasticsearch:disk:usage_ratio", "1-a/b", (Operand("elasticsearch_filesystem_data_free_bytes"), Operand("elasticsearch_filesystem_data_size_bytes"))),
+    Rule("elasticsearch:indices:store_size_bytes", "a", (Operand("elasticsearch_indices_store_size_bytes_total", agg="sum"),)),
+    Rule("elasticsearch:indices:store_size_bytes:by_node", "a", (Operand("elasticsearch_indices_store_size_bytes_total"),)),
+    Rule("elasticsearch:threadpool:queue_size", "a", (Operand("elasticsearch_thread_pool_queue_count"),)),
+    Rule("elasticsearch:threadpool:active", "a", (Operand("elasticsearch_thread_pool_active_count"),)),
+    Rule("elasticsearch:threadpool:rejected_total", "a", (Operand("elasticsearch_thread_pool_rejected_count"),)),
+    Rule("elasticsearch:threadpool:queue_size:search", "a", (Operand("elasticsearch_thread_pool_queue_count", match=(("name", "search"),)),)),
+    Rule("elasticsearch:threadpool:queue_size:write", "a", (Operand("elasticsearch_thread_pool_queue_count", match=(("name", "write"),)),)),
+    Rule("elasticsearch:threadpool:queue_size:get", "a", (Operand("elasticsearch_thread_pool_queue_count", match=(("name", "get"),)),)),
+    Rule("elasticsearch:threadpool:active:search", "a", (Operand("elasticsearch_thread_pool_active_count", match=(("name", "search"),)),)),
+    Rule("elasticsearch:threadpool:active:write", "a", (Operand("elasticsearch_thread_pool_active_count", match=(("name", "write"),)),)),
+    Rule("elasticsearch:threadpool:rejected_rate:5m", "a", (Operand("elasticsearch_thread_pool_rejected_count", "rate", 300),)),
+    Rule("elasticsearch:threadpool:rejected_rate:5m:search", "a", (Operand("elasticsearch_thread_pool_rejected_count", "rate", 300, match=(("name", "search"),)),)),
+    Rule("elasticsearch:threadpool:rejected_rate:5m:write", "a", (Operand("elasticsearch_thread_pool_rejected_count", "rate", 300, match=(("name", "write"),)),)),
+    Rule("elasticsearch:threadpool:completed_rate:5m", "a", (Operand("elasticsearch_thread_pool_completed_count", "rate", 300),)),
+    Rule("elasticsearch:threadpool:completed_rate:5m:search", "a", (Operand("elasticsearch_thread_pool_completed_count", "rate", 300, match=(("name", "search"),)),)),
+    Rule("elasticsearch:threadpool:completed_rate:5m:write", "a", (Operand("elasticsearch_thread_pool_completed_count", "rate", 300, match=(("name", "write"),)),)),
+    Rule("elasticsearch:breaker:estimated_bytes", "a", (Operand("elasticsearch_breakers_estimated_size_bytes"),)),
+    Rule("elasticsearch:breaker:limit_bytes", "a", (Operand("elasticsearch_breakers_limit_size_bytes"),)),
+    Rule("elasticsearch:breaker:usage_ratio", "a/b", (Operand("elasticsearch_breakers_estimated_size_bytes"), Operand("elasticsearch_breakers_limit_size_bytes"))),
+    Rule("elasticsearch:breaker:parent:usage_ratio", "a/b", (Operand("elasticsearch_breakers_estimated_size_bytes", match=(("name", "parent"),)), Operand("elasticsearch_breakers_limit_size_bytes", match=(("name", "parent"),)))),
+    Rule("elasticsearch:breaker:fielddata:usage_ratio", "a/b", (Operand("elasticsearch_breakers_estimated_size_bytes", match=(("name", "fielddata"),)), Operand("elasticsearch_breakers_limit_size_bytes", match=(("name", "fielddata"),)))),
+    Rule("elasticsearch:breaker:request:usage_ratio", "a/b", (Operand("elasticsearch_breakers_estimated_size_bytes", match=(("name", "request"),)), Operand("elasticsearch_breakers_limit_size_bytes", match=(("name", "request"),)))),
+    Rule("elasticsearch:breaker:tripped_rate:5m", "a", (Operand("elasticsearch_breakers_tripped", "rate", 300),)),
+    Rule("elasticsearch:os:cpu_percent", "a", (Operand("elasticsearch_os_cpu_percent"),)),
+    Rule("elasticsearch:os:mem_used_percent", "a", (Operand("elasticsearch_os_mem_used_percent"),)),
+    Rule("elasticsearch:os:mem_free_bytes", "a", (Operand("elasticsearch_os_mem_free_bytes"),)),
+    Rule("elasticsearch:os:mem_total_bytes", "a", (Operand("elasticsearch_os_mem_total_bytes"),)),
+    Rule("elasticsearch:os:load_average_1m", "a", (Operand("elasticsearch_os_load1"),)),
+    Rule("elasticsearch:os:load_average_5m", "a", (Operand("elasticsearch_os_load5"),)),
+    Rule("elasticsearch:os:load_average_15m", "a", (Operand("elasticsearch_os_load15"),)),
+    Rule("elasticsearch:process:cpu_percent", "a", (Operand("elasticsearch_process_cpu_percent"),)),
+    Rule("elasticsearch:process:open_fds", "a", (Operand("elasticsearch_process_open_files_count"),)),
+    Rule("elasticsearch:process:max_fds", "a", (Operand("elasticsearch_process_max_files_descriptors"),)),
+    Rule("elasticsearch:process:fds_usage_ratio", "a/b", (Operand("elasticsearch_process_open_files_count"), Operand("elasticsearch_process_max_files_descriptors"))),
+    Rule("elasticsearch:transport:rx_bytes_rate:5m", "a", (Operand("elasticsearch_transport_rx_bytes_total", "rate", 300),)),
+    Rule("elasticsearch:transport:tx_bytes_rate:5m", "a", (Operand("elasticsearch_transport_tx_bytes_total", "rate", 300),)),
+    Rule("elasticsearch:transport:rx_packets_rate:5m", "a", (Operand("elasticsearch_transport_rx_packets_total", "rate", 300),)),
+    Rule("elasticsearch:transport:tx_packets_rate:5m", "a", (Operand("elasticsearch_transport_tx_packets_total", "rate", 300),)),
+    Rule("elasticsearch:transport:server_open", "a", (Operand("elasticsearch_transport_server_open_total"),)),
+    Rule("elasticsearch:http:current_open", "a", (Operand("elasticsearch_http_current_open"),)),
+    Rule("elasticsearch:http:total_opened_rate:5m", "a", (Operand("elasticsearch_http_total_opened", "rate", 300),)),
+    Rule("elasticsearch:indices:docs_count", "a", (Operand("elasticsearch_indices_docs_count", agg="sum"),)),
+    Rule("elasticsearch:indices:docs_deleted", "a", (Operand("elasticsearch_indices_docs_deleted", agg="sum"),)),
+    Rule("elasticsearch:segments:count", "a", (Operand("elasticsearch_indices_segments_count", agg="sum"),)),
+    Rule("elasticsearch:segments:memory_bytes", "a", (Operand("elasticsearch_indices_segments_memory_bytes", agg="sum"),)),
+    Rule("elasticsearch:indices:docs_count:by_index", "a", (Operand("elasticsearch_indices_docs_count"),)),
+    Rule("elasticsearch:indices:merges_rate:5m", "a", (Operand("elasticsearch_indices_merges_total", "rate", 300),)),
+    Rule("elasticsearch:indices:merges_docs_rate:5m", "a", (Operand("elasticsearch_indices_merges_docs_total", "rate", 300),)),
+    Rule("elasticsearch:indices:refresh_rate:5m", "a", (Operand("elasticsearch_indices_refresh_total", "rate", 300),)),
+    Rule("elasticsearch:indices:flush_rate:5m", "a", (Operand("elasticsearch_indices_flush_total", "rate", 300),)),
+    Rule("elasticsearch:cache:query:hit_rate:5m", "a/(a+b)", (Operand("elasticsearch_indices_querycache_hits_total", "rate", 300), Operand("elasticsearch_indices_querycache_misses_total", "rate", 300))),
+    Rule("elasticsearch:cache:request:hit_rate:5m", "a/(a+b)", (Operand("elasticsearch_indices_requestcache_hits_total", "rate", 300), Operand("elasticsearch_indices_requestcache_misses_total", "rate", 300))),
+    Rule("elasticsearch:cache:query:memory_bytes", "a", (Operand("elasticsearch_indices_querycache_memory_size_bytes"),)),
+    Rule("elasticsearch:cache:request:memory_bytes", "a", (Operand("elasticsearch_indices_requestcache_memory_size_bytes"),)),
+    Rule("elasticsearch:cache:query:evictions_rate:5m", "a", (Operand("elasticsearch_indices_querycache_evictions_total", "rate", 300),)),
+    Rule("elasticsearch:cache:request:evictions_rate:5m", "a", (Operand("elasticsearch_indices_requestcache_evictions_total", "rate", 300),)),
+    Rule("elasticsearch:fielddata:evictions_rate:5m", "a", (Operand("elasticsearch_indices_fielddata_evictions_total", "rate", 300),)),
+    Rule("elasticsearch:fielddata:memory_bytes", "a", (Operand("elasticsearch_indices_fielddata_memory_size_bytes"),)),
+    Rule("probe:success_rate:5m", "a", (Operand("probe_success", "avg", 300),)),
+    Rule("probe:success_rate:5m:by_job", "a", (Operand("probe_success", "avg", 300, agg="avg", by=("job", "instance")),)),
+    Rule("probe:duration_avg:5m", "a", (Operand("probe_duration_seconds", "avg", 300),)),
+    Rule("probe:duration_p95:5m", "quantile", (Operand("probe_duration_seconds_bucket", "rate", 300, agg="sum", by=("le", "job")),), 0.95),
+    Rule("probe:ssl_cert_expiry_days", "(a-t)/86400", (Operand("probe_ssl_earliest_cert_expiry"),)),
+    Rule("otel:receiver:accepted_rate:5m", "a", (Operand("otelcol_receiver_accepted_metric_points", "rate", 300, agg="sum", by=("receiver",)),)),
+    Rule("otel:receiver:refused_rate:5m", "a", (Operand("otelcol_receiver_refused_metric_points", "rate", 300, agg="sum", by=("receiver",)),)),
+    Rule("otel:exporter:sent_rate:5m", "a", (Operand("otelcol_exporter_sent_metric_points", "rate", 300, agg="sum", by=("exporter",)),)),
+    Rule("otel:exporter:failed_rate:5m", "a", (Operand("otelcol_exporter_send_failed_metric_points", "rate", 300, agg="sum", by=("exporter",)),)),
+    Rule("_otel:batch_size", "a/b", (Operand("otelcol_processor_batch_batch_send_size_sum"), Operand("otelcol_processor_batch_batch_send_size_count"))),
+    Rule("otel:processor:batch_size_avg", "a", (Operand("_otel:batch_size", agg="avg", by=("processor",)),)),
+    Rule("kafka:cluster:broker_count", "a", (Operand("up", match=(("job", "kafka-jmx"),), where=("==", 1), agg="count"),)),
+    Rule("kafka:cluster:broker_up", "a", (Operand("up", match=(("job", "kafka-jmx"),)),)),
+    Rule("kafka:cluster:active_controller_count", "a", (Operand("kafka_controller_active_controller_count", agg="sum"),)),
+    Rule("kafka:cluster:is_healthy", "a is k and b is 1 and c is 0", (Operand("up", match=(("job", "kafka-jmx"),), where=("==", 1), agg="count"), Operand("kafka_controller_active_controller_count", agg="sum"), Operand("kafka_controller_offline_partitions_count", agg="sum")), 3),
+    Rule("kafka:cluster:offline_partitions", "a", (Operand("kafka_controller_offline_partitions_count", agg="sum"),)),
+    Rule("kafka:cluster:under_replicated_partitions", "a", (Operand("kafka_server_replica_manager_under_replicated_partitions", agg="sum"),)),
+    Rule("kafka:cluster:under_min_isr_partitions", "a", (Operand("kafka_server_replica_manager_under_min_isr_partition_count", agg="sum"),)),
+    Rule("kafka:cluster:partition_count", "a", (Operand("kafka_server_replica_manager_partition_count", agg="sum"),)),
+    Rule("kafka:cluster:leader_count", "a", (Operand("kafka_server_replica_manager_leader_count", agg="sum"),)),
+    Rule("kafka:replication:isr_shrinks_rate:5m", "a", (Operand("kafka_server_replica_manager_isr_shrinks_total", "rate", 300, agg="sum"),)),
+    Rule("kafka:replication:isr_expands_rate:5m", "a", (Operand("kafka_server_replica_manager_isr_expands_total", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:messages_in_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_messages_in_total_all", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:messages_in_rate:5m:by_broker", "a", (Operand("kafka_server_broker_topic_metrics_messages_in_total_all", "rate", 300),)),
+    Rule("kafka:throughput:messages_in_rate:5m:by_topic", "a", (Operand("kafka_server_broker_topic_metrics_messages_in_total", "rate", 300, agg="sum", by=("topic",)),)),
+    Rule("kafka:throughput:bytes_in_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_bytes_in_total_all", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:bytes_in_rate:5m:by_broker", "a", (Operand("kafka_server_broker_topic_metrics_bytes_in_total_all", "rate", 300),)),
+    Rule("kafka:throughput:bytes_in_rate:5m:by_topic", "a", (Operand("kafka_server_broker_topic_metrics_bytes_in_total", "rate", 300, agg="sum", by=("topic",)),)),
+    Rule("kafka:throughput:bytes_out_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_bytes_out_total_all", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:bytes_out_rate:5m:by_broker", "a", (Operand("kafka_server_broker_topic_metrics_bytes_out_total_all", "rate", 300),)),
+    Rule("kafka:throughput:bytes_out_rate:5m:by_topic", "a", (Operand("kafka_server_broker_topic_metrics_bytes_out_total", "rate", 300, agg="sum", by=("topic",)),)),
+    Rule("kafka:throughput:failed_produce_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_failed_produce_requests_total", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:failed_fetch_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_failed_fetch_requests_total", "rate", 300, agg="sum"),)),
+    Rule("kafka:throughput:bytes_rejected_rate:5m", "a", (Operand("kafka_server_broker_topic_metrics_bytes_rejected_total", "rate", 300, agg="sum"),)),
+    Rule("kafka:request:produce_rate:5m", "a", (Operand("kafka_network_request_metrics_requests_total", "rate", 300, match=(("request", "Produce"),), agg="sum"),)),
+    Rule("kafka:request:fetch_rate:5m", "a", (Operand("kafka_network_request_metrics_requests_total", "rate", 300, match=(("request", "Fetch"),), agg="sum"),)),
+    Rule("kafka:request:fetch_consumer_rate:5m", "a", (Operand("kafka_network_request_metrics_requests_total", "rate", 300, match=(("request", "FetchConsumer"),), agg="sum"),)),
+    Rule("kafka:request:fetch_follower_rate:5m", "a", (Operand("kafka_network_request_metrics_requests_total", "rate", 300, match=(("request", "FetchFollower"),), agg="sum"),)),
+    Rule("kafka:request:produce_total_time_p99", "a", (Operand("kafka_network_request_total_time_ms", match=(("request", "Produce"), ("quantile", "0.99")), agg="avg"),)),
+    Rule("kafka:request:fetch_total_time_p99", "a", (Operand("kafka_network_request_total_time_ms", match=(("request", "Fetch"), ("quantile", "0.99")), agg="avg"),)),
+    Rule("kafka:request:produce_queue_time_p99", "a", (Operand("kafka_network_request_queue_time_ms", match=(("request", "Produce"), ("quantile", "0.99")), agg="avg"),)),
+    Rule("kafka:request:fetch_queue_time_p99", "a", (Operand("kafka_network_request_queue_time_ms", match=(("request", "Fetch"), ("quantile", "0.99")), agg="avg"),)),
+    Rule("kafka:consumer:lag_total", "a", (Operand("kafka_consumergroup_lag", agg="sum"),)),
+    Rule("kafka:consumer:lag_by_group", "a", (Operand("kafka_consumergroup_lag", agg="sum", by=("consumergroup",)),)),
+    Rule("kafka:consumer:lag_by_topic", "a", (Operand("kafka_consumergroup_lag", agg="sum", by=("topic",)),)),
+    Rule("kafka:consumer:lag_by_group_topic", "a", (Operand("kafka_consumergroup_lag", agg="sum", by=("consumergroup", "topic")),)),
+    Rule("_kafka:groups", "a", (Operand("kafka_consumergroup_members", agg="count", by=("consumergroup",)),)),
+    Rule("kafka:consumer:group_count", "a", (Operand("_kafka:groups", agg="count"),)),
+    Rule("kafka:consumer:members_by_group", "a", (Operand("kafka_consumergroup_members"),)),
+    Rule("kafka:consumer:current_offset_rate:5m", "a", (Operand("kafka_consumergroup_current_offset", "rate", 300, agg="sum", by=("consumergroup", "topic")),)),
+    Rule("kafka:jvm:heap_usage_ratio", "a/b", (Operand("jvm_memory_heap_used_bytes"), Operand("jvm_memory_heap_max_bytes"))),
+    Rule("kafka:jvm:heap_usage_ratio:by_broker", "a/b", (Operand("jvm_memory_heap_used_bytes"), Operand("jvm_memory_heap_max_bytes"))),
+    Rule("kafka:jvm:heap_used_bytes", "a", (Operand("jvm_memory_heap_used_bytes"),)),
+    Rule("kafka:jvm:heap_max_bytes", "a", (Operand("jvm_memory_heap_max_bytes"),)),
+    Rule("kafka:jvm:thread_count", "a", (Operand("jvm_threads_current"),)),
+    Rule("kafka:jvm:gc_time_rate:5m", "a/k", (Operand("jvm_gc_collection_time_ms", "rate", 300),), 1000),
+    Rule("kafka:jvm:gc_count_rate:5m", "a", (Operand("jvm_gc_collection_count", "rate", 300),)),
+    Rule("kafka:jvm:fd_usage_ratio", "a/b", (Operand("jvm_os_open_file_descriptor_count"), Operand("jvm_os_max_file_descriptor_count"))),
+    Rule("kafka:performance:network_processor_idle", "a", (Operand("kafka_network_socket_server_network_processor_avg_idle_percent"),)),
+    Rule("kafka:performance:request_handler_idle", "a", (Operand("kafka_server_request_handler_avg_idle_percent"),)),
+    Rule("kafka:performance:purgatory_size:produce", "a", (Operand("kafka_server_delayed_operation_purgatory_size", match=(("operation", "Produce"),)),)),
+    Rule("kafka:performance:purgatory_size:fetch", "a", (Operand("kafka_server_delayed_operation_purgatory_size", match=(("operation", "Fetch"),)),)),
+    Rule("_kafka:topics", "a", (Operand("kafka_topic_partitions", agg="count", by=("topic",)),)),
+    Rule("kafka:topic:count", "a", (Operand("_kafka:topics", agg="count"),)),
+    Rule("kafka:topic:partition_count", "a", (Operand("kafka_topic_partitions"),)),
+    Rule("kafka:topic:size_bytes", "a", (Operand("kafka_log_size_bytes", agg="sum", by=("topic",)),)),
+    Rule("kafka:topic:log_end_offset", "a", (Operand("kafka_log_end_offset", agg="sum", by=("topic",)),)),
+    Rule("logstash:availability:up", "a", (Operand("probe_success", match=(("job", "blackbox-logstash"),)),)),
+    Rule("logstash:availability:probe_duration_seconds", "a", (Operand("probe_duration_seconds", match=(("job", "blackbox-logstash"),)),)),
+    Rule("logstash:pipeline:events_in_total", "a", (Operand("logstash_node_pipeline_events_in_total"),)),
+    Rule("logstash:pipeline:events_out_total", "a", (Operand("logstash_node_pipeline_events_out_total"),)),
+    Rule("logstash:pipeline:events_filtered_total", "a", (Operand("logstash_node_pipeline_events_filtered_total"),)),
+    Rule("logstash:pipeline:events_in_rate:5m", "a", (Operand("logstash_node_pipeline_events_in_total", "rate", 300),)),
+    Rule("logstash:pipeline:events_out_rate:5m", "a", (Operand("logstash_node_pipeline_events_out_total", "rate", 300),)),
+    Rule("logstash:pipeline:events_filtered_rate:5m", "a", (Operand("logstash_node_pipeline_events_filtered_total", "rate", 300),)),
+    Rule("logstash:pipeline:throughput_eps", "a", (Operand("logstash_node_pipeline_events_out_total", "irate", 60),)),
+    Rule("logstash:pipeline:throughput_eps:5m_avg", "a", (Operand("logstash_node_pipeline_events_out_total", "rate", 300),)),
+    Rule("logstash:pipeline:filter_ratio", "a/b", (Operand("logstash_node_pipeline_events_filtered_total", "rate", 300), Operand("logstash_node_pipeline_events_in_total", "rate", 300))),
+    Rule("logstash:latency:queue_push_duration_ms", "a", (Operand("logstash_node_pipeline_queue_push_duration_in_millis"),)),
+    Rule("logstash:latency:queue_push_duration_rate:5m", "a", (Operand("logstash_node_pipeline_queue_push_duration_in_millis", "rate", 300),)),
+    Rule("logstash:latency:filter_duration_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_filters_events_duration_in_millis", "rate", 300),)),
+    Rule("logstash:latency:output_duration_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300),)),
+    Rule("logstash:latency:filter_avg_ms", "a/b", (Operand("logstash_node_pipeline_plugins_filters_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_filters_events_out_total", "rate", 300))),
+    Rule("logstash:latency:output_avg_ms", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))),
+    Rule("logstash:queue:events_count", "a", (Operand("logstash_node_pipeline_queue_events_count"),)),
+    Rule("logstash:queue:size_bytes", "a", (Operand("logstash_node_pipeline_queue_size_in_bytes"),)),
+    Rule("logstash:queue:max_size_bytes", "a", (Operand("logstash_node_pipeline_queue_max_size_in_bytes"),)),
+    Rule("logstash:queue:usage_ratio", "a/b", (Operand("logstash_node_pipeline_queue_size_in_bytes"), Operand("logstash_node_pipeline_queue_max_size_in_bytes"))),
+    Rule("logstash:jvm:heap_used_bytes", "a", (Operand("logstash_node_jvm_mem_heap_used_in_bytes"),)),
+    Rule("logstash:jvm:heap_max_bytes", "a", (Operand("logstash_node_jvm_mem_heap_max_in_bytes"),)),
+    Rule("logstash:jvm:heap_committed_bytes", "a", (Operand("logstash_node_jvm_mem_heap_committed_in_bytes"),)),
+    Rule("logstash:jvm:non_heap_used_bytes", "a", (Operand("logstash_node_jvm_mem_non_heap_used_in_bytes"),)),
+    Rule("logstash:jvm:threads_count", "a", (Operand("logstash_node_jvm_threads_count"),)),
+    Rule("logstash:jvm:threads_peak_count", "a", (Operand("logstash_node_jvm_threads_peak_count"),)),
+    Rule("logstash:jvm:heap_usage_ratio", "a/b", (Operand("logstash_node_jvm_mem_heap_used_in_bytes"), Operand("logstash_node_jvm_mem_heap_max_in_bytes"))),
+    Rule("logstash:jvm:gc_old_time_rate:5m", "a/k", (Operand("logstash_node_jvm_gc_collectors_old_collection_time_in_millis", "rate", 300),), 1000),
+    Rule("logstash:jvm:gc_old_count_rate:5m", "a", (Operand("logstash_node_jvm_gc_collectors_old_collection_count", "rate", 300),)),
+    Rule("logstash:jvm:gc_young_time_rate:5m", "a/k", (Operand("logstash_node_jvm_gc_collectors_young_collection_time_in_millis", "rate", 300),), 1000),
+    Rule("logstash:jvm:gc_young_count_rate:5m", "a", (Operand("logstash_node_jvm_gc_collectors_young_collection_count", "rate", 300),)),
+    Rule("logstash:plugin:input_events_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_inputs_events_out_total", "rate", 300),)),
+    Rule("logstash:plugin:input_queue_push_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_inputs_events_queue_push_duration_in_millis", "rate", 300),)),
+    Rule("logstash:plugin:filter_events_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_filters_events_out_total", "rate", 300),)),
+    Rule("logstash:plugin:filter_duration_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_filters_events_duration_in_millis", "rate", 300),)),
+    Rule("logstash:plugin:output_events_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300),)),
+    Rule("logstash:plugin:output_duration_rate:5m", "a", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300),)),
+    Rule("logstash:plugin:output_success_rate", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_documents_successes_total", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))),
+    Rule("logstash:dlq:size_bytes", "a", (Operand("logstash_node_dead_letter_queue_size_in_bytes"),)),
+    Rule("logstash:dlq:max_size_bytes", "a", (Operand("logstash_node_dead_letter_queue_max_size_in_bytes"),)),
+    Rule("logstash:dlq:usage_ratio", "a/b", (Operand("logstash_node_dead_letter_queue_size_in_bytes"), Operand("logstash_node_dead_letter_queue_max_size_in_bytes"))),
+    Rule("logstash:dlq:growth_rate:1h", "a", (Operand("logstash_node_dead_letter_queue_size_in_bytes", "increase", 3600),)),
+    Rule("slo:elasticsearch:availability:target", "const", (), 0.999),
+    Rule("slo:elasticsearch:availability:current", "a", (Operand("elasticsearch:cluster:is_healthy", "avg", 3600),)),
+    Rule("slo:elasticsearch:availability:budget_consumed", "(1-a)/(1-k)", (Operand("elasticsearch:cluster:is_healthy", "avg", 3600),), 0.999),
+    Rule("slo:elasticsearch:availability:budget_remaining", "1-(1-a)/(1-k)", (Operand("elasticsearch:cluster:is_healthy", "avg", 3600),), 0.999),
+    Rule("slo:elasticsearch:latency:target_seconds", "const", (), 0.5),
+    Rule("slo:elasticsearch:latency:current_p95", "quantile", (Operand("elasticsearch_http_request_duration_seconds_bucket", "rate", 300, agg="sum", by=("le",)),), 0.95),
+    Rule("slo:elasticsearch:latency:within_target", "a<k", (Operand("slo:elasticsearch:latency:current_p95"),), 0.5),
+    Rule("slo:kafka:availability:target", "const", (), 0.999),
+    Rule("slo:kafka:availability:current", "a", (Operand("kafka:cluster:is_healthy", "avg", 3600),)),
+    Rule("slo:kafka:availability:budget_consumed", "(1-a)/(1-k)", (Operand("kafka:cluster:is_healthy", "avg", 3600),), 0.999),
+    Rule("slo:kafka:availability:budget_remaining", "1-(1-a)/(1-k)", (Operand("kafka:cluster:is_healthy", "avg", 3600),), 0.999),
+    Rule("slo:kafka:produce_latency:target_ms", "const", (), 100),
+    Rule("slo:kafka:produce_latency:current_p99", "a", (Operand("kafka_network_request_total_time_ms", match=(("request", "Produce"), ("quantile", "0.99")), agg="avg"),)),
+    Rule("slo:kafka:produce_latency:within_target", "a<k", (Operand("kafka_network_request_total_time_ms", match=(("request", "Produce"), ("quantile", "0.99")), agg="avg"),), 100),
+    Rule("slo:kafka:consumer_lag:target", "const", (), 1000),
+    Rule("slo:kafka:consumer_lag:max", "a", (Operand("kafka:consumer:lag_by_group_topic", agg="max"),)),
+    Rule("slo:kafka:consumer_lag:within_target", "a<k", (Operand("kafka:consumer:lag_by_group_topic", agg="max"),), 1000),
+    Rule("slo:logstash:availability:target", "const", (), 0.999),
+    Rule("slo:logstash:availability:current", "a", (Operand("logstash:availability:up", "avg", 3600),)),
+    Rule("slo:logstash:availability:budget_consumed", "(1-a)/(1-k)", (Operand("logstash:availability:up", "avg", 3600),), 0.999),
+    Rule("slo:logstash:availability:budget_remaining", "1-(1-a)/(1-k)", (Operand("logstash:availability:up", "avg", 3600),), 0.999),
+    Rule("slo:logstash:throughput:events_per_second", "a", (Operand("logstash:pipeline:throughput_eps:5m_avg"),)),
+    Rule("slo:logstash:latency:target_ms", "const", (), 500),
+    Rule("slo:logstash:latency:output_current", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))),
+    Rule("slo:logstash:latency:within_target", "a/b<k", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300)), 500),
 )
 
-# Endpoints and the telemetry collector.
-PROBE_RULES = [
-    _copy("probe:success_rate:5m", Operand("probe_success", "avg", M5)),
-    _copy("probe:success_rate:5m:by_job", Operand("probe_success", "avg", M5, agg="avg", by=("job", "instance"))),
-    _copy("probe:duration_avg:5m", Operand("probe_duration_seconds", "avg", M5)),
-    Rule("probe:duration_p95:5m", "quantile", (_rate("probe_duration_seconds_bucket", agg="sum", by=("le", "job")),), 0.95),
-    Rule("probe:ssl_cert_expiry_days", "(a-t)/86400", (_select("probe_ssl_earliest_cert_expiry"),)),
-] + [
-    _copy(f"otel:{part}:{name}_rate:5m", _rate(f"otelcol_{part}_{mm}_metric_points", agg="sum", by=(part,)))
-    for part, name, mm in (("receiver", "accepted", "accepted"), ("receiver", "refused", "refused"), ("exporter", "sent", "sent"), ("exporter", "failed", "send_failed"))
-] + [
-    _ratio("_otel:batch_size", _select("otelcol_processor_batch_batch_send_size_sum"), _select("otelcol_processor_batch_batch_send_size_count")),
-    _copy("otel:processor:batch_size_avg", _agg("_otel:batch_size", "avg", ["processor"])),
-]
-
-K, KS, KT = "kafka:", "kafka_server_replica_manager_", "kafka_server_broker_topic_metrics_"
-_UP = {"job": "kafka-jmx"}
-_LAG = "kafka_consumergroup_lag"
-
-
-def _latency(request, phase="total"):
-    return _agg(f"kafka_network_request_{phase}_time_ms", "avg", request=request, quantile="0.99")
-
-
-# Message broker.
-BROKER_RULES = (
-    [
-        _copy(K + "cluster:broker_count", _agg("up", "count", where=("==", 1), **_UP)),
-        _copy(K + "cluster:broker_up", _select("up", **_UP)),
-        _copy(K + "cluster:active_controller_count", _agg("kafka_controller_active_controller_count", "sum")),
-        Rule(K + "cluster:is_healthy", "a is k and b is 1 and c is 0", (
-            _agg("up", "count", where=("==", 1), **_UP), _agg("kafka_controller_active_controller_count", "sum"),
-            _agg("kafka_controller_offline_partitions_count", "sum")), 3),
-        _copy(K + "cluster:offline_partitions", _agg("kafka_controller_offline_partitions_count", "sum")),
-    ]
-    + [_copy(f"{K}cluster:{name}", _agg(KS + mm, "sum")) for name, mm in (
-        ("under_replicated_partitions", "under_replicated_partitions"), ("under_min_isr_partitions", "under_min_isr_partition_count"),
-        ("partition_count", "partition_count"), ("leader_count", "leader_count"))]
-    + _sums(K + "replication:", KS, "isr_shrinks_rate:5m=isr_shrinks_total isr_expands_rate:5m=isr_expands_total")
-    + [r for flow in ("messages_in", "bytes_in", "bytes_out") for r in (
-        _copy(f"{K}throughput:{flow}_rate:5m", _rate(f"{KT}{flow}_total_all", agg="sum")),
-        _copy(f"{K}throughput:{flow}_rate:5m:by_broker", _rate(f"{KT}{flow}_total_all")),
-        _copy(f"{K}throughput:{flow}_rate:5m:by_topic", _rate(f"{KT}{flow}_total", agg="sum", by=("topic",))))]
-    + _sums(K + "throughput:", KT, "failed_produce_rate:5m=failed_produce_requests_total failed_fetch_rate:5m=failed_fetch_requests_total"
-            " bytes_rejected_rate:5m=bytes_rejected_total")
-    + [_copy(f"{K}request:{name}_rate:5m", _rate("kafka_network_request_metrics_requests_total", agg="sum", request=req)) for name, req in (
-        ("produce", "Produce"), ("fetch", "Fetch"), ("fetch_consumer", "FetchConsumer"), ("fetch_follower", "FetchFollower"))]
-    + [_copy(f"{K}request:{req.lower()}_{phase}_time_p99", _latency(req, phase)) for phase in ("total", "queue") for req in ("Produce", "Fetch")]
-    + [
-        _copy(K + "consumer:lag_total", _agg(_LAG, "sum")),
-        _copy(K + "consumer:lag_by_group", _agg(_LAG, "sum", ["consumergroup"])),
-        _copy(K + "consumer:lag_by_topic", _agg(_LAG, "sum", ["topic"])),
-        _copy(K + "consumer:lag_by_group_topic", _agg(_LAG, "sum", ["consumergroup", "topic"])),
-        _copy("_kafka:groups", _agg("kafka_consumergroup_members", "count", ["consumergroup"])),
-        _copy(K + "consumer:group_count", _agg("_kafka:groups", "count")),
-        _copy(K + "consumer:members_by_group", _select("kafka_consumergroup_members")),
-        _copy(K + "consumer:current_offset_rate:5m", _rate("kafka_consumergroup_current_offset", agg="sum", by=("consumergroup", "topic"))),
-    ]
-    + [_ratio(f"{K}jvm:heap_usage_ratio{s}", _select("jvm_memory_heap_used_bytes"), _select("jvm_memory_heap_max_bytes")) for s in ("", ":by_broker")]
-    + _copies(K + "jvm:", "jvm_", "heap_used_bytes=memory_heap_used_bytes heap_max_bytes=memory_heap_max_bytes thread_count=threads_current")
-    + [Rule(K + "jvm:gc_time_rate:5m", "a/k", (_rate("jvm_gc_collection_time_ms"),), 1000)]
-    + _rates(K + "jvm:", "jvm_", "gc_count=gc_collection_count")
-    + [_ratio(K + "jvm:fd_usage_ratio", _select("jvm_os_open_file_descriptor_count"), _select("jvm_os_max_file_descriptor_count"))]
-    + _copies(K + "performance:", "kafka_", "network_processor_idle=network_socket_server_network_processor_avg_idle_percent"
-              " request_handler_idle=server_request_handler_avg_idle_percent")
-    + [_copy(f"{K}performance:purgatory_size:{op.lower()}", _select("kafka_server_delayed_operation_purgatory_size", operation=op)) for op in ("Produce", "Fetch")]
-    + [
-        _copy("_kafka:topics", _agg("kafka_topic_partitions", "count", ["topic"])),
-        _copy(K + "topic:count", _agg("_kafka:topics", "count")),
-        _copy(K + "topic:partition_count", _select("kafka_topic_partitions")),
-        _copy(K + "topic:size_bytes", _agg("kafka_log_size_bytes", "sum", ["topic"])),
-        _copy(K + "topic:log_end_offset", _agg("kafka_log_end_offset", "sum", ["topic"])),
-    ]
-)
-
-L, LN = "logstash:", "logstash_node_"
-LP = LN + "pipeline_"
-LG = LP + "plugins_"
-
-
-def _per_event(kind):
-    return _rate(f"{LG}{kind}_events_duration_in_millis"), _rate(f"{LG}{kind}_events_out_total")
-
-
-# Log pipeline.
-PIPELINE_RULES = (
-    [_copy(L + f"availability:{name}", _select(mm, job="blackbox-logstash")) for name, mm in (("up", "probe_success"), ("probe_duration_seconds",) * 2)]
-    + _copies(L + "pipeline:", LP, "events_in_total events_out_total events_filtered_total")
-    + _rates(L + "pipeline:", LP, "events_in=events_in_total events_out=events_out_total events_filtered=events_filtered_total")
-    + [
-        _copy(L + "pipeline:throughput_eps", Operand(LP + "events_out_total", "irate", 60)),
-        _copy(L + "pipeline:throughput_eps:5m_avg", _rate(LP + "events_out_total")),
-        _ratio(L + "pipeline:filter_ratio", _rate(LP + "events_filtered_total"), _rate(LP + "events_in_total")),
-    ]
-    + _copies(L + "latency:", LP, "queue_push_duration_ms=queue_push_duration_in_millis")
-    + _rates(L + "latency:", LP, "queue_push_duration=queue_push_duration_in_millis filter_duration=plugins_filters_events_duration_in_millis"
-             " output_duration=plugins_outputs_events_duration_in_millis")
-    + [_ratio(f"{L}latency:{kind}_avg_ms", *_per_event(kind + "s")) for kind in ("filter", "output")]
-    + _copies(L + "queue:", LP + "queue_", "events_count size_bytes=size_in_bytes max_size_bytes=max_size_in_bytes")
-    + [_ratio(L + "queue:usage_ratio", _select(LP + "queue_size_in_bytes"), _select(LP + "queue_max_size_in_bytes"))]
-    + _copies(L + "jvm:", LN + "jvm_", "heap_used_bytes=mem_heap_used_in_bytes heap_max_bytes=mem_heap_max_in_bytes"
-              " heap_committed_bytes=mem_heap_committed_in_bytes non_heap_used_bytes=mem_non_heap_used_in_bytes threads_count threads_peak_count")
-    + [_ratio(L + "jvm:heap_usage_ratio", _select(LN + "jvm_mem_heap_used_in_bytes"), _select(LN + "jvm_mem_heap_max_in_bytes"))]
-    + [r for gen in ("old", "young") for r in (
-        Rule(f"{L}jvm:gc_{gen}_time_rate:5m", "a/k", (_rate(f"{LN}jvm_gc_collectors_{gen}_collection_time_in_millis"),), 1000),
-        _copy(f"{L}jvm:gc_{gen}_count_rate:5m", _rate(f"{LN}jvm_gc_collectors_{gen}_collection_count")))]
-    + _rates(L + "plugin:", LG, "input_events=inputs_events_out_total input_queue_push=inputs_events_queue_push_duration_in_millis"
-             " filter_events=filters_events_out_total filter_duration=filters_events_duration_in_millis"
-             " output_events=outputs_events_out_total output_duration=outputs_events_duration_in_millis")
-    + [_ratio(L + "plugin:output_success_rate", _rate(LG + "outputs_documents_successes_total"), _rate(LG + "outputs_events_out_total"))]
-    + _copies(L + "dlq:", LN + "dead_letter_queue_", "size_bytes=size_in_bytes max_size_bytes=max_size_in_bytes")
-    + [
-        _ratio(L + "dlq:usage_ratio", _select(LN + "dead_letter_queue_size_in_bytes"), _select(LN + "dead_letter_queue_max_size_in_bytes")),
-        _copy(L + "dlq:growth_rate:1h", Operand(LN + "dead_letter_queue_size_in_bytes", "increase", H1)),
-    ]
-)
-
-
-def _availability(system, health, target=0.999):
-    p = f"slo:{system}:availability:"
-    over_hour = (Operand(health, "avg", H1),)
-    return [
-        Rule(p + "target", "const", (), target),
-        Rule(p + "current", "a", over_hour),
-        Rule(p + "budget_consumed", "(1-a)/(1-k)", over_hour, target),
-        Rule(p + "budget_remaining", "1-(1-a)/(1-k)", over_hour, target),
-    ]
-
-
-def _limit(prefix, target_name, target, current_name, *operands, op="a"):
-    """Target, current value and whether it is below the target."""
-    return [Rule(prefix + target_name, "const", (), target), Rule(prefix + current_name, op, operands),
-            Rule(prefix + "within_target", op + "<k", operands, target)]
-
-
-# Service levels and their targets.
-SLO_RULES = (
-    _availability("elasticsearch", ES + "cluster:is_healthy")
-    + [
-        Rule("slo:elasticsearch:latency:target_seconds", "const", (), 0.5),
-        Rule("slo:elasticsearch:latency:current_p95", "quantile", (
-            _rate("elasticsearch_http_request_duration_seconds_bucket", agg="sum", by=("le",)),), 0.95),
-        Rule("slo:elasticsearch:latency:within_target", "a<k", (_select("slo:elasticsearch:latency:current_p95"),), 0.5),
-    ]
-    + _availability("kafka", K + "cluster:is_healthy")
-    + _limit("slo:kafka:produce_latency:", "target_ms", 100, "current_p99", _latency("Produce"))
-    + _limit("slo:kafka:consumer_lag:", "target", 1000, "max", _agg(K + "consumer:lag_by_group_topic", "max"))
-    + _availability("logstash", L + "availability:up")
-    + [_copy("slo:logstash:throughput:events_per_second", _select(L + "pipeline:throughput_eps:5m_avg"))]
-    + _limit("slo:logstash:latency:", "target_ms", 500, "output_current", *_per_event("outputs"), op="a/b")
-)
-
-RECORDING_RULES = tuple(STORE_RULES + PROBE_RULES + BROKER_RULES + PIPELINE_RULES + SLO_RULES)
-
-MINUTES = {"0m": 0, "1m": 60, "2m": 120, "5m": 300, "10m": 600, "15m": 900, "30m": 1800, "1h": 3600}
-
 
 def _words(name):
     out = ""
@@ -284,168 +242,115 @@ def _words(name):
     return out
 
 
-def _alert(service, category, name, hold, severity, rule, compare, shape="value"):
+VALUE, PERCENT, TIME = "{{ $value }}", "{{ $value | humanizePercentage }}", "{{ $value | humanizeDuration }}"
+
+
+def _alert(service, category, name, hold, severity, rule, compare, value):
     """One alert; summary and description are spelled from its name, its value and the labels of its series."""
     op, limit = compare or ("", 0)
-    value = {"value": "{{ $value }}", "percent": "{{ $value | humanizePercentage }}", "time": "{{ $value | humanizeDuration }}"}[shape]
     return Alert(
-        name, rule if isinstance(rule, Rule) else _copy(name, rule), compare, MINUTES[hold], severity, service, category,
-        summary=_words(name), description=f"{_words(name)} on {{{{ $labels.instance }}}}: value {value}, condition {op} {limit:g}",
+        name, rule, compare, hold, severity, service, category, summary=_words(name),
+        description=f"{_words(name)} on {{{{ $labels.instance }}}}: value {value}, condition {op} {limit:g}",
     )
 
 
-def _table(service, rows):
-    return [_alert(service, *row) for row in rows]
-
-
-def _recorded(name):
-    return _select(name)
-
-
-def _both(name, a, b):
-    return Rule(name, "a and b", (a, b))
-
-
-_HEALTH = "elasticsearch_cluster_health_"
-_FREE = ES + "disk:free_bytes"
-_IDX = ES + "indexing:rate:5m"
-
-# Fixed values: (category, alert, hold, severity, condition, limit[, form of the value]).
-STORE_ALERTS = _table("elasticsearch", [
-    ("cluster", "ElasticsearchClusterRed", "1m", "critical", _select(_HEALTH + "status", color="red"), ("==", 1)),
-    ("cluster", "ElasticsearchClusterYellow", "5m", "warning", _select(_HEALTH + "status", color="yellow"), ("==", 1)),
-    ("cluster", "ElasticsearchClusterStatusUnknown", "5m", "critical", Rule("ElasticsearchClusterStatusUnknown", "absent", (_select(_HEALTH + "status"),)), ("==", 1)),
-    ("nodes", "ElasticsearchNodeDown", "1m", "critical", _select(_HEALTH + "number_of_nodes"), ("<", 3)),
-    ("nodes", "ElasticsearchDataNodeDown", "1m", "critical", _select(_HEALTH + "number_of_data_nodes"), ("<", 3)),
-    ("shards", "ElasticsearchUnassignedShards", "5m", "warning", _select(_HEALTH + "unassigned_shards"), (">", 0)),
-    ("shards", "ElasticsearchUnassignedShardsCritical", "2m", "critical", _select(_HEALTH + "unassigned_shards"), (">", 10)),
-    ("shards", "ElasticsearchRelocatingShards", "30m", "warning", _select(_HEALTH + "relocating_shards"), (">", 0)),
-    ("shards", "ElasticsearchInitializingShards", "15m", "warning", _select(_HEALTH + "initializing_shards"), (">", 0)),
-    ("jvm", "ElasticsearchHeapUsageWarning", "5m", "warning", _recorded(ES + "jvm:heap_usage_ratio"), (">", 0.80), "percent"),
-    ("jvm", "ElasticsearchHeapUsageCritical", "2m", "critical", _recorded(ES + "jvm:heap_usage_ratio"), (">", 0.90), "percent"),
-    ("jvm", "ElasticsearchHeapUsageDangerous", "1m", "critical", _recorded(ES + "jvm:heap_usage_ratio"), (">", 0.95), "percent"),
-    ("jvm", "ElasticsearchGCPressureHigh", "5m", "warning", _recorded(ES + "jvm:gc_time_rate:5m"), (">", 0.5), "percent"),
-    ("performance", "ElasticsearchSearchLatencyWarning", "10m", "warning", _recorded(ES + "search:query_latency_avg:5m"), (">", 0.5), "time"),
-    ("performance", "ElasticsearchSearchLatencyCritical", "5m", "critical", _recorded(ES + "search:query_latency_avg:5m"), (">", 2), "time"),
-    ("performance", "ElasticsearchIndexingRateDrop", "15m", "warning", _both(
-        "ElasticsearchIndexingRateDrop", Operand(_IDX, where=("<", 10)), Operand(_IDX, where=(">", 100), back=H1)), None),
-    ("performance", "ElasticsearchIndexingLatencyHigh", "10m", "warning", _recorded(ES + "indexing:latency_avg:5m"), (">", 0.1), "time"),
-    ("disk", "ElasticsearchDiskUsageWarning", "5m", "warning", _recorded(ES + "disk:usage_ratio"), (">", 0.75), "percent"),
-    ("disk", "ElasticsearchDiskUsageCritical", "2m", "critical", _recorded(ES + "disk:usage_ratio"), (">", 0.85), "percent"),
-    ("disk", "ElasticsearchDiskUsageDangerous", "1m", "critical", _recorded(ES + "disk:usage_ratio"), (">", 0.90), "percent"),
-    ("disk", "ElasticsearchDiskWillFillIn24h", "30m", "warning", Operand(_FREE, "predict", 6 * H1, horizon=24 * H1), ("<", 0)),
-    ("disk", "ElasticsearchDiskWillFillIn6h", "15m", "critical", Operand(_FREE, "predict", 2 * H1, horizon=6 * H1), ("<", 0)),
-    ("threadpool", "ElasticsearchSearchRejections", "5m", "warning", _recorded(ES + "threadpool:rejected_rate:5m:search"), (">", 0)),
-    ("threadpool", "ElasticsearchWriteRejections", "5m", "warning", _recorded(ES + "threadpool:rejected_rate:5m:write"), (">", 0)),
-    ("threadpool", "ElasticsearchSearchQueueHigh", "5m", "warning", _recorded(ES + "threadpool:queue_size:search"), (">", 100)),
-    ("threadpool", "ElasticsearchWriteQueueHigh", "5m", "warning", _recorded(ES + "threadpool:queue_size:write"), (">", 100)),
-    ("memory", "ElasticsearchParentBreakerWarning", "5m", "warning", _recorded(ES + "breaker:parent:usage_ratio"), (">", 0.75), "percent"),
-    ("memory", "ElasticsearchParentBreakerCritical", "2m", "critical", _recorded(ES + "breaker:parent:usage_ratio"), (">", 0.90), "percent"),
-    ("memory", "ElasticsearchFielddataBreakerHigh", "5m", "warning", _recorded(ES + "breaker:fielddata:usage_ratio"), (">", 0.75), "percent"),
-    ("memory", "ElasticsearchCircuitBreakerTripped", "1m", "critical", _recorded(ES + "breaker:tripped_rate:5m"), (">", 0)),
-    ("resources", "ElasticsearchHighCPU", "10m", "warning", _recorded(ES + "os:cpu_percent"), (">", 85)),
-    ("resources", "ElasticsearchHighCPUCritical", "5m", "critical", _recorded(ES + "os:cpu_percent"), (">", 95)),
-    ("resources", "ElasticsearchHighLoadAverage", "10m", "warning", _recorded(ES + "os:load_average_5m"), (">", 4)),
-    ("resources", "ElasticsearchFileDescriptorsWarning", "5m", "warning", _recorded(ES + "process:fds_usage_ratio"), (">", 0.75), "percent"),
-    ("resources", "ElasticsearchFileDescriptorsCritical", "2m", "critical", _recorded(ES + "process:fds_usage_ratio"), (">", 0.90), "percent"),
-    ("cache", "ElasticsearchQueryCacheEvictions", "10m", "warning", _recorded(ES + "cache:query:evictions_rate:5m"), (">", 100)),
-    ("cache", "ElasticsearchFielddataEvictions", "10m", "warning", _recorded(ES + "fielddata:evictions_rate:5m"), (">", 10)),
-])
-_CERT, _BUDGET = "probe:ssl_cert_expiry_days", "slo:elasticsearch:availability:budget_remaining"
-PLATFORM_ALERTS = _table("", [
-    ("availability", "EndpointDown", "1m", "critical", _select("probe_success"), ("==", 0)),
-    ("performance", "EndpointSlowResponse", "5m", "warning", _select("probe_duration_seconds"), (">", 5), "time"),
-    ("ssl", "SSLCertificateExpiringSoon", "1h", "warning", _recorded(_CERT), ("<", 30)),
-    ("ssl", "SSLCertificateExpiringCritical", "1h", "critical", _recorded(_CERT), ("<", 7)),
-    ("ssl", "SSLCertificateExpired", "0m", "critical", _recorded(_CERT), ("<", 0)),
-    ("slo", "SLOBudgetBurning", "5m", "warning", _recorded(_BUDGET), ("<", 0.5), "percent"),
-    ("slo", "SLOBudgetCritical", "5m", "critical", _recorded(_BUDGET), ("<", 0.2), "percent"),
-    ("slo", "SLOBudgetExhausted", "0m", "critical", _recorded(_BUDGET), ("<", 0), "percent"),
-]) + _table("otel-collector", [
-    ("", "OtelCollectorRefusingData", "5m", "warning", _recorded("otel:receiver:refused_rate:5m"), (">", 0)),
-    ("", "OtelCollectorExportFailures", "5m", "warning", _recorded("otel:exporter:failed_rate:5m"), (">", 0)),
-]) + _table("prometheus", [
-    ("", "PrometheusTargetDown", "5m", "warning", _select("up"), ("==", 0)),
-    ("", "PrometheusConfigurationReloadFailure", "5m", "warning", _select("prometheus_config_last_reload_successful"), ("!=", 1)),
-    ("", "PrometheusTSDBCompactionsFailing", "0m", "warning", Operand("prometheus_tsdb_compactions_failed_total", "increase", H1), (">", 0)),
-])
-
-_TT = "kafka_network_request_total_time_ms"
-_IN = KT + "messages_in_total"
-
-
-def _heap(name):
-    return _ratio(name, _select("jvm_memory_heap_used_bytes"), _select("jvm_memory_heap_max_bytes"))
-
-
-BROKER_ALERTS = _table("kafka", [
-    ("cluster", "KafkaBrokerDown", "1m", "critical", _agg("up", "count", where=("==", 1), **_UP), ("<", 3)),
-    ("cluster", "KafkaBrokerNotAvailable", "1m", "critical", _select("up", **_UP), ("==", 0)),
-    ("controller", "KafkaNoActiveController", "1m", "critical", _agg("kafka_controller_active_controller_count", "sum"), ("==", 0)),
-    ("controller", "KafkaMultipleControllers", "1m", "critical", _agg("kafka_controller_active_controller_count", "sum"), (">", 1)),
-    ("partitions", "KafkaOfflinePartitions", "1m", "critical", _agg("kafka_controller_offline_partitions_count", "sum"), (">", 0)),
-    ("replication", "KafkaUnderReplicatedPartitions", "5m", "warning", _agg(KS + "under_replicated_partitions", "sum"), (">", 0)),
-    ("replication", "KafkaUnderReplicatedPartitionsCritical", "2m", "critical", _agg(KS + "under_replicated_partitions", "sum"), (">", 10)),
-    ("replication", "KafkaUnderMinIsrPartitions", "2m", "critical", _agg(KS + "under_min_isr_partition_count", "sum"), (">", 0)),
-    ("replication", "KafkaIsrShrinking", "10m", "warning", _rate(KS + "isr_shrinks_total"), (">", 0)),
-    ("consumer", "KafkaConsumerLagHigh", "5m", "warning", _agg(_LAG, "sum", ["consumergroup", "topic"]), (">", 1000)),
-    ("consumer", "KafkaConsumerLagCritical", "2m", "critical", _agg(_LAG, "sum", ["consumergroup", "topic"]), (">", 10000)),
-    ("consumer", "KafkaConsumerLagGrowing", "10m", "warning", Operand(_LAG, "delta", 600), (">", 1000)),
-    ("consumer", "KafkaConsumerGroupEmpty", "5m", "warning", _select("kafka_consumergroup_members"), ("==", 0)),
-    ("topic", "KafkaTopicPartitionCountChanged", "1m", "info", Operand("kafka_topic_partitions", "changes", H1), (">", 0)),
-    ("topic", "KafkaTopicNoMessages", "30m", "warning", _both(
-        "KafkaTopicNoMessages", _rate(_IN, where=("==", 0)), _rate(_IN, H1, back=H1, where=(">", 10))), None),
-    ("performance", "KafkaProduceRequestLatencyHigh", "5m", "warning", _select(_TT, request="Produce", quantile="0.99"), (">", 100)),
-    ("performance", "KafkaFetchRequestLatencyHigh", "5m", "warning", _select(_TT, request="Fetch", quantile="0.99"), (">", 100)),
-    ("performance", "KafkaFailedProduceRequests", "5m", "warning", _rate(KT + "failed_produce_requests_total"), (">", 0)),
-    ("performance", "KafkaFailedFetchRequests", "5m", "warning", _rate(KT + "failed_fetch_requests_total"), (">", 0)),
-    ("performance", "KafkaNetworkProcessorIdleLow", "5m", "warning", _select("kafka_network_socket_server_network_processor_avg_idle_percent"), ("<", 0.3), "percent"),
-    ("performance", "KafkaRequestHandlerIdleLow", "5m", "warning", _select("kafka_server_request_handler_avg_idle_percent"), ("<", 0.3), "percent"),
-    ("jvm", "KafkaJvmHeapUsageWarning", "5m", "warning", _heap("KafkaJvmHeapUsageWarning"), (">", 0.8), "percent"),
-    ("jvm", "KafkaJvmHeapUsageCritical", "2m", "critical", _heap("KafkaJvmHeapUsageCritical"), (">", 0.9), "percent"),
-    ("jvm", "KafkaJvmGcTimeHigh", "10m", "warning", Rule("KafkaJvmGcTimeHigh", "a/k", (_rate("jvm_gc_collection_time_ms"),), 1000), (">", 0.3), "percent"),
-    ("jvm", "KafkaFileDescriptorsHigh", "5m", "warning", _ratio(
-        "KafkaFileDescriptorsHigh", _select("jvm_os_open_file_descriptor_count"), _select("jvm_os_max_file_descriptor_count")), (">", 0.8), "percent"),
-    ("zookeeper", "KafkaZookeeperSessionExpired", "0m", "warning", Operand("kafka_server_zookeeper_session_state", "increase", M5), (">", 0)),
-]) + _table("zookeeper", [
-    ("availability", "ZookeeperDown", "1m", "critical", _select("probe_success", job="blackbox-zookeeper"), ("==", 0)),
-])
-
-_OUT, _INP = LP + "events_out_total", LP + "events_in_total"
-_DLQ = LN + "dead_letter_queue_size_in_bytes"
-
-
-def _lheap(name):
-    return _ratio(name, _select(LN + "jvm_mem_heap_used_in_bytes"), _select(LN + "jvm_mem_heap_max_in_bytes"))
-
-
-PIPELINE_ALERTS = _table("logstash", [
-    ("availability", "LogstashDown", "1m", "critical", _select("probe_success", job="blackbox-logstash"), ("==", 0)),
-    ("availability", "LogstashEndpointUnhealthy", "2m", "warning", _select("probe_http_status_code", job="blackbox-logstash"), ("!=", 200)),
-    ("pipeline", "LogstashPipelineNotProcessing", "5m", "warning", _both(
-        "LogstashPipelineNotProcessing", _rate(_OUT, where=("==", 0)), _rate(_INP, where=(">", 0))), None),
-    ("pipeline", "LogstashPipelineNoInput", "15m", "warning", _both(
-        "LogstashPipelineNoInput", _rate(_INP, 600, where=("==", 0)), _rate(_INP, H1, back=H1, where=(">", 10))), None),
-    ("pipeline", "LogstashHighFilteredRate", "10m", "warning", _ratio("LogstashHighFilteredRate", _rate(LP + "events_filtered_total"), _rate(_INP)), (">", 0.5), "percent"),
-    ("pipeline", "LogstashQueueBackpressure", "5m", "warning", _ratio(
-        "LogstashQueueBackpressure", _select(LP + "queue_push_duration_in_millis"), _select(LP + "queue_events_count")), (">", 100)),
-    ("performance", "LogstashFilterLatencyHigh", "10m", "warning", _ratio("LogstashFilterLatencyHigh", *_per_event("filters")), (">", 100)),
-    ("performance", "LogstashOutputLatencyHigh", "10m", "warning", _ratio("LogstashOutputLatencyHigh", *_per_event("outputs")), (">", 500)),
-    ("performance", "LogstashOutputLatencyCritical", "5m", "critical", _ratio("LogstashOutputLatencyCritical", *_per_event("outputs")), (">", 2000)),
-    ("performance", "LogstashThroughputDrop", "15m", "warning", Rule("LogstashThroughputDrop", "a<b*k", (_rate(_OUT), _rate(_OUT, H1, back=H1)), 0.5), None),
-    ("jvm", "LogstashJvmHeapUsageWarning", "5m", "warning", _lheap("LogstashJvmHeapUsageWarning"), (">", 0.75), "percent"),
-    ("jvm", "LogstashJvmHeapUsageCritical", "2m", "critical", _lheap("LogstashJvmHeapUsageCritical"), (">", 0.9), "percent"),
-    ("jvm", "LogstashJvmGcPressureHigh", "10m", "warning", Rule(
-        "LogstashJvmGcPressureHigh", "a/k", (_rate(LN + "jvm_gc_collectors_old_collection_time_in_millis"),), 1000), (">", 0.3), "percent"),
-    ("jvm", "LogstashJvmGcFrequent", "10m", "warning", _rate(LN + "jvm_gc_collectors_old_collection_count"), (">", 0.1)),
-    ("dlq", "LogstashDlqGrowing", "0m", "warning", Operand(_DLQ, "increase", H1), (">", 10000000)),
-    ("dlq", "LogstashDlqSizeHigh", "5m", "warning", _select(_DLQ), (">", 100000000)),
-    ("dlq", "LogstashDlqSizeCritical", "5m", "critical", _select(_DLQ), (">", 500000000)),
-    ("plugin", "LogstashKafkaInputErrors", "0m", "warning", Operand(LG + "inputs_events_error_total", "increase", M5, like=(("name", ".*kafka.*"),)), (">", 0)),
-    ("plugin", "LogstashElasticsearchOutputErrors", "0m", "warning", Operand(
-        LG + "outputs_events_error_total", "increase", M5, like=(("name", ".*elasticsearch.*"),)), (">", 0)),
-    ("plugin", "LogstashOutputBulkRejections", "5m", "warning", _ratio(
-        "LogstashOutputBulkRejections", _rate(LG + "outputs_documents_successes_total"), _rate(LG + "outputs_events_out_total")), ("<", 0.95), "percent"),
-])
-
-ALERT_RULES = tuple(STORE_ALERTS + PLATFORM_ALERTS + BROKER_ALERTS + PIPELINE_ALERTS)
+# Alerts: service, category, name, hold in seconds, severity, condition, limit, form of the value.
+ALERT_RULES = (
+    _alert("elasticsearch", "cluster", "ElasticsearchClusterRed", 60, "critical", Rule("ElasticsearchClusterRed", "a", (Operand("elasticsearch_cluster_health_status", match=(("color", "red"),)),)), ("==", 1), VALUE),
+    _alert("elasticsearch", "cluster", "ElasticsearchClusterYellow", 300, "warning", Rule("ElasticsearchClusterYellow", "a", (Operand("elasticsearch_cluster_health_status", match=(("color", "yellow"),)),)), ("==", 1), VALUE),
+    _alert("elasticsearch", "cluster", "ElasticsearchClusterStatusUnknown", 300, "critical", Rule("ElasticsearchClusterStatusUnknown", "absent", (Operand("elasticsearch_cluster_health_status"),)), ("==", 1), VALUE),
+    _alert("elasticsearch", "nodes", "ElasticsearchNodeDown", 60, "critical", Rule("ElasticsearchNodeDown", "a", (Operand("elasticsearch_cluster_health_number_of_nodes"),)), ("<", 3), VALUE),
+    _alert("elasticsearch", "nodes", "ElasticsearchDataNodeDown", 60, "critical", Rule("ElasticsearchDataNodeDown", "a", (Operand("elasticsearch_cluster_health_number_of_data_nodes"),)), ("<", 3), VALUE),
+    _alert("elasticsearch", "shards", "ElasticsearchUnassignedShards", 300, "warning", Rule("ElasticsearchUnassignedShards", "a", (Operand("elasticsearch_cluster_health_unassigned_shards"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "shards", "ElasticsearchUnassignedShardsCritical", 120, "critical", Rule("ElasticsearchUnassignedShardsCritical", "a", (Operand("elasticsearch_cluster_health_unassigned_shards"),)), (">", 10), VALUE),
+    _alert("elasticsearch", "shards", "ElasticsearchRelocatingShards", 1800, "warning", Rule("ElasticsearchRelocatingShards", "a", (Operand("elasticsearch_cluster_health_relocating_shards"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "shards", "ElasticsearchInitializingShards", 900, "warning", Rule("ElasticsearchInitializingShards", "a", (Operand("elasticsearch_cluster_health_initializing_shards"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "jvm", "ElasticsearchHeapUsageWarning", 300, "warning", Rule("ElasticsearchHeapUsageWarning", "a", (Operand("elasticsearch:jvm:heap_usage_ratio"),)), (">", 0.8), PERCENT),
+    _alert("elasticsearch", "jvm", "ElasticsearchHeapUsageCritical", 120, "critical", Rule("ElasticsearchHeapUsageCritical", "a", (Operand("elasticsearch:jvm:heap_usage_ratio"),)), (">", 0.9), PERCENT),
+    _alert("elasticsearch", "jvm", "ElasticsearchHeapUsageDangerous", 60, "critical", Rule("ElasticsearchHeapUsageDangerous", "a", (Operand("elasticsearch:jvm:heap_usage_ratio"),)), (">", 0.95), PERCENT),
+    _alert("elasticsearch", "jvm", "ElasticsearchGCPressureHigh", 300, "warning", Rule("ElasticsearchGCPressureHigh", "a", (Operand("elasticsearch:jvm:gc_time_rate:5m"),)), (">", 0.5), PERCENT),
+    _alert("elasticsearch", "performance", "ElasticsearchSearchLatencyWarning", 600, "warning", Rule("ElasticsearchSearchLatencyWarning", "a", (Operand("elasticsearch:search:query_latency_avg:5m"),)), (">", 0.5), TIME),
+    _alert("elasticsearch", "performance", "ElasticsearchSearchLatencyCritical", 300, "critical", Rule("ElasticsearchSearchLatencyCritical", "a", (Operand("elasticsearch:search:query_latency_avg:5m"),)), (">", 2), TIME),
+    _alert("elasticsearch", "performance", "ElasticsearchIndexingRateDrop", 900, "warning", Rule("ElasticsearchIndexingRateDrop", "a and b", (Operand("elasticsearch:indexing:rate:5m", where=("<", 10)), Operand("elasticsearch:indexing:rate:5m", where=(">", 100), back=3600))), None, VALUE),
+    _alert("elasticsearch", "performance", "ElasticsearchIndexingLatencyHigh", 600, "warning", Rule("ElasticsearchIndexingLatencyHigh", "a", (Operand("elasticsearch:indexing:latency_avg:5m"),)), (">", 0.1), TIME),
+    _alert("elasticsearch", "disk", "ElasticsearchDiskUsageWarning", 300, "warning", Rule("ElasticsearchDiskUsageWarning", "a", (Operand("elasticsearch:disk:usage_ratio"),)), (">", 0.75), PERCENT),
+    _alert("elasticsearch", "disk", "ElasticsearchDiskUsageCritical", 120, "critical", Rule("ElasticsearchDiskUsageCritical", "a", (Operand("elasticsearch:disk:usage_ratio"),)), (">", 0.85), PERCENT),
+    _alert("elasticsearch", "disk", "ElasticsearchDiskUsageDangerous", 60, "critical", Rule("ElasticsearchDiskUsageDangerous", "a", (Operand("elasticsearch:disk:usage_ratio"),)), (">", 0.9), PERCENT),
+    _alert("elasticsearch", "disk", "ElasticsearchDiskWillFillIn24h", 1800, "warning", Rule("ElasticsearchDiskWillFillIn24h", "a", (Operand("elasticsearch:disk:free_bytes", "predict", 21600, horizon=86400),)), ("<", 0), VALUE),
+    _alert("elasticsearch", "disk", "ElasticsearchDiskWillFillIn6h", 900, "critical", Rule("ElasticsearchDiskWillFillIn6h", "a", (Operand("elasticsearch:disk:free_bytes", "predict", 7200, horizon=21600),)), ("<", 0), VALUE),
+    _alert("elasticsearch", "threadpool", "ElasticsearchSearchRejections", 300, "warning", Rule("ElasticsearchSearchRejections", "a", (Operand("elasticsearch:threadpool:rejected_rate:5m:search"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "threadpool", "ElasticsearchWriteRejections", 300, "warning", Rule("ElasticsearchWriteRejections", "a", (Operand("elasticsearch:threadpool:rejected_rate:5m:write"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "threadpool", "ElasticsearchSearchQueueHigh", 300, "warning", Rule("ElasticsearchSearchQueueHigh", "a", (Operand("elasticsearch:threadpool:queue_size:search"),)), (">", 100), VALUE),
+    _alert("elasticsearch", "threadpool", "ElasticsearchWriteQueueHigh", 300, "warning", Rule("ElasticsearchWriteQueueHigh", "a", (Operand("elasticsearch:threadpool:queue_size:write"),)), (">", 100), VALUE),
+    _alert("elasticsearch", "memory", "ElasticsearchParentBreakerWarning", 300, "warning", Rule("ElasticsearchParentBreakerWarning", "a", (Operand("elasticsearch:breaker:parent:usage_ratio"),)), (">", 0.75), PERCENT),
+    _alert("elasticsearch", "memory", "ElasticsearchParentBreakerCritical", 120, "critical", Rule("ElasticsearchParentBreakerCritical", "a", (Operand("elasticsearch:breaker:parent:usage_ratio"),)), (">", 0.9), PERCENT),
+    _alert("elasticsearch", "memory", "ElasticsearchFielddataBreakerHigh", 300, "warning", Rule("ElasticsearchFielddataBreakerHigh", "a", (Operand("elasticsearch:breaker:fielddata:usage_ratio"),)), (">", 0.75), PERCENT),
+    _alert("elasticsearch", "memory", "ElasticsearchCircuitBreakerTripped", 60, "critical", Rule("ElasticsearchCircuitBreakerTripped", "a", (Operand("elasticsearch:breaker:tripped_rate:5m"),)), (">", 0), VALUE),
+    _alert("elasticsearch", "resources", "ElasticsearchHighCPU", 600, "warning", Rule("ElasticsearchHighCPU", "a", (Operand("elasticsearch:os:cpu_percent"),)), (">", 85), VALUE),
+    _alert("elasticsearch", "resources", "ElasticsearchHighCPUCritical", 300, "critical", Rule("ElasticsearchHighCPUCritical", "a", (Operand("elasticsearch:os:cpu_percent"),)), (">", 95), VALUE),
+    _alert("elasticsearch", "resources", "ElasticsearchHighLoadAverage", 600, "warning", Rule("ElasticsearchHighLoadAverage", "a", (Operand("elasticsearch:os:load_average_5m"),)), (">", 4), VALUE),
+    _alert("elasticsearch", "resources", "ElasticsearchFileDescriptorsWarning", 300, "warning", Rule("ElasticsearchFileDescriptorsWarning", "a", (Operand("elasticsearch:process:fds_usage_ratio"),)), (">", 0.75), PERCENT),
+    _alert("elasticsearch", "resources", "ElasticsearchFileDescriptorsCritical", 120, "critical", Rule("ElasticsearchFileDescriptorsCritical", "a", (Operand("elasticsearch:process:fds_usage_ratio"),)), (">", 0.9), PERCENT),
+    _alert("elasticsearch", "cache", "ElasticsearchQueryCacheEvictions", 600, "warning", Rule("ElasticsearchQueryCacheEvictions", "a", (Operand("elasticsearch:cache:query:evictions_rate:5m"),)), (">", 100), VALUE),
+    _alert("elasticsearch", "cache", "ElasticsearchFielddataEvictions", 600, "warning", Rule("ElasticsearchFielddataEvictions", "a", (Operand("elasticsearch:fielddata:evictions_rate:5m"),)), (">", 10), VALUE),
+    _alert("", "availability", "EndpointDown", 60, "critical", Rule("EndpointDown", "a", (Operand("probe_success"),)), ("==", 0), VALUE),
+    _alert("", "performance", "EndpointSlowResponse", 300, "warning", Rule("EndpointSlowResponse", "a", (Operand("probe_duration_seconds"),)), (">", 5), TIME),
+    _alert("", "ssl", "SSLCertificateExpiringSoon", 3600, "warning", Rule("SSLCertificateExpiringSoon", "a", (Operand("probe:ssl_cert_expiry_days"),)), ("<", 30), VALUE),
+    _alert("", "ssl", "SSLCertificateExpiringCritical", 3600, "critical", Rule("SSLCertificateExpiringCritical", "a", (Operand("probe:ssl_cert_expiry_days"),)), ("<", 7), VALUE),
+    _alert("", "ssl", "SSLCertificateExpired", 0, "critical", Rule("SSLCertificateExpired", "a", (Operand("probe:ssl_cert_expiry_days"),)), ("<", 0), VALUE),
+    _alert("", "slo", "SLOBudgetBurning", 300, "warning", Rule("SLOBudgetBurning", "a", (Operand("slo:elasticsearch:availability:budget_remaining"),)), ("<", 0.5), PERCENT),
+    _alert("", "slo", "SLOBudgetCritical", 300, "critical", Rule("SLOBudgetCritical", "a", (Operand("slo:elasticsearch:availability:budget_remaining"),)), ("<", 0.2), PERCENT),
+    _alert("", "slo", "SLOBudgetExhausted", 0, "critical", Rule("SLOBudgetExhausted", "a", (Operand("slo:elasticsearch:availability:budget_remaining"),)), ("<", 0), PERCENT),
+    _alert("otel-collector", "", "OtelCollectorRefusingData", 300, "warning", Rule("OtelCollectorRefusingData", "a", (Operand("otel:receiver:refused_rate:5m"),)), (">", 0), VALUE),
+    _alert("otel-collector", "", "OtelCollectorExportFailures", 300, "warning", Rule("OtelCollectorExportFailures", "a", (Operand("otel:exporter:failed_rate:5m"),)), (">", 0), VALUE),
+    _alert("prometheus", "", "PrometheusTargetDown", 300, "warning", Rule("PrometheusTargetDown", "a", (Operand("up"),)), ("==", 0), VALUE),
+    _alert("prometheus", "", "PrometheusConfigurationReloadFailure", 300, "warning", Rule("PrometheusConfigurationReloadFailure", "a", (Operand("prometheus_config_last_reload_successful"),)), ("!=", 1), VALUE),
+    _alert("prometheus", "", "PrometheusTSDBCompactionsFailing", 0, "warning", Rule("PrometheusTSDBCompactionsFailing", "a", (Operand("prometheus_tsdb_compactions_failed_total", "increase", 3600),)), (">", 0), VALUE),
+    _alert("kafka", "cluster", "KafkaBrokerDown", 60, "critical", Rule("KafkaBrokerDown", "a", (Operand("up", match=(("job", "kafka-jmx"),), where=("==", 1), agg="count"),)), ("<", 3), VALUE),
+    _alert("kafka", "cluster", "KafkaBrokerNotAvailable", 60, "critical", Rule("KafkaBrokerNotAvailable", "a", (Operand("up", match=(("job", "kafka-jmx"),)),)), ("==", 0), VALUE),
+    _alert("kafka", "controller", "KafkaNoActiveController", 60, "critical", Rule("KafkaNoActiveController", "a", (Operand("kafka_controller_active_controller_count", agg="sum"),)), ("==", 0), VALUE),
+    _alert("kafka", "controller", "KafkaMultipleControllers", 60, "critical", Rule("KafkaMultipleControllers", "a", (Operand("kafka_controller_active_controller_count", agg="sum"),)), (">", 1), VALUE),
+    _alert("kafka", "partitions", "KafkaOfflinePartitions", 60, "critical", Rule("KafkaOfflinePartitions", "a", (Operand("kafka_controller_offline_partitions_count", agg="sum"),)), (">", 0), VALUE),
+    _alert("kafka", "replication", "KafkaUnderReplicatedPartitions", 300, "warning", Rule("KafkaUnderReplicatedPartitions", "a", (Operand("kafka_server_replica_manager_under_replicated_partitions", agg="sum"),)), (">", 0), VALUE),
+    _alert("kafka", "replication", "KafkaUnderReplicatedPartitionsCritical", 120, "critical", Rule("KafkaUnderReplicatedPartitionsCritical", "a", (Operand("kafka_server_replica_manager_under_replicated_partitions", agg="sum"),)), (">", 10), VALUE),
+    _alert("kafka", "replication", "KafkaUnderMinIsrPartitions", 120, "critical", Rule("KafkaUnderMinIsrPartitions", "a", (Operand("kafka_server_replica_manager_under_min_isr_partition_count", agg="sum"),)), (">", 0), VALUE),
+    _alert("kafka", "replication", "KafkaIsrShrinking", 600, "warning", Rule("KafkaIsrShrinking", "a", (Operand("kafka_server_replica_manager_isr_shrinks_total", "rate", 300),)), (">", 0), VALUE),
+    _alert("kafka", "consumer", "KafkaConsumerLagHigh", 300, "warning", Rule("KafkaConsumerLagHigh", "a", (Operand("kafka_consumergroup_lag", agg="sum", by=("consumergroup", "topic")),)), (">", 1000), VALUE),
+    _alert("kafka", "consumer", "KafkaConsumerLagCritical", 120, "critical", Rule("KafkaConsumerLagCritical", "a", (Operand("kafka_consumergroup_lag", agg="sum", by=("consumergroup", "topic")),)), (">", 10000), VALUE),
+    _alert("kafka", "consumer", "KafkaConsumerLagGrowing", 600, "warning", Rule("KafkaConsumerLagGrowing", "a", (Operand("kafka_consumergroup_lag", "delta", 600),)), (">", 1000), VALUE),
+    _alert("kafka", "consumer", "KafkaConsumerGroupEmpty", 300, "warning", Rule("KafkaConsumerGroupEmpty", "a", (Operand("kafka_consumergroup_members"),)), ("==", 0), VALUE),
+    _alert("kafka", "topic", "KafkaTopicPartitionCountChanged", 60, "info", Rule("KafkaTopicPartitionCountChanged", "a", (Operand("kafka_topic_partitions", "changes", 3600),)), (">", 0), VALUE),
+    _alert("kafka", "topic", "KafkaTopicNoMessages", 1800, "warning", Rule("KafkaTopicNoMessages", "a and b", (Operand("kafka_server_broker_topic_metrics_messages_in_total", "rate", 300, where=("==", 0)), Operand("kafka_server_broker_topic_metrics_messages_in_total", "rate", 3600, where=(">", 10), back=3600))), None, VALUE),
+    _alert("kafka", "performance", "KafkaProduceRequestLatencyHigh", 300, "warning", Rule("KafkaProduceRequestLatencyHigh", "a", (Operand("kafka_network_request_total_time_ms", match=(("request", "Produce"), ("quantile", "0.99"))),)), (">", 100), VALUE),
+    _alert("kafka", "performance", "KafkaFetchRequestLatencyHigh", 300, "warning", Rule("KafkaFetchRequestLatencyHigh", "a", (Operand("kafka_network_request_total_time_ms", match=(("request", "Fetch"), ("quantile", "0.99"))),)), (">", 100), VALUE),
+    _alert("kafka", "performance", "KafkaFailedProduceRequests", 300, "warning", Rule("KafkaFailedProduceRequests", "a", (Operand("kafka_server_broker_topic_metrics_failed_produce_requests_total", "rate", 300),)), (">", 0), VALUE),
+    _alert("kafka", "performance", "KafkaFailedFetchRequests", 300, "warning", Rule("KafkaFailedFetchRequests", "a", (Operand("kafka_server_broker_topic_metrics_failed_fetch_requests_total", "rate", 300),)), (">", 0), VALUE),
+    _alert("kafka", "performance", "KafkaNetworkProcessorIdleLow", 300, "warning", Rule("KafkaNetworkProcessorIdleLow", "a", (Operand("kafka_network_socket_server_network_processor_avg_idle_percent"),)), ("<", 0.3), PERCENT),
+    _alert("kafka", "performance", "KafkaRequestHandlerIdleLow", 300, "warning", Rule("KafkaRequestHandlerIdleLow", "a", (Operand("kafka_server_request_handler_avg_idle_percent"),)), ("<", 0.3), PERCENT),
+    _alert("kafka", "jvm", "KafkaJvmHeapUsageWarning", 300, "warning", Rule("KafkaJvmHeapUsageWarning", "a/b", (Operand("jvm_memory_heap_used_bytes"), Operand("jvm_memory_heap_max_bytes"))), (">", 0.8), PERCENT),
+    _alert("kafka", "jvm", "KafkaJvmHeapUsageCritical", 120, "critical", Rule("KafkaJvmHeapUsageCritical", "a/b", (Operand("jvm_memory_heap_used_bytes"), Operand("jvm_memory_heap_max_bytes"))), (">", 0.9), PERCENT),
+    _alert("kafka", "jvm", "KafkaJvmGcTimeHigh", 600, "warning", Rule("KafkaJvmGcTimeHigh", "a/k", (Operand("jvm_gc_collection_time_ms", "rate", 300),), 1000), (">", 0.3), PERCENT),
+    _alert("kafka", "jvm", "KafkaFileDescriptorsHigh", 300, "warning", Rule("KafkaFileDescriptorsHigh", "a/b", (Operand("jvm_os_open_file_descriptor_count"), Operand("jvm_os_max_file_descriptor_count"))), (">", 0.8), PERCENT),
+    _alert("kafka", "zookeeper", "KafkaZookeeperSessionExpired", 0, "warning", Rule("KafkaZookeeperSessionExpired", "a", (Operand("kafka_server_zookeeper_session_state", "increase", 300),)), (">", 0), VALUE),
+    _alert("zookeeper", "availability", "ZookeeperDown", 60, "critical", Rule("ZookeeperDown", "a", (Operand("probe_success", match=(("job", "blackbox-zookeeper"),)),)), ("==", 0), VALUE),
+    _alert("logstash", "availability", "LogstashDown", 60, "critical", Rule("LogstashDown", "a", (Operand("probe_success", match=(("job", "blackbox-logstash"),)),)), ("==", 0), VALUE),
+    _alert("logstash", "availability", "LogstashEndpointUnhealthy", 120, "warning", Rule("LogstashEndpointUnhealthy", "a", (Operand("probe_http_status_code", match=(("job", "blackbox-logstash"),)),)), ("!=", 200), VALUE),
+    _alert("logstash", "pipeline", "LogstashPipelineNotProcessing", 300, "warning", Rule("LogstashPipelineNotProcessing", "a and b", (Operand("logstash_node_pipeline_events_out_total", "rate", 300, where=("==", 0)), Operand("logstash_node_pipeline_events_in_total", "rate", 300, where=(">", 0)))), None, VALUE),
+    _alert("logstash", "pipeline", "LogstashPipelineNoInput", 900, "warning", Rule("LogstashPipelineNoInput", "a and b", (Operand("logstash_node_pipeline_events_in_total", "rate", 600, where=("==", 0)), Operand("logstash_node_pipeline_events_in_total", "rate", 3600, where=(">", 10), back=3600))), None, VALUE),
+    _alert("logstash", "pipeline", "LogstashHighFilteredRate", 600, "warning", Rule("LogstashHighFilteredRate", "a/b", (Operand("logstash_node_pipeline_events_filtered_total", "rate", 300), Operand("logstash_node_pipeline_events_in_total", "rate", 300))), (">", 0.5), PERCENT),
+    _alert("logstash", "pipeline", "LogstashQueueBackpressure", 300, "warning", Rule("LogstashQueueBackpressure", "a/b", (Operand("logstash_node_pipeline_queue_push_duration_in_millis"), Operand("logstash_node_pipeline_queue_events_count"))), (">", 100), VALUE),
+    _alert("logstash", "performance", "LogstashFilterLatencyHigh", 600, "warning", Rule("LogstashFilterLatencyHigh", "a/b", (Operand("logstash_node_pipeline_plugins_filters_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_filters_events_out_total", "rate", 300))), (">", 100), VALUE),
+    _alert("logstash", "performance", "LogstashOutputLatencyHigh", 600, "warning", Rule("LogstashOutputLatencyHigh", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))), (">", 500), VALUE),
+    _alert("logstash", "performance", "LogstashOutputLatencyCritical", 300, "critical", Rule("LogstashOutputLatencyCritical", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_events_duration_in_millis", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))), (">", 2000), VALUE),
+    _alert("logstash", "performance", "LogstashThroughputDrop", 900, "warning", Rule("LogstashThroughputDrop", "a<b*k", (Operand("logstash_node_pipeline_events_out_total", "rate", 300), Operand("logstash_node_pipeline_events_out_total", "rate", 3600, back=3600)), 0.5), None, VALUE),
+    _alert("logstash", "jvm", "LogstashJvmHeapUsageWarning", 300, "warning", Rule("LogstashJvmHeapUsageWarning", "a/b", (Operand("logstash_node_jvm_mem_heap_used_in_bytes"), Operand("logstash_node_jvm_mem_heap_max_in_bytes"))), (">", 0.75), PERCENT),
+    _alert("logstash", "jvm", "LogstashJvmHeapUsageCritical", 120, "critical", Rule("LogstashJvmHeapUsageCritical", "a/b", (Operand("logstash_node_jvm_mem_heap_used_in_bytes"), Operand("logstash_node_jvm_mem_heap_max_in_bytes"))), (">", 0.9), PERCENT),
+    _alert("logstash", "jvm", "LogstashJvmGcPressureHigh", 600, "warning", Rule("LogstashJvmGcPressureHigh", "a/k", (Operand("logstash_node_jvm_gc_collectors_old_collection_time_in_millis", "rate", 300),), 1000), (">", 0.3), PERCENT),
+    _alert("logstash", "jvm", "LogstashJvmGcFrequent", 600, "warning", Rule("LogstashJvmGcFrequent", "a", (Operand("logstash_node_jvm_gc_collectors_old_collection_count", "rate", 300),)), (">", 0.1), VALUE),
+    _alert("logstash", "dlq", "LogstashDlqGrowing", 0, "warning", Rule("LogstashDlqGrowing", "a", (Operand("logstash_node_dead_letter_queue_size_in_bytes", "increase", 3600),)), (">", 10000000), VALUE),
+    _alert("logstash", "dlq", "LogstashDlqSizeHigh", 300, "warning", Rule("LogstashDlqSizeHigh", "a", (Operand("logstash_node_dead_letter_queue_size_in_bytes"),)), (">", 100000000), VALUE),
+    _alert("logstash", "dlq", "LogstashDlqSizeCritical", 300, "critical", Rule("LogstashDlqSizeCritical", "a", (Operand("logstash_node_dead_letter_queue_size_in_bytes"),)), (">", 500000000), VALUE),
+    _alert("logstash", "plugin", "LogstashKafkaInputErrors", 0, "warning", Rule("LogstashKafkaInputErrors", "a", (Operand("logstash_node_pipeline_plugins_inputs_events_error_total", "increase", 300, like=(("name", ".*kafka.*"),)),)), (">", 0), VALUE),
+    _alert("logstash", "plugin", "LogstashElasticsearchOutputErrors", 0, "warning", Rule("LogstashElasticsearchOutputErrors", "a", (Operand("logstash_node_pipeline_plugins_outputs_events_error_total", "increase", 300, like=(("name", ".*elasticsearch.*"),)),)), (">", 0), VALUE),
+    _alert("logstash", "plugin", "LogstashOutputBulkRejections", 300, "warning", Rule("LogstashOutputBulkRejections", "a/b", (Operand("logstash_node_pipeline_plugins_outputs_documents_successes_total", "rate", 300), Operand("logstash_node_pipeline_plugins_outputs_events_out_total", "rate", 300))), ("<", 0.95), PERCENT),
+)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +44,24 @@ def local_session(cores: str = "8", name: str = "tidewatch") -> SparkSession:
     return configure(spark)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder the cluster names; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        stamp = spark.sql("SELECT uuid() AS u").first()["u"]
-        return f"{shared.rstrip('/')}/{name}-{stamp}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+@functools.cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tidewatch-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table over all cores when its files give fewer tasks than there are cores.
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared folder that spark.checkpoint.dir names.
 
-    For work that is heavy per row (regular expressions over whole texts) on a few large files; a table in many
-    pieces is left as it is and pays no shuffle.
+    Where it is unset, driver and executors must be one process, which then has a folder of its own until it ends.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, *keys)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _own_folder()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def to_wall_clock(df: DataFrame) -> DataFrame:

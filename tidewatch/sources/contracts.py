@@ -54,21 +54,24 @@ def write_with_rejects(df: DataFrame, contract: Column, target: str, rejects: st
 
 
 def replay_rejects(rejects: DataFrame, schema: T.StructType, contract: Column, written: DataFrame, row_id: str, limit: int = 100) -> DataFrame:
-    """Re-validate up to ``limit`` stored rejects, oldest first; written ids are not repeated.
+    """Re-validate the first ``limit`` stored rejects, oldest first; written ids are not repeated.
 
-    The result has the parsed row and its outcome: success, duplicate or failed (to be queued again).
+    The result has every reject, its parsed row and its outcome: success, duplicate, failed (to be queued again), or
+    queued for those after the limit. Equal rejects of one time are tried together.
     """
-    batch = rejects.orderBy("timestamp", "document").limit(limit)
-    d = batch.withColumn("row", F.from_json("document", schema)).select("index", "document", "timestamp", "row", "row.*")
+    place = F.struct("timestamp", "document")
+    cut = rejects.orderBy("timestamp", "document").limit(limit).agg(F.max(place).alias("_cut"))
+    d = rejects.withColumn("_place", place).crossJoin(cut)  # a single row
+    d = d.withColumn("_later", F.col("_place") > F.col("_cut")).withColumn("row", F.from_json("document", schema)).select("index", "document", "timestamp", "_later", "row", "row.*")
     ok = F.coalesce(contract, F.lit(False))
     seen = written.select(F.col(row_id).alias("_seen")).distinct()
     d = d.join(seen, F.col(row_id) == F.col("_seen"), "left")
-    outcome = F.when(~ok, "failed").when(F.col("_seen").isNotNull(), "duplicate").otherwise("success")
+    outcome = F.when(F.col("_later"), "queued").when(~ok, "failed").when(F.col("_seen").isNotNull(), "duplicate").otherwise("success")
     return d.select("index", "document", "timestamp", "row", outcome.alias("outcome"))
 
 
 def replay_counts(replayed: DataFrame) -> DataFrame:
     return replayed.agg(
-        F.count(F.lit(1)).alias("retried"), F.count_if(F.col("outcome") == "success").alias("success"),
+        F.count_if(F.col("outcome") != "queued").alias("retried"), F.count_if(F.col("outcome") == "success").alias("success"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )

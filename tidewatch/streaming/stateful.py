@@ -32,10 +32,13 @@ def _hold(step: int):
         since, last = state.get if state.exists else (None, None)
         out = []
         for second, hold in pd.concat(list(frames)).sort_values("second")[["second", "hold"]].itertuples(index=False):
+            second = int(second)
             if last is None or second - last > step:
-                since = int(second)
-            last = int(second)
-            out.append((key[0], key[1], last, since, "firing" if last - since >= hold else "pending"))
+                since = second
+            # a late row neither ends a run nor starts one anew
+            last = second if last is None else max(last, second)
+            begun = min(since, second)
+            out.append((key[0], key[1], second, begun, "firing" if second - begun >= hold else "pending"))
         state.update((since, last))
         _expire(state, last)
         yield pd.DataFrame(out, columns=["alertname", "key", "second", "since", "state"])
