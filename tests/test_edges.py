@@ -1,8 +1,11 @@
 """Edge values by hand."""
 
 import datetime as dt
+import hashlib
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from tidewatch.functions import text
 from tidewatch.functions.quantiles import exact_quantiles
 from tidewatch.functions.slices import asof_join, running_totals, trailing_totals
 from tidewatch.operators import alerts as al
-from tidewatch.operators import cost, enrich, health, normalise, requests
+from tidewatch.operators import cost, enrich, health, normalise, requests, search
 from tidewatch.operators import samples as m
 
 T0 = dt.datetime(2024, 1, 1)
@@ -156,6 +159,64 @@ def test_cooldown_is_greedy(spark):
     assert got == want
 
 
+def test_hold_spans_slices(spark):
+    rows = [(at(600 * i), "A", {}, 1.0) for i in range(60) if i != 20]
+    df = spark.createDataFrame(rows, "t timestamp, alertname string, labels map<string,string>, value double")
+    holds = spark.createDataFrame([("A", 9000)], "alertname string, hold int")
+    got = values(al.hold_for(df, holds, 600, seconds=3600), "t", "since", "state")
+    assert got == [(at(600 * i), at(0 if i < 20 else 12600), "firing" if 600 * i - (0 if i < 20 else 12600) >= 9000 else "pending") for i in range(60) if i != 20]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_active_alerts_are_touched(spark, seed):
+    rng = random.Random(seed)
+    seconds = sorted(rng.sample(range(0, 60000), 300))
+    closes = sorted(rng.sample(range(0, 60000), 12)) + [seconds[40]]
+    rows = [(at(s), k, "c", "e") for s in seconds for k in ("n", "m")]
+    df = spark.createDataFrame(rows, "ts timestamp, name string, category string, entity string")
+    keys = {r[0]: r[1] for r in values(df.select("name", al.stable_key().alias("k")).distinct(), "name", "k")}
+    closed = spark.createDataFrame([(keys["n"], at(s)) for s in closes], "dedup_key string, at timestamp")
+    got = values(al.touch_active(df, closed, minutes=15), "name", "ts", "outcome")
+    want = []
+    for name, ends in (("n", closes), ("m", [])):
+        made = None
+        for s in seconds:
+            if made is not None and s - made < 900:
+                outcome = "skipped"
+            elif made is not None and not any(made < c <= s for c in ends):
+                outcome = "updated"
+            else:
+                outcome, made = "created", s
+            want.append((name, at(s), outcome))
+    assert got == sorted(want)
+
+
+def test_dedup_key_is_that_of_json(spark):
+    numbers = [0.0, 500.0, -2.5, 1.0e7, 123456789.125, 1e15, 1e16, 2.5e20, 0.001, 0.00012, 1e-5, 3.75e-7]
+    texts = ["plain", 'say "hi"', "back\\slash", "tab\tnewline\n", "Grüße", "\U0001f600 ok", ""]
+    rows = [(x, i, texts[i % len(texts)], i % 2 == 0) for i, x in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "x double, i long, s string, b boolean")
+    details = al._details(x=F.col("x"), i=F.col("i"), s=F.col("s"), b=F.col("b"), none=F.lit(None).cast("string"))
+    got = [r[0] for r in df.select("i", details.alias("details"), F.lit("N").alias("name"), F.lit("c").alias("category")).orderBy("i").select(al.dedup_key()).collect()]
+    want = [hashlib.md5(f"N:c:{json.dumps({'x': x, 'i': i, 's': s, 'b': b}, sort_keys=True)}".encode()).hexdigest()[:16] for x, i, s, b in rows]
+    assert got == want
+
+
+def test_panel_percentile_lies_between_ranks(spark):
+    rng = random.Random(4)
+    rows = [("a", at(i), rng.uniform(-50, 50)) for i in range(333)] + [("b", at(0), 2.0), (None, at(0), None), (None, at(1), 1.0), (None, at(2), 2.0)]
+    got = {r["k"]: r for r in search.reduce_series(spark.createDataFrame(rows, "k string, t timestamp, value double"), ["k"]).collect()}
+    assert got["a"]["p95"] == pytest.approx(np.percentile([r[2] for r in rows if r[0] == "a"], 95))
+    assert (got["b"]["p95"], got[None]["p95"], got[None]["last"]) == (2.0, pytest.approx(1.95), 2.0)
+
+
+def test_summary_of_an_empty_range_has_its_total(spark):
+    df = spark.createDataFrame([(at(0), "x"), (at(5), None)], "ts timestamp, f string")
+    assert values(search.metrics_summary(df, "1h", "2030-01-01", ["f"]), "block", "key", "rows") == [("total", "", 0)]
+    got = values(search.metrics_summary(df, "1h", "2024-01-01 00:30:00", ["f"]), "block", "key", "rows")
+    assert got == [("by_f", "x", 1), ("histogram", "2024-01-01 00:00:00", 2), ("total", "", 2)]
+
+
 def replay(rows, step):
     """Second-by-second replay of one group: what a router would send."""
     out, state = [], None

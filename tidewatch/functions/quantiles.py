@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.slices import null_safe_join
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with the value at 0-based rank ``floor(n * p)`` for each named probability.
+    """One row per group with the value at 0-based rank ``floor(n * p)`` for each named probability."""
+    return exact_ranks(df, keys, value, {name: lambda n, p=p: F.floor(n * F.lit(p)) for name, p in probs.items()})
+
+
+def exact_ranks(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per group with the value at each named 0-based rank, a function of the number of values that are not null.
 
     Rows are first counted per distinct value (partial aggregation). Logarithmic bands of under one per cent then
     tell in which band each rank falls, and only the values of those bands are put in order. ``ln`` is monotone,
@@ -29,7 +34,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         "_n": F.sum("_k").over(group),
         "_lo": F.sum("_k").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_k"),
     })
-    ranks = {n: F.floor(F.col("_n") * F.lit(p)) for n, p in probs.items()}
+    ranks = {name: place(F.col("_n")) for name, place in places.items()}
     hit = F.lit(False)
     for r in ranks.values():
         hit = hit | ((F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_k")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import as_map, literal_table
-from tidewatch.functions.slices import neighbour, running_totals
+from tidewatch.functions.slices import SLICE, asof_join, carry, neighbour, running_totals, slice_of, within
 from tidewatch.operators.recording import Alert
 from tidewatch.operators.samples import series_key
 
@@ -32,17 +32,20 @@ METRIC_RULES = (
 )
 
 
-def hold_for(breaches: DataFrame, holds: DataFrame, step: int) -> DataFrame:
+def hold_for(breaches: DataFrame, holds: DataFrame, step: int, seconds: int = 86400) -> DataFrame:
     """A2: pending until a series has been broken at every grid point for its hold time, then firing.
 
-    ``holds`` has (alertname, hold) in seconds. A missing grid point starts anew. A series has at most one row per grid
-    point, so its window is as long as the grid.
+    ``holds`` has (alertname, hold) in seconds, a row per rule. A missing grid point starts anew. A series is ordered
+    inside slices of ``seconds``; the last start of a run travels from slice to slice.
     """
+    keys = ["alertname", "key"]
     d = breaches.withColumns({"key": series_key(F.col("labels")), "_s": F.unix_seconds("t")})
-    along = Window.partitionBy("alertname", "key").orderBy("_s")
-    d = d.withColumn("_run", F.col("_s") - F.row_number().over(along) * step)
-    since = F.min("_s").over(Window.partitionBy("alertname", "key", "_run"))
-    d = d.withColumn("_since", since).join(F.broadcast(holds), "alertname")
+    d = neighbour(d, keys, "t", ["t"], F.col("_s"), "_before", seconds)
+    begins = F.col("_before").isNull() | (F.col("_s") - F.col("_before") > step)
+    d = d.withColumns({"_start": F.when(begins, F.col("_s")), SLICE: slice_of(F.col("t"), seconds)})
+    d = carry(d, keys, {"_last": F.max("_start")}, lambda w: {"_earlier": F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    here = F.max("_start").over(within(keys, ["t"]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_since", F.coalesce(here, "_earlier")).join(F.broadcast(holds), "alertname")
     return d.select(
         *breaches.columns, F.timestamp_seconds("_since").alias("since"),
         F.when(F.col("_s") - F.col("_since") >= F.col("hold"), "firing").otherwise("pending").alias("state"))
@@ -290,8 +293,39 @@ def _title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
+def _number(text: Column) -> Column:
+    """A number written with an exponent, in the form that JSON texts of details have: plain from 1e-4 to 1e16."""
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    short = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    sign = F.when(power < 0, "-").otherwise("+")
+    return F.when(power.between(-4, 15), plain).otherwise(F.concat(short, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))))
+
+
+def _unicode(code: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+
+def _ascii(text: Column) -> Column:
+    """The text with every character beyond ASCII as its JSON escape; two escapes beyond the first plane."""
+    def one(ch):
+        code = F.ascii(ch)
+        beyond = code - 65536
+        pair = F.concat(_unicode(F.lit(55296) + F.shiftright(beyond, 10)), _unicode(F.lit(56320) + beyond.bitwiseAND(1023)))
+        return F.when(code < 128, ch).when(code < 65536, _unicode(code)).otherwise(pair)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
+def json_value(c: Column) -> Column:
+    """A plain value as JSON: numbers and booleans bare, texts quoted and escaped; null for null."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    text = F.when(c.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+    return F.when(text.rlike(r"^-?[0-9.]+E-?[0-9]+$"), _number(text)).otherwise(_ascii(text))
+
+
 def _details(**cols: Column) -> Column:
-    pairs = [x for k in sorted(cols) for x in (F.lit(k), cols[k].cast("string"))]
+    """Name to value as JSON text; what is null is left out."""
+    pairs = [x for k in sorted(cols) for x in (F.lit(k), json_value(cols[k]))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
@@ -312,13 +346,13 @@ def violations_to_alerts(technical: DataFrame, finops: DataFrame, compliance: Da
         _details(type=F.col("type"), threshold=F.col("threshold"), spent=F.col("spent"), budget=F.col("budget"), severity=sev), F.lit("daily"))
     c = out(
         compliance, F.col("ts"), "Compliance: ", "compliance", sev == "high", F.concat(F.lit("Compliance violation detected: "), "type"),
-        _details(type=F.col("type"), severity=sev, request_id=F.col("request_id"), detail=F.col("detail")), F.coalesce(F.col("detail"), F.lit("")))
+        _details(type=F.col("type"), severity=sev, request_id=F.col("request_id").cast("string"), detail=F.col("detail")), F.coalesce(F.col("detail"), F.lit("")))
     return t.unionByName(f).unionByName(c)
 
 
 def dedup_key() -> Column:
-    """A10: first 16 hex characters of MD5 over name:category:details, the details as JSON sorted by key."""
-    pairs = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
+    """A10: first 16 hex characters of MD5 over name:category:details, the details (JSON values) as JSON sorted by key."""
+    pairs = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(json_value(e["key"]), F.lit(": "), e["value"]))
     text = F.concat(F.col("name"), F.lit(":"), F.col("category"), F.lit(":{"), F.array_join(pairs, ", "), F.lit("}"))
     return F.substring(F.md5(text), 1, 16)
 
@@ -353,6 +387,39 @@ def suppress_cooldown(alerts: DataFrame, key: Column | None = None, minutes: int
     return out.withColumns({"dedup_key": F.col("_key"), "accepted": F.col("_k").isNotNull()}).drop("_key", "_us", "_k", "_u")
 
 
+def touch_active(alerts: DataFrame, closed: DataFrame, key: Column | None = None, minutes: int = COOLDOWN_MINUTES, ts: str = "ts") -> DataFrame:
+    """A11 with alerts that stay active: adds dedup_key and outcome, one of created, updated and skipped.
+
+    An alert within the cooldown of the last one created of its key is skipped. Later ones only update that one while
+    it is active; ``closed`` (dedup_key, at) says when an alert of a key stopped being active, be it acknowledged or
+    resolved. Between two closings of a key at most one alert is created, and only the alerts of the first cooldown
+    and the first one after it can be the one; no more than these are put in order.
+    """
+    cool = minutes * 60 * 1_000_000
+    d = alerts.withColumn("dedup_key", stable_key() if key is None else key)
+    times = d.groupBy("dedup_key", F.col(ts).alias("at")).agg(F.lit(0).cast("bigint").alias("_close")).where("at IS NOT NULL")
+    ends = closed.groupBy("dedup_key", "at").agg(F.lit(1).cast("bigint").alias("_close")).where("at IS NOT NULL")
+    both = times.unionByName(ends).withColumns({"_first": F.lit(1) - F.col("_close"), "_us": F.unix_micros("at")})
+    both = running_totals(both, ["dedup_key"], "at", ["at", "_first"], {"_part": F.col("_close")}, 3600)
+    opened = both.where("_close = 1").select(F.col("dedup_key").alias("_k"), F.col("_part").alias("_p"), F.col("_us").alias("_from"))
+    own = both.where("_close = 0").join(opened, F.col("dedup_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left").drop("_k", "_p")
+    early = F.col("_us") < F.col("_from") + cool
+    parts = own.groupBy("dedup_key", "_part").agg(
+        F.concat(F.collect_list(F.when(early, F.col("_us"))), F.filter(F.array(F.min(F.when(F.coalesce(~early, F.lit(True)), F.col("_us")))), lambda x: x.isNotNull())).alias("_times"))
+
+    def choose(acc, part):
+        fit = F.array_min(F.filter(part["times"], lambda u: acc["last"].isNull() | (u - acc["last"] >= cool)))
+        return F.when(fit.isNull(), acc).otherwise(F.struct(fit.alias("last"), F.concat(acc["taken"], F.array(fit)).alias("taken")))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
+    ordered = parts.groupBy("dedup_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_part").alias("part"), F.col("_times").alias("times")))).alias("_parts"))
+    made = ordered.select("dedup_key", F.explode(F.aggregate("_parts", start, choose, lambda acc: acc["taken"])).alias("_made"))
+    made = made.select("dedup_key", F.timestamp_micros("_made").alias(ts), "_made")
+    found = asof_join(d, made, ["dedup_key"], ts, ["_made"])
+    age = F.unix_micros(ts) - F.col("_made")
+    return found.withColumn("outcome", F.when(age == 0, "created").when(age >= cool, "updated").otherwise("skipped")).drop("_made")
+
+
 def assign_alert_ids(alerts: DataFrame, order: Sequence[str] = ("ts", "dedup_key"), ts: str = "ts") -> DataFrame:
     """ALT-YYYYMMDD-00001, counted per day in order."""
     d = alerts.withColumn("_day", F.to_date(ts))

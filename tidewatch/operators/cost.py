@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.slices import running_totals, trailing_totals
+from tidewatch.functions.slices import null_safe_join, running_totals, trailing_totals
 
 # Rate per 1000 tokens where a model has no price.
 DEFAULT_INPUT_RATE = 0.001
@@ -69,9 +69,18 @@ def budget_level(share):
 
 def budget_status(costs: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     """spend so far in the day, week and month of each request, what is left of the day, and the alert level."""
-    d = costs
-    for name in PERIODS:
-        d = period_spend(d, name, ()).withColumn(f"{name}_spent", F.col("spent").cast("double")).drop("spent", "period_start")
+    # all periods begin on a minute, so a table of minutes holds what lies before each; rows are ordered in their minute
+    minute = F.date_trunc("minute", "ts")
+    d = costs.withColumns({"_minute": minute, "_cost": F.col("total_cost").cast(MONEY)})
+    minutes = d.groupBy("_minute").agg(F.sum("_cost").alias("_sum"))
+    for name, unit in PERIODS.items():
+        before = Window.partitionBy(F.date_trunc(unit, "_minute")).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+        minutes = minutes.withColumn(f"_{name}", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    d = null_safe_join(d, minutes.drop("_sum"), ["_minute"])
+    inside = F.sum("_cost").over(Window.partitionBy("_minute").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    d = d.withColumns({f"{name}_spent": (F.col(f"_{name}") + F.col("_inside")).cast("double") for name in PERIODS})
+    d = d.drop("_minute", "_cost", "_inside", *[f"_{name}" for name in PERIODS])
     daily = F.lit(float(limits["daily"]))
     share = F.when(daily > 0, F.col("daily_spent") / daily * 100).otherwise(F.lit(0.0))
     return d.withColumns({

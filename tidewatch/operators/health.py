@@ -45,13 +45,13 @@ def health_streaks(checks: DataFrame, keys: Sequence[str] = ("service",), order:
     )
 
 
-def availability(checks: DataFrame, keys: Sequence[str] = ("service",), order: Sequence[str] = ("ts", "event_id"), sla: float = SLA_TARGET) -> DataFrame:
+def availability(checks: DataFrame, keys: Sequence[str] = ("service",), order: Sequence[str] = ("ts", "event_id"), sla: float = SLA_TARGET, seconds: int = 3600) -> DataFrame:
     """Share of time in which the latest check was healthy, outages, mean time to repair and between failures.
 
     An outage is a run of checks that are not healthy. Time after the last check does not count.
     """
-    d = neighbour(checks, keys, "ts", order, F.col("ts"), "_next", following=True)
-    d = neighbour(d, keys, "ts", order, F.col("status") == "healthy", "_was")
+    d = neighbour(checks, keys, "ts", order, F.col("ts"), "_next", seconds, following=True)
+    d = neighbour(d, keys, "ts", order, F.col("status") == "healthy", "_was", seconds)
     ok = F.col("status") == "healthy"
     secs = F.coalesce((F.unix_micros("_next") - F.unix_micros("ts")) / F.lit(1e6), F.lit(0.0))
     last_ok = F.max_by(ok, F.struct(*order))
@@ -141,7 +141,8 @@ def system_status(checks: DataFrame, deployments: DataFrame, incidents: DataFram
     """One row: latest health, availability over all checks, deployments and incidents under way, breakers, means."""
     pos = F.struct("ts", "event_id")
     health = checks.agg(F.coalesce(F.max_by("status", pos), F.lit("unknown")).alias("health"))
-    avail = availability(checks, ["_all"]) if "_all" in checks.columns else availability(checks.withColumn("_all", F.lit(1)), ["_all"])
+    # the checks of all services are one history, so they are ordered by the minute
+    avail = availability(checks.withColumn("_all", F.lit(1)), ["_all"], seconds=60)
     states = circuit_breaker_state(breakers)
     rows = [
         health,

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.quantiles import exact_ranks
+from tidewatch.functions.slices import null_safe_join
+
 _UNITS = {"m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -59,14 +62,21 @@ def terms(df: DataFrame, field: str, size: int = 50) -> DataFrame:
 
 
 def metrics_summary(df: DataFrame, span: str, as_of, group_by: Sequence[str] = (), size: int = 50) -> DataFrame:
-    """Q5: total, histogram and one block of terms per field as (block, key, rows)."""
-    d = time_filter(df, span, as_of)
-    out = d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("total").alias("block"), F.lit("").alias("key"), "rows")
-    hist = date_histogram(d, span).select(F.lit("histogram"), F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"), "rows")
-    out = out.union(hist)
-    for f in group_by:
-        out = out.union(terms(d, f, size).select(F.lit(f"by_{f}"), "value", "rows"))
-    return out
+    """Q5: total, histogram and one block of the ``size`` most frequent terms per field as (block, key, rows).
+
+    One scan and one grouping: every row counts once in each block.
+    """
+    width = histogram_seconds(span)
+    bucket = F.timestamp_seconds((F.floor(F.unix_seconds("ts") / width) * width).cast("bigint"))
+    blocks = {"total": F.lit(""), "histogram": F.date_format(bucket, "yyyy-MM-dd HH:mm:ss")} | {f"by_{f}": F.col(f).cast("string") for f in group_by}
+    cells = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), k.alias("key")) for b, k in blocks.items()]))
+    counts = time_filter(df, span, as_of).select(cells.alias("c")).select("c.*").where("key IS NOT NULL").groupBy("block", "key").agg(F.count(F.lit(1)).alias("rows"))
+    # an empty range still has a total
+    none = df.sparkSession.range(1).select(F.lit("total").alias("block"), F.lit("").alias("key"), F.lit(0).cast("bigint").alias("rows"))
+    counts = counts.unionByName(none).groupBy("block", "key").agg(F.sum("rows").alias("rows"))
+    by_rank = Window.partitionBy("block").orderBy(F.desc("rows"), "key")
+    top = counts.where(F.col("block").startswith("by_")).withColumn("_rank", F.row_number().over(by_rank)).where(F.col("_rank") <= size).drop("_rank")
+    return counts.where(~F.col("block").startswith("by_")).unionByName(top)
 
 
 def count_documents(df: DataFrame, predicate: Column | None = None, name: str = "rows") -> DataFrame:
@@ -80,12 +90,18 @@ def aggregate_query(df: DataFrame, aggs: dict[str, Column], keys: Sequence = (),
     return d.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def reduce_series(series: DataFrame, keys: Sequence[str], ts: str = "t", value: str = "value") -> DataFrame:
-    """Q8: last, last not null, mean, max, min and 95th percentile of each panel series."""
+def reduce_series(series: DataFrame, keys: Sequence[str], ts: str = "t", value: str = "value", share: float = 0.95) -> DataFrame:
+    """Q8: last, last not null, mean, max, min and 95th percentile (between the two nearest ranks) of each panel series."""
     v = F.col(value)
-    return series.groupBy(*keys).agg(
+    plain = series.groupBy(*keys).agg(
         F.max_by(v, F.when(v.isNotNull(), F.col(ts))).alias("last_not_null"), F.max_by(v, F.col(ts)).alias("last"),
-        F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.percentile(v, 0.95).alias("p95"))
+        F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.count(v).alias("_n"))
+    place = lambda n: (n - 1) * F.lit(share)
+    ranks = exact_ranks(series, keys, value, {"_below": lambda n: F.floor(place(n)), "_above": lambda n: F.ceil(place(n))})
+    between = F.col("_below") + (F.col("_above") - F.col("_below")) * (place(F.col("_n")) - F.floor(place(F.col("_n"))))
+    # a percentile of finite values does not turn into NaN between two equal infinities
+    p95 = F.when(F.col("_below") == F.col("_above"), F.col("_below")).otherwise(between)
+    return null_safe_join(plain, ranks, keys, "left").withColumn("p95", p95).drop("_n", "_below", "_above")
 
 
 def monitoring_summary(parts: dict[str, DataFrame]) -> DataFrame:

@@ -98,6 +98,19 @@ def pair_sql(name, a, b, expr, where="TRUE", col="value"):
     return f"""SELECT t, '{name}' AS rec, lab, {expr} AS value FROM (SELECT t, lab, {col} AS a FROM v WHERE metric = '{a}' AND {where}) p JOIN (SELECT t, lab, {col} AS b FROM v WHERE metric = '{b}' AND {where}) q USING (t, lab) WHERE a IS NOT NULL AND b IS NOT NULL"""
 
 
+def wide_sql(metric, seconds):
+    """Every pair of a grid point and a sample of the metric within a range of another length."""
+    return f"""SELECT k.t, s.lab, s.ts, s.pts, s.value, CASE WHEN pts > k.t - to_seconds({seconds}) THEN CASE WHEN value >= pv THEN value - pv ELSE value END ELSE 0 END AS inc
+      FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM s), (SELECT max(ts) FROM s) + to_seconds({seconds}), INTERVAL 1 HOUR)) AS t) k JOIN s ON s.metric = '{metric}' AND s.ts > k.t - to_seconds({seconds}) AND s.ts <= k.t"""
+
+
+def line_sql(name, source, seconds, horizon):
+    """Where the least squares line through a recorded series of the range falls below zero at the horizon."""
+    return f"""SELECT t, '{name}', lab, value FROM (SELECT k.t, l.lab, regr_intercept(l.value, epoch(l.t) - epoch(k.t)) + regr_slope(l.value, epoch(l.t) - epoch(k.t)) * {horizon} AS value
+      FROM (SELECT unnest(generate_series((SELECT min(t) FROM level0), (SELECT max(t) FROM level0) + to_seconds({seconds}), INTERVAL 1 HOUR)) AS t) k
+      JOIN level0 l ON l.rec = '{source}' AND l.t > k.t - to_seconds({seconds}) AND l.t <= k.t GROUP BY k.t, l.lab HAVING count(*) >= 2) f WHERE value < 0"""
+
+
 DIV = "CAST(CASE WHEN b <> 0 THEN a / b WHEN a = 0 THEN 'NaN' ELSE 'Infinity' END AS DOUBLE)"
 _E, _I = "elasticsearch:", "elasticsearch_indices_"
 _CG, _TP = "'consumergroup=' || consumergroup", "'topic=' || topic"
@@ -143,6 +156,8 @@ LEVEL0 = [
     copy_sql("logstash:pipeline:throughput_eps:5m_avg", "logstash_node_pipeline_events_out_total", value="rate"),
     copy_sql("slo:logstash:throughput:events_per_second", "logstash_node_pipeline_events_out_total", value="rate"),
     copy_sql("logstash:dlq:size_bytes", "logstash_node_dead_letter_queue_size_in_bytes"),
+    f"""SELECT t, 'logstash:pipeline:throughput_eps' AS rec, lab, max_by(inc, ts) / max_by((epoch_us(ts) - epoch_us(pts)) / 1e6, ts) AS value FROM ({wide_sql("logstash_node_pipeline_events_out_total", 3600)}) i GROUP BY t, lab HAVING count(*) >= 2""",
+    f"""SELECT t, 'logstash:dlq:growth_rate:1h' AS rec, lab, CAST(sum(inc) AS DOUBLE) AS value FROM ({wide_sql("logstash_node_dead_letter_queue_size_in_bytes", 216000)}) i GROUP BY t, lab HAVING count(*) >= 2""",
 ]
 LEVEL0_SQL = BASE_SQL + "level0 AS (" + "\nUNION ALL ".join(LEVEL0) + ")"
 AVAIL = ", avail AS (" + " UNION ALL ".join(
@@ -160,8 +175,6 @@ slo AS (SELECT t, concat('slo:', sys, ':availability:current') AS rec, lab, c AS
     ('slo:elasticsearch:latency:target_seconds', 0.5), ('slo:kafka:produce_latency:target_ms', 100), ('slo:kafka:consumer_lag:target', 1000), ('slo:logstash:latency:target_ms', 500)) AS r(rec, k))"""
 
 CATALOGUE = recording.stretch(rules.RECORDING_RULES, SLOW)
-# Reads the irate and the one-hour growth of a counter; both are checked on their own as M3 and M4.
-UNCHECKED = ("logstash:pipeline:throughput_eps", "logstash:dlq:growth_rate:1h")
 
 
 def rounded(d, name="name"):
@@ -172,7 +185,7 @@ def rounded(d, name="name"):
 def _(t):
     """The whole catalogue, level by level, through the table of recorded series."""
     d = recording.store_rules(stack(t), CATALOGUE, work_dir(t.spark, "recorded"), STEP, span(t))
-    return rounded(d.where(~F.col("name").startswith("_") & ~F.col("name").isin(*UNCHECKED)))
+    return rounded(d.where(~F.col("name").startswith("_")))
 
 
 SLO_ONLY = [r for r in CATALOGUE if r.name in ("logstash:availability:up", "slo:logstash:availability:current", "slo:logstash:availability:budget_consumed")]
@@ -217,17 +230,11 @@ BREACHES = LEVEL0_SQL + AVAIL + ", breaches AS (" + "\nUNION ALL ".join([
     breach_sql("KafkaConsumerLagHigh", "kafka:consumer:lag_by_group_topic", "value > 1000"),
     breach_sql("KafkaConsumerGroupEmpty", "kafka:consumer:members_by_group", "value = 0"),
     """SELECT a.t, 'LogstashPipelineNotProcessing', a.lab, a.rate FROM v a JOIN v b ON a.t = b.t AND a.lab = b.lab AND a.metric = 'logstash_node_pipeline_events_out_total' AND b.metric = 'logstash_node_pipeline_events_in_total' WHERE a.rate = 0 AND b.rate > 0""",
+    line_sql("ElasticsearchDiskWillFillIn24h", "elasticsearch:disk:free_bytes", 21600 * SLOW, 86400 * SLOW),
+    line_sql("ElasticsearchDiskWillFillIn6h", "elasticsearch:disk:free_bytes", 7200 * SLOW, 21600 * SLOW),
+    f"""SELECT t, 'KafkaConsumerLagGrowing', lab, value FROM (SELECT t, lab, max_by(value, ts) - min_by(value, ts) AS value FROM ({wide_sql("kafka_consumergroup_lag", 600 * SLOW)}) i GROUP BY t, lab HAVING count(*) >= 2) f WHERE value > 1000""",
     """SELECT n.t, 'ElasticsearchIndexingRateDrop', n.lab, n.value FROM level0 n JOIN level0 o ON n.rec = 'elasticsearch:indexing:rate:5m' AND o.rec = n.rec AND o.t + INTERVAL 60 HOUR = n.t WHERE n.value < 10 AND o.value > 100""",
 ]) + ")"
-# Conditions over other ranges (growth, change, regression, one hour) are checked operator by operator.
-CHECKED = (
-    "ElasticsearchClusterRed", "ElasticsearchClusterYellow", "ElasticsearchNodeDown", "ElasticsearchHeapUsageWarning", "ElasticsearchHeapUsageCritical",
-    "ElasticsearchHeapUsageDangerous", "ElasticsearchIndexingLatencyHigh", "ElasticsearchDiskUsageWarning", "ElasticsearchDiskUsageCritical",
-    "ElasticsearchDiskUsageDangerous", "ElasticsearchSearchRejections", "EndpointDown", "LogstashDown", "SSLCertificateExpiringSoon",
-    "SSLCertificateExpiringCritical", "SSLCertificateExpired", "SLOBudgetBurning", "SLOBudgetCritical", "SLOBudgetExhausted", "PrometheusTargetDown",
-    "KafkaBrokerNotAvailable", "KafkaBrokerDown", "KafkaNoActiveController", "KafkaMultipleControllers", "KafkaOfflinePartitions", "KafkaConsumerLagHigh",
-    "KafkaConsumerGroupEmpty", "LogstashPipelineNotProcessing", "ElasticsearchIndexingRateDrop",
-)
 ALERTS = recording.stretch_alerts(rules.ALERT_RULES, SLOW)
 
 
@@ -237,7 +244,7 @@ def _(t):
     grid = span(t)
     recorded = recording.store_rules(stack(t), recording.needed_rules(ALERTS, CATALOGUE), work_dir(t.spark, "recorded"), STEP, grid)
     d = recording.evaluate_rules(stack(t), ALERTS, CATALOGUE, STEP, grid, recorded)
-    return rounded(d.where(F.col("alertname").isin(*CHECKED)), "alertname").withColumnRenamed("rec", "alertname")
+    return rounded(d, "alertname").withColumnRenamed("rec", "alertname")
 
 
 # --- from here on the alerts come from a smaller view: breaches by hour, made of the events themselves
@@ -367,7 +374,7 @@ def _(t):
 @query("a10_dedup_key", ALERT_SQL + """ SELECT substr(md5(concat('Compliance: ', ' X:', request_id, ':{"detail": "', detail, '", "request_id": "', request_id, '", "severity": "', severity, '", "type": "', type, '"}')), 1, 16) AS dedup_key, request_id FROM comp""")
 def _(t):
     comp = violation_frames(t)[2]
-    details = al._details(type=F.col("type"), severity=F.col("severity"), request_id=F.col("request_id"), detail=F.col("detail"))
+    details = al._details(type=F.col("type"), severity=F.col("severity"), request_id=F.col("request_id").cast("string"), detail=F.col("detail"))
     d = comp.select(F.lit("Compliance:  X").alias("name"), F.col("request_id").cast("string").alias("category"), details.alias("details"), "request_id")
     return d.select(al.dedup_key().alias("dedup_key"), "request_id")
 
@@ -385,6 +392,32 @@ def _(t):
     return d.groupBy("dedup_key", "ts", "accepted").agg(F.count(F.lit(1)).alias("alerts"))
 
 
+# Every alert of the day's last hour is closed at the hour before midnight of every third day.
+CLOSED_SQL = """cl AS (SELECT DISTINCT k, date_trunc('day', ts) + INTERVAL 23 HOUR AS at FROM keyed WHERE day(ts) % 3 = 0)"""
+
+
+@query("a11_touch_active", ALERT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {CLOSED_SQL}, tm AS (SELECT DISTINCT k, ts FROM keyed),
+nc AS (SELECT a.k, a.ts, (SELECT min(c.at) FROM cl c WHERE c.k = a.k AND c.at > a.ts) AS at FROM tm a),
+nx AS (SELECT a.k, a.ts, (SELECT min(b.ts) FROM tm b WHERE b.k = a.k AND b.ts >= a.ts + INTERVAL 180 MINUTE AND b.ts >= a.at) AS nts FROM nc a),
+acc AS (SELECT k, min(ts) AS ts FROM tm GROUP BY k UNION ALL SELECT nx.k, nx.nts FROM acc JOIN nx ON nx.k = acc.k AND nx.ts = acc.ts WHERE nx.nts IS NOT NULL),
+j AS (SELECT keyed.k, keyed.ts, acc.ts AS made FROM keyed ASOF JOIN acc ON acc.k = keyed.k AND keyed.ts >= acc.ts)
+SELECT k AS dedup_key, ts, CASE WHEN ts = made THEN 'created' WHEN ts >= made + INTERVAL 180 MINUTE THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS alerts FROM j GROUP BY 1, 2, 3""")
+def _(t):
+    d = alert_frame(t)
+    closed = d.where(F.dayofmonth("ts") % 3 == 0).select(al.stable_key().alias("dedup_key"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 23 HOURS")).alias("at")).distinct()
+    return al.touch_active(d, closed, minutes=180).groupBy("dedup_key", "ts", "outcome").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+# Numbers as in a JSON text: the values here need no exponent.
+@query("a10_dedup_key_numbers", VIOL_SQL + """ SELECT window_start AS ts, provider, model, type,
+  substr(md5(concat('T:technical:{"sure": true, "threshold": ', CAST(CAST(threshold AS DOUBLE) AS VARCHAR), ', "type": "', type, '"}')), 1, 16) AS dedup_key FROM violations""")
+def _(t):
+    tech = violation_frames(t)[0]
+    details = al._details(type=F.col("type"), threshold=F.col("threshold").cast("double"), sure=F.lit(True))
+    d = tech.select(F.col("window_start").alias("ts"), "provider", "model", "type", F.lit("T").alias("name"), F.lit("technical").alias("category"), details.alias("details"))
+    return d.select("ts", "provider", "model", "type", al.dedup_key().alias("dedup_key"))
+
+
 def stored_alerts(t):
     d = alert_frame(t).withColumn("dedup_key", al.stable_key())
     first = d.groupBy("dedup_key", "ts").agg(*[F.min(c).alias(c) for c in ("name", "category", "severity", "message", "entity")])

@@ -225,6 +225,15 @@ def _(t):
         "request_id", "s.label", F.round("s.score", 6).alias("score"))
 
 
+@query("c12_prompt_sentiment", TP + f""", w AS (SELECT request_id, {wl('lower(prompt)')} AS w FROM text_pairs),
+c AS (SELECT request_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: x IN {in_list(text.POSITIVE_WORDS)})) AS p, len(list_filter(w, lambda x: x IN {in_list(text.NEGATIVE_WORDS)})) AS m FROM w)
+SELECT request_id, CASE WHEN p + m = 0 THEN 'neutral' WHEN p > m THEN 'positive' WHEN m > p THEN 'negative' ELSE 'mixed' END AS label,
+  round(CASE WHEN p > m THEN p / n WHEN m > p THEN -m / n ELSE 0.0 END, 6) AS score FROM c""")
+def _(t):
+    return cognitive.cognitive_facts(pairs(t)).select(
+        "request_id", "prompt_sentiment.label", F.round("prompt_sentiment.score", 6).alias("score"))
+
+
 @query("c13_attach_feedback", with_fixtures("turn_pairs", "feedback") + """, f AS (
 SELECT request_id, max_by(rating, version) AS rating, max_by(feedback_text, version) AS feedback_text FROM feedback GROUP BY request_id)
 SELECT p.request_id, rating, feedback_text FROM turn_pairs p LEFT JOIN f ON f.request_id = p.request_id""")
