@@ -10,6 +10,7 @@ from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.registry import query
 from tidewatch.session import work_dir
 from tidewatch.sources import contracts, lifecycle, tables
+from tidewatch.streaming import streams
 
 NOW = "2024-02-01 00:00:00"
 LOG_SQL = with_fixtures("app_logs")
@@ -356,6 +357,34 @@ def _(t):
     return d.select("event_id", F.col("custom")["team"].alias("custom_team"), "_enrichment.version", F.col("_enrichment.timestamp").alias("stamped"))
 
 
+EVENT = T.StructType().add("event_id", "long").add("message", "string").add("level", "string").add("service", T.StructType().add("name", "string"))
+_EVENT_SQL = "SELECT event_id, message, raw_level AS level, service_name AS service"
+
+
+def event_rows(t):
+    """Log rows as the nested events that shippers send."""
+    return t.app_logs.select("ts", F.struct("event_id", "message", F.col("raw_level").alias("level"), F.struct(F.col("service_name").alias("name")).alias("service")).alias("event"))
+
+
+@query("s1_parse_records", LOG_SQL + _EVENT_SQL + ", concat('logs-', event_id % 3) AS topic, event_id AS \"offset\", ts AS broker_time, 'kafka' AS tag FROM app_logs")
+def _(t):
+    """The body of the broker source over rows in the form of a broker's."""
+    i = F.col("event.event_id")
+    records = event_rows(t).select(
+        F.to_json("event").cast("binary").alias("value"), F.concat(F.lit("logs-"), (i % 3).cast("string")).alias("topic"),
+        (i % 8).cast("int").alias("partition"), i.alias("offset"), F.col("ts").alias("timestamp"))
+    d = streams.parse_records(records, EVENT)
+    return d.select("event.event_id", "event.message", "event.level", F.col("event.service.name").alias("service"), "topic", "offset", "broker_time", F.col("tags")[0].alias("tag"))
+
+
+@query("s2_read_json_landing", LOG_SQL + _EVENT_SQL + ", 'beats' AS origin FROM app_logs")
+def _(t):
+    path = work_dir(t.spark, "landing")
+    event_rows(t).select("event").write.json(path)
+    d = streams.read_json_landing(t.spark, path, T.StructType([T.StructField("event", EVENT)]), "beats", stream=False)
+    return d.select("event.event_id", "event.message", "event.level", F.col("event.service.name").alias("service"), "origin")
+
+
 @query("s3_read_dead_letters", LOG_SQL + "SELECT event_id, concat('bad-', raw_level) AS reason, 'output' AS plugin_type, ts AS entry_time FROM app_logs WHERE status_code = 503")
 def _(t):
     path = work_dir(t.spark, "dead-letters")
@@ -400,6 +429,22 @@ def _(t):
     return tables.latest_by_id(d).select("request_id", "event_id", "value")
 
 
+IDED = "SELECT CAST(floor(event_id / 3) AS BIGINT) AS request_id, ts AS sent, event_id, value FROM events"
+
+
+@query("s7_upsert_sink", f"""WITH v AS ({IDED}), n AS (SELECT request_id, max_by(event_id, sent) AS event_id, max_by(value, sent) AS value FROM v GROUP BY request_id)
+SELECT request_id, event_id, CASE WHEN request_id % 2 = 0 THEN -value ELSE value END AS value FROM n""")
+def _(t):
+    """Written, replayed, and partly replaced by later versions: each id is stored once, in its newest version."""
+    path = work_dir(t.spark, "upsert")
+    d = t.spark.sql(IDED.replace("FROM events", "FROM {e}"), e=t.events)
+    d = d.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("request_id") % 20 * 86400))
+    newer = tables.latest_by_id(d, order=["sent"]).where("request_id % 2 = 0").withColumns({"value": -F.col("value"), "sent": F.col("sent") + F.expr("INTERVAL 1 HOUR")})
+    for batch in (d, d, newer, newer):
+        tables.upsert_by_request_id(batch, path, order=["sent"])
+    return t.spark.read.parquet(path).select("request_id", "event_id", "value")
+
+
 @query("s8_write_with_rejects", LOG_SQL + f""", c AS (SELECT *, coalesce(latency_ms < 4000, false) AS ok FROM app_logs)
 SELECT 'kept' AS outcome, event_id, CAST(NULL AS STRING) AS error FROM c WHERE ok UNION ALL SELECT 'rejected', event_id, 'contract violated' FROM c WHERE NOT ok""")
 def _(t):

@@ -9,7 +9,7 @@ from tidewatch.operators import cognitive, cost, governance, health, reconcile,
 from tidewatch.plans import q_requests, q_text
 from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.q_requests import COSTS_SQL, REQ_SQL
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import ORACLES, query
 
 CHECKS = with_fixtures("health_checks")
 
@@ -292,6 +292,31 @@ def _(t):
         F.round("finops.roi_ratio", 6).alias("roi_ratio"), "devops.health", "rejects.rejects", "cognitive.responses")
 
 
+@query("q9_full_report", f"""WITH c AS (SELECT sum(total_analyzed) AS n, sum(total_analyzed * avg_quality_score) / sum(total_analyzed) AS q, sum(total_analyzed * toxicity_rate) / sum(total_analyzed) AS x FROM ({ORACLES["c14_cognitive_summary"]}) c14),
+s AS (SELECT max(total) AS total, count(*) AS periods FROM ({ORACLES["f13_cost_summary"]}) f13), o AS (SELECT count(*) AS recommendations FROM ({ORACLES["f14_optimization_recommendations"]}) f14),
+b AS (SELECT count(*) AS budget_alerts FROM ({ORACLES["f15_budget_alerts"]}) f15), d AS ({ORACLES["d7_system_status"]}),
+p AS (SELECT CAST(sum(total_events) AS BIGINT) AS events, CAST(sum(pii_detections) AS BIGINT) AS pii, CAST(sum(open_violations) AS BIGINT) AS open FROM ({ORACLES["p10_compliance_summary"]}) p10), t AS ({ORACLES["t2_latency_percentiles_overall"]})
+SELECT t.p95, CAST(c.n AS BIGINT) AS analyzed, round(c.q, 3) AS quality, round(c.x, 3) AS toxicity_rate, round(s.total, 6) AS largest_spend, s.periods, o.recommendations, b.budget_alerts, d.health, d.uptime_percentage, d.active_incidents,
+  p.events, p.pii AS pii_detections, p.open AS open_violations FROM t, c, s, o, b, d, p""")
+def _(t):
+    """All parts of the report: technical, cognitive, finops with its alerts and advice, devops, compliance."""
+    costs = q_requests.costs(t)
+    d = search.monitoring_summary({
+        "technical": requests.service_levels(t.ai_requests, ()),
+        "cognitive": cognitive.cognitive_summary(cognitive.cognitive_facts(q_text.pairs(t))),
+        "finops": cost.cost_summary(costs, q_requests.AS_OF).agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("periods")),
+        "advice": cost.optimization_recommendations(costs).agg(F.count(F.lit(1)).alias("recommendations")),
+        "budget": cost.budget_alerts(costs, 10.0).agg(F.count(F.lit(1)).alias("budget_alerts")),
+        "devops": health.system_status(t.health_checks, t.deployments, t.incidents, t.breakers, t.app_logs),
+        "compliance": governance.compliance_summary(compliance_facts(t)),
+    })
+    return d.select(
+        "technical.p95", F.col("cognitive.total_analyzed").alias("analyzed"), F.round("cognitive.avg_quality_score", 3).alias("quality"), F.round("cognitive.toxicity_rate", 3).alias("toxicity_rate"),
+        F.round(F.col("finops.total").cast("double"), 6).alias("largest_spend"), "finops.periods", "advice.recommendations", "budget.budget_alerts", "devops.health",
+        F.round("devops.uptime_percentage", 6).alias("uptime_percentage"), "devops.active_incidents",
+        F.col("compliance.total_events").alias("events"), "compliance.pii_detections", "compliance.open_violations")
+
+
 # --- fleet
 
 NODES, INDICES, SNAPS = with_fixtures("nodes"), with_fixtures("indices"), with_fixtures("snapshots")

@@ -30,9 +30,10 @@ def read_log_stream(spark: SparkSession, servers: str, schema: T.StructType, top
     return parse_records(records, schema)
 
 
-def read_json_landing(spark: SparkSession, path: str, schema: T.StructType, origin: str, files_per_trigger: int = 1000) -> DataFrame:
-    """JSON lines that land in a folder, with their origin."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path).withColumn("origin", F.lit(origin))
+def read_json_landing(spark: SparkSession, path: str, schema: T.StructType, origin: str, files_per_trigger: int = 1000, stream: bool = True) -> DataFrame:
+    """JSON lines that land in a folder, with their origin; as a stream, or what lies there now as a batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    return reader.schema(schema).json(path).withColumn("origin", F.lit(origin))
 
 
 def log_pipeline(events: DataFrame, fields: dict[str, str], arrival: str = "broker_time") -> DataFrame:
