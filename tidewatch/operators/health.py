@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.slices import SLICE, neighbour, null_safe_join, running_totals, slice_of
+from tidewatch.operators.search import monitoring_summary
 
 SLA_TARGET = 99.9
 # Replica limits and the reset timeout of a breaker in seconds.
@@ -152,10 +153,8 @@ def system_status(checks: DataFrame, deployments: DataFrame, incidents: DataFram
         states.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "state")))).alias("circuit_breakers")),
         resources.agg(F.avg("cpu").alias("cpu_percent"), F.avg("mem").alias("memory_percent")),
     ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.crossJoin(r)  # single rows
-    return out
+    report = monitoring_summary({f"part{i}": row for i, row in enumerate(rows)})
+    return report.select(*[F.col(f"part{i}")[c].alias(c) for i, row in enumerate(rows) for c in row.columns])
 
 
 def health_status_counts(checks: DataFrame, n: int = 5) -> DataFrame:

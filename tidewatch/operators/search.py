@@ -105,9 +105,9 @@ def reduce_series(series: DataFrame, keys: Sequence[str], ts: str = "t", value:
 
 
 def monitoring_summary(parts: dict[str, DataFrame]) -> DataFrame:
-    """Q9: one report row; every part is a single-row frame and becomes a struct of its name."""
+    """Q9: one report row; every part is a single-row frame and becomes a struct of its name, null where a part has no row."""
     out = None
     for name, part in parts.items():
         row = part.select(F.struct(*part.columns).alias(name))
-        out = row if out is None else out.crossJoin(row)  # single rows
-    return out
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out.agg(*[F.first(name, ignorenulls=True).alias(name) for name in parts])
