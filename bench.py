@@ -19,7 +19,8 @@ from tidewatch.session import local_session  # noqa: E402
 HEADLINE = (
     "flagship_hourly_levels", "f2_request_cost", "f4_budget_status", "f9_request_frequency", "n6_geoip_enrich", "e4_correlation_chain",
     "e8_route_topic", "s7_upsert_by_request_id", "c7_quality_scores", "p1_detect_pii", "p6_consent_as_of", "d1_health_streaks", "m2_rate",
-    "m9_histogram_quantile", "a2_hold_for", "a5_inhibit", "q5_metrics_summary", "u1_reconcile_counts",
+    "m9_histogram_quantile", "a2_hold_for", "a5_inhibit", "q5_metrics_summary", "u1_reconcile_counts", "m21_record_rules",
+    "a1_evaluate_rules",
 )
 
 
