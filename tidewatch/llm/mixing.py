@@ -54,23 +54,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most_c
 def _pairing(level: int, seed: int):
     """A step of the fold over (id, mass, part, ...), part in (0, 1): the state holds what is decided and one residual."""
 
+    def within(part: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
+
     def step(state: Column, new: Column) -> Column:
         old = state["rest"]
         # words that may flow to the old one until it or the giver is whole, and the same the other way
         to_old = F.least(old["mass"] * (1 - old["part"]), new["mass"] * new["part"])
         to_new = F.least(old["mass"] * old["part"], new["mass"] * (1 - new["part"]))
-        gain = F.when(_draw(F.lit(seed), F.lit(level), old["id"], new["id"]) * (to_old + to_new) < to_new, to_old).otherwise(-to_new)
-        old_full = F.when(gain > 0, old["mass"] * (1 - old["part"]) <= gain).otherwise(F.lit(False))
-        old_none = F.when(gain > 0, F.lit(False)).otherwise(old["mass"] * old["part"] <= -gain)
-        new_none = F.when(gain > 0, new["mass"] * new["part"] <= gain).otherwise(F.lit(False))
-        new_full = F.when(gain > 0, F.lit(False)).otherwise(new["mass"] * (1 - new["part"]) <= -gain)
+        # the direction decides who can be done, not the sign of the words: they may be 0 where a part is as good as whole
+        up = _draw(F.lit(seed), F.lit(level), old["id"], new["id"]) * (to_old + to_new) < to_new
+        gain = F.when(up, to_old).otherwise(-to_new)
+        old_full, new_none = up & (old["mass"] * (1 - old["part"]) <= to_old), up & (new["mass"] * new["part"] <= to_old)
+        old_none, new_full = ~up & (old["mass"] * old["part"] <= to_new), ~up & (new["mass"] * (1 - new["part"]) <= to_new)
         old_done, new_done = old_full | old_none, new_full | new_none
         done = F.concat(
             F.when(old_done, F.array(F.struct(old.alias("item"), old_full.alias("up")))).otherwise(F.array()),
             F.when(new_done, F.array(F.struct(new.alias("item"), new_full.alias("up")))).otherwise(F.array()),
         )
-        rest = F.when(old_done & new_done, F.lit(None)).when(old_done, new.withField("part", new["part"] - gain / new["mass"]))
-        rest = rest.otherwise(old.withField("part", old["part"] + gain / old["mass"]))
+        rest = F.when(old_done & new_done, F.lit(None)).when(old_done, new.withField("part", within(new["part"] - gain / new["mass"])))
+        rest = rest.otherwise(old.withField("part", within(old["part"] + gain / old["mass"])))
         return F.struct(
             F.when(old.isNull(), new).otherwise(rest).alias("rest"),
             F.when(old.isNull(), state["done"]).otherwise(F.concat(state["done"], done)).alias("done"),
