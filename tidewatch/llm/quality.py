@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Forest:
 
     The sample is bounded: the most_rows labelled ids with the smallest hashes, whatever the size of the tables. Only
     their statistics reach the driver. Labels that are null or neither 0 nor 1 teach nothing; of several labels of one
-    id the largest counts.
+    id the largest counts, and of several texts of one id the one with the smallest statistics.
     """
     chosen = (
         labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL")
@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Forest:
 
     schema = ", ".join(["doc_id bigint", "target int", *[f"{f} double" for f in FEATURES]])
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "target", "text")
-    rows = known.mapInArrow(measure, schema).toPandas().sort_values(["doc_id", *FEATURES])
+    measured = known.mapInArrow(measure, schema).groupBy("doc_id", "target").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    rows = measured.select("doc_id", "target", "x.*").toPandas().sort_values("doc_id")
     return boost(rows[list(FEATURES)].to_numpy(dtype=np.float64), rows["target"].to_numpy(dtype=np.float64))
 
 
