@@ -43,8 +43,9 @@ def fit_centroids(rows: np.ndarray, count: int, seed: int, rounds: int = 8) -> n
 
 
 def nearest_two(vector: Column, centres: np.ndarray) -> Column:
-    """Numbers of the two nearest centroids, nearest first, as array<int>."""
+    """Numbers of the two nearest centroids, nearest first, as array<int>; a vector of another length is cut or filled with 0."""
     bound = centres.copy()
+    vector = F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(bound.shape[1]) - F.size(vector)))), 1, bound.shape[1])
 
     @F.pandas_udf("array<int>")
     def near(vectors: pd.Series) -> pd.Series:
@@ -196,7 +197,7 @@ def shard_vectors(vectors: DataFrame, most: int, sample: int = SAMPLE) -> tuple[
     now = vectors.withColumn("shard", F.col("label").cast("string"))
     if not len(rows):
         return now.withColumn("shards", F.array("shard")), None
-    width = max(map(len, rows))
+    width = rows.map(len).mode()[0]
     points = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in rows if len(x) == width]))
     done, left = [], None
     for depth in range(DEPTH + 1):
@@ -231,8 +232,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, most_in_shard: int = 2
     Vectors link if their labels are equal and not null and their cosine is `least` or more, in double precision.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Equal vectors of a label are one node that counts each of them. Rows that share a vec_id, label
-    and vector are one; a null vec_id counts as a link and is never a component_id unless alone. Shards that stay too large (their vectors are too much alike
-    for any centroid) are compared directly, pair of blocks by pair of blocks.
+    and vector are one; a row without a vec_id links with nothing. Shards that stay too large (their vectors are too much
+    alike for any centroid) are compared directly, pair of blocks by pair of blocks.
     """
     good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
