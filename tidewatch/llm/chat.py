@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
 A conversation becomes `<|im_start|>role\\ntext<|im_end|>\\n` for each run of turns of one role; the turns of a run stand
-in one block, parted by `<|im_next|>`. Inside roles and texts a backslash is doubled and `<|` becomes `<\\|`, so the marks
+in one block, parted by `<|im_next|>`. A line break in a role becomes `<|im_break|>`. Inside roles and texts a backslash is doubled and `<|` becomes `<\\|`, so the marks
 occur nowhere else and everything reads back.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, NEXT = "<|im_start|>", "<|im_end|>", "<|im_next|>"
+#: A line break inside a role, as the first one ends the role.
+BREAK = "<|im_break|>"
 
 
 def escaped(text: Column) -> Column:
@@ -39,7 +41,7 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             lambda t, i: F.array(
                 F.struct(
                     F.when((i > 0) & (F.get("ts", i - 1)["role"] == t["role"]), F.lit(NEXT))
-                    .otherwise(F.concat(F.lit(START), escaped(t["role"]), F.lit("\n")))
+                    .otherwise(F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(BREAK)), F.lit("\n")))
                     .alias("text"),
                     F.lit(False).alias("loss"),
                 ),
@@ -66,7 +68,7 @@ def read_turns(formatted: Column) -> Column:
             parts,
             lambda p: F.transform(
                 F.split(F.get(p, F.lit(1)), r"<\|im_next\|>", -1),
-                lambda x: F.struct(unescaped(F.get(p, F.lit(0))).alias("role"), unescaped(x).alias("text")),
+                lambda x: F.struct(unescaped(F.replace(F.get(p, F.lit(0)), F.lit(BREAK), F.lit("\n"))).alias("role"), unescaped(x).alias("text")),
             ),
         )
     )
