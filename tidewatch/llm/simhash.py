@@ -126,18 +126,19 @@ def near_pairs(prints: DataFrame, max_distance: int = 2, hot_posting: int = 512)
     ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_groups(docs: DataFrame, width: int = 3, max_distance: int = 2, hot_posting: int = 512) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of docs (doc_id, text).
+def near_groups(docs: DataFrame, width: int = 3, max_distance: int = 2, hot_posting: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, *carry), one row for each row of docs (doc_id, text, *carry).
 
     fp is the fingerprint as a signed long; rows link when theirs differ in max_distance bits or fewer, and
     component_id is the smallest doc_id reachable. Equal fingerprints are one node of the graph, so copies make no
     pairs. Texts without words (null, empty, blank) have fingerprint 0 and link like any other. A null doc_id is never
-    a component_id unless its component has no other; rows that share a doc_id are rows of their own.
+    a component_id unless its component has no other; rows that share a doc_id are rows of their own, and root, the
+    smallest fingerprint of the component, tells components apart that have the same component_id.
     """
-    prints = store(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp")), "fingerprints")
+    prints = store(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), *carry), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_pairs(nodes, max_distance, hot_posting))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root", *carry)
