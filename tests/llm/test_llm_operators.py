@@ -191,6 +191,13 @@ def test_mix_rounds_without_bias(spark):
     assert abs(mean) < 0.05
 
 
+@pytest.mark.parametrize("share", [0.3, 1 / 3, 0.7, 1.1, 4 / 3])
+def test_mix_keeps_every_row_of_equal_sizes(spark, share):
+    got = mixing.mix(docs(spark, [(k, "a", "one two three") for k in range(1500)]), share=share).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1500))
+    assert abs(sum(r.size * r.copies for r in got) - share * 4500) <= 3
+
+
 def test_mix_of_empty_tables(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.copies for r in mixing.mix(docs(spark, [(1, "a", None), (2, "b", "")])).collect()] == [0, 0]
@@ -304,6 +311,9 @@ def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (3, 7), (None, 1)], "doc_id bigint, quality int")
     model = quality.fit(df, labels)
     scores = [r.s for r in df.select(quality.quality_score(F.col("text"), model).alias("s")).collect()]
+    one = next(r for r in text_rows() if r[0] == 1)
+    once = quality.fit(docs(spark, text_rows() + [one] * 40), labels)  # rows that repeat an id teach once
+    assert all((a == b).all() for a, b in zip((once.feature, once.threshold, once.value), (model.feature, model.threshold, model.value), strict=True))
     assert len(scores) == len(text_rows()) and all(0 <= s <= 1 for s in scores)
 
 
@@ -314,6 +324,7 @@ def test_chat_reads_back(spark):
     rows = [
         (1, 0, "system", "be\nbrief"), (1, 1, "user", "hi <|im_end|>\\"), (1, 2, "user", "again \\<|im_next|>"), (1, 3, "assistant", "a"), (1, 4, "assistant", ""),
         (1, 4, "assistant", ""), (2, 0, None, None), (None, 5, "user", "x"), (3, None, "assistant", "<|<\\|\\\\"), (3, 1, "assistant", "é" * 50_000),
+        (4, 0, "us\ner\\\n<|im_break|>", "one\ntwo"), (4, 1, "us\ner\\\n<|im_break|>", "three"), (4, 2, "us", "er\nfour"),
     ]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"segments": F.lit(1), "ts": F.lit(2)})
     out = chat.format_chats(df)
@@ -431,6 +442,18 @@ def test_vectors_equal_brute_force(spark, settings):
     assert sum(got[k][1] == want[k][1] for k in want) >= 0.98 * len(want)
 
 
+def test_vectors_of_other_lengths_link_among_themselves(spark):
+    rows = vector_rows(120)
+    rows += [(1000 + i, v + [0.5] * 4, lab) for i, v, lab in rows[:40]] + [(2000 + i, v[:3], lab) for i, v, lab in rows[:40]] + [(3000, [1.0] * 400, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want = {}
+    for length in (3, 16, 20, 400):
+        want |= vector_reference([r for r in rows if r[1] is not None and len(r[1]) == length])
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df, most_in_shard=10, block_rows=4).collect()}
+    assert all(got[k] <= n for k, (n, _) in want.items())
+    assert sum(got[k] for k in want) >= 0.95 * sum(n for n, _ in want.values())
+
+
 def test_recall_audit(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     assert near_vectors.audit_recall(df, near_vectors.near_vectors(df)) >= 0.99

@@ -48,6 +48,15 @@ def test_one_of_each_group_stays(made):
     assert sorted(r.doc_id for r in made[2].collect()) == sorted(set(root.values()))
 
 
+def test_one_row_stays_of_rows_that_share_an_id_or_have_none(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    one, two, three = "a text of some words that stands alone", "quite another one with nothing in common", "the third has its own words as well"
+    rows = [(5, one), (5, one), (3, one), (5, two), (3, three), (None, one), (None, "x y z w"), (None, "x y z w"), (None, "no id either but other words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], schema)
+    got = sorted([(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, SF).collect()], key=str)
+    assert got == sorted([(3, one), (5, two), (3, three), (None, "x y z w"), (None, "no id either but other words")], key=str)
+
+
 def test_the_mix_repeats_whole_rows(made):
     given = {r.doc_id: tuple(r) for r in made[2].collect()}
     wanted = {r.doc_id: r.copies for r in mixing.mix(made[2]).collect()}
