@@ -28,6 +28,8 @@ UNSEEN = r"(?<![A-Za-z0-9])(?=[A-Za-z._/@+-]{0,40}[0-9])[A-Za-z0-9]++(?:[._/@+-]
 LEAST_DIGITS = 5
 #: Code points before a match that its lexical pattern is taken from.
 REACH = 64
+#: Matches of one kind that these hold at most: each has a character, and the next one another or a gap before it.
+PASSED = REACH // 2
 
 
 def _digits(value: Column) -> Column:
@@ -57,6 +59,14 @@ def _hits(text: Column, kind: int) -> Column:
     return F.when(there, F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps")))
 
 
+def _before(found: Column, gaps: Column, i: Column) -> Column:
+    """The last code points of the text before match i, whatever stands there; other matches of the kind are put back."""
+    first = F.greatest(i - PASSED, F.lit(0))
+    passed = F.transform(F.slice(found, first + 1, F.least(i, F.lit(PASSED))), lambda v, k: F.concat(F.get(gaps, first + k)["left"], v))
+    own = F.get(gaps, i)
+    return F.when(own["size"] >= REACH, own["left"]).otherwise(F.right(F.concat(F.array_join(passed, ""), own["left"]), F.lit(REACH)))
+
+
 def find_hits(docs: DataFrame) -> DataFrame:
     """(row, doc_id, hits), one row for each row of docs, stored."""
     text = F.coalesce("text", F.lit(""))
@@ -67,13 +77,13 @@ def find_hits(docs: DataFrame) -> DataFrame:
 def matches(hits: DataFrame) -> DataFrame:
     """(row, kind, start, end, value, left) of each valid match, in code points; kind 4 is an unseen identifier."""
     by_kind = hits.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    each = by_kind.select("row", "kind", F.posexplode("found").alias("i", "value"), "gaps").select(
-        "row", "kind", "i", "value", F.get("gaps", F.col("i")).alias("gap")
-    )
+    found, gaps = F.col("found"), F.col("gaps")
+    whole = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(gaps, i)["size"].alias("gap"), _before(found, gaps, i).alias("left")))
+    each = by_kind.select("row", "kind", F.posexplode(whole).alias("i", "x")).select("row", "kind", "i", "x.*")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap.size").cast("long") + F.char_length("value")).over(before)
+    end = F.sum(F.col("gap").cast("long") + F.char_length("value")).over(before)
     placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("value"))
-    return placed.filter(_valid(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", F.col("gap.left").alias("left"))
+    return placed.filter(_valid(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left")
 
 
 def apart(found: DataFrame) -> DataFrame:
@@ -93,46 +103,46 @@ def lexical_pattern(left: Column) -> Column:
     return F.when(plain != "", plain)
 
 
-def score_graph(edges: DataFrame, rounds: int, support: int) -> tuple[DataFrame, DataFrame]:
-    """Scores of (pattern, kind) and of unseen (value, kind), from distinct (pattern, value, kind, seed).
+def score_graph(edges: DataFrame, rounds: int, support: int) -> DataFrame:
+    """Scores of (pattern, kind), from distinct (pattern, value, kind, seed).
 
     A seed scores 1 for its kind. A pattern scores the sum over its values divided by one more than their number, and
-    only with `support` values or more; an unseen value scores the mean over its patterns. Only sums by pattern and by
-    value are shuffled; a common pattern is one row after the map side.
+    only with `support` values or more; an unseen value scores the mean over its patterns that have so many, so rare
+    words before it take nothing away. Only sums by pattern and by value are shuffled; a common pattern is one row after
+    the map side.
     """
     sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= support)
-    spread = edges.filter("NOT seed").groupBy("value").agg(F.count_distinct("pattern").alias("patterns"))
     seeds = edges.filter("seed").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores, unseen = seeds, None
+    scores = seeds
     links = edges.select("pattern", "value").distinct()
-    open_links = edges.filter("NOT seed").select("pattern", "value").distinct()
+    open_links = store(edges.filter("NOT seed").select("pattern", "value").distinct().join(sizes.select("pattern"), "pattern"), "open_links")
+    spread = open_links.groupBy("value").agg(F.count("*").alias("patterns"))
     for _ in range(rounds):
         known = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"))
         patterns = store(known.join(sizes, "pattern").select("pattern", "kind", (F.col("total") / (F.col("n") + 1)).alias("score")), "pattern_scores")
         reached = open_links.join(patterns, "pattern").groupBy("value", "kind").agg(F.sum("score").alias("total"))
         unseen = reached.join(spread, "value").select("value", "kind", (F.col("total") / F.col("patterns")).alias("score"))
         scores = seeds.unionByName(unseen)
-    return patterns, unseen
+    return patterns
 
 
 def find_private(docs: DataFrame, rounds: int = 2, support: int = 5, confident: float = 0.8) -> DataFrame:
     """(doc_id, base, spans), one row for each row of docs (doc_id, text).
 
     base and spans are sorted arrays of (kind, start, end), kind by its place in KINDS; spans also holds what the
-    patterns discovered, with 4 added to the kind. A discovered identifier overlaps no base match, and both it and its
-    pattern score `confident` or more; of several kinds the best, then the first, counts. Null and empty texts have no
+    patterns discovered, with 4 added to the kind. A discovered identifier overlaps no base match, and the pattern before
+    it scores `confident` or more, whatever it stands behind elsewhere; of several kinds the best, then the first, counts. Null and empty texts have no
     spans, repeated rows each have theirs. Without seeds nothing is discovered.
     """
     hits = find_hits(docs)
     found = store(apart(matches(hits)).withColumn("pattern", lexical_pattern(F.col("left"))).drop("left"), "private_matches")
     seed = F.col("kind") < 4
     edges = store(found.filter("pattern IS NOT NULL").select("pattern", "value", F.when(seed, F.col("kind")).alias("kind"), seed.alias("seed")).distinct(), "pattern_edges")
-    patterns, unseen = score_graph(edges, rounds, support)
+    patterns = score_graph(edges, rounds, support)
     best = (
         found.filter(~seed)
-        .select("row", "start", "end", "value", "pattern")
-        .join(patterns.filter(F.col("score") >= confident).select("pattern", "kind"), "pattern")
-        .join(unseen.filter(F.col("score") >= confident).select("value", "kind", "score"), ["value", "kind"])
+        .select("row", "start", "end", "pattern")
+        .join(patterns.filter(F.col("score") >= confident), "pattern")
         .groupBy("row", "start", "end")
         .agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
         .select("row", (F.col("kind") + 4).alias("kind"), "start", "end")
