@@ -54,12 +54,13 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 
 @dataclasses.dataclass(frozen=True)
 class Forest:
-    """Trees as arrays [tree, node]; the children of node k are 2k + 1 and 2k + 2, a leaf has feature -1."""
+    """Trees as arrays [tree, node]; the children of node k are 2k + 1 and 2k + 2, a leaf has feature -1. rows counts what it was fitted on."""
 
     feature: np.ndarray
     threshold: np.ndarray
     value: np.ndarray
     start: float
+    rows: int = 0
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         total = np.full(len(rows), self.start)
@@ -127,7 +128,7 @@ def boost(rows: np.ndarray, target: np.ndarray, trees: int = 80, depth: int = 4,
         grown.append((feature, threshold, value))
     empty = [(np.full(size, -1), np.zeros(size), np.zeros(size))]
     f, t, v = (np.stack(x) for x in zip(*(grown or empty), strict=True))
-    return Forest(f, t, v, start)
+    return Forest(f, t, v, start, n)
 
 
 def held_out(doc_id: Column) -> Column:
