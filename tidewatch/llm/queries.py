@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, exact_dedup, line_dedup, mixing, near_vectors, pieces, private, quality, secrets, simhash
-from tidewatch.llm.shared import table
+from tidewatch.llm import (
+    chat,
+    exact_dedup,
+    language,
+    line_dedup,
+    mixing,
+    near_vectors,
+    pieces,
+    private,
+    quality,
+    ranked_search,
+    secrets,
+    simhash,
+    spelling,
+)
+from tidewatch.llm.shared import LOWER, UPPER, table
 
 #: A public model file; any other path can be given to the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,6 +123,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), language.language(F.col("text"), language.fit(docs)).alias("x"))
+    return told.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), "x.score")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), 20)
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), slip_one_in=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,10 +151,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_simhash_dedup,
         op10_chat_format,
+        op11_language_id,
+        op12_ranked_search,
+        op13_spelling_groups,
     )
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UP, _LOW = UPPER, LOWER
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": rf"""
@@ -181,4 +215,57 @@ ORACLES: dict[str, str] = {
                CAST(sum(length(escaped) + CASE WHEN same_before THEN length('<|im_next|>') ELSE length('<|im_start|>') + length(role) + 1 END
                         + CASE WHEN same_after THEN 0 ELSE length('<|im_end|>') + 1 END) AS BIGINT) AS formatted_chars
         FROM n GROUP BY conv_id""",
+    "op12_ranked_search": rf"""
+        WITH t AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}') AS terms
+          FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT row, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0),
+        totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM t) GROUP BY row, term),
+        w AS (
+          SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+          FROM tf CROSS JOIN totals GROUP BY term, big_n),
+        q AS (
+          SELECT item_id, term, count(*) AS repeats
+          FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) AS term FROM benchmark)
+          GROUP BY item_id, term),
+        scored AS (
+          SELECT q.item_id, d.doc_id, CAST(sum(q.repeats * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * d.n * big_n) // big_l)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (row) CROSS JOIN totals GROUP BY q.item_id, d.row, d.doc_id)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20""",
+    "op13_spelling_groups": rf"""
+        WITH RECURSIVE per AS (
+          SELECT doc_id, run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+          GROUP BY doc_id, run),
+        steps AS (SELECT list(v ORDER BY i) AS entry FROM (
+          SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+          FROM range(256) r(i))),
+        coded AS (
+          SELECT doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                   list_transform(range(1, 2 * octet_length(encode(doc_id || ':' || run)), 2), lambda k: CAST(('0x' || substr(hex(encode(doc_id || ':' || run)), k, 2)) AS BIGINT))),
+                   lambda c, b: xor(c // 256, entry[(xor(c, b) & 255) + 1]))) AS h
+          FROM per CROSS JOIN steps),
+        w AS (
+          SELECT word, CAST(sum(n) AS BIGINT) AS n
+          FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM coded)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS (
+          SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS (
+          SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+          UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+        best AS (
+          SELECT word, n, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY word, n),
+        forms AS (SELECT word, n_near, CASE WHEN top >= 2 * n THEN form END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM best),
+        walk AS (
+          SELECT word, word AS root, 0 AS far FROM w
+          UNION ALL SELECT k.word, f.form, k.far + 1 FROM walk k JOIN forms f ON k.root = f.word WHERE f.form IS NOT NULL),
+        roots AS (SELECT word, arg_max(root, far) AS root FROM walk GROUP BY word)
+        SELECT w.word, f.form, r.root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+        FROM w JOIN roots r USING (word) LEFT JOIN forms f USING (word)""",
 }
