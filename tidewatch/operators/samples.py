@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import as_map
-from tidewatch.functions.slices import SLICE, carry, within
 
 COLUMNS = ("ts", "metric", "labels", "value")
 LOOKBACK = 300
-BLOCK = 86400
 MICROS = 1_000_000
 
 
@@ -62,43 +60,30 @@ def match_labels(labels: Column, equal: dict[str, str] | None = None, pattern: d
     return ok
 
 
-def step_rows(samples: DataFrame, step: int) -> DataFrame:
-    """One row per metric, series and step: what the range functions need to know about the samples in it."""
+def step_of(us: Column, step: int) -> Column:
+    """The grid point at or after a time in microseconds."""
+    return (F.ceil(us / F.lit(step * MICROS)) * step).cast("bigint")
+
+
+def step_rows(samples: DataFrame, step: int, keys: Sequence[str] = ("metric", "series")) -> DataFrame:
+    """One row per series (``keys``) and step: what the range functions need to know about the samples in it."""
     us = F.unix_micros("ts")
-    s = samples.withColumns({"series": series_key(F.col("labels")), "us": us, "g": (F.ceil(us / F.lit(step * MICROS)) * step).cast("bigint")})
-    inside = Window.partitionBy("metric", "series", "g").orderBy("us")
+    s = samples.select(*keys, us.alias("us"), step_of(us, step).alias("g"), "value")
+    inside = Window.partitionBy(*keys, "g").orderBy("us")
     v, before = F.col("value"), F.col("_pv")
     s = s.withColumns({"_pv": F.lag("value").over(inside), "_pu": F.lag("us").over(inside)})
     grown = F.when(before.isNull(), 0.0).when(v >= before, v - before).otherwise(v)
-    rows = s.groupBy("metric", "series", "g").agg(
+    return s.groupBy(*keys, "g").agg(
         F.count(F.lit(1)).alias("n"), F.sum(v).alias("sy"),
         F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         F.min_by("value", "us").alias("first_v"), F.max_by("value", "us").alias("last_v"),
         F.max_by("_pu", "us").alias("second_us"), F.max_by("_pv", "us").alias("second_v"),
         F.sum(grown).alias("inc"), F.count_if(before.isNotNull() & (before != v)).alias("chg"),
     )
-    # the steps before and after in the series, whatever day they lie in
-    keys = ["metric", "series"]
-    rows = rows.withColumns({SLICE: F.floor(F.col("g") / BLOCK), "_end": F.struct("last_v", "last_us", "g")})
-    rows = carry(
-        rows, keys, {"_last": F.max_by("_end", "g"), "_first": F.min("g")},
-        lambda w: {"_before": F.lag("_last").over(w), "_after": F.lead("_first").over(w)})
-    along = within(keys, ["g"])
-    rows = rows.withColumns({
-        "_p": F.coalesce(F.lag("_end").over(along), F.col("_before")), "next_g": F.coalesce(F.lead("g").over(along), F.col("_after"))})
-    first, last_v = F.col("first_v"), F.col("_p.last_v")
-    return rows.withColumns({
-        "cross": F.when(last_v.isNull(), 0.0).when(first >= last_v, first - last_v).otherwise(first),
-        "cross_chg": F.when(last_v != first, 1).otherwise(0),
-        "second_us": F.coalesce("second_us", "_p.last_us"),
-        "second_v": F.coalesce("second_v", "_p.last_v"),
-        "prev_g": F.col("_p.g"),
-        "start": F.struct("first_us", "first_v"),
-    }).drop("_p", "_end", "_before", "_after", SLICE)
-
-
-# Kinds of rows in a frame: grid points, steps and pairs of steps that leave the range, samples and samples that leave it.
-POINT, LEAVES, PAIR_LEAVES, SAMPLE, SAMPLE_LEAVES = range(5)
+
+
+# Kinds of rows in a frame: grid points, steps that leave the range, samples and samples that leave it.
+POINT, LEAVES, SAMPLE, SAMPLE_LEAVES = range(4)
 
 
 def _place(block: Column, at: Column, kind: int) -> Column:
@@ -106,39 +91,53 @@ def _place(block: Column, at: Column, kind: int) -> Column:
 
 
 class RangeFrame:
-    """Step rows spread over the grid points at which a range can see them.
+    """Step rows spread over the grid points at which a range can see them; a row says in ``seconds`` how long its range is.
 
     Blocks are as long as the range, so a range is the end of one block and the start of the next. What has entered
     since the block began is a window that grows with time; what the block before still holds is a window that grows
     against time, over marks put where a step is last seen. Nothing is subtracted: a value outside the range cannot
     show in it, be it huge, infinite or no number. A grid point costs the same whether the range holds ten steps or a
-    thousand.
+    thousand. A block holds all that its grid points can see, so one shuffle by series, length and block serves all
+    lengths: which steps follow each other is found inside the block.
     """
 
-    def __init__(self, samples: DataFrame, seconds: int, step: int):
-        if seconds % step:
-            raise ValueError("the range must be a multiple of the step")
-        self.samples, self.seconds, self.step = samples, seconds, step
-        self.tail = seconds - step
-        rows = step_rows(samples, step)
-        g, prev = F.col("g"), F.col("prev_g")
-        until = F.least(F.coalesce(F.col("next_g") - step, g + self.tail), g + self.tail)
-        rows = rows.withColumn("_at", F.explode(F.sequence("g", until, F.lit(step).cast("bigint"))))
-        own, real = self._block(F.col("_at")), F.col("_at") == g
-        seen, seen_pair = self._block(g + self.tail), self._block(prev + self.tail)
-        places = F.array(
-            _place(own, F.col("_at"), POINT),
-            F.when(real & (seen > own), _place(seen, g + self.tail, LEAVES)),
-            F.when(real & (self._block(prev) == own) & (seen_pair > own), _place(seen_pair, prev + self.tail, PAIR_LEAVES)),
-        )
-        rows = rows.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull())))
-        self.rows = rows.select("*", "_place.*").drop("_place", "_at")
-        along = Window.partitionBy("metric", "series", "b")
-        self.upto = along.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        self.still = along.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        self.enters = (F.col("kind") == POINT) & (F.col("at") == g)
-        self.leaves = F.col("kind") == LEAVES
-        self.age = (F.col("at") - F.col("b") * seconds).cast("double")
+    def __init__(self, rows: DataFrame, step: int, keys: Sequence[str] = ("metric", "series")):
+        self.step, self.keys, self.seconds = step, [*keys, "seconds"], F.col("seconds")
+        self.tail = self.seconds - step
+        g, b, at, kind = (F.col(c) for c in ("g", "b", "at", "kind"))
+        own, seen = self._block(g), self._block(g + self.tail)
+        places = F.array(_place(own, g, POINT), F.when(seen > own, _place(seen, g + self.tail, LEAVES)))
+        rows = rows.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull()))).select("*", "_place.*").drop("_place")
+        block = Window.partitionBy(*self.keys, "b")
+        along = block.orderBy("g")
+        # marks of the block before come first, as their steps are older
+        rows = rows.withColumns({
+            "_pv": F.lag("last_v").over(along), "_pu": F.lag("last_us").over(along), "prev_g": F.lag("g").over(along), "_pk": F.lag("kind").over(along),
+            "_nv": F.lead("first_v").over(along), "_ng": F.lead("g").over(along), "_nk": F.lead("kind").over(along),
+            "_own": F.min(F.when(kind == POINT, g)).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        })
+        first, before, last, after = F.col("first_v"), F.col("_pv"), F.col("last_v"), F.col("_nv")
+        held = F.col("_nk") == LEAVES
+        low = F.when(kind == POINT, g).when(F.col("_pk") == LEAVES, F.col("prev_g") + self.tail + step).otherwise(b * self.seconds)
+        high = F.when(kind == LEAVES, F.least(at, F.col("_own") - step)).otherwise(F.coalesce(F.col("_ng") - step, (b + 1) * self.seconds - step))
+        spots = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high), F.lit(step).cast("bigint")), lambda x: F.struct(x.alias("at"), F.lit(POINT).alias("kind"))))
+        mark = F.when(kind == LEAVES, F.array(F.struct(at.alias("at"), F.lit(LEAVES).alias("kind"))))
+        none = F.array().cast("array<struct<at:bigint,kind:int>>")
+        rows = rows.withColumns({
+            "cross": F.when(before.isNull(), 0.0).when(first >= before, first - before).otherwise(first),
+            "cross_chg": F.when(before != first, 1).otherwise(0),
+            "ahead_cross": F.when(held, F.when(after >= last, after - last).otherwise(after)).otherwise(0.0),
+            "ahead_cross_chg": F.when(held & (after != last), 1).otherwise(0),
+            "second_us": F.coalesce("second_us", "_pu"), "second_v": F.coalesce("second_v", "_pv"),
+            "start": F.struct("first_us", "first_v"),
+            "_spot": F.explode(F.concat(F.coalesce(mark, none), F.coalesce(spots, none))),
+        })
+        self.rows = rows.withColumns({"at": F.col("_spot.at"), "kind": F.col("_spot.kind")}).drop("_spot", "_pv", "_pu", "_nv", "_ng", "_nk", "_own")
+        self.upto = block.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        self.still = block.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        self.enters = (kind == POINT) & (at == g)
+        self.leaves = kind == LEAVES
+        self.age = (at - b * self.seconds).cast("double")
 
     def _block(self, at: Column) -> Column:
         return F.floor(at / self.seconds)
@@ -149,11 +148,11 @@ class RangeFrame:
 
     def pairs(self, c: str) -> Column:
         """Sum over the steps of the range whose step before is in the range too."""
-        inside = self.enters & (self._block(F.col("prev_g")) == F.col("b"))
+        inside = self.enters & (F.col("_pk") == POINT)
         first = F.first(F.when(self.enters, F.struct("prev_g", F.col(c).alias("c"))), ignorenulls=True).over(self.upto)
         return (
             F.coalesce(F.sum(F.when(inside, F.col(c))).over(self.upto), F.lit(0))
-            + F.coalesce(F.sum(F.when(F.col("kind") == PAIR_LEAVES, F.col(c))).over(self.still), F.lit(0))
+            + F.coalesce(F.sum(F.when(self.leaves, F.col(f"ahead_{c}"))).over(self.still), F.lit(0))
             + F.when(first["prev_g"] >= F.col("at") - self.tail, first["c"]).otherwise(0)
         )
 
@@ -166,14 +165,13 @@ class RangeFrame:
         held = F.first(F.when(self.leaves, F.col(c)), ignorenulls=True).over(self.still)
         return F.coalesce(F.last(F.when(self.enters, F.col(c)), ignorenulls=True).over(self.upto), held)
 
-    def with_line(self) -> None:
-        """Add the samples themselves for least squares; x counts seconds from the start of the block."""
-        us = F.unix_micros("ts")
-        d = self.samples.select("metric", series_key(F.col("labels")).alias("series"), us.alias("_us"), F.col("value").alias("y"))
-        g = (F.ceil(F.col("_us") / F.lit(self.step * MICROS)) * self.step).cast("bigint")
+    def with_line(self, samples: DataFrame) -> None:
+        """Add the samples themselves (keys, seconds, ts, value) for least squares; x counts seconds from the start of the block."""
+        d = samples.select(*self.keys, F.unix_micros("ts").alias("_us"), F.col("value").alias("y"))
+        g = step_of(F.col("_us"), self.step)
         own, seen = self._block(g), self._block(g + self.tail)
         places = F.array(_place(own, g, SAMPLE), F.when(seen > own, _place(seen, g + self.tail, SAMPLE_LEAVES)))
-        d = d.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull()))).select("metric", "series", "_us", "y", "_place.*")
+        d = d.withColumn("_place", F.explode(F.filter(places, lambda x: x.isNotNull()))).select(*self.keys, "_us", "y", "_place.*")
         x = (F.col("_us") - F.col("b") * (self.seconds * MICROS)) / F.lit(float(MICROS))
         self.rows = self.rows.unionByName(d.withColumn("x", x).drop("_us"), allowMissingColumns=True)
 
@@ -258,22 +256,37 @@ RANGE_FUNCTIONS = {
 }
 
 
-def range_values(samples: DataFrame, seconds: int, step: int, wanted: Sequence[tuple[str, int]]) -> DataFrame:
-    """Several functions of the same range in one pass: (t, metric, labels, v0, v1, ...) in the order of ``wanted``.
+LINES = ("predict", "deriv")
 
-    ``wanted`` has (function, argument) pairs; the argument is the lookback of instant and the horizon of predict.
+
+def frame_values(rows: DataFrame, step: int, wanted: Sequence[tuple[str, int]], keys: Sequence[str], samples: DataFrame | None = None) -> DataFrame:
+    """Functions of ranges over step rows that carry their ``seconds``: (keys, seconds, at, v0, v1, ...) in the order of ``wanted``.
+
+    ``samples`` (keys, seconds, ts, value) are needed for the functions of LINES.
     """
-    r = RangeFrame(samples, seconds, step)
-    if any(fn in ("predict", "deriv") for fn, _ in wanted):
-        r.with_line()
+    r = RangeFrame(rows, step, keys)
+    if any(fn in LINES for fn, _ in wanted):
+        r.with_line(samples)
     cols: dict[str, Column] = {}
     values = []
     for i, (fn, arg) in enumerate(wanted):
         needs, value = RANGE_FUNCTIONS[fn](r, arg)
         cols |= needs
         values.append(value.alias(f"v{i}"))
-    d = r.rows.withColumns(cols).where(F.col("kind") == POINT)
-    return d.select(F.timestamp_seconds("at").alias("t"), "metric", labels_of(F.col("series")).alias("labels"), *values)
+    return r.rows.withColumns(cols).where(F.col("kind") == POINT).select(*keys, "seconds", "at", *values)
+
+
+def range_values(samples: DataFrame, seconds: int, step: int, wanted: Sequence[tuple[str, int]]) -> DataFrame:
+    """Several functions of the same range in one pass: (t, metric, labels, v0, v1, ...) in the order of ``wanted``.
+
+    ``wanted`` has (function, argument) pairs; the argument is the lookback of instant and the horizon of predict.
+    """
+    if seconds % step:
+        raise ValueError("the range must be a multiple of the step")
+    s = samples.select("metric", series_key(F.col("labels")).alias("series"), "ts", "value")
+    length = F.lit(seconds).cast("bigint").alias("seconds")
+    d = frame_values(step_rows(s, step).select("*", length), step, wanted, ("metric", "series"), s.select("*", length))
+    return d.select(F.timestamp_seconds("at").alias("t"), "metric", labels_of(F.col("series")).alias("labels"), *[f"v{i}" for i in range(len(wanted))])
 
 
 def _one(samples: DataFrame, seconds: int, step: int, fn: str, arg: int = 0) -> DataFrame:
