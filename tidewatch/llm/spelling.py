@@ -94,6 +94,14 @@ def gram_ranks(words: DataFrame) -> np.ndarray:
     return ranks
 
 
+def letters(word: str) -> int:
+    """A bit for each letter, modulo 64, as a signed long. An edit changes two bits at most: one letter goes, one comes."""
+    mask = 0
+    for c in word:
+        mask |= 1 << (ord(c) % 64)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def signature(word: str, ranks: np.ndarray) -> tuple[int, list[int], list[tuple[int, int]]]:
     """(last rank of the prefix, places of the two pivots, prefix as (rank, place)) of a word of four grams or more."""
     of = [int(ranks[g]) for g in grams(word)]
@@ -118,18 +126,19 @@ def _signatures(words: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            lasts, pivots, prefixes = [], [], []
+            lasts, masks, pivots, prefixes = [], [], [], []
             for word in batch.column("word").to_pylist():
                 last, at, prefix = signature(word, ranks)
+                masks.append(letters(word))
                 lasts.append(last)
                 rank_at = {place: rank for rank, place in prefix}
                 pivots.append([{"gram": rank_at[p], "place": p} for p in at])
                 prefixes.append([{"gram": r, "place": p} for r, p in prefix])
-            made = [pa.array(lasts, pa.int32()), pa.array(pivots, entry), pa.array(prefixes, entry)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *made], names=["word", "n", "last", "pivots", "prefix"])
+            made = [pa.array(lasts, pa.int32()), pa.array(masks, pa.int64()), pa.array(pivots, entry), pa.array(prefixes, entry)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *made], names=["word", "n", "last", "letters", "pivots", "prefix"])
 
     kind = "array<struct<gram:int,place:int>>"
-    return words.select("word", "n").mapInArrow(sign, f"word string, n bigint, last int, pivots {kind}, prefix {kind}")
+    return words.select("word", "n").mapInArrow(sign, f"word string, n bigint, last int, letters bigint, pivots {kind}, prefix {kind}")
 
 
 def _meet(pivots: DataFrame, prefixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,8 +147,10 @@ def _meet(pivots: DataFrame, prefixes: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     fit = (F.col("a.last") <= F.col("b.last")) & (F.col("a.word") != F.col("b.word"))
+    # few pairs pass the letters, so few are compared letter by letter
+    alike = F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2
     near = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
-    return a.join(b, same & fit & near).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("word", "n")])
+    return a.join(b, same & fit & alike & near).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("word", "n")])
 
 
 def near_words(words: DataFrame, hot_posting: int = 2048) -> DataFrame:
@@ -151,11 +162,11 @@ def near_words(words: DataFrame, hot_posting: int = 2048) -> DataFrame:
         raise ValueError("words of five letters or more only")
     words = store(words.select("word", "n"), "words")
     signed = store(_signatures(words, gram_ranks(words)), "word_signatures").withColumn("length", F.char_length("word"))
-    prefixes = signed.select("word", "n", "last", "length", F.inline("prefix"))
+    prefixes = signed.select("word", "n", "last", "letters", "length", F.inline("prefix"))
     moves = F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(p).alias("moved")) for d, p in MOVES])
-    pivots = signed.select("word", "n", "last", F.col("length").alias("own"), F.inline("pivots"))
-    pivots = pivots.select("word", "n", "last", "own", "gram", "place", F.inline(moves))
-    pivots = pivots.select("word", "n", "last", "own", "gram", (F.col("own") + F.col("longer")).alias("length"), (F.col("place") + F.col("moved")).alias("place"))
+    pivots = signed.select("word", "n", "last", "letters", F.col("length").alias("own"), F.inline("pivots"))
+    pivots = pivots.select("word", "n", "last", "letters", "own", "gram", "place", F.inline(moves))
+    pivots = pivots.select("word", "n", "last", "letters", "own", "gram", (F.col("own") + F.col("longer")).alias("length"), (F.col("place") + F.col("moved")).alias("place"))
     pivots = pivots.filter("place >= 0")
     keys = ["gram", "length", "place"]
     hot = store(prefixes.groupBy(*keys).count().filter(F.col("count") > hot_posting).select(*keys), "hot_grams")
@@ -170,7 +181,7 @@ def near_words(words: DataFrame, hot_posting: int = 2048) -> DataFrame:
                 F.struct(F.lit(0).alias("side"), F.substring("word", F.lit(1), half).alias("half")),
                 F.struct(F.lit(1).alias("side"), F.substring("word", F.char_length("word") - (least - half) + 1, least - half).alias("half")),
             )
-            return rows.withColumn("least", least).select("word", "n", "last", *keys, "least", F.inline(sides))
+            return rows.withColumn("least", least).select("word", "n", "last", "letters", *keys, "least", F.inline(sides))
 
         mine = halved(pivots.join(hot, keys, "left_semi"), F.least("own", "length"))
         theirs = prefixes.join(hot, keys, "left_semi")
