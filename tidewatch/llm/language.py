@@ -155,13 +155,14 @@ def fit(docs: DataFrame, most_rows: int = 2000, most_langs: int = 64, families:
     the model knows no language.
     """
     known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("ids"))
+    sizes = counts.orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
     if not sizes:
         return train(np.zeros((0, CELLS), dtype=np.float32), np.array([], dtype=object), families)
     each = max(1, most_rows // len(sizes))
-    # a draw of about three times as many first, so that no language is put in order whole
+    # a draw of about three times as many ids first, so that no language is put in order whole
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(r.lang, min(1.0, 3 * each / r.rows)) for r in sizes], "lang string, share double")
+    shares = spark.createDataFrame([(r.lang, min(1.0, 3 * each / r.ids)) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     drawn = known.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
