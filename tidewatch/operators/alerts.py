@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import as_map, literal_table
-from tidewatch.functions.slices import SLICE, asof_join, carry, neighbour, running_totals, slice_of, within
+from tidewatch.functions.pointers import next_at, reached
+from tidewatch.functions.slices import SLICE, asof_join, carry, neighbour, null_safe_join, running_totals, slice_of, within
 from tidewatch.operators.recording import Alert
 from tidewatch.operators.samples import series_key
 
@@ -45,7 +46,7 @@ def hold_for(breaches: DataFrame, holds: DataFrame, step: int, seconds: int = 86
     d = d.withColumns({"_start": F.when(begins, F.col("_s")), SLICE: slice_of(F.col("t"), seconds)})
     d = carry(d, keys, {"_last": F.max("_start")}, lambda w: {"_earlier": F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     here = F.max("_start").over(within(keys, ["t"]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_since", F.coalesce(here, "_earlier")).join(F.broadcast(holds), "alertname")
+    d = d.withColumn("_since", F.coalesce(here, "_earlier")).join(holds, "alertname")
     return d.select(
         *breaches.columns, F.timestamp_seconds("_since").alias("since"),
         F.when(F.col("_s") - F.col("_since") >= F.col("hold"), "firing").otherwise("pending").alias("state"))
@@ -93,7 +94,7 @@ def _duration(x: Column) -> Column:
 def label_alerts(firing: DataFrame, rules: DataFrame) -> DataFrame:
     """A3: severity, service and category of the rule; summary and description with labels and value filled in."""
     v = F.col("value")
-    d = firing.join(F.broadcast(rules), "alertname").withColumns({
+    d = firing.join(rules, "alertname").withColumns({
         "_value": F.regexp_replace(v.cast("string"), r"\.0$", ""), "_percent": F.concat(_four_digits(v * 100), F.lit("%")), "_time": _duration(v)})
 
     def fill(tokens: str) -> Column:
@@ -220,14 +221,12 @@ def group_alerts(routed: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("alertname", series_key(F.col("labels")))).alias("fingerprint"))
 
 
-NOTICE_SCHEMA = "receiver string, group_key string, t timestamp, reason string, alerts bigint"
-
-
 def notices_of_group(rows, step: int):
-    """Flush times of one group: (time, reason, alerts). ``rows`` are (second, alerts, fingerprint, wait, interval, repeat) in order.
+    """Flush times of one group, one after the other: (time, reason, alerts), for tests and single groups.
 
-    The first flush comes a wait after the group appears, later ones every interval. A flush sends when the members
-    changed, or when the last notice is older than the repeat time. A group without alerts sends its end and vanishes.
+    ``rows`` are (second, alerts, fingerprint, wait, interval, repeat) in order. The first flush comes a wait after the
+    group appears, later ones every interval. A flush sends when the members changed, or when the last notice is older
+    than the repeat time. A group without alerts sends its end and vanishes.
     """
     out, i, n = [], 0, len(rows)
     while i < n:
@@ -237,14 +236,11 @@ def notices_of_group(rows, step: int):
             while i + 1 < n and rows[i + 1][0] <= at:
                 i += 1
             second, count, mark = rows[i][:3]
-            alive = at - second < step
-            if not alive and i + 1 < n and rows[i + 1][0] <= at:
-                alive = True
-            if not alive:
-                if sent is not None:
+            if at - second >= step:
+                if last is not None:
                     out.append((at, "resolved", 0))
                 break
-            if sent is None:
+            if last is None:
                 out.append((at, "first", count))
                 sent, last = mark, at
             elif mark != sent:
@@ -258,25 +254,73 @@ def notices_of_group(rows, step: int):
     return out
 
 
-def notification_times(groups: DataFrame, step: int) -> DataFrame:
-    """When each group notifies. A group has at most one row per grid point; the state machine runs once per group."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("s")
-        cols = ["s", "alerts", "fingerprint", "group_wait", "group_interval", "repeat_interval"]
-        rows = [tuple(int(x) for x in r) for r in pdf[cols].itertuples(index=False)]
-        made = notices_of_group(rows, step)
-        return pd.DataFrame({
-            "receiver": pdf["receiver"].iloc[0], "group_key": pdf["group_key"].iloc[0],
-            "t": pd.to_datetime([m[0] for m in made], unit="s"), "reason": [m[1] for m in made],
-            "alerts": pd.Series([m[2] for m in made], dtype="int64"),
-        }, columns=["receiver", "group_key", "t", "reason", "alerts"])
+def _appearances(d: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """(keys, at): when groups appear, first or after they have vanished; d has s, _prev, wait and interval.
 
-    d = groups.withColumn("s", F.unix_seconds("t")).select(
-        "receiver", "group_key", "s", "alerts", "fingerprint", "group_wait", "group_interval", "repeat_interval")
-    return d.groupBy("receiver", "group_key").applyInPandas(run, NOTICE_SCHEMA)
+    A group vanishes at a flush that finds no alert. Where it is silent long enough for a flush whatever its phase, it
+    surely has; in a shorter silence that depends on when it appeared before. So each row after a silence points to the
+    first one after it before which a flush of its phase falls, and the appearances are what pointers lead to.
+    """
+    s, prev, wait, interval = (F.col(c) for c in ("s", "_prev", "wait", "interval"))
+    heads = d.where(prev.isNull() | (s - prev > step)).select(
+        *keys, "s", "_prev", "wait", "interval", F.pmod(s + wait, interval).alias("phase"),
+        (prev.isNull() | (s - prev - F.greatest(wait, F.lit(step)) >= interval)).alias("sure"), s.alias("at"))
+    sure = heads.where("sure").select(*keys, "at")
+    if heads.where("NOT sure").isEmpty():
+        return sure
+    # the last flush of each phase of the group before a silence ends; a group has no more phases than seconds in its interval
+    phases = heads.select(*keys, "phase").distinct()
+    gaps = null_safe_join(heads.where("_prev IS NOT NULL").drop("phase"), phases, keys)
+    flush = s - 1 - F.pmod(s - 1 - F.col("phase"), interval)
+    hits = gaps.withColumn("flush", flush).where(F.col("flush") >= prev + step)
+    micros = F.lit(1_000_000)
+    ahead = next_at(heads.select(*keys, "phase", "at", "wait"), (F.col("at") + F.col("wait")) * micros, hits, [*keys, "phase"], F.col("flush") * micros, "to", s)
+    return reached(ahead, sure, keys)
+
+
+def notification_times(groups: DataFrame, step: int, seconds: int = 86400) -> DataFrame:
+    """When each group notifies: (receiver, group_key, t, reason, alerts).
+
+    A group has at most one row per grid point, and its timing is that of its receiver. A flush comes a wait after the
+    group appears, then every interval. It sends ``first``, ``change`` when the members differ from those sent last,
+    ``repeat`` when the last notice is as old as the repeat time; one that finds no alert sends ``resolved``, and the
+    group vanishes. Flushes are numbered from an appearance on, so what each sends follows from the row before it that a
+    flush has seen and from the last change; no history is walked through, and one is ordered only in slices.
+    """
+    keys = ["receiver", "group_key"]
+    d = groups.select(
+        *keys, "t", F.unix_seconds("t").alias("s"), "alerts", "fingerprint", *[F.col(f"group_{c}").cast("bigint").alias(c) for c in ("wait", "interval")],
+        F.col("repeat_interval").cast("bigint").alias("repeat"))
+    d = neighbour(d, keys, "t", ["t"], F.col("s"), "_prev", seconds)
+    found = _appearances(d, keys, step).select(*keys, F.timestamp_seconds("at").alias("t"), F.col("at").alias("start"))
+    d = asof_join(d, found, keys, "t", ["start"], seconds=seconds)
+    d = neighbour(d, keys, "t", ["t"], F.struct("s", "start"), "_next", seconds, following=True)
+    s, start, wait, interval = (F.col(c) for c in ("s", "start", "wait", "interval"))
+    ends = F.col("_next").isNull() | (F.col("_next.start") != start)
+    until = F.when(ends, s + step).otherwise(F.col("_next.s"))
+    number = lambda at: F.greatest(F.ceil((at - start - wait) / interval), F.lit(0)).cast("bigint")
+    time = lambda k: start + wait + k * interval
+    d = d.withColumns({"k": number(s), "ends": ends, "until": until})
+    d = d.withColumns({"seen": time(F.col("k")) < F.col("until"), "k_to": F.floor((F.col("until") - 1 - start - wait) / interval)})
+    seen = d.where("seen").select(*keys, "t", "start", "k", "fingerprint")
+    seen = neighbour(seen, keys, "t", ["t"], F.struct("start", "fingerprint"), "_was", seconds)
+    fresh = F.col("_was").isNull() | (F.col("_was.start") != F.col("start"))
+    sends = seen.where(fresh | (F.col("_was.fingerprint") != F.col("fingerprint")))
+    sent = sends.select(*keys, "t", F.struct("start", "k", F.when(fresh, "first").otherwise("change").alias("reason")).alias("_sent"))
+    d = asof_join(d, sent, keys, "t", ["_sent"], seconds=seconds)
+    k, last, k_to = F.col("k"), F.col("_sent.k"), F.col("k_to")
+    live = F.coalesce(F.col("_sent.start") == start, F.lit(False))
+    every = F.greatest(F.ceil(F.col("repeat") / interval), F.lit(1)).cast("bigint")
+    low, high = F.greatest(F.ceil((k - last) / every), F.lit(1)).cast("bigint"), F.floor((k_to - last) / every).cast("bigint")
+    one = lambda at, reason, alerts: F.struct(at.alias("at"), reason.alias("reason"), alerts.cast("bigint").alias("alerts"))
+    notices = F.array(
+        F.when(F.col("seen") & live & (k == last), one(time(k), F.col("_sent.reason"), F.col("alerts"))),
+        F.when(F.col("ends") & live, one(time(number(s + step)), F.lit("resolved"), F.lit(0))))
+    repeats = F.when(F.col("seen") & live & (low <= high), F.transform(
+        F.sequence(low, F.greatest(low, high)), lambda j: one(time(last + j * every), F.lit("repeat"), F.col("alerts"))))
+    none = F.filter(notices, lambda _: F.lit(False))
+    d = d.withColumn("_n", F.explode(F.concat(F.filter(notices, lambda x: x.isNotNull()), F.coalesce(repeats, none))))
+    return d.select(*keys, F.timestamp_seconds("_n.at").alias("t"), F.col("_n.reason").alias("reason"), F.col("_n.alerts").alias("alerts"))
 
 
 def auto_resolve(alerts: DataFrame, as_of, seconds: int = RESOLVE_SECONDS) -> DataFrame:
@@ -365,26 +409,20 @@ def stable_key() -> Column:
 def suppress_cooldown(alerts: DataFrame, key: Column | None = None, minutes: int = COOLDOWN_MINUTES, ts: str = "ts") -> DataFrame:
     """Accepted is true for alerts at least ``minutes`` after the last accepted one of their key.
 
-    Times of a key are reduced to distinct ones before the shuffle. A gap of the cooldown or more always ends in an
-    accepted alert, so histories are cut there, and only inside an unbroken run is the choice made one by one.
+    Times of a key are reduced to distinct ones before the shuffle. A time points to the first one a cooldown later; one
+    that follows a gap of the cooldown is accepted whatever came before, and so is all that pointers lead to from there.
+    An alert without a time is not accepted.
     """
     cool = minutes * 60 * 1_000_000
     d = alerts.withColumns({"_key": stable_key() if key is None else key, "_us": F.unix_micros(ts)})
-    times = d.groupBy("_key", ts, "_us").agg(F.lit(1).alias("_one")).drop("_one")
-    times = neighbour(times, ["_key"], ts, ["_us"], F.col("_us"), "_prev", max(3600, minutes * 60))
-    fresh = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= cool), 1).otherwise(0).cast("bigint")
-    times = running_totals(times, ["_key"], ts, ["_us"], {"_run": fresh}, 3600)
-
-    def choose(acc, us):
-        take = acc["last"].isNull() | (us - acc["last"] >= cool)
-        return F.when(take, F.struct(us.alias("last"), F.concat(acc["taken"], F.array(us)).alias("taken"))).otherwise(acc)
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
-    taken = times.groupBy("_key", "_run").agg(F.array_sort(F.collect_list("_us")).alias("_all")).select(
-        "_key", F.explode(F.aggregate("_all", start, choose, lambda acc: acc["taken"])).alias("_us"))
-    hits = taken.select(F.col("_key").alias("_k"), F.col("_us").alias("_u"))
-    out = d.join(hits, (F.col("_key") == F.col("_k")) & (F.col("_us") == F.col("_u")), "left")
-    return out.withColumns({"dedup_key": F.col("_key"), "accepted": F.col("_k").isNotNull()}).drop("_key", "_us", "_k", "_u")
+    times = d.where("_us IS NOT NULL").select("_key", ts, F.col("_us").alias("at")).distinct()
+    times = neighbour(times, ["_key"], ts, ["at"], F.col("at"), "_prev", max(3600, minutes * 60))
+    sure = times.where(F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= cool)).select("_key", "at")
+    times = times.select("_key", "at")
+    taken = reached(next_at(times, F.col("at") + cool, times, ["_key"], F.col("at"), "to"), sure, ["_key"])
+    hits = taken.select(F.col("_key").alias("_k"), F.col("at").alias("_u"))
+    out = d.join(hits, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_us") == F.col("_u")), "left")
+    return out.withColumns({"dedup_key": F.col("_key"), "accepted": F.col("_u").isNotNull()}).drop("_key", "_us", "_k", "_u")
 
 
 def touch_active(alerts: DataFrame, closed: DataFrame, key: Column | None = None, minutes: int = COOLDOWN_MINUTES, ts: str = "ts") -> DataFrame:
@@ -392,30 +430,19 @@ def touch_active(alerts: DataFrame, closed: DataFrame, key: Column | None = None
 
     An alert within the cooldown of the last one created of its key is skipped. Later ones only update that one while
     it is active; ``closed`` (dedup_key, at) says when an alert of a key stopped being active, be it acknowledged or
-    resolved. Between two closings of a key at most one alert is created, and only the alerts of the first cooldown
-    and the first one after it can be the one; no more than these are put in order.
+    resolved. So after one is created the next is the first that comes a cooldown later and not before the next closing:
+    each time points there, and from the first time of a key on, all that pointers lead to are created.
     """
     cool = minutes * 60 * 1_000_000
     d = alerts.withColumn("dedup_key", stable_key() if key is None else key)
-    times = d.groupBy("dedup_key", F.col(ts).alias("at")).agg(F.lit(0).cast("bigint").alias("_close")).where("at IS NOT NULL")
-    ends = closed.groupBy("dedup_key", "at").agg(F.lit(1).cast("bigint").alias("_close")).where("at IS NOT NULL")
-    both = times.unionByName(ends).withColumns({"_first": F.lit(1) - F.col("_close"), "_us": F.unix_micros("at")})
-    both = running_totals(both, ["dedup_key"], "at", ["at", "_first"], {"_part": F.col("_close")}, 3600)
-    opened = both.where("_close = 1").select(F.col("dedup_key").alias("_k"), F.col("_part").alias("_p"), F.col("_us").alias("_from"))
-    own = both.where("_close = 0").join(opened, F.col("dedup_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left").drop("_k", "_p")
-    early = F.col("_us") < F.col("_from") + cool
-    parts = own.groupBy("dedup_key", "_part").agg(
-        F.concat(F.collect_list(F.when(early, F.col("_us"))), F.filter(F.array(F.min(F.when(F.coalesce(~early, F.lit(True)), F.col("_us")))), lambda x: x.isNotNull())).alias("_times"))
-
-    def choose(acc, part):
-        fit = F.array_min(F.filter(part["times"], lambda u: acc["last"].isNull() | (u - acc["last"] >= cool)))
-        return F.when(fit.isNull(), acc).otherwise(F.struct(fit.alias("last"), F.concat(acc["taken"], F.array(fit)).alias("taken")))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
-    ordered = parts.groupBy("dedup_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_part").alias("part"), F.col("_times").alias("times")))).alias("_parts"))
-    made = ordered.select("dedup_key", F.explode(F.aggregate("_parts", start, choose, lambda acc: acc["taken"])).alias("_made"))
-    made = made.select("dedup_key", F.timestamp_micros("_made").alias(ts), "_made")
-    found = asof_join(d, made, ["dedup_key"], ts, ["_made"])
+    keys = ["dedup_key"]
+    times = d.where(F.col(ts).isNotNull()).select("dedup_key", F.unix_micros(ts).alias("at")).distinct()
+    ends = closed.where("at IS NOT NULL").select("dedup_key", F.unix_micros("at").alias("end")).distinct()
+    closing = next_at(times, F.col("at") + 1, ends, keys, F.col("end"), "_end").where("_end IS NOT NULL")
+    ahead = next_at(closing, F.greatest(F.col("at") + cool, F.col("_end")), times, keys, F.col("at"), "to")
+    made = reached(ahead, times.groupBy("dedup_key").agg(F.min("at").alias("at")), keys)
+    made = made.select("dedup_key", F.timestamp_micros("at").alias(ts), F.col("at").alias("_made"))
+    found = asof_join(d, made, keys, ts, ["_made"])
     age = F.unix_micros(ts) - F.col("_made")
     return found.withColumn("outcome", F.when(age == 0, "created").when(age >= cool, "updated").otherwise("skipped")).drop("_made")
 
