@@ -80,30 +80,60 @@ def test_rejects_split_and_retry(spark, tmp_path):
     assert spark.read.parquet(good).count() == 40 and spark.read.parquet(bad).count() == 10
 
 
-def test_hold_stream_equals_batch(spark, tmp_path):
+def run_parts(spark, make, parts, tmp_path):
+    """What a stream gives that is stopped after each part and goes on from its checkpoint; a part is a list of rows."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(part.schema).parquet(src)
+        finish(streams.start_append(make(stream), out, str(tmp_path / "cp"), once=True))
+    return spark.read.parquet(out)
+
+
+def test_hold_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     ddl = "t timestamp, alertname string, labels map<string,string>, value double"
-    rows = [(T0 + dt.timedelta(seconds=30 * i), "A", {"n": str(n)}, 1.0) for n in range(3) for i in range(60) if rng.random() < 0.8]
-    df = spark.createDataFrame(rows, ddl)
-    df.where(F.col("t") < T0 + dt.timedelta(minutes=15)).coalesce(1).write.parquet(src)
+    row = lambda i, n, name="A": (T0 + dt.timedelta(seconds=30 * i), name, {"n": str(n)}, 1.0)
+    rows = [row(i, n) for n in range(3) for i in range(60) if rng.random() < 0.8]
+    first, second = [r for r in rows if r[0] < T0 + dt.timedelta(minutes=15)], [r for r in rows if r[0] >= T0 + dt.timedelta(minutes=15)]
+    rng.shuffle(first)
+    rng.shuffle(second)
+    late = [row(1, 9)]  # far behind the watermark of the first part
     holds = spark.createDataFrame([("A", 90)], "alertname string, hold int")
-    for part in (None, F.col("t") >= T0 + dt.timedelta(minutes=15)):
-        if part is not None:
-            df.where(part).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(df.schema).parquet(src)
-        finish(streams.start_append(stateful.hold_for_stream(stream, holds, 30, "1 day"), out, str(tmp_path / "cp"), once=True))
-    want = al.hold_for(df, holds, 30).select("alertname", F.unix_seconds("t"), F.unix_seconds("since"), "state")
-    assert rows_of(spark.read.parquet(out).select("alertname", "second", "since", "state")) == rows_of(want)
+    parts = [spark.createDataFrame(p, ddl) for p in (first, second + late, [row(90_000, 0, "Z")])]
+    got = run_parts(spark, lambda s: stateful.hold_for_stream(s, holds, 30, "30 seconds"), parts, tmp_path)
+    want = al.hold_for(spark.createDataFrame(rows, ddl), holds, 30).select("alertname", F.unix_seconds("t"), F.unix_seconds("since"), "state")
+    assert rows_of(got.select("alertname", "second", "since", "state")) == rows_of(want)
 
 
 def test_cooldown_stream_equals_batch(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rng = random.Random(6)
-    rows = [(T0 + dt.timedelta(seconds=rng.randrange(0, 20000)), f"n{i % 3}", "c", "e") for i in range(300)]
-    df = spark.createDataFrame(rows, "ts timestamp, name string, category string, entity string")
-    df.coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    finish(streams.start_append(stateful.suppress_cooldown_stream(stream, watermark="1 day"), out, str(tmp_path / "cp"), once=True))
-    want = al.suppress_cooldown(df).select(F.col("dedup_key").alias("key"), F.unix_micros("ts"), "accepted").distinct()
-    assert rows_of(spark.read.parquet(out).select("key", "us", "accepted")) == rows_of(want)
+    ddl = "ts timestamp, name string, category string, entity string"
+    row = lambda s, name: (T0 + dt.timedelta(seconds=s), name, "c", "e")
+    rows = [row(rng.randrange(0, 20000) + rng.choice([0, 0.25]), f"n{i % 3}") for i in range(300)]
+    first, second = [r for r in rows if r[0] < T0 + dt.timedelta(seconds=9000)], [r for r in rows if r[0] >= T0 + dt.timedelta(seconds=9000)]
+    rng.shuffle(second)
+    parts = [spark.createDataFrame(p, ddl) for p in (first, second + [row(5, "n0")], [row(10**6, "z")])]
+    got = run_parts(spark, lambda s: stateful.suppress_cooldown_stream(s, watermark="1 minute"), parts, tmp_path)
+    want = al.suppress_cooldown(spark.createDataFrame(rows, ddl)).select(F.col("dedup_key").alias("key"), F.unix_micros("ts"), "accepted").distinct()
+    assert rows_of(got.select("key", "us", "accepted")) == rows_of(want)
+
+
+def test_notice_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    ddl = "receiver string, group_key string, t timestamp, alerts bigint, fingerprint bigint, group_wait int, group_interval int, repeat_interval int"
+    rows = []
+    for g in range(4):
+        s = 30 * rng.randrange(4)
+        for _ in range(80):
+            s += 30 * rng.choice([1, 1, 1, 2, 4, 7, 15])
+            rows.append(("r", f"g{g}", T0 + dt.timedelta(seconds=s), rng.randint(1, 3), rng.randint(1, 2), 40, 90, 400))
+    half = T0 + dt.timedelta(seconds=3000)
+    first, second = [r for r in rows if r[2] < half], [r for r in rows if r[2] >= half]
+    rng.shuffle(first)
+    rng.shuffle(second)
+    push = [("r", "z", T0 + dt.timedelta(days=9), 1, 1, 40, 90, 400)]
+    parts = [spark.createDataFrame(p, ddl) for p in (first, second, push)]
+    got = run_parts(spark, lambda s: stateful.notification_times_stream(s, 30, "30 seconds"), parts, tmp_path)
+    want = al.notification_times(spark.createDataFrame(rows, ddl), 30).select("receiver", "group_key", F.unix_seconds("t"), "reason", "alerts")
+    assert rows_of(got.select("receiver", "group_key", "second", "reason", "alerts")) == rows_of(want)
