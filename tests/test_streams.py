@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators import alerts as al
 from tidewatch.operators import requests
+from tidewatch.sources import tables as tables_of
 from tidewatch.streaming import stateful, streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -59,18 +60,59 @@ def test_broker_records_are_parsed(spark):
     assert row["event"]["message"] == "m" and row["tags"] == ["kafka"] and row["offset"] == 7
 
 
+VERSIONS = "request_id long, ts timestamp, v int"
+
+
 def test_upsert_twice_is_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    ddl = "request_id long, ts timestamp, v int"
     rows = [(i % 20, T0 + dt.timedelta(minutes=i), i) for i in range(60)]
-    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(src)
+    spark.createDataFrame(rows, VERSIONS).coalesce(1).write.parquet(src)
     for run in ("a", "b"):
-        stream = spark.readStream.schema(T.StructType.fromDDL(ddl)).parquet(src)
+        stream = spark.readStream.schema(T.StructType.fromDDL(VERSIONS)).parquet(src)
         finish(streams.start_upsert(stream, out, str(tmp_path / f"cp-{run}"), once=True))
-        got = rows_of(spark.read.parquet(out).select("request_id", "v"))
+        got = rows_of(tables_of.read_versions(spark, out).select("request_id", "v"))
         assert got == [(i, 40 + i) for i in range(20)]
 
 
+def test_a_replayed_batch_adds_nothing_with_or_without_ids(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [(None if i % 4 == 0 else i % 10, T0 + dt.timedelta(hours=i % 10), i) for i in range(40)]
+    first, second = spark.createDataFrame(rows[:25], VERSIONS), spark.createDataFrame(rows[25:], VERSIONS)
+    want = None
+    for number, part in ((0, first), (1, second), (0, first), (1, second)):
+        tables_of.upsert_by_request_id(part, out, number)
+        want = rows_of(tables_of.read_versions(spark, out).select(F.coalesce("request_id", F.lit(-1)), "v")) if number else want
+    got = rows_of(tables_of.read_versions(spark, out).select(F.coalesce("request_id", F.lit(-1)), "v"))
+    assert got == want and sum(r[0] == -1 for r in got) == 10
+    assert sorted(r[1] for r in got if r[0] >= 0) == sorted({r[0]: r[2] for r in rows if r[0] is not None}.values())
+    tables_of.compact_versions(spark, out, ["2024-01-01"], 2)
+    assert rows_of(tables_of.read_versions(spark, out).select(F.coalesce("request_id", F.lit(-1)), "v")) == got
+    assert [r.batch for r in spark.read.parquet(out).select("batch").distinct().collect()] == [1]
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    many = spark.range(20_000).select(F.col("id").alias("request_id"), F.lit(T0).alias("ts"), F.col("id").cast("int").alias("v"))
+    tables_of.upsert_by_request_id(many, out, 0)
+    tables_of.upsert_by_request_id(many.limit(10), out, 1)
+    sizes = {n: sum(f.stat().st_size for f in (tmp_path / "out").rglob(f"batch={n}/*.parquet")) for n in (0, 1)}
+    assert sizes[1] < sizes[0] / 20
+    assert tables_of.read_versions(spark, out).count() == 20_000
+
+
+def test_a_lost_compaction_is_completed(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for number in range(3):
+        tables_of.upsert_by_request_id(spark.createDataFrame([(1, T0, number), (None, T0, number)], VERSIONS), out, number)
+    aside = spark.createDataFrame([(1, T0, 1), (None, T0, 0), (None, T0, 1)], VERSIONS)
+    aside.write.parquet(f"{out}/_compacting/2024-01-01/1")
+    for child in (tmp_path / "out" / "log_date=2024-01-01" / "batch=0").iterdir():
+        child.unlink()
+    tables_of.compact_versions(spark, out, ["2024-01-01"], 2)
+    got = rows_of(tables_of.read_versions(spark, out).select(F.coalesce("request_id", F.lit(-1)), "v"))
+    assert got == [(-1, 0), (-1, 1), (-1, 2), (1, 2)]
+
+
 def test_rejects_split_and_retry(spark, tmp_path):
     src, good, bad = (str(tmp_path / x) for x in ("in", "good", "bad"))
     spark.range(50).withColumn("ok", F.col("id") % 5 != 0).write.parquet(src)

@@ -11,7 +11,8 @@ from tidewatch.functions.slices import asof_join, null_safe_join
 from tidewatch.session import work_dir
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written in the shared folder and read back, where a plan would else compute it several times."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -34,17 +35,17 @@ def reached(pointers: DataFrame, starts: DataFrame, keys: Sequence[str]) -> Data
     it to what is reached so far, so a chain of a million takes twenty rounds; each round is a written table of one row
     a pointer at most. A null ``to`` ends a chain; null keys are keys like others.
     """
-    jumps = _written(pointers.where("to IS NOT NULL").select(*keys, "at", "to"), "jumps")
-    found = _written(starts.select(*keys, "at").distinct(), "reached")
+    jumps = written(pointers.where("to IS NOT NULL").select(*keys, "at", "to"), "jumps")
+    found = written(starts.select(*keys, "at").distinct(), "reached")
     while True:
         ahead = null_safe_join(found, jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at")).distinct()
         there = found.select(*[F.col(c).alias(f"_there_{c}") for c in (*keys, "at")])
         same = F.lit(True)
         for c in (*keys, "at"):
             same = same & F.col(c).eqNullSafe(F.col(f"_there_{c}"))
-        new = _written(ahead.join(there, same, "left_anti"), "ahead")
+        new = written(ahead.join(there, same, "left_anti"), "ahead")
         if new.isEmpty():
             return found
-        found = _written(found.unionByName(new), "reached")
+        found = written(found.unionByName(new), "reached")
         on = jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far"))
-        jumps = _written(null_safe_join(jumps, on, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")), "jumps")
+        jumps = written(null_safe_join(jumps, on, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")), "jumps")

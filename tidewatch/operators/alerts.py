@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import as_map, literal_table
-from tidewatch.functions.pointers import next_at, reached
+from tidewatch.functions.pointers import next_at, reached, written
 from tidewatch.functions.slices import SLICE, asof_join, carry, neighbour, null_safe_join, running_totals, slice_of, within
 from tidewatch.operators.recording import Alert
 from tidewatch.operators.samples import series_key
@@ -265,6 +265,7 @@ def _appearances(d: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     heads = d.where(prev.isNull() | (s - prev > step)).select(
         *keys, "s", "_prev", "wait", "interval", F.pmod(s + wait, interval).alias("phase"),
         (prev.isNull() | (s - prev - F.greatest(wait, F.lit(step)) >= interval)).alias("sure"), s.alias("at"))
+    heads = written(heads, "heads")
     sure = heads.where("sure").select(*keys, "at")
     if heads.where("NOT sure").isEmpty():
         return sure
@@ -291,9 +292,9 @@ def notification_times(groups: DataFrame, step: int, seconds: int = 86400) -> Da
     d = groups.select(
         *keys, "t", F.unix_seconds("t").alias("s"), "alerts", "fingerprint", *[F.col(f"group_{c}").cast("bigint").alias(c) for c in ("wait", "interval")],
         F.col("repeat_interval").cast("bigint").alias("repeat"))
-    d = neighbour(d, keys, "t", ["t"], F.col("s"), "_prev", seconds)
+    d = written(neighbour(written(d, "groups"), keys, "t", ["t"], F.col("s"), "_prev", seconds), "groups")
     found = _appearances(d, keys, step).select(*keys, F.timestamp_seconds("at").alias("t"), F.col("at").alias("start"))
-    d = asof_join(d, found, keys, "t", ["start"], seconds=seconds)
+    d = written(asof_join(d, found, keys, "t", ["start"], seconds=seconds), "groups")
     d = neighbour(d, keys, "t", ["t"], F.struct("s", "start"), "_next", seconds, following=True)
     s, start, wait, interval = (F.col(c) for c in ("s", "start", "wait", "interval"))
     ends = F.col("_next").isNull() | (F.col("_next.start") != start)
@@ -302,6 +303,7 @@ def notification_times(groups: DataFrame, step: int, seconds: int = 86400) -> Da
     time = lambda k: start + wait + k * interval
     d = d.withColumns({"k": number(s), "ends": ends, "until": until})
     d = d.withColumns({"seen": time(F.col("k")) < F.col("until"), "k_to": F.floor((F.col("until") - 1 - start - wait) / interval)})
+    d = written(d, "flushes")
     seen = d.where("seen").select(*keys, "t", "start", "k", "fingerprint")
     seen = neighbour(seen, keys, "t", ["t"], F.struct("start", "fingerprint"), "_was", seconds)
     fresh = F.col("_was").isNull() | (F.col("_was.start") != F.col("start"))
@@ -415,8 +417,8 @@ def suppress_cooldown(alerts: DataFrame, key: Column | None = None, minutes: int
     """
     cool = minutes * 60 * 1_000_000
     d = alerts.withColumns({"_key": stable_key() if key is None else key, "_us": F.unix_micros(ts)})
-    times = d.where("_us IS NOT NULL").select("_key", ts, F.col("_us").alias("at")).distinct()
-    times = neighbour(times, ["_key"], ts, ["at"], F.col("at"), "_prev", max(3600, minutes * 60))
+    times = written(d.where("_us IS NOT NULL").select("_key", ts, F.col("_us").alias("at")).distinct(), "times")
+    times = written(neighbour(times, ["_key"], ts, ["at"], F.col("at"), "_prev", max(3600, minutes * 60)), "times")
     sure = times.where(F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= cool)).select("_key", "at")
     times = times.select("_key", "at")
     taken = reached(next_at(times, F.col("at") + cool, times, ["_key"], F.col("at"), "to"), sure, ["_key"])
@@ -436,7 +438,7 @@ def touch_active(alerts: DataFrame, closed: DataFrame, key: Column | None = None
     cool = minutes * 60 * 1_000_000
     d = alerts.withColumn("dedup_key", stable_key() if key is None else key)
     keys = ["dedup_key"]
-    times = d.where(F.col(ts).isNotNull()).select("dedup_key", F.unix_micros(ts).alias("at")).distinct()
+    times = written(d.where(F.col(ts).isNotNull()).select("dedup_key", F.unix_micros(ts).alias("at")).distinct(), "times")
     ends = closed.where("at IS NOT NULL").select("dedup_key", F.unix_micros("at").alias("end")).distinct()
     closing = next_at(times, F.col("at") + 1, ends, keys, F.col("end"), "_end").where("_end IS NOT NULL")
     ahead = next_at(closing, F.greatest(F.col("at") + cool, F.col("_end")), times, keys, F.col("at"), "to")

@@ -114,19 +114,67 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(good, total)
 
 
+BLOCK_BITS = 16
+
+
+def _shift(way: str, value: Column, bits: Column) -> Column:
+    return F.call_function(way, value, bits)
+
+
+def _pieces(networks: DataFrame) -> DataFrame:
+    """Aligned blocks of addresses (level, node), each with the smallest network that it is a part of; most networks are one block."""
+    def halves(k: Column) -> Column:
+        size = _shift("shiftleft", F.lit(1).cast("bigint"), k)
+        low, high = F.ceil(F.col("start_ip") / size).cast("bigint"), F.floor((F.col("end_ip") + 1) / size).cast("bigint")
+        both = F.array(F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+        whole = F.when((k == 32) & (low < high), F.array(low))
+        nodes = F.array_compact(F.coalesce(whole, both))
+        return F.transform(nodes, lambda n: F.struct(k.alias("level"), n.alias("node")))
+
+    levels = F.sequence(F.lit(0), F.lit(32))
+    d = networks.withColumn("_p", F.explode(F.flatten(F.transform(levels, halves))))
+    rank = F.struct((F.col("end_ip") - F.col("start_ip")).alias("size"), "start_ip", "geo")
+    return d.groupBy(F.col("_p.level").alias("level"), F.col("_p.node").alias("node")).agg(F.min(rank).alias("best"))
+
+
+def flat_networks(networks: DataFrame) -> DataFrame:
+    """Networks (start_ip, end_ip, geo) as ranges that do not overlap, cut at /16 blocks: (block, start_ip, end_ip, geo).
+
+    Where networks are nested or overlap the smallest holds an address, then the one that begins first. Networks become
+    aligned blocks; who holds an address can change only where a block begins or ends, and at each such point the blocks
+    around it, one of each of 33 sizes, are looked up by equality. A table of networks gives at most two ranges for each
+    of its aligned blocks and one for each /16 block, however wide a network is.
+    """
+    pieces = _pieces(networks)
+    size = _shift("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    ends = F.explode(F.array(F.col("node") * size, (F.col("node") + 1) * size))
+    points = pieces.select(ends.alias("at")).distinct()
+    # a range ends with its /16 block; blocks without points are added below, where one range spans them
+    around = points.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(32)))).select(
+        "at", F.col("_k").alias("level"), _shift("shiftright", F.col("at"), F.col("_k")).alias("node"))
+    held = points.join(around.join(pieces, ["level", "node"]).groupBy("at").agg(F.min("best").alias("best")), "at", "left")
+    held = held.select("at", F.col("best.geo").alias("geo"), F.shiftright("at", BLOCK_BITS).alias("block"))
+    inside = Window.partitionBy("block").orderBy("at")
+    held = held.withColumn("_next", F.lead("at").over(inside))
+    # one row a block, of which there are 65,536 and one at most
+    firsts = held.groupBy("block").agg(F.min("at").alias("first")).withColumn("_after", F.lead("first").over(Window.orderBy("block")))
+    held = held.join(firsts.drop("first"), "block").withColumn("_end", F.coalesce("_next", "_after")).where("_end IS NOT NULL AND geo IS NOT NULL")
+    span = F.sequence(F.col("block"), F.shiftright(F.col("_end") - 1, BLOCK_BITS))
+    held = held.select("at", "_end", "geo", F.explode(span).alias("block"))
+    low = F.shiftleft(F.col("block"), BLOCK_BITS)
+    return held.select("block", F.greatest("at", low).alias("start_ip"), (F.least(F.col("_end"), low + (1 << BLOCK_BITS)) - 1).alias("end_ip"), "geo")
+
+
 def geoip_enrich(df: DataFrame, networks: DataFrame, ip: str = "client_ip") -> DataFrame:
-    """City, country, continent, region and location of the network that holds the address.
+    """City, country, continent, region and location of the smallest network that holds the address.
 
-    Networks are spread over the /16 blocks they touch, so that the range join becomes an equi-join on the block
-    with a range filter; it needs no small side, and a hot block is split by the adaptive skew join.
+    Networks are made flat first (``flat_networks``), so every row comes out once. The range join is an equi-join on the
+    /16 block with a range filter; it needs no small side, and a hot block is split by the adaptive skew join.
     """
-    block = 65536
-    nets = networks.withColumn(
-        "_block", F.explode(F.sequence(F.floor(F.col("start_ip") / block), F.floor(F.col("end_ip") / block)))
-    ).select("_block", "start_ip", "end_ip", F.struct(
-        *GEO_FIELDS, F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("location")
-    ).alias("geo"))
-    d = df.withColumn("_ip", ipv4_number(F.col(ip))).withColumn("_b", F.floor(F.col("_ip") / block))
+    geo = F.struct(*GEO_FIELDS, F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("location"))
+    nets = flat_networks(networks.select("start_ip", "end_ip", geo.alias("geo")).where("start_ip <= end_ip"))
+    nets = nets.select(F.col("block").alias("_block"), "start_ip", "end_ip", "geo")
+    d = df.withColumn("_ip", ipv4_number(F.col(ip))).withColumn("_b", F.shiftright("_ip", BLOCK_BITS))
     hit = (F.col("_b") == F.col("_block")) & F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
     return d.join(nets, hit, "left").drop("_ip", "_b", "_block", "start_ip", "end_ip")
 

@@ -306,7 +306,8 @@ def _levels(rules: Sequence[Rule]) -> dict[str, int]:
     return level
 
 
-def _closure(rules: Sequence[Rule], names: Iterable[str]) -> list[Rule]:
+def closure(rules: Sequence[Rule], names: Iterable[str]) -> list[Rule]:
+    """The rules of these names and all that they read."""
     by_name = {r.name: r for r in rules}
     todo, seen = list(names), {}
     while todo:
@@ -507,7 +508,7 @@ def store_rules(samples: DataFrame, rules: Sequence[Rule], path: str, step: int
 def needed_rules(alerts: Sequence[Alert], rules: Sequence[Rule]) -> list[Rule]:
     """The recording rules whose stored series the conditions read."""
     conditions = inline([Rule(a.name, a.rule.op, a.rule.operands, a.rule.k) for a in alerts], rules)
-    return _closure(rules, {o.metric for r in conditions for o in r.operands})
+    return closure(rules, {o.metric for r in conditions for o in r.operands})
 
 
 def evaluate_rules(
@@ -528,7 +529,7 @@ def evaluate_rules(
     source = source_of(samples.where(F.col("metric").isin(*sorted(read))), step)
     if needed:
         if recorded is None:
-            recorded = record_rules(samples, _closure(rules, needed), step, grid)
+            recorded = record_rules(samples, closure(rules, needed), step, grid)
         d = recorded.where(F.col("name").isin(*sorted(needed))).withColumn("sid", series_number(F.col("name"), F.col("labels")))
         named = series_of(d.select(F.col("name").alias("metric"), "sid", "labels"))
         source = source.union(recorded_source(d, named, step))

@@ -80,7 +80,11 @@ SELECT * FROM (VALUES
   (CAST(167903232 AS BIGINT), CAST(167968767 AS BIGINT), 'Dublin', 'Ireland', 'IE', 'EU', 'Leinster', 53.35, -6.26),
   (CAST(167968768 AS BIGINT), CAST(168034303 AS BIGINT), 'Mumbai', 'India', 'IN', 'AS', 'Maharashtra', 19.08, 72.88),
   (CAST(168034304 AS BIGINT), CAST(168099839 AS BIGINT), 'Sydney', 'Australia', 'AU', 'OC', 'New South Wales', -33.87, 151.21),
-  (CAST(168099840 AS BIGINT), CAST(168165375 AS BIGINT), 'Osasco', 'Brazil', 'BR', 'SA', 'Sao Paulo', -23.53, -46.79)
+  (CAST(168099840 AS BIGINT), CAST(168165375 AS BIGINT), 'Osasco', 'Brazil', 'BR', 'SA', 'Sao Paulo', -23.53, -46.79),
+  (CAST(167772160 AS BIGINT), CAST(184549375 AS BIGINT), 'Anywhere', 'Nowhere', 'XX', 'XX', 'All of it', 0.0, 0.0),
+  (CAST(167772160 AS BIGINT), CAST(167804927 AS BIGINT), 'Reston', 'United States', 'US', 'NA', 'Virginia', 38.95, -77.34),
+  (CAST(167804928 AS BIGINT), CAST(167813119 AS BIGINT), 'Herndon', 'United States', 'US', 'NA', 'Virginia', 38.97, -77.38),
+  (CAST(167903300 AS BIGINT), CAST(167920000 AS BIGINT), 'Cork', 'Ireland', 'IE', 'EU', 'Munster', 51.89, -8.47)
 ) AS n(start_ip, end_ip, city_name, country_name, country_code2, continent_code, region_name, lat, lon)
 """
 

@@ -5,12 +5,14 @@ The catalogue runs on a clock slowed by 60 (five minutes become five hours), sin
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as al
 from tidewatch.operators import cost, recording
 from tidewatch.operators import samples as m
-from tidewatch.plans import fixtures, q_ops, q_requests, rules
+from tidewatch.plans import fixtures, q_ops, q_requests, rule_sql, rules
 from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.q_requests import COSTS_SQL, LEVELS_SQL, REQ_SQL
 from tidewatch.plans.registry import query
@@ -55,6 +57,57 @@ SELECT ts, x.metric, concat('n', CAST(user_id % 3 AS STRING)) AS instance, x.job
     WHEN 13 THEN CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END WHEN 14 THEN (event_id * 11) % 1500 WHEN 15 THEN event_id % 4 WHEN 16 THEN (event_id * 5) % 2000
     WHEN 17 THEN (event_id * 6) % 2200 ELSE (event_id * 1000) % 20000000 END AS DOUBLE) AS value
 FROM events CROSS JOIN (VALUES{_SERIES}) AS x(metric, kind, job, color, area, name, consumergroup, topic, cluster)
+WHERE NOT (x.kind <= 2 AND extract(day FROM ts) = 9)
+""", "events")
+
+
+
+# What the other metrics of the catalogue look like, an hour apart: the kind of value, its scale, and labels. Gauges wander from
+# 0 to 100, counters start anew every 60 hours, flat ones stop growing after 250, constants and buckets only grow.
+GAUGE, COUNTER, FLAT, CONSTANT, BUCKET = range(5)
+LABELS = ("area", "cluster", "color", "consumergroup", "exporter", "job", "le", "name", "operation", "processor", "quantile", "receiver", "request", "topic")
+_SCALES = (  # the first pattern that a name holds decides
+    (r"_max_|max_file|limit_size|_max_bytes", CONSTANT, 100), (r"messages_in_total$", FLAT, 1_000_000), (r"number_of_data_nodes", GAUGE, 0.04), (r"idle_percent", GAUGE, 0.01),
+    (r"queue_count|total_time_ms", GAUGE, 5), (r"queue_push_duration", GAUGE, 50), (r"load[0-9]+", GAUGE, 0.1), (r"queue_events_count", GAUGE, 1),
+    (r"plugins_(filters|outputs)_events_duration", COUNTER, 4_000_000), (r"documents_successes", COUNTER, 500), (r"events_out_total", COUNTER, 1000), (r"evictions|collection_time|old_collection", COUNTER, 2_000_000), (r"search_query_time", COUNTER, 30_000), (r"gc_collection_seconds_sum", COUNTER, 4000),
+    (r"config_last_reload", GAUGE, 0.5), (r"duration_seconds$", GAUGE, 0.1), (r"http_status_code", GAUGE, 5))
+_MORE = (  # series of their own beside what the events give
+    ("kafka_consumergroup_lag", GAUGE, 400, {"consumergroup": "g9", "topic": "t9"}), ("logstash_node_dead_letter_queue_size_in_bytes", GAUGE, 10_000_000, {"cluster": "big"}),
+    ("logstash_node_pipeline_events_in_total", FLAT, 1_000_000, {"cluster": "stopped"}), ("elasticsearch_thread_pool_rejected_count", COUNTER, 7, {"name": "write"}),
+    ("probe_success", GAUGE, 0.01, {"job": "blackbox-zookeeper"}), ("elasticsearch_indices_indexing_index_total", FLAT, 1_000_000, {"cluster": "stopped"}),
+    ("logstash_node_pipeline_events_out_total", CONSTANT, 5, {"cluster": "busy"}), ("logstash_node_pipeline_events_filtered_total", COUNTER, 1000, {"cluster": "busy"}), ("logstash_node_pipeline_events_in_total", COUNTER, 1200, {"cluster": "busy"}),
+)
+
+
+def _catalogue_series():
+    known = set(re.findall(r"\('([a-z_]+)', [0-9]+,", _SERIES))
+    names = {r.name for r in rules.RECORDING_RULES}
+    read = {}
+    for rule in (*rules.RECORDING_RULES, *(a.rule for a in rules.ALERT_RULES)):
+        for o in rule.operands:
+            if o.metric not in names and o.metric not in known:
+                fns, labels = read.setdefault(o.metric, (set(), []))
+                fns.add(o.fn)
+                own = dict(o.match) | {k: v.replace(".*", "x") for k, v in o.like}
+                labels.append(own | {k: f"{k}1" for k in o.by if k in LABELS and k not in own and k not in ("job", "le")})
+    rows = list(_MORE)
+    for metric, (fns, labels) in sorted(read.items()):
+        kind, scale = next(((k, n) for pattern, k, n in _SCALES if re.search(pattern, metric)), (COUNTER, 900) if fns & {"rate", "irate", "increase"} else (GAUGE, 1))
+        most = max(labels, key=len)
+        sets = {tuple(sorted((most if not x else x | {k: v for k, v in most.items() if k not in x and k in ("topic", "consumergroup")}).items())) for x in labels}
+        if metric.endswith("_bucket"):
+            rows += [(metric, BUCKET, n, dict(x) | {"le": le}) for x in sets for n, le in ((5, "0.1"), (8, "1.0"), (9, "+Inf"))]
+        else:
+            rows += [(metric, kind, scale, dict(x)) for x in sets]
+    return ",\n  ".join("(" + ", ".join([f"'{m_}'", str(k), f"CAST({n} AS DOUBLE)", *[f"'{x[c]}'" if c in x else "NULL" for c in LABELS]]) + ")" for m_, k, n, x in rows)
+
+
+fixtures.add_fixture("catalogue_samples", f"""
+SELECT h.ts, x.metric, concat('n', CAST(i.i AS STRING)) AS instance, {", ".join(f"x.{c}" for c in LABELS)},
+  CAST(CASE x.kind WHEN {GAUGE} THEN ((h.h * 7 + i.i * 3) % 101) * x.scale WHEN {COUNTER} THEN (h.h % 60) * (1 + i.i) * x.scale WHEN {FLAT} THEN least(h.h, 250) * x.scale WHEN {CONSTANT} THEN x.scale ELSE h.h * x.scale END AS DOUBLE) AS value
+FROM (SELECT DISTINCT date_trunc('hour', ts) AS ts, (extract(day FROM ts) - 1) * 24 + extract(hour FROM ts) AS h FROM events) AS h CROSS JOIN (VALUES (0), (1), (2)) AS i(i)
+CROSS JOIN (VALUES
+  {_catalogue_series()}) AS x(metric, kind, scale, {", ".join(LABELS)})
 """, "events")
 
 
@@ -62,6 +115,20 @@ def stack(t):
     return m.as_samples(t.stack_samples)
 
 
+def whole_stack(t):
+    """Samples of every metric that the catalogue reads."""
+    return stack(t).unionByName(m.as_samples(t.catalogue_samples))
+
+
+ALL_LABELS = tuple(sorted((*LABELS, "instance")))
+_pairs = lambda cols: "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}=' || {c} END" for c in cols) + ")"
+SMP_SQL = with_fixtures("stack_samples", "catalogue_samples") + f""", smp AS (
+SELECT ts, metric, {_pairs([c for c in ALL_LABELS if c in ("area", "cluster", "color", "consumergroup", "instance", "job", "name", "topic")])} AS lab, value FROM stack_samples
+UNION ALL SELECT ts, metric, {_pairs(ALL_LABELS)}, value FROM catalogue_samples),
+hours AS (SELECT t FROM (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(ts) FROM events)), (SELECT max(ts) FROM events), INTERVAL 1 HOUR)) AS t) g WHERE t >= (SELECT min(ts) FROM events)),
+"""
+
+
 def label_text(col="labels"):
     return F.array_join(F.array_sort(F.transform(F.map_entries(col), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
 
@@ -86,93 +153,8 @@ v AS (SELECT t, metric, lab, any_value(instance) AS instance, any_value(job) AS
 """
 
 
-def copy_sql(name, metric, where="TRUE", value="value"):
-    return f"SELECT t, '{name}' AS rec, lab, {value} AS value FROM v WHERE metric = '{metric}' AND {where} AND {value} IS NOT NULL"
-
-
-def agg_sql(name, metric, agg, by="''", where="TRUE", value="value"):
-    return f"SELECT t, '{name}' AS rec, {by} AS lab, CAST({agg}({value}) AS DOUBLE) AS value FROM v WHERE metric = '{metric}' AND {where} AND {value} IS NOT NULL GROUP BY t, {by}"
-
-
-def pair_sql(name, a, b, expr, where="TRUE", col="value"):
-    return f"""SELECT t, '{name}' AS rec, lab, {expr} AS value FROM (SELECT t, lab, {col} AS a FROM v WHERE metric = '{a}' AND {where}) p JOIN (SELECT t, lab, {col} AS b FROM v WHERE metric = '{b}' AND {where}) q USING (t, lab) WHERE a IS NOT NULL AND b IS NOT NULL"""
-
-
-def wide_sql(metric, seconds):
-    """Every pair of a grid point and a sample of the metric within a range of another length."""
-    return f"""SELECT k.t, s.lab, s.ts, s.pts, s.value, CASE WHEN pts > k.t - to_seconds({seconds}) THEN CASE WHEN value >= pv THEN value - pv ELSE value END ELSE 0 END AS inc
-      FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM s), (SELECT max(ts) FROM s) + to_seconds({seconds}), INTERVAL 1 HOUR)) AS t) k JOIN s ON s.metric = '{metric}' AND s.ts > k.t - to_seconds({seconds}) AND s.ts <= k.t"""
-
-
-def line_sql(name, source, seconds, horizon):
-    """Where the least squares line through a recorded series of the range falls below zero at the horizon."""
-    return f"""SELECT t, '{name}', lab, value FROM (SELECT k.t, l.lab, regr_intercept(l.value, epoch(l.t) - epoch(k.t)) + regr_slope(l.value, epoch(l.t) - epoch(k.t)) * {horizon} AS value
-      FROM (SELECT unnest(generate_series((SELECT min(t) FROM level0), (SELECT max(t) FROM level0) + to_seconds({seconds}), INTERVAL 1 HOUR)) AS t) k
-      JOIN level0 l ON l.rec = '{source}' AND l.t > k.t - to_seconds({seconds}) AND l.t <= k.t GROUP BY k.t, l.lab HAVING count(*) >= 2) f WHERE value < 0"""
-
-
-DIV = "CAST(CASE WHEN b <> 0 THEN a / b WHEN a = 0 THEN 'NaN' ELSE 'Infinity' END AS DOUBLE)"
-_E, _I = "elasticsearch:", "elasticsearch_indices_"
-_CG, _TP = "'consumergroup=' || consumergroup", "'topic=' || topic"
-LEVEL0 = [
-    """SELECT t, 'elasticsearch:cluster:status' AS rec, 'cluster=c1' AS lab, CAST(greatest(coalesce(max(CASE WHEN color = 'yellow' THEN value END), 0) * 1, coalesce(max(CASE WHEN color = 'red' THEN value END), 0) * 2, 0) AS DOUBLE) AS value FROM v WHERE metric = 'elasticsearch_cluster_health_status' GROUP BY t""",
-    "SELECT t, 'elasticsearch:cluster:is_healthy' AS rec, 'cluster=c1' AS lab, CASE WHEN max(value) = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM v WHERE metric = 'elasticsearch_cluster_health_status' AND color = 'green' GROUP BY t",
-    copy_sql(_E + "cluster:node_count", "elasticsearch_cluster_health_number_of_nodes"),
-    copy_sql(_E + "jvm:heap_used_bytes", "elasticsearch_jvm_memory_used_bytes", "area = 'heap'"),
-    copy_sql(_E + "jvm:nonheap_used_bytes", "elasticsearch_jvm_memory_used_bytes", "area = 'non-heap'"),
-    copy_sql(_E + "jvm:heap_max_bytes", "elasticsearch_jvm_memory_max_bytes", "area = 'heap'"),
-    pair_sql(_E + "jvm:heap_usage_ratio", "elasticsearch_jvm_memory_used_bytes", "elasticsearch_jvm_memory_max_bytes", DIV, "area = 'heap'"),
-    agg_sql(_E + "indexing:rate:5m", _I + "indexing_index_total", "sum", value="rate"),
-    copy_sql(_E + "indexing:rate:5m:by_node", _I + "indexing_index_total", value="rate"),
-    pair_sql(_E + "indexing:latency_avg:5m", _I + "indexing_index_time_seconds_total", _I + "indexing_index_total", DIV, col="rate"),
-    copy_sql(_E + "disk:total_bytes", "elasticsearch_filesystem_data_size_bytes"),
-    copy_sql(_E + "disk:free_bytes", "elasticsearch_filesystem_data_free_bytes"),
-    pair_sql(_E + "disk:used_bytes", "elasticsearch_filesystem_data_size_bytes", "elasticsearch_filesystem_data_free_bytes", "a - b"),
-    pair_sql(_E + "disk:usage_ratio", "elasticsearch_filesystem_data_free_bytes", "elasticsearch_filesystem_data_size_bytes", "1 - a / b"),
-    copy_sql(_E + "threadpool:rejected_total", "elasticsearch_thread_pool_rejected_count"),
-    copy_sql(_E + "threadpool:rejected_rate:5m", "elasticsearch_thread_pool_rejected_count", value="rate"),
-    copy_sql(_E + "threadpool:rejected_rate:5m:search", "elasticsearch_thread_pool_rejected_count", value="rate"),
-    copy_sql("probe:success_rate:5m", "probe_success", value="mean"),
-    copy_sql("probe:success_rate:5m:by_job", "probe_success", value="mean"),
-    copy_sql("probe:ssl_cert_expiry_days", "probe_ssl_earliest_cert_expiry", value="(value - epoch(t)) / 86400.0"),
-    agg_sql("kafka:cluster:broker_count", "up", "count", where="value = 1"),
-    copy_sql("kafka:cluster:broker_up", "up"),
-    agg_sql("kafka:cluster:active_controller_count", "kafka_controller_active_controller_count", "sum"),
-    agg_sql("kafka:cluster:offline_partitions", "kafka_controller_offline_partitions_count", "sum"),
-    """SELECT t, 'kafka:cluster:is_healthy' AS rec, '' AS lab, CASE WHEN coalesce(count(*) FILTER (WHERE metric = 'up' AND value = 1), 0) = 3 AND coalesce(sum(value) FILTER (WHERE metric = 'kafka_controller_active_controller_count'), 0) = 1
-      AND coalesce(sum(value) FILTER (WHERE metric = 'kafka_controller_offline_partitions_count'), 0) = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM v
-      WHERE (metric = 'up' AND value = 1) OR metric IN ('kafka_controller_active_controller_count', 'kafka_controller_offline_partitions_count') GROUP BY t""",
-    agg_sql("kafka:consumer:lag_total", "kafka_consumergroup_lag", "sum"),
-    agg_sql("kafka:consumer:lag_by_group", "kafka_consumergroup_lag", "sum", _CG),
-    agg_sql("kafka:consumer:lag_by_topic", "kafka_consumergroup_lag", "sum", _TP),
-    agg_sql("kafka:consumer:lag_by_group_topic", "kafka_consumergroup_lag", "sum", f"{_CG} || ',' || {_TP}"),
-    "SELECT t, 'kafka:consumer:group_count' AS rec, '' AS lab, CAST(count(DISTINCT consumergroup) AS DOUBLE) AS value FROM v WHERE metric = 'kafka_consumergroup_members' GROUP BY t",
-    copy_sql("kafka:consumer:members_by_group", "kafka_consumergroup_members"),
-    copy_sql("logstash:availability:up", "probe_success", "job = 'blackbox-logstash'"),
-    copy_sql("logstash:pipeline:events_out_total", "logstash_node_pipeline_events_out_total"),
-    copy_sql("logstash:pipeline:events_in_total", "logstash_node_pipeline_events_in_total"),
-    copy_sql("logstash:pipeline:events_out_rate:5m", "logstash_node_pipeline_events_out_total", value="rate"),
-    copy_sql("logstash:pipeline:events_in_rate:5m", "logstash_node_pipeline_events_in_total", value="rate"),
-    copy_sql("logstash:pipeline:throughput_eps:5m_avg", "logstash_node_pipeline_events_out_total", value="rate"),
-    copy_sql("slo:logstash:throughput:events_per_second", "logstash_node_pipeline_events_out_total", value="rate"),
-    copy_sql("logstash:dlq:size_bytes", "logstash_node_dead_letter_queue_size_in_bytes"),
-    f"""SELECT t, 'logstash:pipeline:throughput_eps' AS rec, lab, max_by(inc, ts) / max_by((epoch_us(ts) - epoch_us(pts)) / 1e6, ts) AS value FROM ({wide_sql("logstash_node_pipeline_events_out_total", 3600)}) i GROUP BY t, lab HAVING count(*) >= 2""",
-    f"""SELECT t, 'logstash:dlq:growth_rate:1h' AS rec, lab, CAST(sum(inc) AS DOUBLE) AS value FROM ({wide_sql("logstash_node_dead_letter_queue_size_in_bytes", 216000)}) i GROUP BY t, lab HAVING count(*) >= 2""",
-]
-LEVEL0_SQL = BASE_SQL + "level0 AS (" + "\nUNION ALL ".join(LEVEL0) + ")"
-AVAIL = ", avail AS (" + " UNION ALL ".join(
-    f"SELECT g.t, '{n}' AS sys, l.lab, avg(l.value) AS c FROM g JOIN level0 l ON l.rec = '{rec}' AND l.t > g.t - INTERVAL 60 HOUR AND l.t <= g.t GROUP BY g.t, l.lab"
-    for n, rec in (("elasticsearch", "elasticsearch:cluster:is_healthy"), ("kafka", "kafka:cluster:is_healthy"), ("logstash", "logstash:availability:up"))) + ")"
-SLO_SQL = AVAIL + """, lag_max AS (SELECT t, max(value) AS value FROM level0 WHERE rec = 'kafka:consumer:lag_by_group_topic' GROUP BY t),
-slo AS (SELECT t, concat('slo:', sys, ':availability:current') AS rec, lab, c AS value FROM avail
-  UNION ALL SELECT t, concat('slo:', sys, ':availability:budget_consumed'), lab, (1 - c) / (1 - 0.999::DOUBLE) FROM avail
-  UNION ALL SELECT t, concat('slo:', sys, ':availability:budget_remaining'), lab, 1 - (1 - c) / (1 - 0.999::DOUBLE) FROM avail
-  UNION ALL SELECT t, 'slo:kafka:consumer_lag:max', '', value FROM lag_max
-  UNION ALL SELECT t, 'slo:kafka:consumer_lag:within_target', '', CASE WHEN value < 1000 THEN 1.0::DOUBLE ELSE 0.0 END FROM lag_max
-  UNION ALL SELECT t, 'slo:kafka:consumer_lag:within_target', '', 0.0 FROM hours WHERE t NOT IN (SELECT t FROM lag_max)
-  UNION ALL SELECT t, r.rec, '', 0.0 FROM hours CROSS JOIN (VALUES ('slo:elasticsearch:latency:within_target'), ('slo:kafka:produce_latency:within_target'), ('slo:logstash:latency:within_target')) AS r(rec)
-  UNION ALL SELECT t, r.rec, '', CAST(r.k AS DOUBLE) FROM hours CROSS JOIN (VALUES ('slo:elasticsearch:availability:target', 0.999), ('slo:kafka:availability:target', 0.999), ('slo:logstash:availability:target', 0.999),
-    ('slo:elasticsearch:latency:target_seconds', 0.5), ('slo:kafka:produce_latency:target_ms', 100), ('slo:kafka:consumer_lag:target', 1000), ('slo:logstash:latency:target_ms', 500)) AS r(rec, k))"""
+AVAIL_SQL = BASE_SQL + """level0 AS (SELECT t, 'logstash:availability:up' AS rec, lab, value FROM v WHERE metric = 'probe_success' AND job = 'blackbox-logstash'),
+avail AS (SELECT g.t, l.lab, avg(l.value) AS c FROM g JOIN level0 l ON l.t > g.t - INTERVAL 60 HOUR AND l.t <= g.t GROUP BY g.t, l.lab)"""
 
 CATALOGUE = recording.stretch(rules.RECORDING_RULES, SLOW)
 
@@ -181,69 +163,37 @@ def rounded(d, name="name"):
     return d.select("t", F.col(name).alias("rec"), label_text().alias("lab"), F.round("value", 6).alias("value"))
 
 
-@query("m21_record_rules", LEVEL0_SQL + SLO_SQL + " SELECT t, rec, lab, round(value, 6) AS value FROM (SELECT * FROM level0 UNION ALL SELECT * FROM slo) z")
+RECORDED_SQL, TAGS = rule_sql.recorded_sql(CATALOGUE)
+
+
+@query("m21_record_rules", SMP_SQL + RECORDED_SQL + f" SELECT t, name AS rec, lab, round(value, 6) AS value FROM ({rule_sql.all_of(TAGS)}) z WHERE NOT starts_with(name, '_')")
 def _(t):
     """The whole catalogue, level by level, through the table of recorded series."""
-    d = recording.store_rules(stack(t), CATALOGUE, work_dir(t.spark, "recorded"), STEP, span(t))
+    d = recording.store_rules(whole_stack(t), CATALOGUE, work_dir(t.spark, "recorded"), STEP, span(t))
     return rounded(d.where(~F.col("name").startswith("_")))
 
 
 SLO_ONLY = [r for r in CATALOGUE if r.name in ("logstash:availability:up", "slo:logstash:availability:current", "slo:logstash:availability:budget_consumed")]
 
 
-@query("m21_lazy_levels", LEVEL0_SQL + AVAIL + """ SELECT t, 'logstash:availability:up' AS rec, lab, round(value, 6) AS value FROM level0 WHERE rec = 'logstash:availability:up'
-UNION ALL SELECT t, 'slo:logstash:availability:current', lab, round(c, 6) FROM avail WHERE sys = 'logstash'
-UNION ALL SELECT t, 'slo:logstash:availability:budget_consumed', lab, round((1 - c) / (1 - 0.999::DOUBLE), 6) FROM avail WHERE sys = 'logstash'""")
+@query("m21_lazy_levels", AVAIL_SQL + """ SELECT t, 'logstash:availability:up' AS rec, lab, round(value, 6) AS value FROM level0
+UNION ALL SELECT t, 'slo:logstash:availability:current', lab, round(c, 6) FROM avail
+UNION ALL SELECT t, 'slo:logstash:availability:budget_consumed', lab, round((1 - c) / (1 - 0.999::DOUBLE), 6) FROM avail""")
 def _(t):
     """Rules that read rules, as one lazy plan."""
     return rounded(recording.record_rules(stack(t), SLO_ONLY, STEP, span(t)))
 
 
-def breach_sql(name, source, cond):
-    return f"SELECT t, '{name}' AS alertname, lab, value FROM level0 WHERE rec = '{source}' AND {cond}"
-
-
-BREACHES = LEVEL0_SQL + AVAIL + ", breaches AS (" + "\nUNION ALL ".join([
-    "SELECT t, 'ElasticsearchClusterRed' AS alertname, lab, value FROM v WHERE metric = 'elasticsearch_cluster_health_status' AND color = 'red' AND value = 1",
-    "SELECT t, 'ElasticsearchClusterYellow', lab, value FROM v WHERE metric = 'elasticsearch_cluster_health_status' AND color = 'yellow' AND value = 1",
-    breach_sql("ElasticsearchNodeDown", "elasticsearch:cluster:node_count", "value < 3"),
-    breach_sql("ElasticsearchHeapUsageWarning", "elasticsearch:jvm:heap_usage_ratio", "value > 0.8"),
-    breach_sql("ElasticsearchHeapUsageCritical", "elasticsearch:jvm:heap_usage_ratio", "value > 0.9"),
-    breach_sql("ElasticsearchHeapUsageDangerous", "elasticsearch:jvm:heap_usage_ratio", "value > 0.95"),
-    breach_sql("ElasticsearchIndexingLatencyHigh", "elasticsearch:indexing:latency_avg:5m", "value > 0.1"),
-    breach_sql("ElasticsearchDiskUsageWarning", "elasticsearch:disk:usage_ratio", "value > 0.75"),
-    breach_sql("ElasticsearchDiskUsageCritical", "elasticsearch:disk:usage_ratio", "value > 0.85"),
-    breach_sql("ElasticsearchDiskUsageDangerous", "elasticsearch:disk:usage_ratio", "value > 0.9"),
-    breach_sql("ElasticsearchSearchRejections", "elasticsearch:threadpool:rejected_rate:5m:search", "value > 0"),
-    breach_sql("EndpointDown", "logstash:availability:up", "value = 0"),
-    breach_sql("LogstashDown", "logstash:availability:up", "value = 0"),
-    breach_sql("SSLCertificateExpiringSoon", "probe:ssl_cert_expiry_days", "value < 30"),
-    breach_sql("SSLCertificateExpiringCritical", "probe:ssl_cert_expiry_days", "value < 7"),
-    breach_sql("SSLCertificateExpired", "probe:ssl_cert_expiry_days", "value < 0"),
-    *[f"SELECT t, '{n}', lab, 1 - (1 - c) / (1 - 0.999::DOUBLE) FROM avail WHERE sys = 'elasticsearch' AND 1 - (1 - c) / (1 - 0.999::DOUBLE) < {k}" for n, k in (("SLOBudgetBurning", 0.5), ("SLOBudgetCritical", 0.2), ("SLOBudgetExhausted", 0))],
-    breach_sql("PrometheusTargetDown", "kafka:cluster:broker_up", "value = 0"),
-    breach_sql("KafkaBrokerNotAvailable", "kafka:cluster:broker_up", "value = 0"),
-    breach_sql("KafkaBrokerDown", "kafka:cluster:broker_count", "value < 3"),
-    breach_sql("KafkaNoActiveController", "kafka:cluster:active_controller_count", "value = 0"),
-    breach_sql("KafkaMultipleControllers", "kafka:cluster:active_controller_count", "value > 1"),
-    breach_sql("KafkaOfflinePartitions", "kafka:cluster:offline_partitions", "value > 0"),
-    breach_sql("KafkaConsumerLagHigh", "kafka:consumer:lag_by_group_topic", "value > 1000"),
-    breach_sql("KafkaConsumerGroupEmpty", "kafka:consumer:members_by_group", "value = 0"),
-    """SELECT a.t, 'LogstashPipelineNotProcessing', a.lab, a.rate FROM v a JOIN v b ON a.t = b.t AND a.lab = b.lab AND a.metric = 'logstash_node_pipeline_events_out_total' AND b.metric = 'logstash_node_pipeline_events_in_total' WHERE a.rate = 0 AND b.rate > 0""",
-    line_sql("ElasticsearchDiskWillFillIn24h", "elasticsearch:disk:free_bytes", 21600 * SLOW, 86400 * SLOW),
-    line_sql("ElasticsearchDiskWillFillIn6h", "elasticsearch:disk:free_bytes", 7200 * SLOW, 21600 * SLOW),
-    f"""SELECT t, 'KafkaConsumerLagGrowing', lab, value FROM (SELECT t, lab, max_by(value, ts) - min_by(value, ts) AS value FROM ({wide_sql("kafka_consumergroup_lag", 600 * SLOW)}) i GROUP BY t, lab HAVING count(*) >= 2) f WHERE value > 1000""",
-    """SELECT n.t, 'ElasticsearchIndexingRateDrop', n.lab, n.value FROM level0 n JOIN level0 o ON n.rec = 'elasticsearch:indexing:rate:5m' AND o.rec = n.rec AND o.t + INTERVAL 60 HOUR = n.t WHERE n.value < 10 AND o.value > 100""",
-]) + ")"
 ALERTS = recording.stretch_alerts(rules.ALERT_RULES, SLOW)
+NEEDED = recording.needed_rules(ALERTS, CATALOGUE)
 
 
-@query("a1_evaluate_rules", BREACHES + " SELECT t, alertname, lab, round(value, 6) AS value FROM breaches")
+@query("a1_evaluate_rules", SMP_SQL + rule_sql.breaches_sql(recording.closure(CATALOGUE, [o.metric for a in ALERTS for o in a.rule.operands]), ALERTS) + " SELECT t, alertname, lab, round(value, 6) AS value FROM breaches")
 def _(t):
-    """All conditions; those over recorded series read the table of the few rules they need."""
+    """All conditions, each of which breaks somewhere; those over recorded series read the table of the few rules they need."""
     grid = span(t)
-    recorded = recording.store_rules(stack(t), recording.needed_rules(ALERTS, CATALOGUE), work_dir(t.spark, "recorded"), STEP, grid)
-    d = recording.evaluate_rules(stack(t), ALERTS, CATALOGUE, STEP, grid, recorded)
+    recorded = recording.store_rules(whole_stack(t), NEEDED, work_dir(t.spark, "recorded"), STEP, grid)
+    d = recording.evaluate_rules(whole_stack(t), ALERTS, CATALOGUE, STEP, grid, recorded)
     return rounded(d, "alertname").withColumnRenamed("rec", "alertname")
 
 
@@ -330,9 +280,28 @@ def _(t):
     return al.group_alerts(al.route_alerts(alert_rows(t))).select("receiver", "group_key", "t", "alerts", "severity")
 
 
-@query("a7_notification_times")
+NOTICES_SQL = ROUTED.replace("WITH ", "WITH RECURSIVE ", 1) + """, gr AS (
+  SELECT receiver, group_key, t, any_value(group_wait) AS w, any_value(group_interval) AS i, any_value(repeat_interval) AS r, count(*) AS alerts,
+    string_agg(concat(alertname, '/', cluster, '/', instance), ',' ORDER BY alertname, cluster, instance) AS members FROM routed GROUP BY 1, 2, 3),
+isl AS (SELECT *, t - to_hours(CAST(row_number() OVER (PARTITION BY receiver, group_key ORDER BY t) AS INT)) AS run FROM gr),
+runs AS (SELECT receiver, group_key, run, any_value(w) AS w, any_value(i) AS i, any_value(r) AS r, min(t) AS a, max(t) + INTERVAL 1 HOUR AS z FROM isl GROUP BY 1, 2, 3),
+fl AS (SELECT receiver, group_key, run, r, unnest(generate_series(a + to_seconds(w), z + to_seconds(i - 1), to_seconds(i))) AS at_s, z FROM runs),
+seen AS (SELECT f.receiver, f.group_key, f.run, f.r, f.at_s, f.at_s >= f.z AS ended, g.members, coalesce(g.alerts, 0) AS alerts
+  FROM fl f LEFT JOIN gr g ON g.receiver = f.receiver AND g.group_key = f.group_key AND g.t = date_trunc('hour', f.at_s) AND f.at_s < f.z),
+heads AS (SELECT receiver, group_key, run, min(at_s) AS at_s FROM seen GROUP BY 1, 2, 3),
+notices AS (
+  SELECT s.receiver, s.group_key, s.run, s.at_s, 'first' AS reason, s.alerts, s.members FROM seen s JOIN heads h USING (receiver, group_key, run, at_s)
+  UNION ALL SELECT receiver, group_key, run, at_s, reason, alerts, members FROM (
+    SELECT s.receiver, s.group_key, s.run, s.at_s, CASE WHEN s.ended THEN 'resolved' WHEN s.members <> n.members THEN 'change' ELSE 'repeat' END AS reason, s.alerts, s.members,
+      row_number() OVER (PARTITION BY n.receiver, n.group_key, n.run ORDER BY s.at_s) AS k
+    FROM notices n JOIN seen s ON s.receiver = n.receiver AND s.group_key = n.group_key AND s.run = n.run AND s.at_s > n.at_s
+      AND (s.ended OR s.members <> n.members OR s.at_s - n.at_s >= to_seconds(s.r)) WHERE n.reason <> 'resolved') x WHERE k = 1)
+SELECT receiver, group_key, at_s AS t, reason, alerts FROM notices"""
+
+
+@query("a7_notification_times", NOTICES_SQL)
 def _(t):
-    """No SQL form: two timers per group. Checked in the tests against a minute-by-minute replay."""
+    """The SQL goes from notice to notice; every silence of two hours ends a group, as no interval is that long."""
     return al.notification_times(al.group_alerts(al.route_alerts(alert_rows(t))), STEP)
 
 

@@ -85,7 +85,8 @@ def _(t):
 @query("n6_geoip_enrich", with_fixtures("app_logs", "networks") + """, a AS (
 SELECT event_id, client_ip, CAST(split_part(client_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(client_ip, '.', 2) AS BIGINT) * 65536
   + CAST(split_part(client_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(client_ip, '.', 4) AS BIGINT) AS n FROM app_logs)
-SELECT event_id, client_ip, city_name, country_code2, continent_code, CAST(lat AS DOUBLE) AS lat FROM a LEFT JOIN networks ON n BETWEEN start_ip AND end_ip""")
+SELECT event_id, client_ip, city_name, country_code2, continent_code, CAST(lat AS DOUBLE) AS lat FROM a LEFT JOIN networks ON n BETWEEN start_ip AND end_ip
+QUALIFY row_number() OVER (PARTITION BY event_id, client_ip ORDER BY end_ip - start_ip, start_ip) = 1""")
 def _(t):
     return normalise.geoip_enrich(t.app_logs, t.networks).select(
         "event_id", "client_ip", "geo.city_name", "geo.country_code2", "geo.continent_code", F.col("geo.location.lat").alias("lat"))
@@ -435,14 +436,16 @@ IDED = "SELECT CAST(floor(event_id / 3) AS BIGINT) AS request_id, ts AS sent, ev
 @query("s7_upsert_sink", f"""WITH v AS ({IDED}), n AS (SELECT request_id, max_by(event_id, sent) AS event_id, max_by(value, sent) AS value FROM v GROUP BY request_id)
 SELECT request_id, event_id, CASE WHEN request_id % 2 = 0 THEN -value ELSE value END AS value FROM n""")
 def _(t):
-    """Written, replayed, and partly replaced by later versions: each id is stored once, in its newest version."""
+    """Written, replayed, and partly replaced by later versions, one day of them compacted: each id comes once, in its newest version."""
     path = work_dir(t.spark, "upsert")
     d = t.spark.sql(IDED.replace("FROM events", "FROM {e}"), e=t.events)
     d = d.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("request_id") % 20 * 86400))
     newer = tables.latest_by_id(d, order=["sent"]).where("request_id % 2 = 0").withColumns({"value": -F.col("value"), "sent": F.col("sent") + F.expr("INTERVAL 1 HOUR")})
-    for batch in (d, d, newer, newer):
-        tables.upsert_by_request_id(batch, path, order=["sent"])
-    return t.spark.read.parquet(path).select("request_id", "event_id", "value")
+    for number, batch in enumerate((d, newer)):
+        for _ in range(2):
+            tables.upsert_by_request_id(batch, path, number, order=["sent"])
+    tables.compact_versions(t.spark, path, ["2024-01-03"], 2, order=["sent"])
+    return tables.read_versions(t.spark, path, order=["sent"]).select("request_id", "event_id", "value")
 
 
 @query("s8_write_with_rejects", LOG_SQL + f""", c AS (SELECT *, coalesce(latency_ms < 4000, false) AS ok FROM app_logs)

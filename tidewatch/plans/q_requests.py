@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import cost, requests
 from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.registry import query
+from tidewatch.session import work_dir
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -78,6 +79,22 @@ def _(t):
     return requests.latency_percentiles(t.ai_requests, ()).withColumn("avg", F.round("avg", 6))
 
 
+@query("t2_stored_sketches", REQ_SQL + """
+SELECT provider, model, date_trunc('day', ts) AS window_start, count(latency_ms) AS requests, min(latency_ms) AS min, max(latency_ms) AS max, round(avg(latency_ms), 6) AS avg,
+  true AS p50_within, true AS p95_within, true AS p99_within FROM ai_requests WHERE latency_ms IS NOT NULL GROUP BY 1, 2, 3""")
+def _(t):
+    """Minutes in a table, merged into days: each percentile lies within two per cent of its rank among the day's requests."""
+    path = work_dir(t.spark, "sketches")
+    requests.latency_sketches(t.ai_requests).write.parquet(path)
+    days = requests.sketched_percentiles(requests.merge_sketches(t.spark.read.parquet(path), window="1 day"))
+    d = t.ai_requests.where("latency_ms IS NOT NULL").withColumn("window_start", F.date_trunc("day", "ts"))
+    joined = d.select("provider", "model", "window_start", "latency_ms").join(days, ["provider", "model", "window_start"])
+    share = {n: F.count_if(F.col("latency_ms") < F.col(n)) / F.count(F.lit(1)) for n in requests.QUANTILES}
+    upto = {n: F.count_if(F.col("latency_ms") <= F.col(n)) / F.count(F.lit(1)) for n in requests.QUANTILES}
+    within = [((share[n] <= p + 0.02) & (upto[n] >= p - 0.02)).alias(f"{n}_within") for n, p in requests.QUANTILES.items()]
+    return joined.groupBy("provider", "model", "window_start", F.col("count").alias("requests"), "min", "max", F.round("avg", 6).alias("avg")).agg(*within)
+
+
 @query("t3_error_rate", REQ_SQL + """
 SELECT provider, model, date_trunc('day', ts) AS window_start, count(*) AS requests,
   count(*) FILTER (WHERE status <> 'success') AS errors,

@@ -58,27 +58,83 @@ def latest_by_id(df: DataFrame, row_id: str = "request_id", order: Sequence[str]
     return newest.unionByName(df.where(F.col(row_id).isNull()))
 
 
-def upsert_by_request_id(df: DataFrame, path: str, row_id: str = "request_id", ts: str = "ts", order: Sequence[str] = ("ts",)) -> None:
-    """S7 as a sink: rows replace stored ones of the same id and day, so that a replay changes nothing.
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path holds anything, asked of the file system that it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(at) and len(files.listStatus(at)) > 0
 
-    Only the days of the batch are read and rewritten (dynamic partition overwrite). An id must keep its day.
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after the largest that a table of versions holds; only names of partitions are read."""
+    if not _exists(spark, path):
+        return 0
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def upsert_by_request_id(df: DataFrame, path: str, batch: int | None = None, row_id: str = "request_id", ts: str = "ts", order: Sequence[str] = ("ts",)) -> None:
+    """S7 as a sink: the rows become versions of their ids, in a folder of their day and batch; nothing stored is read.
+
+    A batch that is written again replaces what it wrote before, rows without an id included, so a replay changes nothing.
+    ``read_versions`` gives each id once. Without a number the batch is a new one. An id must keep its day.
     """
     spark = df.sparkSession
-    batch = df.withColumn("log_date", F.to_date(ts))
-    days = [r["log_date"] for r in batch.select("log_date").distinct().collect()]
-    if not days:
-        return
-    old = None
-    try:
-        old = spark.read.parquet(path).where(F.col("log_date").isin(days))
-    except Exception as missing:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-    b = batch.withColumn("_new", F.lit(1))
-    both = b if old is None else b.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    ided, loose = both.where(F.col(row_id).isNotNull()), both.where(F.col(row_id).isNull())
-    merged = latest_by_id(ided, row_id, ["_new", *order]).unionByName(loose).drop("_new")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(path)
+    number = next_batch(spark, path) if batch is None else batch
+    d = latest_by_id(df, row_id, order).withColumns({"log_date": F.to_date(ts), "batch": F.lit(number).cast("bigint")})
+    d.hint("rebalance", "log_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(path)
+
+
+def read_versions(spark: SparkSession, path: str, row_id: str = "request_id", order: Sequence[str] = ("ts",)) -> DataFrame:
+    """S7 as a source: the newest version of each id, of the last batch and then the last by ``order``; all rows without an id.
+
+    Ids keep their day, so a filter on log_date reads the folders of those days only.
+    """
+    d = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
+    ided, loose = d.where(F.col(row_id).isNotNull()), d.where(F.col(row_id).isNull())
+    rest = [c for c in d.columns if c not in (row_id, "log_date")]
+    newest = ided.groupBy("log_date", row_id).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_row"))
+    return newest.select(row_id, "log_date", "_row.*").select(*d.columns).unionByName(loose).drop("batch")
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def _put_in_place(spark: SparkSession, path: str, day: str) -> None:
+    """A finished compaction of the day replaces the batches that went into it, up to the one it is named by."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for last in _children(spark, f"{path}/_compacting/{day}"):
+        aside = f"{path}/_compacting/{day}/{last}"
+        if "_SUCCESS" not in _children(spark, aside):
+            continue
+        for name in _children(spark, f"{path}/log_date={day}"):
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) <= int(last):
+                files.delete(hadoop.Path(f"{path}/log_date={day}/{name}"), True)
+        files.rename(hadoop.Path(aside), hadoop.Path(f"{path}/log_date={day}/batch={last}"))
+
+
+def compact_versions(spark: SparkSession, path: str, days: Sequence[str], before: int, row_id: str = "request_id", order: Sequence[str] = ("ts",)) -> None:
+    """What the given days hold of batches below ``before`` becomes one batch, numbered like the last of them.
+
+    ``before`` is a batch that can't be replayed any more. The new folder is finished aside before the old ones go; a run
+    that is lost in between is completed by the next one of the day. Nothing should read a day while it is put in place.
+    """
+    path = path.rstrip("/")
+    for day in days:
+        _put_in_place(spark, path, day)
+        there = spark.read.parquet(path).where((F.col("log_date") == F.lit(day).cast("date")) & (F.col("batch") < before))
+        numbers = sorted(r.batch for r in there.select("batch").distinct().collect())
+        if len(numbers) < 2:
+            continue
+        rest = [c for c in there.columns if c not in (row_id, "log_date", "batch")]
+        ided, loose = there.where(F.col(row_id).isNotNull()), there.where(F.col(row_id).isNull())
+        newest = ided.groupBy(row_id).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_row")).select(row_id, "_row.*")
+        newest.unionByName(loose.drop("log_date", "batch")).write.mode("overwrite").parquet(f"{path}/_compacting/{day}/{numbers[-1]}")
+        _put_in_place(spark, path, day)
 
 
 # The columns of the new table of industrial events.

@@ -32,13 +32,15 @@ def use_timers(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``take`` in order of time, once the watermark has passed them.
 
-    A row waits under its time; what it carries are ``waiting`` columns. ``kept`` is the schema of what the key remembers.
+    A row waits under its time; what it carries are ``waiting`` columns. ``kept`` is the schema of what the key remembers,
+    its last column the last time taken; after ``silence`` milliseconds it is forgotten.
     """
 
     columns: tuple[str, ...] = ()
     waiting: str = ""
     kept: str = ""
     at: str = ""
+    silence = SILENCE_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -70,14 +72,11 @@ class InOrder(StatefulProcessor):
             self.rows.removeKey((at,))
         if ready:
             self.state.update(state)
-            self.handle.registerTimer(self.due(self.last(state)) + SILENCE_MS)
-        elif state is not None and self.due(self.last(state)) + SILENCE_MS <= now and not any(True for _ in self.rows.keys()):
+            self.handle.registerTimer(self.due(state[-1]) + self.silence)
+        elif state is not None and self.due(state[-1]) + self.silence <= now and not any(True for _ in self.rows.keys()):
             self.state.clear()
         yield pd.DataFrame(out, columns=list(self.columns))
 
-    def last(self, state) -> int:
-        return state[-1]
-
     def take(self, state, at: int, carried) -> tuple[tuple, tuple]:
         raise NotImplementedError
 
@@ -108,6 +107,7 @@ class Cooldown(InOrder):
 
     def __init__(self, minutes: int):
         self.cool = minutes * 60 * 1_000_000
+        self.silence = max(SILENCE_MS, minutes * 60_000)
 
     def due(self, at):
         return -(-at // 1000)

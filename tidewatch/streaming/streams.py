@@ -63,9 +63,22 @@ def start_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return _start(df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), once)
 
 
+def _first_number(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The number of a stream's batch 0 in the table: after all that is there when the stream first starts, then the same for ever."""
+    writers = f"{path.rstrip('/')}/_writers"
+    if tables._exists(spark, writers):
+        known = spark.read.schema("checkpoint string, first bigint").parquet(writers).where(F.col("checkpoint") == checkpoint).agg(F.min("first")).first()[0]
+        if known is not None:
+            return known
+    first = tables.next_batch(spark, path)
+    spark.createDataFrame([(checkpoint, first)], "checkpoint string, first bigint").coalesce(1).write.mode("append").parquet(writers)
+    return first
+
+
 def start_upsert(df: DataFrame, path: str, checkpoint: str, once: bool = False, order: Sequence[str] = ("ts",)) -> StreamingQuery:
-    """S7 as a stream: a replayed batch leaves the table as it was."""
-    return start_batches(df, lambda batch, _: tables.upsert_by_request_id(batch, path, order=order), checkpoint, once)
+    """S7 as a stream: a replayed batch replaces what it wrote before, so the table stays as it was, rows without an id included."""
+    first = _first_number(df.sparkSession, path, checkpoint)
+    return start_batches(df, lambda batch, number: tables.upsert_by_request_id(batch, path, first + number, order=order), checkpoint, once)
 
 
 def start_with_rejects(df: DataFrame, contract: Column, target: str, rejects: str, index: str, now, checkpoint: str, once: bool = False) -> StreamingQuery:
