@@ -8,7 +8,8 @@ import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, pieces, queries, shared, simhash
+from test_near_copies import groups
+from tidewatch.llm import mixing, pieces, queries, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ def made(spark):
 
 
 def test_stages_return_the_columns_of_documents(made):
-    assert [name for name, _ in cp.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "source_mix", "piece_encoding"]
+    assert [name for name, _ in cp.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "source_mix", "piece_encoding"]
     assert all(tuple(d.columns) == cp.COLUMNS for d in made[:-1])
 
 
@@ -36,16 +37,10 @@ def test_good_documents_stay_and_poor_ones_go(spark, made):
 
 
 def test_one_of_each_group_stays(made):
-    prints = {}
-    for r in made[1].select("doc_id", "text").collect():
-        prints[r.doc_id] = simhash.fingerprint((r.text or "").encode()) & (2**64 - 1)
-    root = {d: d for d in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
-                low, high = sorted((root[a], root[b]))
-                root = {d: low if x == high else x for d, x in root.items()}
-    assert sorted(r.doc_id for r in made[2].collect()) == sorted(set(root.values()))
+    rows = sorted((r.doc_id, r.text) for r in made[1].select("doc_id", "text").collect())
+    first = groups([t for _, t in rows])
+    assert len(set(first)) < len(rows)
+    assert sorted(r.doc_id for r in made[2].collect()) == sorted(rows[k][0] for k in set(first))
 
 
 def test_one_row_stays_of_rows_that_share_an_id_or_have_none(spark):

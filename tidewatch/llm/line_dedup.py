@@ -111,20 +111,22 @@ def frequent_lines(lines: DataFrame, min_docs: int, batches: int, fanout: int) -
         above = doc > cuts[k] if k < len(cuts) else doc.isNull() | (doc <= cuts[-1]) if cuts else F.lit(True)
         ranges.append(above & (doc <= cuts[k - 1]) if 0 < k < len(cuts) else above)
     runs = LineRuns(lines.sparkSession, fanout)
-    for k in ranges:
-        runs.add(lines.filter(k))
-    found = store(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "holder"), "frequent_lines")
-    runs.drop()
-    return found
+    try:
+        for k in ranges:
+            runs.add(lines.filter(k))
+        return store(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "holder"), "frequent_lines")
+    finally:
+        runs.drop()
 
 
 def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """Add n_lines, n_dropped and kept_text to docs (doc_id, text and any other columns but these three).
+    """Add n_lines, n_dropped and kept_text to docs (doc_id, text and any other columns; columns of these three names are replaced).
 
     A line whose key has min_length code points or more and stands in min_docs documents or more goes from all of them
     but the one with the largest doc_id. Null and empty texts are one empty line. A key twice in a text counts once,
     and both its lines stay or go. Each row is a document: a repeated row counts again, and rows that share the largest
     doc_id all keep their lines. A null doc_id is smaller than any other; where no holder has an id, all keep the line.
+    Very long texts are split whole; an empty table stays empty.
     """
     lines = store(line_keys(docs.select("doc_id", "text"), min_length), "lines")
     frequent = frequent_lines(lines, min_docs, batches, fanout)
@@ -134,17 +136,19 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batche
         .groupBy(F.col("doc_id").alias("_gone_doc"), F.col("text_hash").alias("_gone_hash"))
         .agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     )
-    whole = docs.withColumns({"_lines": split_lines(F.col("text")), "_hash": F.xxhash64("text")}).join(
+    row = F.struct(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]).alias("_row")
+    whole = docs.select(row, "doc_id", "text", split_lines(F.col("text")).alias("_lines"), F.xxhash64("text").alias("_hash")).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_hash") == F.col("_gone_hash")), "left"
     )
     # the stretches between dropped positions, each cut out once
     start = lambda i: F.when(i == 0, 0).otherwise(F.get("_gone", i - 1) + 1)
     gaps = F.transform(F.concat(F.col("_gone"), F.array(F.size("_lines"))), lambda end, i: F.slice("_lines", start(i) + 1, end - start(i)))
-    return whole.select(
-        *docs.columns,
+    made = whole.select(
+        "_row",
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit("")))
         .otherwise(F.array_join(F.flatten(gaps), "\n"))
         .alias("kept_text"),
     )
+    return made.select("_row.*", "n_lines", "n_dropped", "kept_text")

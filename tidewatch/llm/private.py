@@ -23,8 +23,9 @@ PATTERNS = (
 )
 #: What must be in a text for its pattern to match.
 SIGNS = ("@", r"[0-9]\.[0-9]", r"[0-9]", r"\+[0-9]")
-#: Unseen identifiers: groups of letters and digits joined by one sign each, with a digit near the start.
-UNSEEN = r"(?<![A-Za-z0-9])(?=[A-Za-z._/@+-]{0,40}[0-9])[A-Za-z0-9]++(?:[._/@+-][A-Za-z0-9]++)*+"
+#: Unseen identifiers: groups of letters and digits joined by one sign each, with a digit. A run without one in its first 41
+#: signs is taken whole, so that none is looked through from each of its groups, and counts by the digits it has further on.
+UNSEEN = r"(?<![A-Za-z0-9])(?=[A-Za-z._/@+-]{0,40}[0-9]|[A-Za-z._/@+-]{41})[A-Za-z0-9]++(?:[._/@+-][A-Za-z0-9]++)*+"
 LEAST_DIGITS = 5
 #: Code points before a match that its lexical pattern is taken from.
 REACH = 64

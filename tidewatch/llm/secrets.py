@@ -1,7 +1,8 @@
 """Secret scans with ownership frequency over the whole corpus.
 
 Every candidate value is hashed, and for each hash the distinct owners and repositories that hold it are counted. A value
-that many owners hold is an example that has been copied; one that stays with few owners looks live. Values that no base
+that many owners hold, or many repositories of one owner, is an example that has been copied; one that stays with few
+looks live. Values that no base
 pattern names (long mixed tokens of high entropy) become spans only if they look live.
 """
 
@@ -84,18 +85,19 @@ def ownership(spans: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", copied_by: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", copied_by: int = 3, copied_within: int = 25) -> DataFrame:
     """(doc_id, base, spans, n_live, n_example), one row for each row of docs (doc_id, text, owner, repo).
 
     base and spans are arrays of (start, kind, end); base holds the matches of the base patterns, whoever owns them,
     and spans also the tokens that look live. n_live and n_example count base spans and candidate tokens by class: a
-    value is an example with copied_by owners or more. Null and empty texts have no spans; rows that repeat count
-    once per repository.
+    value is an example with copied_by owners or more, or in copied_within repositories or more, even of one owner. Null
+    and empty texts have no spans, very long ones are scanned whole, an empty table gives none; rows that repeat count once
+    per repository.
     """
     columns = [F.monotonically_increasing_id().alias("row"), "doc_id", F.col(owner).alias("owner"), F.col(repo).alias("repo")]
     scanned = store(docs.select(*columns, candidates(F.col("text")).alias("found")), "secret_candidates")
     each = scanned.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x.*")
-    judged = each.join(ownership(each), "hash").withColumn("example", F.col("owners") >= copied_by)
+    judged = each.join(ownership(each), "hash").withColumn("example", (F.col("owners") >= copied_by) | (F.col("repos") >= copied_within))
     live = ~F.col("example")
     by_row = judged.groupBy(F.col("row").alias("of")).agg(
         F.count_if(live).alias("n_live"),
