@@ -7,7 +7,7 @@ from tidewatch.sources import tables as stored
 
 SF = "/root/testdata/sf0.001"
 # These write or run a whole catalogue before they return; tests/test_recording.py and tests/test_alert_runs.py look at such plans.
-EAGER = ("m21_record_rules", "a1_evaluate_rules", "a7_", "a11_", "s3_", "s4_", "s5_", "s6_", "s14_", "s15_", "s16_", "s17_")
+EAGER = ("m21_record_rules", "a1_evaluate_rules", "a7_", "a11_", "p9_erase_stored", "s7_upsert_sink", "t2_stored", "s3_", "s4_", "s5_", "s6_", "s14_", "s15_", "s16_", "s17_")
 
 
 def plan(df):

@@ -20,6 +20,7 @@ INTENT_WORDS = (
     ("summarization", ("summarize", "summary", "tldr", "brief")),
     ("analysis", ("analyze", "analysis", "explain why", "compare")),
 )
+# How questions start, and what asks for something.
 QUESTION_STARTS = ("what", "who", "where", "when", "why", "how")
 INSTRUCTION_WORDS = ("please", "can you", "would you", "help me")
 # Personal data in prompts and responses. The patterns name both cases, so case needs no flag.
@@ -31,6 +32,8 @@ PII_PATTERNS = {
     "ip_address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "date_of_birth": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
 }
+# What a text must hold for the pattern to match somewhere; most texts hold none of it.
+PII_SIGNS = {"email": "@", "phone": r"\d{3}", "ssn": r"\d{3}", "credit_card": r"\d{4}", "ip_address": r"\d\.\d", "date_of_birth": r"\d[/-]\d"}
 PROMPT_PII = ("email", "phone", "ssn", "credit_card", "ip_address")
 # Longer numbers go first, so that a card number is not cut up by the phone pattern.
 REDACTION_ORDER = ("email", "credit_card", "ssn", "ip_address", "date_of_birth", "phone")
@@ -288,7 +291,12 @@ def sentiment(text: Column) -> Column:
 
 def detect_pii(text: Column) -> Column:
     """Types found, number of matches over all types, and a confidence of 0.2 per match."""
-    counts = F.struct(*[F.regexp_count(text, F.lit(p)).alias(k) for k, p in PII_PATTERNS.items()])
+    def count(k: str) -> Column:
+        sign = PII_SIGNS[k]
+        there = F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign)
+        return F.when(~there, 0).otherwise(F.regexp_count(text, F.lit(PII_PATTERNS[k])))
+
+    counts = F.struct(*[count(k).alias(k) for k in PII_PATTERNS])
 
     def summary(c):
         n = _add([c[k] for k in PII_PATTERNS])

@@ -10,6 +10,8 @@ from tidewatch.plans import q_requests, q_text
 from tidewatch.plans.fixtures import with_fixtures
 from tidewatch.plans.q_requests import COSTS_SQL, REQ_SQL
 from tidewatch.plans.registry import ORACLES, query
+from tidewatch.session import work_dir
+from tidewatch.sources import erasure
 
 CHECKS = with_fixtures("health_checks")
 
@@ -167,6 +169,17 @@ def _(t):
         audit.select(F.lit("audit").alias("part"), F.col("actor").alias("id"), F.col("resource_id").alias("subject_id")))
 
 
+@query("p9_erase_stored", CONSENT_SQL + """
+SELECT request_id, subject_id FROM q WHERE subject_id NOT IN (SELECT subject_id FROM erasures) OR request_id % 10 = 0""")
+def _(t):
+    """The same on stored facts: only the files that hold an erased subject are written again."""
+    path = work_dir(t.spark, "subject_facts")
+    q = t.ai_requests.withColumns({"subject_id": F.col("user_id").cast("string"), "legal_hold": F.col("request_id") % 10 == 0})
+    erasure.write_subject_facts(q, path)
+    erasure.erase_subjects(t.spark, path, t.erasures)
+    return t.spark.read.parquet(path).select("request_id", "subject_id")
+
+
 @query("p10_compliance_summary", FACTS_SQL + """
 SELECT provider, count(*) AS total_events, count(*) FILTER (WHERE pii_detected) AS pii_detections, round(avg(CAST(pii_detected AS INT)), 6) AS pii_detection_rate,
   count(*) FILTER (WHERE policy_violation) AS policy_violations, round(avg(CAST(policy_violation AS INT)), 6) AS violation_rate,
