@@ -129,7 +129,7 @@ def _fn(o: Operand) -> tuple[str, int]:
 
 def series_number(metric: Column, labels: Column) -> Column:
     """The number of a series: a hash of its metric and its labels in order. Series of other metrics never meet."""
-    return F.xxhash64(metric, F.array_sort(F.map_entries(labels)))
+    return F.xxhash64(metric, F.sort_array(F.map_entries(labels)))
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def numbered(samples: DataFrame) -> DataFrame:
 
 def series_of(points: DataFrame) -> DataFrame:
     """One row for each series of numbered samples; a map can't be a key, so its entries stand for it until the end."""
-    entries = F.array_sort(F.map_entries("labels")).alias("entries")
+    entries = F.sort_array(F.map_entries("labels")).alias("entries")
     return points.select("metric", "sid", entries).distinct().select("metric", "sid", F.map_from_entries("entries").alias("labels"))
 
 

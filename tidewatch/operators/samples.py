@@ -30,13 +30,15 @@ def as_samples(df: DataFrame, static_labels: dict[str, str] | None = None) -> Da
     if extra:
         pairs = F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))])
         parts.append(F.map_filter(pairs, lambda _, v: v.isNotNull()))
-    parts.append(as_map(static_labels or {}))
-    return df.select("ts", "metric", F.map_concat(*parts).alias("labels"), F.col("value").cast("double").alias("value"))
+    if static_labels or not parts:
+        parts.append(as_map(static_labels or {}))
+    labels = parts[0] if len(parts) == 1 else F.map_concat(*parts)
+    return df.select("ts", "metric", labels.alias("labels"), F.col("value").cast("double").alias("value"))
 
 
 def series_key(labels: Column) -> Column:
     """Text that is equal for equal label sets; a map itself cannot be a key."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
 def labels_of(key: Column) -> Column:
