@@ -74,3 +74,21 @@ def test_files_carry_bloom_filters(spark, stored):
         assert f.read(4) == b"PAR1"
     text = spark.read.parquet(path).where(F.col("subject_hash") == "x")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(subject_hash,x)" in text
+
+
+def test_many_subjects_rewrite_each_file_once_and_rows_without_a_subject_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facts")
+    rows = [(k, None if k % 9 == 0 else f"s{k % 50}", T0 + dt.timedelta(days=k % 4), k % 100 == 7) for k in range(2000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    erasure.write_subject_facts(spark.createDataFrame(rows, "request_id long, subject_id string, ts timestamp, legal_hold boolean"), path)
+    before = files(path)
+    gone = [f"s{k}" for k in range(0, 50, 2)]
+    monkeypatch.setattr(erasure, "AT_ONCE", 4)
+    assert erasure.erase_subjects(spark, path, erased(spark, *gone, None)) <= len(before)
+    want = [r for r in rows if r[1] not in gone or r[3]]
+    key = lambda r: r[0]
+    got = spark.read.parquet(path).select("request_id", "subject_id", "ts", "legal_hold").collect()
+    assert sorted((tuple(r) for r in got), key=key) == want
+    erasure.erase_subjects(spark, path, erased(spark, "s1"))
+    got = spark.read.parquet(path).select("request_id", "subject_id", "ts", "legal_hold").collect()
+    assert sorted((tuple(r) for r in got), key=key) == [r for r in want if r[1] != "s1" or r[3]]

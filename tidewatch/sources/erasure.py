@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import hash16
+from tidewatch.functions.pointers import written
 from tidewatch.sources.tables import _children
 
-#: Subjects that one look for files asks for; each is a condition of its own, which the filters of a file can answer.
+#: Up to so many subjects are conditions of their own, which the filters of a file can answer; more are joined.
 AT_ONCE = 200
 
 
@@ -33,18 +34,6 @@ def _any_of(hashes: Sequence[str]) -> Column:
     return found
 
 
-def _batches(hashes: DataFrame) -> Iterator[list[str]]:
-    """The distinct hashes, AT_ONCE of them on the driver at a time."""
-    batch: list[str] = []
-    for row in hashes.distinct().toLocalIterator():
-        batch.append(row[0])
-        if len(batch) == AT_ONCE:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
 def _swap(spark: SparkSession, path: str) -> None:
     """Puts finished rewrites in place: the files that they replace go, theirs come in. May be repeated at any point."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -67,24 +56,32 @@ def _swap(spark: SparkSession, path: str) -> None:
 def erase_subjects(spark: SparkSession, path: str, erasures: DataFrame, subject: str = "subject_id", hold: str = "legal_hold", subjects_a_file: int = 100_000) -> int:
     """P9 on stored facts: rows of the erased subjects go, but for those on legal hold; returns how many files were rewritten.
 
-    The ranges and Bloom filters of the files leave few to look into; only files with a row to erase are read and written
-    again, all others keep their names and times. Rewrites are finished aside, with the list of what they replace, and then
+    For few subjects, the ranges and Bloom filters of the files leave few to look into; many are joined, in one pass over the
+    hashes. Only files with a row to erase are read and written again, each once, however many subjects there are; all others
+    keep their names and times. Rewrites are finished aside, with the list of what they replace, and then
     put in place; a run that is lost is completed or thrown away by the next one. Nothing should read meanwhile.
     """
     path = path.rstrip("/")
     _swap(spark, path)
-    rewritten = 0
-    for k, hashes in enumerate(_batches(erasures.select(hash16(F.col(subject))))):
-        facts = spark.read.parquet(path)
-        goes = _any_of(hashes) & ~F.coalesce(F.col(hold), F.lit(False))
-        held = facts.where(goes).select(F.col("_metadata.file_path").alias("file")).distinct()
-        aside = f"{path}/_erasing/{k}"
-        names = [r.file for r in held.toLocalIterator()]
-        if not names:
-            continue
-        kept = spark.read.option("basePath", path).schema(facts.schema).parquet(*names).where(~goes)
-        _write(kept.sortWithinPartitions("log_date", "subject_hash"), f"{aside}/facts", subjects_a_file, "overwrite")
-        spark.createDataFrame([(n,) for n in names], "file string").coalesce(1).write.mode("overwrite").parquet(f"{aside}/replaced")
-        _swap(spark, path)
-        rewritten += len(names)
-    return rewritten
+    gone = written(erasures.select(hash16(F.col(subject)).alias("_gone")).where("_gone IS NOT NULL").distinct(), "erased")
+    facts = spark.read.parquet(path)
+    free = ~F.coalesce(F.col(hold), F.lit(False))
+    found = F.col("subject_hash") == F.col("_gone")
+    asked = [r[0] for r in gone.limit(AT_ONCE + 1).collect()]
+    few = len(asked) <= AT_ONCE
+    looked = facts.where(F.coalesce(_any_of(asked), F.lit(False)) & free) if few else facts.where(free)
+    held = looked.select("subject_hash", F.col("_metadata.file_path").alias("file"))
+    held = held if few else held.join(gone, found, "left_semi")
+    names = [r.file for r in held.select("file").distinct().toLocalIterator()]
+    if not names:
+        return 0
+    aside = f"{path}/_erasing/0"
+    kept = spark.read.option("basePath", path).schema(facts.schema).parquet(*names)
+    if few:
+        kept = kept.where(~(F.coalesce(_any_of(asked), F.lit(False)) & free))
+    else:
+        kept = kept.join(gone, found & free, "left_anti").repartitionByRange("log_date", "subject_hash")
+    _write(kept.sortWithinPartitions("log_date", "subject_hash"), f"{aside}/facts", subjects_a_file, "overwrite")
+    spark.createDataFrame([(n,) for n in names], "file string").coalesce(1).write.mode("overwrite").parquet(f"{aside}/replaced")
+    _swap(spark, path)
+    return len(names)
