@@ -285,3 +285,14 @@ def test_chain_is_capped_at_ten(spark):
     d = enrich.correlation_chain(spark.createDataFrame(rows, "event_id long, trace_id string, span_id string, ts timestamp"))
     got = [r[1:] for r in values(d.select("event_id", "correlation.chain_depth", "correlation.parent_span_id"), "event_id", "chain_depth", "parent_span_id")]
     assert got[0] == (0, None) and got[10] == (10, "s9") and got[14] == (10, "s9")
+
+
+def test_
+
+def test_messages_round_by_the_exact_value_and_ties_to_even(spark):
+    rng = random.Random(4)
+    xs = [28.125, 15.625, 0.375, 2.675, 2.665, 1.005, 0.005, 0.015, 99.995, 9.999, -0.001, -28.135, 0.0, 5e-324, 1e12 + 0.125]
+    xs += [rng.randrange(0, 10**6) / 1000 for _ in range(300)] + [rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(300)]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = {r.x: r.t for r in d.select("x", al._two_places(F.col("x")).alias("t")).collect()}
+    assert {x: f"{x:.2f}" for x in xs} == got

@@ -335,6 +335,25 @@ def auto_resolve(alerts: DataFrame, as_of, seconds: int = RESOLVE_SECONDS) -> Da
     return d.select("alertname", "labels", F.col("t").alias("last_seen"), (F.col("t") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("resolved_at"))
 
 
+def _two_places(x: Column) -> Column:
+    """The number with two decimals, rounded by its exact binary value, ties to even, as JSON and C formats do.
+
+    Below one a double has whole 2^-53ths and perhaps a rest, so hundredths are counted in whole numbers. Beyond 1e13 the
+    JVM's own format, which rounds the shortest digits, has to do.
+    """
+    x = x.cast("double")
+    whole = F.floor(F.abs(x))
+    part = (F.abs(x) - whole) * F.lit(float(2**53))
+    below = (part - F.floor(part)) * 100
+    units = F.floor(part) * 100 + F.floor(below)
+    cents, rest = F.shiftright(units, 53), units.bitwiseAND(2**53 - 1)
+    half = F.lit(2**52)
+    up = (rest > half) | ((rest == half) & ((below > F.floor(below)) | (cents % 2 == 1)))
+    cents = whole * 100 + cents + F.when(up, 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), ((cents - cents % 100) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(F.abs(x) < 1e13, text).otherwise(F.format_string("%.2f", x))
+
+
 def _title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
@@ -385,7 +404,7 @@ def violations_to_alerts(technical: DataFrame, finops: DataFrame, compliance: Da
     sev = F.col("severity")
     t = out(
         technical, F.col("window_start"), "Technical: ", "technical", sev == "critical",
-        F.format_string("Threshold exceeded: %.2f > %.2f", "value", "threshold"),
+        F.concat(F.lit("Threshold exceeded: "), _two_places(F.col("value")), F.lit(" > "), _two_places(F.col("threshold"))),
         _details(type=F.col("type"), value=F.col("value"), threshold=F.col("threshold"), severity=sev), F.concat_ws("/", *entity))
     f = out(
         finops, F.col("day").cast("timestamp"), "FinOps: ", "finops", sev == "critical", F.coalesce("message", F.lit("Budget threshold reached")),
