@@ -296,3 +296,10 @@ def test_messages_round_by_the_exact_value_and_ties_to_even(spark):
     d = spark.createDataFrame([(x,) for x in xs], "x double")
     got = {r.x: r.t for r in d.select("x", al._two_places(F.col("x")).alias("t")).collect()}
     assert {x: f"{x:.2f}" for x in xs} == got
+
+
+def test_a_grid_does_not_start_before_the_first_sample(spark):
+    d = spark.createDataFrame([(T0 + dt.timedelta(microseconds=591358),), (at(7200),)], "ts timestamp")
+    assert values(m.grid_over(d, 3600), "t") == [(at(3600),), (at(7200),)]
+    d = spark.createDataFrame([(T0,), (at(3599.9),)], "ts timestamp")
+    assert values(m.grid_over(d, 3600), "t") == [(T0,)]

@@ -52,6 +52,12 @@ def time_grid(spark: SparkSession, start: int, end: int, step: int) -> DataFrame
     return spark.range(first, end + 1, step).select(F.timestamp_seconds("id").alias("t"))
 
 
+def grid_over(samples: DataFrame, step: int, ts: str = "ts") -> DataFrame:
+    """The grid points from the first to the last sample; one that lies less than a second before the first is not among them."""
+    ends = samples.agg(F.unix_micros(F.min(ts)).alias("a"), F.unix_seconds(F.max(ts)).alias("b")).first()
+    return time_grid(samples.sparkSession, -(-ends["a"] // MICROS), ends["b"], step)
+
+
 def match_labels(labels: Column, equal: dict[str, str] | None = None, pattern: dict[str, str] | None = None) -> Column:
     """Label matchers: equality, and patterns anchored on both ends. A missing label reads as empty text."""
     ok = F.lit(True)

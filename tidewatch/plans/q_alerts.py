@@ -134,8 +134,7 @@ def label_text(col="labels"):
 
 
 def span(t):
-    r = t.events.agg(F.unix_seconds(F.min("ts")).alias("a"), F.unix_seconds(F.max("ts")).alias("b")).first()
-    return m.time_grid(t.spark, r["a"], r["b"], STEP)
+    return m.grid_over(t.events, STEP)
 
 
 H5 = 5 * 3600

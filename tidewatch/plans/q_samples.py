@@ -161,9 +161,7 @@ def _(t):
 
 
 def span(t):
-    """First and last hour of the samples, for the grid; a grid needs two numbers only."""
-    r = t.events.agg(F.unix_seconds(F.min("ts")).alias("a"), F.unix_seconds(F.max("ts")).alias("b")).first()
-    return m.time_grid(t.spark, r["a"], r["b"], STEP)
+    return m.grid_over(t.events, STEP)
 
 
 GRID = """, hours AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) + INTERVAL 1 HOUR FROM events), (SELECT max(ts) FROM events), INTERVAL 1 HOUR)) AS t)"""
