@@ -303,3 +303,18 @@ def test_a_grid_does_not_start_before_the_first_sample(spark):
     assert values(m.grid_over(d, 3600), "t") == [(at(3600),), (at(7200),)]
     d = spark.createDataFrame([(T0,), (at(3599.9),)], "ts timestamp")
     assert values(m.grid_over(d, 3600), "t") == [(T0,)]
+
+
+def test_the_latest_of_versions_of_one_time_does_not_depend_on_their_order(spark, tmp_path):
+    from tidewatch.sources import tables
+
+    rows = [(1, at(0), 7, 2.0, {"a": "b"}), (1, at(0), 9, 1.0, {"a": "c"}), (1, at(0), 8, 3.0, {"a": "d"})]
+    for k in range(3):
+        d = spark.createDataFrame(rows[k:] + rows[:k], "request_id long, ts timestamp, event_id long, value double, tags map<string,string>").coalesce(1)
+        assert values(tables.latest_by_id(d.drop("tags")), "event_id", "value") == [(9, 1.0)]
+        assert [r.tags for r in tables.latest_by_id(d).collect()] == [{"a": "c"}]
+        path = str(tmp_path / f"v{k}")
+        for number in (0, 1):
+            tables.upsert_by_request_id(d.withColumn("value", F.col("value") + number), path, number)
+        tables.compact_versions(spark, path, ["2024-01-01"], 2)
+        assert values(tables.read_versions(spark, path), "event_id", "value") == [(9, 2.0)]

@@ -49,12 +49,17 @@ def write_routed(df: DataFrame, topic: Column, key: Column, path: str | None = N
         rows.hint("rebalance", "topic").write.mode("append").partitionBy("topic").parquet(path)
 
 
+def _newest(df: DataFrame, rest: Sequence[str], order: Sequence[str]) -> Column:
+    """The row (``rest``) that comes last by ``order``; of equal ones the one of largest other columns, so that runs agree."""
+    plain = [c for c in rest if c not in order and not any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant", "interval"))]
+    rank = F.struct(*order, *plain)
+    return F.max(rank) if {*order, *plain} == set(rest) else F.max_by(F.struct(*rest), rank)
+
+
 def latest_by_id(df: DataFrame, row_id: str = "request_id", order: Sequence[str] = ("ts",)) -> DataFrame:
     """The last version of each id; rows without an id are all kept. Versions merge before the shuffle."""
     rest = [c for c in df.columns if c != row_id]
-    newest = df.where(F.col(row_id).isNotNull()).groupBy(row_id).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    ).select(row_id, "_row.*").select(*df.columns)
+    newest = df.where(F.col(row_id).isNotNull()).groupBy(row_id).agg(_newest(df, rest, order).alias("_row")).select(row_id, "_row.*").select(*df.columns)
     return newest.unionByName(df.where(F.col(row_id).isNull()))
 
 
@@ -93,7 +98,7 @@ def read_versions(spark: SparkSession, path: str, row_id: str = "request_id", or
     d = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
     ided, loose = d.where(F.col(row_id).isNotNull()), d.where(F.col(row_id).isNull())
     rest = [c for c in d.columns if c not in (row_id, "log_date")]
-    newest = ided.groupBy("log_date", row_id).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_row"))
+    newest = ided.groupBy("log_date", row_id).agg(_newest(d, rest, ["batch", *order]).alias("_row"))
     return newest.select(row_id, "log_date", "_row.*").select(*d.columns).unionByName(loose).drop("batch")
 
 
@@ -132,7 +137,7 @@ def compact_versions(spark: SparkSession, path: str, days: Sequence[str], before
             continue
         rest = [c for c in there.columns if c not in (row_id, "log_date", "batch")]
         ided, loose = there.where(F.col(row_id).isNotNull()), there.where(F.col(row_id).isNull())
-        newest = ided.groupBy(row_id).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_row")).select(row_id, "_row.*")
+        newest = ided.groupBy(row_id).agg(_newest(ided.drop(row_id, "log_date"), [*rest, "batch"], ["batch", *order]).alias("_row")).select(row_id, *[f"_row.{c}" for c in rest])
         newest.unionByName(loose.drop("log_date", "batch")).write.mode("overwrite").parquet(f"{path}/_compacting/{day}/{numbers[-1]}")
         _put_in_place(spark, path, day)
 
