@@ -318,3 +318,9 @@ def test_the_latest_of_versions_of_one_time_does_not_depend_on_their_order(spark
             tables.upsert_by_request_id(d.withColumn("value", F.col("value") + number), path, number)
         tables.compact_versions(spark, path, ["2024-01-01"], 2)
         assert values(tables.read_versions(spark, path), "event_id", "value") == [(9, 2.0)]
+
+
+def test_history_goes_on_past_five_digits(spark):
+    rows = [(at(0), f"ALT-20240101-{n:05d}", "technical") for n in (99_998, 99_999, 100_000, 100_001)]
+    d = spark.createDataFrame(rows, "ts timestamp, id string, category string")
+    assert [r.id for r in al.alert_history(d, 3).collect()] == [f"ALT-20240101-{n:05d}" for n in (99_999, 100_000, 100_001)]

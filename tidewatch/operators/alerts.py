@@ -494,9 +494,10 @@ def active_alerts(alerts: DataFrame, category: str | None = None, severity: str
 
 
 def alert_history(alerts: DataFrame, limit: int = 100, category: str | None = None, order: Sequence[str] = ("ts", "id")) -> DataFrame:
-    """The last ``limit`` alerts in order of creation."""
+    """The last ``limit`` alerts in order of creation; numbers of a day go past five digits, so a longer id is a later one."""
     d = alerts if category is None else alerts.where(F.col("category") == category)
-    return d.orderBy(*[F.desc(c) for c in order]).limit(limit).orderBy(*order)
+    by = [k for c in order for k in ((F.length(c), F.col(c)) if c == "id" else (F.col(c),))]
+    return d.orderBy(*[k.desc() for k in by]).limit(limit).orderBy(*by)
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
