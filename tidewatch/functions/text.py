@@ -5,6 +5,7 @@ All are native column expressions. Patterns use ASCII classes; letters fold case
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -289,12 +290,16 @@ def sentiment(text: Column) -> Column:
     return F.struct(label.alias("label"), score.alias("score"))
 
 
+def _shows(text: Column, kind: str) -> Column:
+    """Whether the text holds the sign without which the kind's pattern can't match."""
+    sign = PII_SIGNS[kind]
+    return F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign)
+
+
 def detect_pii(text: Column) -> Column:
     """Types found, number of matches over all types, and a confidence of 0.2 per match."""
     def count(k: str) -> Column:
-        sign = PII_SIGNS[k]
-        there = F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign)
-        return F.when(~there, 0).otherwise(F.regexp_count(text, F.lit(PII_PATTERNS[k])))
+        return F.when(~_shows(text, k), 0).otherwise(F.regexp_count(text, F.lit(PII_PATTERNS[k])))
 
     counts = F.struct(*[count(k).alias(k) for k in PII_PATTERNS])
 
@@ -310,20 +315,20 @@ def detect_pii(text: Column) -> Column:
 
 def redact_pii(text: Column, method: str = "mask", compat_order: bool = False) -> Column:
     """Matches masked, removed or replaced by the start of their hash; ``compat_order`` tries phone second."""
+    if method not in ("mask", "remove", "hash"):
+        raise ValueError(f"unknown method {method}")
     out = text
     for name in (tuple(PII_PATTERNS) if compat_order else REDACTION_ORDER):
-        p = PII_PATTERNS[name]
-        if method == "mask":
-            out = F.regexp_replace(out, p, "[REDACTED]")
-        elif method == "remove":
-            out = F.regexp_replace(out, p, "")
-        elif method == "hash":
-            out = _hash_matches(out, p)
-        else:
-            raise ValueError(f"unknown method {method}")
+        out = _let(out, functools.partial(_redacted, name, method))
     return out
 
 
+def _redacted(name: str, method: str, text: Column) -> Column:
+    p = PII_PATTERNS[name]
+    new = _hash_matches(text, p) if method == "hash" else F.regexp_replace(text, p, "[REDACTED]" if method == "mask" else "")
+    return F.when(_shows(text, name), new).otherwise(text)
+
+
 def _let(value: Column, use) -> Column:
     """Evaluate ``value`` once and use it in several places."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
