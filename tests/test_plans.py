@@ -36,3 +36,17 @@ def test_time_filter_and_columns_are_pushed_down(spark, tables):
 
     text = plan(search.time_filter(tables.events, "24h", "2024-01-20 12:00:00").select("event_id"))
     assert "GreaterThanOrEqual(ts" in text and "ReadSchema: struct<event_id:bigint,ts:timestamp>" in text
+
+
+def test_compliance_facts_carry_only_what_rules_read(tables):
+    from tidewatch.plans import q_ops
+
+    assert not {"input_tokens", "latency_ms", "team"} & set(q_ops.compliance_facts(tables).columns)
+
+
+def test_cooldowns_read_written_alerts(tables):
+    from tidewatch.plans import q_alerts
+
+    kept = q_alerts.kept_alerts(tables)
+    assert kept.columns == ["ts", "name", "category", "entity"]
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()

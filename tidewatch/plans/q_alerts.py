@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.pointers import written
 from tidewatch.operators import alerts as al
 from tidewatch.operators import cost, recording
 from tidewatch.operators import samples as m
@@ -347,6 +348,11 @@ def _(t):
     return d.select(al.dedup_key().alias("dedup_key"), "request_id")
 
 
+def kept_alerts(t):
+    """What the cooldowns read of the alerts, written once, as they read it several times."""
+    return written(alert_frame(t).select("ts", "name", "category", "entity"), "alerts")
+
+
 # The greedy choice by recursion: the next accepted time is the first one at least the cooldown later.
 COOL_SQL = ALERT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, tm AS (SELECT DISTINCT k, ts FROM keyed),
 nx AS (SELECT a.k, a.ts, (SELECT min(b.ts) FROM tm b WHERE b.k = a.k AND b.ts >= a.ts + INTERVAL 180 MINUTE) AS nts FROM tm a),
@@ -356,7 +362,7 @@ acc AS (SELECT k, min(ts) AS ts FROM tm GROUP BY k UNION ALL SELECT nx.k, nx.nts
 @query("a11_suppress_cooldown", COOL_SQL + """
 SELECT keyed.k AS dedup_key, keyed.ts, acc.k IS NOT NULL AS accepted, count(*) AS alerts FROM keyed LEFT JOIN acc ON acc.k = keyed.k AND acc.ts = keyed.ts GROUP BY 1, 2, 3""")
 def _(t):
-    d = al.suppress_cooldown(alert_frame(t), minutes=180)
+    d = al.suppress_cooldown(kept_alerts(t), minutes=180)
     return d.groupBy("dedup_key", "ts", "accepted").agg(F.count(F.lit(1)).alias("alerts"))
 
 
@@ -371,7 +377,7 @@ acc AS (SELECT k, min(ts) AS ts FROM tm GROUP BY k UNION ALL SELECT nx.k, nx.nts
 j AS (SELECT keyed.k, keyed.ts, acc.ts AS made FROM keyed ASOF JOIN acc ON acc.k = keyed.k AND keyed.ts >= acc.ts)
 SELECT k AS dedup_key, ts, CASE WHEN ts = made THEN 'created' WHEN ts >= made + INTERVAL 180 MINUTE THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS alerts FROM j GROUP BY 1, 2, 3""")
 def _(t):
-    d = alert_frame(t)
+    d = kept_alerts(t)
     closed = d.where(F.dayofmonth("ts") % 3 == 0).select(al.stable_key().alias("dedup_key"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 23 HOURS")).alias("at")).distinct()
     return al.touch_active(d, closed, minutes=180).groupBy("dedup_key", "ts", "outcome").agg(F.count(F.lit(1)).alias("alerts"))
 

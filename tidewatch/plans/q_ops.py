@@ -146,7 +146,8 @@ violations AS (
 
 
 def compliance_facts(t):
-    q = t.ai_requests.withColumn("subject_id", F.col("user_id").cast("string"))
+    # the as-of joins shuffle whole rows, so only what the rules read goes in
+    q = t.ai_requests.select("request_id", "ts", "provider", "model", F.col("user_id").cast("string").alias("subject_id"))
     d = governance.model_approvals(governance.consent_as_of(q, t.consents, t.erasures), t.approvals)
     i = F.col("request_id")
     return d.withColumns({
