@@ -96,3 +96,27 @@ def test_one_shuffle_by_series_serves_all_lengths(spark, samples):
     # the rest: samples by step, the dictionary once for what the results are called, targets to values, results by rule
     assert len(shuffles) <= 6, shuffles
     assert "from_json" not in text and "to_json" not in text
+
+
+def test_labels_in_columns_are_the_labels_of_a_map(spark, samples, tmp_path):
+    grid = m.time_grid(spark, BASE, BASE + 15_000, STEP)
+    wide = samples.select("ts", "metric", "value", F.col("labels")["job"].alias("job"), F.lit(None).cast("string").alias("area"), F.col("labels")["instance"].alias("instance"))
+    assert set(recording.numbered(wide).select("metric", "sid").distinct().collect()) == set(recording.numbered(samples).select("metric", "sid").distinct().collect())
+    assert rows_of(recording.store_rules(wide, RULES, str(tmp_path / "t"), STEP, grid)) == rows_of(recording.record_rules(samples, RULES, STEP, grid))
+    # no sample makes or sorts a map for its number
+    text = recording.numbered(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map" not in text.split("\n")[0] and "sort_array" not in text
+
+
+def test_a_sample_is_shuffled_without_its_metric(spark, samples, tmp_path, monkeypatch):
+    plans, write = {}, recording.RuleStore._write
+
+    def noted(self, df, table, *rest):
+        plans.setdefault(table, df._jdf.queryExecution().optimizedPlan().toString())
+        write(self, df, table, *rest)
+
+    monkeypatch.setattr(recording.RuleStore, "_write", noted)
+    recording.store_rules(samples, RULES, str(tmp_path / "t"), STEP)
+    window = next(x for x in plans["steps"].split("\n") if "Window [" in x)
+    assert "sid#" in window and "metric#" not in window
+    assert {r.metric for r in spark.read.parquet(str(tmp_path / "t" / "steps")).select("metric").distinct().collect()} == {"up", "hits"}

@@ -147,8 +147,30 @@ class Source:
         return Source(self.steps.unionByName(other.steps), self.points.unionByName(other.points), self.series.unionByName(other.series))
 
 
+def _label_columns(samples: DataFrame) -> list[str]:
+    """The columns that hold the labels, by name, where samples have no map of them."""
+    return [] if "labels" in samples.columns else sorted(c for c in samples.columns if c not in m.COLUMNS)
+
+
 def numbered(samples: DataFrame) -> DataFrame:
-    return samples.select("metric", series_number(F.col("metric"), F.col("labels")).alias("sid"), "labels", "ts", "value")
+    """(metric, sid, ts, value). Labels are a map or columns (as_samples); from columns no row has to make a map."""
+    if "labels" in samples.columns:
+        number = series_number(F.col("metric"), F.col("labels"))
+    else:  # a null leaves a hash as it is, so this is the number of the map without nulls
+        pairs = [x for c in _label_columns(samples) for x in (F.when(F.col(c).isNotNull(), F.lit(c)), F.col(c).cast("string"))]
+        number = F.xxhash64("metric", *pairs)
+    return samples.select("metric", number.alias("sid"), "ts", "value")
+
+
+def dictionary_of(samples: DataFrame) -> DataFrame:
+    """(metric, sid, labels) of samples, one row for each series; maps are made and numbered after the distinct."""
+    if "labels" in samples.columns:
+        once = samples.select("metric", F.sort_array(F.map_entries("labels")).alias("entries")).distinct()
+        once = once.select("metric", F.map_from_entries("entries").alias("labels"))
+    else:
+        once = samples.select("metric", *_label_columns(samples)).distinct()
+        once = m.as_samples(once.withColumns({"ts": F.lit(None).cast("timestamp"), "value": F.lit(None).cast("double")}))
+    return once.select("metric", series_number(F.col("metric"), F.col("labels")).alias("sid"), "labels")
 
 
 def series_of(points: DataFrame) -> DataFrame:
@@ -159,7 +181,7 @@ def series_of(points: DataFrame) -> DataFrame:
 
 def source_of(samples: DataFrame, step: int) -> Source:
     d = numbered(samples)
-    return Source(m.step_rows(d, step, ("metric", "sid")), d.select("metric", "sid", "ts", "value"), series_of(d))
+    return Source(m.step_rows(d, step, ("metric", "sid")), d, dictionary_of(samples))
 
 
 def recorded_source(values: DataFrame, series: DataFrame, step: int) -> Source:
@@ -471,10 +493,13 @@ class RuleStore:
             samples = samples.where(F.col("ts") <= F.timestamp_seconds(F.lit(until)))
             grid = None if grid is None else grid.where(F.col("t") <= F.timestamp_seconds(F.lit(until)))
         read = {o.metric for r in self.rules for o in r.operands} - set(self.level)
-        d = numbered(samples.where(F.col("metric").isin(*sorted(read))))
-        day = F.to_date(F.timestamp_seconds("g")).alias("date")
-        self._write(m.step_rows(d, self.step, ("metric", "sid")).select("*", day).hint("rebalance", "date"), "steps", end, "date")
-        self._write(series_of(d).withColumn("level", F.lit(-1)), "series", end, "level")
+        samples = samples.where(F.col("metric").isin(*sorted(read)))
+        d = numbered(samples)
+        self._write(dictionary_of(samples).withColumn("level", F.lit(-1)), "series", end, "level")
+        named = self._read("series", end).where((F.col("run") == end) & (F.col("level") == -1)).select("metric", "sid")
+        # a sample is shuffled with its number only; the step rows, which are few, get the metric back
+        steps = m.step_rows(d.drop("metric"), self.step, ("sid",)).join(named, "sid").select("*", F.to_date(F.timestamp_seconds("g")).alias("date"))
+        self._write(steps.hint("rebalance", "date"), "steps", end, "date")
         if lines := self._lines():
             lined = d.where(F.col("metric").isin(*lines)).select("metric", "sid", "ts", "value", F.to_date("ts").alias("date"))
             self._write(lined.hint("rebalance", "date"), "points", end, "date")
@@ -543,6 +568,6 @@ def evaluate_rules(
     for a in alerts:
         if a.rule.op == "absent" and grid is not None:
             o = a.rule.operands[0]
-            seen = m.select_series(samples.where(F.col("metric") == o.metric), step=step, lookback=o.seconds)
+            seen = m.select_series(m.as_samples(samples.where(F.col("metric") == o.metric)), step=step, lookback=o.seconds)
             out = out.unionByName(m.absent(seen, grid).select("t", F.lit(a.name).alias("alertname"), "labels", "value"))
     return out

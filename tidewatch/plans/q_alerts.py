@@ -117,8 +117,8 @@ def stack(t):
 
 
 def whole_stack(t):
-    """Samples of every metric that the catalogue reads."""
-    return stack(t).unionByName(m.as_samples(t.catalogue_samples))
+    """Samples of every metric that the catalogue reads; their labels stay columns, as no map is made for each row then."""
+    return t.stack_samples.unionByName(t.catalogue_samples, allowMissingColumns=True)
 
 
 ALL_LABELS = tuple(sorted((*LABELS, "instance")))
