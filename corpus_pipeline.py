@@ -42,7 +42,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (0.8 of their five-word shingles) stays, one with the smallest doc_id.
 
-    Candidates come from bands of MinHash values: fingerprints of copies so far apart share no bytes to index them by.
+    Copies within 2 bits come from fingerprints by their positional bytes, as in op9 but of five words; the others, whose
+    fingerprints may share no byte at all, from bands of MinHash values. Both are compared on the sets.
     """
     _in_small_batches(spark)
     # a written number of each row, as rows may share a doc_id or have none

@@ -52,3 +52,24 @@ def test_the_stage_drops_a_near_copy_beyond_two_bits(spark):
     assert (simhash.fingerprint(first.encode()) ^ simhash.fingerprint(second.encode())).bit_count() > 2
     docs = spark.createDataFrame([(7, second, "en", "s", 1), (5, first, "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert [r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()] == [5]
+
+
+def test_copies_within_two_bits_are_linked_by_their_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [t for _ in range(3) for t in family(rng, 1500, 5, 1)] + family(rng, 60, 4, 2) + ["", "one two"]
+    docs = shared.store(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row bigint, doc_id bigint, text string"), "copies")
+    found, links = [], near_copies.near_links
+
+    def noted(nodes, of, turns, pairs_a_row, known):
+        found.extend(tuple(r) for r in known.collect())
+        return links(nodes, of, turns, pairs_a_row, known)
+
+    monkeypatch.setattr(near_copies, "near_links", noted)
+    first = groups(texts)
+    assert sorted(r.row for r in near_copies.first_rows(docs).collect()) == sorted(set(first))
+    prints = [simhash.fingerprint(t.encode(), near_copies.WIDTH) % 2**64 for t in texts]
+    close = [[k for k, q in enumerate(prints) if (p ^ q).bit_count() <= 2] for p in prints]
+    # some are linked so, all of one group, and a text that is within two bits of the first of its group is linked
+    assert found and all(first[a] == first[b] for a, b in found)
+    linked = {x for pair in found for x in pair}
+    assert linked >= {k for k in range(len(texts)) if k != first[k] and first[k] in close[k]}

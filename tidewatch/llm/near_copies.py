@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, linked transitively.
 
-A fingerprint of 64 bits can't find them by its bytes: at 0.8 two fingerprints are about 10 bits apart, and one such pair
-in twelve shares no positional byte at all. So candidates come from bands of MinHash values: four values make a key, and a
+The closest come from fingerprints: SimHash of the five-word shingles by the index of positional bytes (simhash.py), whose
+groups within 2 bits are compared on their sets, each node with the first of its group. Fingerprints can't find all by
+their bytes: at 0.8 two of them are about 10 bits apart, and one such pair in twelve shares no positional byte at all. So
+the other candidates come from bands of MinHash values: four values make a key, and a
 pair of similarity s misses all 20 keys with a chance of (1 - s^4)^20, 3e-5 at 0.8. A signature of four bits for each of
 256 values goes with a node; of 256 cells a pair at 0.8 agrees in 208 on average, and one that agrees in fewer than 180 (4.5
 standard deviations, a chance of 3e-6) is no candidate. Every candidate is verified on the sets, which travel once to each
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import simhash
 from tidewatch.llm.graph import components
 from tidewatch.llm.shared import store
 
@@ -91,19 +94,20 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def _prints(text: Column) -> Column:
     none, blank = np.empty(0, dtype=np.int64), np.zeros(WORDS * PLANES, dtype=np.int64)
 
-    @F.arrow_udf("struct<digest:binary,size:bigint,short:array<bigint>,long:array<bigint>,cells:array<bigint>>")
+    @F.arrow_udf("struct<digest:binary,size:bigint,fp:bigint,short:array<bigint>,long:array<bigint>,cells:array<bigint>>")
     def prints(texts: pa.Array) -> pa.Array:
-        digests, sizes, short, long, cells = [], [], [], [], []
+        digests, sizes, fps, short, long, cells = [], [], [], [], [], []
         for t in _bytes_of(texts):
             found = shingles(t)
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
+            fps.append(simhash.fingerprint(t, WIDTH))
             least = least_values(found) if len(found) else None
             short.append(none if least is None else band_keys(least[: BANDS * ROWS], BANDS, ROWS))
             long.append(none if least is None else band_keys(least[BANDS * ROWS : BANDS * ROWS + LONG_BANDS * LONG_ROWS], LONG_BANDS, LONG_ROWS))
             cells.append(blank if least is None else signature(least))
-        columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(short), _lists(long), _lists(cells)]
-        return pa.StructArray.from_arrays(columns, ["digest", "size", "short", "long", "cells"])
+        columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), _lists(short), _lists(long), _lists(cells)]
+        return pa.StructArray.from_arrays(columns, ["digest", "size", "fp", "short", "long", "cells"])
 
     return prints(text)
 
@@ -180,14 +184,20 @@ def _outside(rooted: DataFrame, keys: str, turn: int) -> DataFrame:
     return store(met.select("band", "key", "node", "root", "one", "main", "rows"), "near_outside")
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, turns: int = 6, pairs_a_row: int = 64) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): near nodes (node, fp) whose fingerprints are in one group, a the group's smallest; texts: (node, text)."""
+    groups = simhash.groups_of(nodes.select(F.col("node").alias("doc_id"), "fp"))
+    return _verified(groups.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), texts)
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, turns: int = 6, pairs_a_row: int = 64, known: DataFrame | None = None) -> DataFrame:
     """(a, b): links that join all near nodes of a component.
 
-    nodes: (node, size, short, long, cells), distinct sets; texts: (node, text). Turns go on while the pairs to compare
+    nodes: (node, size, short, long, cells), distinct sets; texts: (node, text); known: links found before. Turns go on while the pairs to compare
     are more than pairs_a_row for each row of the short keys and a turn still links one node in a thousand; then
     all that are left are compared by their signatures, however many, and those that pass on their sets.
     """
-    links, facts, moved = None, nodes.select("node", "size", "cells", "short"), True
+    links, facts, moved = known, nodes.select("node", "size", "cells", "short"), True
     size = nodes.count()
     few = pairs_a_row * BANDS * size
     for turn in range(turns + 1):
@@ -227,8 +237,10 @@ def first_rows(docs: DataFrame, turns: int = 6, pairs_a_row: int = 64) -> DataFr
     """
     prints = docs.select("row", "doc_id", _prints(F.col("text")).alias("p")).select("row", "doc_id", "p.*")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    sums = [F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("size", "short", "long", "cells")], best]
+    # texts of one set may repeat shingles in their own ways: the least of their fingerprints stands for the node
+    sums = [F.min("row").alias("node"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "short", "long", "cells")], best]
     nodes = store(prints.groupBy("digest").agg(*sums), "near_nodes")
-    roots = components(near_links(nodes, docs.select(F.col("row").alias("node"), "text"), turns, pairs_a_row))
+    texts = docs.select(F.col("row").alias("node"), "text")
+    roots = components(near_links(nodes, texts, turns, pairs_a_row, fingerprint_links(nodes, texts)))
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return rooted.agg(F.min("best").alias("best")).select("best.row")

@@ -136,6 +136,11 @@ def near_groups(docs: DataFrame, width: int = 3, max_distance: int = 2, hot_post
     smallest fingerprint of the component, tells components apart that have the same component_id.
     """
     prints = store(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp"), *carry), "fingerprints")
+    return groups_of(prints, max_distance, hot_posting, carry)
+
+
+def groups_of(prints: DataFrame, max_distance: int = 2, hot_posting: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
+    """near_groups of fingerprints (doc_id, fp, *carry) that are written already."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_pairs(nodes, max_distance, hot_posting))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
